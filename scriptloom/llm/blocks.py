@@ -28,7 +28,7 @@ REPLY = "block int, kind int, data binary, n bigint"
 SENT = "bucket int, block int, h binary, g binary, first binary, n binary"
 SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("h", pa.binary()), ("g", pa.binary()), ("first", pa.binary()), ("n", pa.binary())])
 REPLY_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("n", pa.int64())])
-COPY, ANCHOR, OURS, THEIRS = 0, 1, 2, 3
+COPY, ANCHOR, OURS, THEIRS, LONGER, BITS = 0, 1, 2, 3, 4, 5
 
 
 def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
@@ -60,7 +60,8 @@ class Block:
         data = replies["data"].to_pylist() if replies.num_rows else []
         ns = replies["n"].to_pylist() if replies.num_rows else []
         self.number = docs["block"][0].as_py() if docs.num_rows else None
-        self.replies = {kind: np.sort(np.frombuffer(b"".join(x for x, at in zip(data, kinds, strict=True) if at == kind), np.uint64)) for kind in (ANCHOR, OURS, THEIRS)}
+        self.replies = {kind: np.sort(np.frombuffer(b"".join(x for x, at in zip(data, kinds, strict=True) if at == kind), np.uint64)) for kind in (ANCHOR, OURS, THEIRS, LONGER)}
+        self.bits = {n: np.unpackbits(np.frombuffer(x, np.uint8)).view(bool) for x, at, n in zip(data, kinds, ns, strict=True) if at == BITS}
         firsts = {(x[:16], int.from_bytes(x[16:], "big", signed=True)): n for x, at, n in zip(data, kinds, ns, strict=True) if at == COPY}
         k, digest = docs["k"].to_pylist(), docs["digest"].to_pylist()
         order = sorted(range(len(k)), key=lambda i: (k[i], digest[i]))
@@ -83,19 +84,19 @@ class Block:
         self.offsets = self.offsets - self.offsets[0]
 
 
-@lru_cache(4)
-def powers(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """m**i and m**-i modulo 2**64 for i up to n."""
-    made = []
-    for x in (m, pow(m, -1, 2**64)):
-        a = np.full(n + 1, x, np.uint64)
-        a[0] = 1
-        made.append(np.multiply.accumulate(a))
-    return made[0], made[1]
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def sized(n: int) -> int:
-    return 1 << max(12, int(n - 1).bit_length()) if n > 1 else 4096
+def powers(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """m**i and m**-i modulo 2**64 for i from 0 to n at least; kept, as all calls use the same few multipliers."""
+    if m not in POWERS or len(POWERS[m][0]) <= n:
+        made = []
+        for x in (m, pow(m, -1, 2**64)):
+            a = np.full(1 << max(16, n.bit_length()), x, np.uint64)
+            a[0] = 1
+            made.append(np.multiply.accumulate(a))
+        POWERS[m] = (made[0], made[1])
+    return POWERS[m]
 
 
 @lru_cache(1)
@@ -113,13 +114,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def sums(values: np.ndarray, m: int) -> np.ndarray:
     """Prefix sums of values[i] * m**i."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(m, sized(len(values)))[0][: len(values)], out=out[1:])
+    np.cumsum(values * powers(m, len(values))[0][: len(values)], out=out[1:])
     return out
 
 
 def spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, m: int) -> np.ndarray:
     """A hash of values[start:end] that doesn't depend on where it stands."""
-    return mixed((prefix[end] - prefix[start]) * powers(m, sized(len(prefix) - 1))[1][start])
+    return mixed((prefix[end] - prefix[start]) * powers(m, len(prefix))[1][start])
 
 
 def windows(values: np.ndarray, length: int, m: int) -> np.ndarray:
@@ -128,7 +129,7 @@ def windows(values: np.ndarray, length: int, m: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.uint64)
     prefix = sums(values, m)
-    return mixed((prefix[length:] - prefix[:n]) * powers(m, sized(len(values)))[1][:n])
+    return mixed((prefix[length:] - prefix[:n]) * powers(m, len(values))[1][:n])
 
 
 def running_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -164,9 +165,13 @@ def within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return found
 
 
+def dealt(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (h >> np.uint64(20)) % np.uint64(n_buckets)
+
+
 def send(block: int, n_buckets: int, h: np.ndarray, g: np.ndarray | None = None, first: np.ndarray | None = None, n: np.ndarray | None = None) -> pa.Table:
     """One row per bucket with its packed hashes."""
-    bucket = (h >> np.uint64(20)) % np.uint64(n_buckets)
+    bucket = dealt(h, n_buckets)
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(2**63))) if len(h) else np.empty(0, np.int64)
     ends = [*edges[1:].tolist(), len(h)]
@@ -196,6 +201,15 @@ def replies(rows: list[tuple[int, int, bytes, int]]) -> pa.Table:
 
 def repeated(sent: pa.Table) -> pa.Table:
     """A bucket's step: tells each block which of its hashes occur twice or more, here or elsewhere."""
+    return _repeated(sent, ANCHOR)
+
+
+def repeated_longer(sent: pa.Table) -> pa.Table:
+    """The same for the next level."""
+    return _repeated(sent, LONGER)
+
+
+def _repeated(sent: pa.Table, kind: int) -> pa.Table:
     block, h, g, _, n = unpacked(sent)
     order = np.lexsort((g, h)) if len(g) else np.argsort(h, kind="stable")
     hs, gs = h[order], g[order] if len(g) else None
@@ -204,7 +218,7 @@ def repeated(sent: pa.Table) -> pa.Table:
     group = np.cumsum(new) - 1
     many = np.bincount(group, weights=n[order]) >= 2 if len(hs) else np.empty(0, bool)
     keep = order[many[group]] if len(hs) else order
-    return replies(answer(block[keep], h[keep], ANCHOR))
+    return replies(answer(block[keep], h[keep], kind))
 
 
 def pieces(n: int, overlap: int, each: int = PIECE) -> Iterator[tuple[int, int]]:

@@ -1,7 +1,7 @@
 """Removal of byte sequences that occur anywhere else in the corpus, with suffix arrays.
 
-Fingerprints of windows of half the length (the least of each full window, so equal full windows choose
-equal ones) show which parts of a text can repeat at all. Only those parts are put, with their margins,
+Fingerprints of windows of half, then of three quarters of the length (the least of each full window, so equal
+full windows choose equal ones) show which parts of a text can repeat at all. Only those are put, with margins,
 into shards of bounded size. Each shard gets a suffix array by Larsson-Sadakane refinement and common
 prefixes by Kasai's rule, both in numpy; a run of suffixes whose common prefixes reach the full length is
 one string, named once by its hash. The shards' sorted names are merged by binary search: a bucket of
@@ -91,28 +91,38 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return lcp
 
 
-def half_windows(block: B.Block, a: int, b: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the half windows that begin in bytes a to b (NONE across documents), and which stand for a full one."""
+def sub_windows(block: B.Block, a: int, b: int, size: int, full: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of `size` bytes that begin in bytes a to b (NONE across documents and in later copies), and which
+    of them stand for a full window."""
     h = np.full(b - a, NONE)
-    made = B.windows(B.byte_values()[block.bytes[a:b]], half, B.BYTE_M)
+    made = B.windows(B.byte_values()[block.bytes[a:b]], size, B.BYTE_M)
     h[: len(made)] = made
-    for edge in block.offsets[(block.offsets > a) & (block.offsets <= b)]:
-        h[max(0, edge - a - half + 1) : edge - a] = NONE
-    for i in np.flatnonzero(~block.first & (block.offsets[1:] > a) & (block.offsets[:-1] < b)):
-        h[max(0, block.offsets[i] - a) : max(0, block.offsets[i + 1] - a)] = NONE
-    return h, B.anchors(h, half + 1) & (h != NONE)
-
-
-def regions(block: B.Block, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the parts, each in one document, that hold every full window with a repeated half window."""
-    marks = []
-    for a, b in B.pieces(len(block.bytes), 2 * half - 1):
-        h, chosen = half_windows(block, a, b, half)
-        at = np.flatnonzero(chosen)
-        marks.append(at[B.within(h[at], block.replies[B.ANCHOR])] + a)
-    at = np.unique(np.concatenate(marks)) if marks else np.empty(0, np.int64)
+    i, j = np.searchsorted(block.offsets, (a, b), "right")
+    for edge in block.offsets[i : j + 1].tolist():
+        h[max(0, edge - a - size + 1) : max(0, edge - a)] = NONE
+    for d in range(max(0, i - 1), min(j, len(block.first))):
+        if not block.first[d]:
+            h[max(0, block.offsets[d] - a) : max(0, block.offsets[d + 1] - a)] = NONE
+    return h, B.anchors(h, full - size + 1) & (h != NONE)
+
+
+def standing(block: B.Block, parts: list[tuple[int, int]], size: int, full: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places, each once, and hashes of the windows of `size` bytes in these parts that stand for a full one."""
+    places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for start, end in parts:
+        for i, j in B.pieces(end - start, full - 1):
+            h, chosen = sub_windows(block, start + i, start + j, size, full)
+            at = np.flatnonzero(chosen)
+            places.append(at + start + i)
+            hashes.append(h[at])
+    place, once = np.unique(np.concatenate(places), return_index=True)
+    return place, np.concatenate(hashes)[once]
+
+
+def around(block: B.Block, at: np.ndarray, size: int, full: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the parts, each in one document, that hold every full window around windows of `size` bytes."""
     doc = np.searchsorted(block.offsets, at, "right") - 1
-    start, end = np.maximum(at - half, block.offsets[doc]), np.minimum(at + 2 * half, block.offsets[doc + 1])
+    start, end = np.maximum(at - full + size, block.offsets[doc]), np.minimum(at + full, block.offsets[doc + 1])
     if not len(at):
         return start, end
     new = np.ones(len(at), bool)
@@ -121,10 +131,20 @@ def regions(block: B.Block, half: int) -> tuple[np.ndarray, np.ndarray]:
     return start[first], end[np.append(first[1:], len(at)) - 1]
 
 
-def shards(start: np.ndarray, end: np.ndarray, overlap: int, shard_bytes: int) -> list[list[tuple[int, int]]]:
+def narrowed(block: B.Block, sizes: tuple[int, int], full: int, steps: int) -> list[tuple[int, int]]:
+    """The parts that may hold repeated full windows, after so many levels of answers."""
+    parts = [(0, len(block.bytes))]
+    for size, kind in list(zip(sizes, (B.ANCHOR, B.LONGER), strict=True))[:steps]:
+        place, h = standing(block, parts, size, full)
+        starts, ends = around(block, place[B.within(h, block.replies[kind])], size, full)
+        parts = list(zip(starts.tolist(), ends.tolist(), strict=True))
+    return parts
+
+
+def shards(parts: list[tuple[int, int]], overlap: int, shard_bytes: int) -> list[list[tuple[int, int]]]:
     """The parts in groups of bounded size; longer parts are cut, neighbours sharing the overlap."""
     made, size = [[]], 0
-    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+    for a, b in parts:
         for i, j in B.pieces(b - a, overlap, shard_bytes):
             if size and size + j - i > shard_bytes:
                 made.append([])
@@ -134,40 +154,42 @@ def shards(start: np.ndarray, end: np.ndarray, overlap: int, shard_bytes: int) -
     return made if made[0] else []
 
 
-def named(block: B.Block, shard: list[tuple[int, int]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct full windows of a shard: hash, check hash, and 2 for those that repeat in the shard, else 1."""
-    text = np.concatenate([block.bytes[a:b] for a, b in shard])
+def joined(block: B.Block, shard: list[tuple[int, int]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's bytes end to end, the place of each in the block, and whether a full window of one part begins there."""
+    lengths = np.array([b - a for a, b in shard])
+    ends = np.cumsum(lengths)
+    place = np.arange(ends[-1]) + np.repeat(np.array([a for a, _ in shard]) - ends + lengths, lengths)
+    return block.bytes[place], place, np.arange(ends[-1]) + length <= np.repeat(ends, lengths)
+
+
+def named(text: np.ndarray, whole: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct full windows of a shard: hash, check hash, and how often each begins in the shard."""
     sa = suffix_array(text)
     lcp = common_prefixes(text, sa)
-    ends = np.cumsum([b - a for a, b in shard])
-    whole = sa + length <= ends[np.searchsorted(ends, sa, "right")]
-    group = np.cumsum(lcp < length)[whole]
-    place = sa[whole]
-    if not len(place):
-        return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint8)
+    own = whole[sa]
+    group, place = np.cumsum(lcp < length)[own], sa[own]
     first = np.flatnonzero(np.diff(group, prepend=-1))
-    n = np.diff(np.append(first, len(group)))
     values = B.byte_values()[text]
-    h, g = B.windows(values, length, B.BYTE_M)[place[first]], B.windows(values, length, B.CHECK_M)[place[first]]
-    order = np.argsort(h)
-    return h[order], (g[order] >> np.uint64(32)).astype(np.uint32), np.minimum(n[order], 2).astype(np.uint8)
+    h, g = (B.windows(values, length, m)[place[first]] if len(place) else np.empty(0, np.uint64) for m in (B.BYTE_M, B.CHECK_M))
+    return h, (g >> np.uint64(32)).astype(np.uint32), np.diff(np.append(first, len(group)))
 
 
 def merged(sent: pa.Table) -> pa.Table:
-    """A bucket's step: looks each shard's sorted names up in the sorted names of all by binary search; tells each block
-    which of its names occur twice or more."""
+    """A bucket's step: looks each shard's sorted names up in the sorted names of all by binary search; tells each block, by a bit
+    for each of its names in order, which occur twice or more."""
     block, h, g, _, n = B.unpacked(sent)
     order = np.lexsort((g, h))
-    name = np.zeros(len(h), np.int64)
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+    name = np.zeros(len(h), np.int64)
     name[order] = np.cumsum(new)
     every = np.sort(name)
     times = np.searchsorted(every, name, "right") - np.searchsorted(every, name, "left")
     many = np.zeros(len(h) + 1, bool)
     many[name[(times > 1) | (n > 1)]] = True
-    keep = many[name]
-    return B.replies(B.answer(block[keep], h[keep], B.THEIRS))
+    edges = np.cumsum([0, *(len(x) // 8 for x in sent["h"].to_pylist())]).tolist()
+    bucket = sent["bucket"][0].as_py() if sent.num_rows else 0
+    return B.replies([(b, B.BITS, np.packbits(many[name[i:j]]).tobytes(), bucket) for b, i, j in zip(sent["block"].to_pylist(), edges, edges[1:], strict=False)])
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200, block_bytes: int = 4 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
@@ -181,31 +203,30 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if min_bytes < 2 or min_bytes % 2:
         raise ValueError("min_bytes must be even and 2 at least")
-    half = min_bytes // 2
+    sizes = (min_bytes // 2, 3 * min_bytes // 4)
     base, n_blocks = B.text_blocks(docs, id_col, text_col, block_bytes)
     n_buckets = max(1, n_blocks // 4)
 
-    def choose(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return B.send(0, 1, np.empty(0, np.uint64))
-        block, found = B.Block(docs, replies), []
-        for a, b in B.pieces(len(block.bytes), min_bytes - 1):
-            h, chosen = half_windows(block, a, b, half)
-            at = np.flatnonzero(chosen)
-            found.append(np.stack([at.astype(np.uint64) + np.uint64(a), h[at]]))
-        place, h = np.concatenate(found, axis=1)
-        _, once = np.unique(place, return_index=True)
-        own, n = np.unique(h[once], return_counts=True)
-        return B.send(block.number, n_buckets, own, n=np.minimum(n, 2).astype(np.uint8))
+    def choosing(step: int):
+        def choose(docs: pa.Table, replies: pa.Table) -> pa.Table:
+            if not docs.num_rows:
+                return B.send(0, 1, np.empty(0, np.uint64))
+            block = B.Block(docs, replies)
+            own, n = np.unique(standing(block, narrowed(block, sizes, min_bytes, step), sizes[step], min_bytes)[1], return_counts=True)
+            return B.send(block.number, n_buckets, own, n=np.minimum(n, 2).astype(np.uint8))
 
-    def shard(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        return choose
+
+    def name(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return B.send(0, 1, np.empty(0, np.uint64))
-        block, sent = B.Block(docs, replies), []
-        for own in shards(*regions(block, half), min_bytes - 1, shard_bytes):
-            h, g, n = named(block, own, min_bytes)
-            sent.append(B.send(block.number, n_buckets, h, g, None, n))
-        return pa.concat_tables(sent) if sent else B.send(0, 1, np.empty(0, np.uint64))
+        block = B.Block(docs, replies)
+        made = [named(*(joined(block, own, min_bytes)[i] for i in (0, 2)), min_bytes) for own in shards(narrowed(block, sizes, min_bytes, 2), min_bytes - 1, shard_bytes)]
+        if not made:
+            return B.send(block.number, n_buckets, np.empty(0, np.uint64))
+        h, g, n = (np.concatenate(x) for x in zip(*made, strict=True))
+        own, first, back = np.unique(h, return_index=True, return_inverse=True)
+        return B.send(block.number, n_buckets, own, g[first], None, np.minimum(np.bincount(back, weights=n), 2).astype(np.uint8))
 
     def remove(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -213,11 +234,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pa.table({"doc_id": none, "n_bytes": none, "n_removed": none, "n_spans": none, "kept_bytes": pa.array([], pa.binary()), "span_starts": lists, "span_ends": lists})
         block = B.Block(docs, replies)
         delta = np.zeros(len(block.bytes) + 1, np.int32)
-        for own in shards(*regions(block, half), min_bytes - 1, shard_bytes) if len(block.replies[B.THEIRS]) else []:
-            for a, b in own:
-                hit = np.flatnonzero(B.within(B.windows(B.byte_values()[block.bytes[a:b]], min_bytes, B.BYTE_M), block.replies[B.THEIRS])) + a
-                np.add.at(delta, hit, 1)
-                np.add.at(delta, hit + min_bytes, -1)
+        begins, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for own in shards(narrowed(block, sizes, min_bytes, 2), min_bytes - 1, shard_bytes) if block.bits else []:
+            text, place, whole = joined(block, own, min_bytes)
+            begins.append(place[whole])
+            hashes.append(B.windows(B.byte_values()[text], min_bytes, B.BYTE_M)[np.flatnonzero(whole)])
+        begin, h = np.concatenate(begins), np.concatenate(hashes)
+        names, back = np.unique(h, return_inverse=True)
+        hit = np.zeros(len(names), bool)
+        bucket = B.dealt(names, n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        for b, bits in block.bits.items():
+            i, j = np.searchsorted(bucket[order], np.array([b, b + 1], np.uint64))
+            hit[order[i:j]] = bits[: j - i]
+        begin = np.unique(begin[hit[back]])  # neighbouring shards share their overlap
+        delta[begin] += 1
+        np.subtract.at(delta, begin + min_bytes, 1)
         gone = np.cumsum(delta[:-1]) > 0
         made = []
         for i in range(len(block.k)):
@@ -234,7 +266,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.Table.from_arrays([docs["doc_id"].combine_chunks(), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes", "span_starts", "span_ends"])
 
     copies = B.copies(base)
-    repeated = B.with_replies(base, copies, choose, B.SENT).groupBy("bucket").applyInArrow(B.repeated, B.REPLY)
-    known = copies.unionByName(repeated)
-    again = B.with_replies(base, known, shard, B.SENT).groupBy("bucket").applyInArrow(merged, B.REPLY)
+    known = copies.unionByName(B.with_replies(base, copies, choosing(0), B.SENT).groupBy("bucket").applyInArrow(B.repeated, B.REPLY))
+    longer = B.with_replies(base, known, choosing(1), B.SENT).groupBy("bucket").applyInArrow(B.repeated_longer, B.REPLY)
+    known = known.unionByName(longer)
+    again = B.with_replies(base, known, name, B.SENT).groupBy("bucket").applyInArrow(merged, B.REPLY)
     return B.with_replies(base, known.unionByName(again), remove, OUT)
