@@ -17,13 +17,8 @@ def words_in(text: Column) -> Column:
 
 
 def line_records(text: Column) -> Column:
-    """(h, words) of each line: the hash of the line in lower case with single spaces, and its words; blank lines have none."""
-
-    def record(line: Column) -> Column:
-        return F.struct(F.xxhash64(F.lower(line)).alias("h"), F.when(line == "", 0).otherwise(F.length(line) - F.length(F.translate(line, " ", "")) + 1).alias("words"))
-
-    plain = F.transform(F.split(text, "\n"), lambda x: F.btrim(F.regexp_replace(x, f"{SPACE}+", " ")))
-    return F.transform(plain, record)
+    """(h, chars) of each line: the hash of the trimmed line in lower case, and its characters that aren't white space."""
+    return F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(F.lower(F.btrim(x, F.lit(SPACES)))).alias("h"), F.length(F.translate(x, SPACES, "")).alias("chars")))
 
 
 def repeat_words(docs: DataFrame, words: str, out: str) -> DataFrame:
@@ -42,54 +37,52 @@ def repeat_words(docs: DataFrame, words: str, out: str) -> DataFrame:
     return docs.withColumn(out, covered.cast("long")).drop("_sorted", "_places")
 
 
-def common_lines(lines: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(host, h) of lines above both limits: in more than min_docs distinct texts of the host, and in more than that share of
-    them. Copies of a text count once, so a copied document doesn't make its own lines common. lines: host, digest, h."""
-    per_line = lines.select("host", "h", "digest").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    per_host = lines.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    return per_line.join(per_host, per_line.host.eqNullSafe(per_host.host)).select(per_line.host, "h", "n_docs").filter(F.col("n_docs") > share * F.col("host_docs"))
+def common_lines(texts: DataFrame, min_docs: int, share: float) -> DataFrame:
+    """(host, common): the hashes of lines in more than min_docs distinct texts of the host and in more than `share` of them, for
+    texts (host, digest, hashes). Copies of a text count once, so a copied document doesn't make its own lines
+    common. A host has at most 1 / share times as many such lines as its texts have on average."""
+    lines = texts.select("host", "digest", F.explode("hashes").alias("h")).distinct()
+    per_line = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    per_host = texts.select(F.col("host").alias("_h"), "digest").distinct().groupBy("_h").agg(F.count(F.lit(1)).alias("host_docs"))
+    return per_line.join(per_host, F.col("host").eqNullSafe(F.col("_h"))).filter(F.col("n_docs") > share * F.col("host_docs")).groupBy("host").agg(F.collect_list("h").alias("_common"))
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, share: float = 0.1, max_removed_percent: int = 50
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, share: float = 0.1, max_removed_percent: int = 50
 ) -> DataFrame:
-    """One row per input row: all columns given, then (suffixed by nothing that the input has) _q with the fields n_words,
-    word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept, kept_text.
+    """One row per input row: all columns given, then the struct _q with the fields n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, n_removed_chars, base_failed, kept, kept_text.
 
     Base rules: under min_words words, or more than max_repeat_percent of the words in repeated windows of three,
-    fail. Lines are hashed in lower case with single spaces; those in more than min_docs distinct texts of a host
-    and more than `share` of its texts are removed; a document that loses more than max_removed_percent of its words is
-    depleted. kept: neither failed nor depleted. kept_text: the text without its removed lines. Null text counts as empty,
-    a null host as one host. Equal rows get equal results; an empty table gives no rows. The id isn't used but kept;
-    a text is one row throughout, so memory follows the longest text.
+    fail. Lines are hashed in lower case without outer white space; those in more than min_docs distinct texts of a host
+    and in more than `share` of its texts are removed; a document that loses more than max_removed_percent of its
+    characters (white space not counted) is depleted. kept: neither failed nor depleted. kept_text: the text without its
+    removed lines. Null text counts as empty, a null host as one host. Equal rows get equal results; an empty table gives
+    no rows; a column _q is replaced. A text is one row throughout, so memory follows the longest text.
     """
+    names = [c for c in docs.columns if c != "_q"]
     text, host = text_of(text_col), F.col(host_col).cast("string")
-    base = docs.withColumns({"_row": F.struct(*[F.col(f"`{c}`") for c in docs.columns])}).select(
-        "_row", text.alias("_text"), host.alias("_host"), F.unhex(F.md5(text)).alias("_digest"), words_in(text).alias("_words"), line_records(text).alias("_lines")
-    )
-    solid = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    base = base.withColumn("_solid", solid)
+    base = docs.select(*[F.col(f"`{c}`").alias(f"_in_{c}") for c in names], text.alias("_text"), host.alias("_host"), words_in(text).alias("_words"), line_records(text).alias("_lines"))
+    base = base.withColumn("_solid", F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
     base = repeat_words(base, "_words", "n_repeat_words").select(
-        "_row", "_host", "_digest", "_lines", "_text", "n_repeat_words",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
+        *[f"`_in_{c}`" for c in names], "_text", "_host", "_lines", "n_repeat_words",
+        # nothing is pushed through a projection that isn't deterministic: a filter on the verdict would else work these out anew
+        (F.size("_words") + F.monotonically_increasing_id() * 0).cast("long").alias("n_words"),
+        F.aggregate("_lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_solid") - F.size(F.array_distinct("_solid"))).cast("long").alias("n_dup_lines"),
     )
-    source = docs.select(host.alias("host"), F.unhex(F.md5(text)).alias("digest"), line_records(text).alias("lines"))
-    lines = source.select("host", "digest", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x["words"] > 0), lambda x: x["h"]))).alias("h"))
-    common = common_lines(lines, min_docs, share)
-    hit = lines.join(common.select(F.col("host").alias("_h"), F.col("h").alias("_c")), F.col("host").eqNullSafe(F.col("_h")) & (F.col("h") == F.col("_c"))).groupBy("host", "digest").agg(F.collect_set("h").alias("_common"))
-    joined = base.join(hit, base["_host"].eqNullSafe(hit["host"]) & (base["_digest"] == hit["digest"]), "left")
-    gone = F.coalesce("_common", F.array().cast("array<bigint>"))
-    removed = F.aggregate(F.filter("_lines", lambda x: F.array_contains(gone, x["h"]) & (x["words"] > 0)), F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    kept_text = F.when(F.size(gone) == 0, F.col("_text")).otherwise(
-        F.array_join(F.transform(F.filter(F.arrays_zip(F.split("_text", "\n").alias("line"), F.col("_lines").alias("r")), lambda x: ~(F.array_contains(gone, x["r"]["h"]) & (x["r"]["words"] > 0))), lambda x: x["line"]), "\n")
+    texts = docs.select(host.alias("host"), F.unhex(F.md5(text)).alias("digest"), F.array_distinct(F.transform(F.filter(line_records(text), lambda x: x["chars"] > 0), lambda x: x["h"])).alias("hashes"))
+    common = common_lines(texts, min_docs, share)
+    joined = base.join(common, base["_host"].eqNullSafe(common["host"]), "left")
+    hit = F.filter("_lines", lambda x: (x["chars"] > 0) & F.array_contains("_common", x["h"]))
+    joined = joined.withColumn("_hit", F.when(F.col("_common").isNull(), F.array().cast("array<struct<h:bigint,chars:int>>")).otherwise(hit))
+    made = joined.withColumn("n_removed_chars", F.aggregate("_hit", F.lit(0).cast("long"), lambda a, x: a + x["chars"]))
+    pairs = F.arrays_zip(F.split("_text", "\n").alias("line"), F.col("_lines").alias("r"))
+    kept_text = F.when(F.size("_hit") == 0, F.col("_text")).otherwise(
+        F.array_join(F.transform(F.filter(pairs, lambda x: ~((x["r"]["chars"] > 0) & F.array_contains("_common", x["r"]["h"]))), lambda x: x["line"]), "\n")
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    made = joined.withColumn("n_removed_words", F.when(F.size(gone) == 0, F.lit(0).cast("long")).otherwise(removed))
-    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words"]
-    return made.select(
-        *[F.col("_row").getField(c).alias(c) for c in docs.columns],
-        F.struct(*fields, failed.alias("base_failed"), (~failed & (100 * F.col("n_removed_words") <= max_removed_percent * F.col("n_words"))).alias("kept"), kept_text.alias("kept_text")).alias("_q"),
-    )
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_chars"]
+    kept = ~failed & (100 * F.col("n_removed_chars") <= max_removed_percent * F.col("word_chars"))
+    return made.select(*[F.col(f"`_in_{c}`").alias(c) for c in names], F.struct(*fields, failed.alias("base_failed"), kept.alias("kept"), kept_text.alias("kept_text")).alias("_q"))
