@@ -31,12 +31,14 @@ REPLY_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("data", p
 COPY, ANCHOR, OURS, THEIRS, LONGER, BITS = 0, 1, 2, 3, 4, 5
 
 
-def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """(doc_id, text, k, digest, block) and the number of blocks. Null ids get the smallest key and spread by text."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(doc_id, text, carried, k, digest, block) and the number of blocks. Null ids get the smallest key and spread by text;
+    the columns to carry are one struct, null where there are none."""
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("boolean")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), carried.alias("carried"))
     n = parts(d.agg(F.sum(F.octet_length("text"))).first()[0], block_bytes)
     spread = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    return d.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.unhex(F.md5("text")).alias("digest"), F.pmod(F.xxhash64(spread), F.lit(n)).cast("int").alias("block")), n
+    return d.select("doc_id", "text", "carried", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.unhex(F.md5("text")).alias("digest"), F.pmod(F.xxhash64(spread), F.lit(n)).cast("int").alias("block")), n
 
 
 def copies(blocks: DataFrame) -> DataFrame:

@@ -78,8 +78,8 @@ def mix_sources(
     often the mix takes the document. Words taken of a source are as near below its target as the fit finds, which is the
     target rounded wherever the lengths allow it; a document is taken cap times at most (cap a whole number).
 
-    Null text: no words, taken as often as the whole passes of its source. A null source is a source, the last. Equal rows
-    are interchangeable; null ids are allowed. An empty table gives no rows. Reruns give the same mix. A task holds
+    Null text: no words, taken as often as the whole passes of its source. A null source is a source, the last. Rows that
+    repeat an id and its text are taken alike; null ids are allowed. An empty table gives no rows. Reruns give the same mix. A task holds
     the distinct lengths of one source, or about bucket_rows documents of one length.
     """
     text = text_of(text_col)
@@ -104,19 +104,18 @@ def mix_sources(
 
     joined = lengths.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     plan = cut(joined.groupBy("source").applyInPandas(fitted, "source string, size bigint, n bigint, source_size bigint, target double, passes bigint, extra bigint"))
-    # documents of one length fall into buckets by their draw; whole buckets are in or out, one in between is ranked
+    # documents of one length fall into buckets by their draw; whole buckets are in or out, in one the draws are ranked
     key = plan.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "source_size", "target", "passes", "extra")
-    drawn = rows.join(key, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).drop("_s", "_z")
-    bucket = F.when((F.col("extra") == 0) | (F.col("extra") == F.col("n")), F.lit(-1).cast("long")).otherwise(F.pmod("draw", F.ceil(F.col("n") / bucket_rows)))
-    drawn = drawn.withColumn("bucket", bucket)
-    small = rows.drop("_row").join(key, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).drop("_s", "_z").withColumn("bucket", bucket).filter("bucket >= 0")
-    counts = small.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("here"))
-    before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0))).select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("bucket").alias("_b"), "before")
-    open_rows = drawn.filter("bucket >= 0").join(counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("bucket") == F.col("_b")))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("draw"))
-    open_rows = open_rows.withColumn("more", (F.col("before") + rank <= F.col("extra")).cast("long"))
-    closed = drawn.filter("bucket < 0").withColumn("more", F.when(F.col("extra") == F.col("n"), F.least(F.col("extra"), F.lit(1))).otherwise(0).cast("long"))
-    names = ["_row", "size", "source_size", "target", "passes", "more"]
-    both = open_rows.select(*names).unionByName(closed.select(*names))
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
+    bucket = F.pmod("draw", F.ceil(F.col("n") / bucket_rows))
+    some = rows.select("source", "size", "draw").join(key.filter("extra > 0 AND extra < n").select("_s", "_z", "n", "extra"), same).drop("_s", "_z").withColumn("bucket", bucket)
+    counts = some.groupBy("source", "size", "extra", "bucket").agg(F.count(F.lit(1)).alias("here"))
+    before = F.coalesce(F.sum("here").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = counts.withColumn("before", before).filter("before < extra AND before + here >= extra").select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("bucket").alias("_b"), "before")
+    ranked = some.join(edge, same & (F.col("bucket") == F.col("_b"))).withColumn("rank", F.row_number().over(Window.partitionBy("source", "size").orderBy("draw")))
+    last = ranked.filter("before + rank = extra").select("_s", "_z", F.col("bucket").alias("last_bucket"), F.col("draw").alias("last_draw"))
+    limits = key.join(last.withColumnsRenamed({"_s": "_s2", "_z": "_z2"}), F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_z") == F.col("_z2")), "left").drop("_s2", "_z2")
+    drawn = rows.join(limits, same)
+    within = F.when(F.col("extra") == F.col("n"), F.col("extra") > 0).otherwise(F.coalesce((bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & (F.col("draw") <= F.col("last_draw"))), F.lit(False)))
+    both = drawn.withColumn("more", within.cast("long"))
     return both.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], F.struct("size", "source_size", "target", (F.col("passes") + F.col("more")).alias("copies")).alias("_m"))

@@ -16,6 +16,7 @@ from .quality_rules import quality_rules
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .wrapper_induction import extract_main_text
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +44,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_chars", "base_failed", "kept")
     return found.select("doc_id", *[F.col("_q")[x].alias(x) for x in names])
 
 
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
@@ -74,6 +79,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_quality_rules, op3_chat, op4_suffix_dedup, op6_sharding, op7_mixing, op8_bpe, op9_permutation_index, op10_ngram_join)
+    for f in (op1_substring_dedup, op2_quality_rules, op3_chat, op4_suffix_dedup, op5_wrapper_induction, op6_sharding, op7_mixing, op8_bpe, op9_permutation_index, op10_ngram_join)
 }
 ORACLES: dict[str, str] = {}

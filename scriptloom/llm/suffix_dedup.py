@@ -192,19 +192,19 @@ def merged(sent: pa.Table) -> pa.Table:
     return B.replies([(b, B.BITS, np.packbits(many[name[i:j]]).tobytes(), bucket) for b, i, j in zip(sent["block"].to_pylist(), edges, edges[1:], strict=False)])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200, block_bytes: int = 4 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200, block_bytes: int = 4 << 20, shard_bytes: int = 1 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_bytes, span_starts, span_ends), one row per input row: each byte
     of the UTF-8 text covered by a string of min_bytes (even) that also starts anywhere else is gone.
 
     Matches lie within one text. Null text: empty. Two rows with equal texts of min_bytes or more lose everything, also
     when they share their id. Null ids are allowed. Shorter texts stay whole. A cut may fall inside a character, so
     the rest is given as bytes; the spans are the removed runs. An empty table gives no rows; other columns
-    are ignored. Suffix arrays take some 50 times shard_bytes. Hashes of 96 bits name equal strings.
+    are ignored but for those in `carry`, which come as the struct `carried`. Suffix arrays take some 50 times shard_bytes. Hashes of 96 bits name equal strings.
     """
     if min_bytes < 2 or min_bytes % 2:
         raise ValueError("min_bytes must be even and 2 at least")
     sizes = (min_bytes // 2, 3 * min_bytes // 4)
-    base, n_blocks = B.text_blocks(docs, id_col, text_col, block_bytes)
+    base, n_blocks = B.text_blocks(docs, id_col, text_col, block_bytes, carry)
     n_buckets = max(1, n_blocks // 4)
 
     def choosing(step: int):
@@ -231,7 +231,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def remove(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             none, lists = pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))
-            return pa.table({"doc_id": none, "n_bytes": none, "n_removed": none, "n_spans": none, "kept_bytes": pa.array([], pa.binary()), "span_starts": lists, "span_ends": lists})
+            return pa.table({"doc_id": none, "n_bytes": none, "n_removed": none, "n_spans": none, "kept_bytes": pa.array([], pa.binary()), "span_starts": lists, "span_ends": lists, "carried": docs["carried"]})
         block = B.Block(docs, replies)
         delta = np.zeros(len(block.bytes) + 1, np.int32)
         begins, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
@@ -263,11 +263,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = [made[i] for i in block.rows.tolist()]
         columns = [[r[i] for r in rows] for i in range(6)]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.Table.from_arrays([docs["doc_id"].combine_chunks(), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes", "span_starts", "span_ends"])
+        return pa.Table.from_arrays([docs["doc_id"].combine_chunks(), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes", "span_starts", "span_ends"]).append_column("carried", docs["carried"])
 
     copies = B.copies(base)
     known = copies.unionByName(B.with_replies(base, copies, choosing(0), B.SENT).groupBy("bucket").applyInArrow(B.repeated, B.REPLY))
     longer = B.with_replies(base, known, choosing(1), B.SENT).groupBy("bucket").applyInArrow(B.repeated_longer, B.REPLY)
     known = known.unionByName(longer)
     again = B.with_replies(base, known, name, B.SENT).groupBy("bucket").applyInArrow(merged, B.REPLY)
-    return B.with_replies(base, known.unionByName(again), remove, OUT)
+    kind = base.schema["carried"].dataType.simpleString()
+    found = B.with_replies(base, known.unionByName(again), remove, f"{OUT}, carried {kind}")
+    return found if carry else found.drop("carried")
