@@ -1,5 +1,586 @@
-"""All registered queries of the transcript operators and their SQL twins."""
+"""All registered queries of the transcript operators. Each reads whole tables; inputs that no table holds are derived from them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import lexicon as L
+from .config import QaFilter, Validation
+from .functions import text as T
+from .operators import chunking, cleaning, confidence, document, jobs, knowledge, matching, parsing, qa, ranking, segmentation, structure, validation
+from .operators import steps as S
+from .oracles import ORACLES
+from .plans import run as plan
 
 QUERIES: dict = {}
-ORACLES: dict = {}
 FLAGSHIP = "segments"
+NOW = F.to_timestamp(F.lit("2026-01-01 00:00:00"))
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Stamped two-speaker lines, one transcript per hour of events."""
+    e = table(spark, d, "events")
+    sec = F.floor((F.minute("ts") * 60 + F.floor(F.second("ts"))) / 6).cast("int")
+    odd = F.col("event_id") % 2 == 0
+    said = (
+        F.when(F.col("event_type") == "click", "Click the Create button. Then select the region from the list.")
+        .when((F.col("event_type") == "view") & odd, "What does the overview page show? Is it the same for everyone?").when(F.col("event_type") == "view", "Open the overview page and check the settings.")
+        .when(F.col("event_type") == "signup", "Enter your name and save the form. The form keeps the name.")
+        .when((F.col("event_type") == "error") & odd, "Now let's look at the ERROR page. Reset the password again.").when(F.col("event_type") == "error", "The ERROR page is empty.").otherwise("That was really helpful. Thanks!")
+    )
+    from pyspark.sql import Window
+
+    day = F.to_date("ts")
+    number = F.row_number().over(Window.partitionBy(day, F.hour("ts")).orderBy("ts", "event_id")) - 1
+    two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+    stamp = F.concat(F.lit("[00:"), two(F.floor(sec / 60)), F.lit(":"), two(sec % 60), F.lit("] Speaker "), F.when(F.col("user_id") % 5 == 0, "2").otherwise("1"), F.lit(": "))
+    return e.select(F.concat(day.cast("string"), F.lit("-"), two(F.hour("ts"))).alias("transcript_id"), number.alias("line_no"), F.concat(stamp, said).alias("line"))
+
+
+def chat_lines(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    return c.select(F.col("conv_id").cast("string").alias("transcript_id"), F.col("turn").alias("line_no"), F.concat(F.initcap("role"), F.lit(": "), "text").alias("line"))
+
+
+def prose(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("transcript_id"), "text")
+
+
+def paragraphed(spark: SparkSession, d: str) -> DataFrame:
+    return prose(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+
+
+def job_rows(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("processing")
+    made = F.to_timestamp("o_orderdate")
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("user_id"), status.alias("status"), made.alias("created_at"), (made + F.expr("make_interval(0,0,0,0,0,0,o_orderkey % 200000)")).alias("updated_at"),
+        F.concat(F.lit('{"metrics":{"total_steps":'), (F.col("o_orderkey") % 9).cast("string"), F.lit("}}")).alias("result"), "o_totalprice",
+    )
+
+
+def rows_of(spark: SparkSession, d: str) -> DataFrame:
+    return segmentation.segmented(parsing.parsed(lines(spark, d)))
+
+
+def step_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The built-in step of each segment, its sentences as actions."""
+    texts = segmentation.segment_texts(rows_of(spark, d)).select("transcript_id", F.col("segment_id").alias("chunk_index"), "text")
+    return S.from_chunks(texts, with_actions=True).withColumn("confidence_score", F.size("actions") / 10)
+
+
+def crawl(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as crawled: an age from the id, an error for some."""
+    p = table(spark, d, "pages")
+    at = F.expr("timestamp'2026-01-01 00:00:00' - make_interval(0,0,0,0,0,0,(page_id % 40) * 3600)")
+    return p.select("url", at.alias("fetched_at"), F.when(F.col("page_id") % 7 == 0, "timeout").alias("error"), knowledge.html_title(F.col("html")).alias("title"), F.col("html").alias("content"))
+
+
+def r6(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# sources and sinks
+
+
+@query
+def src_read_job(spark, d):
+    j = job_rows(spark, d)
+    one = j.orderBy("created_at", "id").limit(1).select(F.col("id").alias("_i"))
+    made = j.join(F.broadcast(one), j.id == F.col("_i")).drop("_i")
+    return made.select("id", "user_id", "status", F.from_json("result", jobs.RESULT)["metrics"]["total_steps"].alias("total_steps"))
+
+
+@query
+def snk_upsert(spark, d):
+    j = job_rows(spark, d).select("id", "user_id", "status", "created_at", "updated_at")
+    new = j.filter("status = 'processing'").withColumn("status", F.lit("completed"))
+    return jobs.upserted(j, new, NOW).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("updated_at") == NOW).alias("touched"), F.min("created_at").cast("string").alias("oldest"))
+
+
+@query
+def snk_insert(spark, d):
+    j = job_rows(spark, d).select("id", "status")
+    new = j.select(F.when(F.col("id").cast("bigint") % 3 == 0, F.concat(F.lit("n"), "id")).otherwise(F.col("id")).alias("id"), "status")
+    good, bad = jobs.inserted(j, new)
+    return good.select(F.lit("inserted").alias("kind"), "status").unionByName(bad.select(F.lit("rejected").alias("kind"), "status")).groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def snk_delete(spark, d):
+    gone = job_rows(spark, d).filter("status = 'failed'").select("id")
+    left = jobs.deleted({"jobs": (job_rows(spark, d), "id"), "documents": (table(spark, d, "lineitem").withColumn("job", F.col("l_orderkey").cast("string")), "job")}, gone)
+    return left["jobs"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("jobs").alias("kind"), "n").unionByName(left["documents"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("documents").alias("kind"), "n"))
+
+
+# cleaning
+
+
+@query
+def cln_stamps_speakers(spark, d):
+    return lines(spark, d).select("transcript_id", "line_no", T.without_speakers(T.without_stamps(F.concat(F.col("line"), F.lit(" 00:01:02 - end <00:00:01>")))).alias("text"))
+
+
+@query
+def cln_fillers(spark, d):
+    t = F.concat(F.lit("WEBVTT\nNOTE x\nUm, like I said, "), "text", F.lit("  you know !! Ok"))
+    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", T.tidy_space(T.repaired_punctuation(T.without_templates(T.without_fillers(T.without_webvtt(t))))).alias("text"))
+
+
+@query
+def cln_tags(spark, d):
+    return lines(spark, d).select("transcript_id", "line_no", T.without_tags(F.concat("line", F.lit(" [inaudible] (laughs) [slide 2] [some words]"))).alias("text"))
+
+
+@query
+def cln_exact_duplicates(spark, d):
+    return cleaning.merged_duplicates(prose(spark, d), threshold=1.0).select("transcript_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query
+def cln_normalized(spark, d):
+    """Whole chain with near-duplicate sentences, over transcripts of one text each."""
+    whole = lines(spark, d).groupBy("transcript_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return cleaning.normalized(whole)
+
+
+# parsing
+
+
+@query
+def prs_sentences(spark, d):
+    return parsing.parsed(lines(spark, d)).drop("raw_text")
+
+
+@query
+def prs_chats(spark, d):
+    return parsing.parsed(chat_lines(spark, d)).groupBy("speaker", "speaker_role").agg(F.count(F.lit(1)).alias("n"), F.count_if("speaker_changed").alias("changes"), F.count_if("is_question").alias("questions"))
+
+
+@query
+def prs_metadata(spark, d):
+    m = parsing.metadata(parsing.parsed(lines(spark, d)))
+    return r6(m.withColumn("speaker_names", F.array_join("speaker_names", ",")), "primary_ratio")
+
+
+# chunks
+
+
+@query
+def chk_sentences(spark, d):
+    return chunking.by_sentences(prose(spark, d)).select("transcript_id", "chunk_index", F.md5("text").alias("digest"))
+
+
+@query
+def chk_paragraphs(spark, d):
+    return chunking.by_paragraphs(paragraphed(spark, d)).select("transcript_id", "chunk_index", F.length("text").alias("chars"))
+
+
+@query
+def chk_smart(spark, d):
+    return chunking.smart(paragraphed(spark, d)).groupBy("transcript_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def chk_statistics(spark, d):
+    return chunking.statistics(chunking.by_sentences(prose(spark, d)))
+
+
+@query
+def chk_word_windows(spark, d):
+    return chunking.word_windows(prose(spark, d), "transcript_id").groupBy("transcript_id").agg(F.count(F.lit(1)).alias("windows"), F.max(F.length("window")).alias("longest"))
+
+
+@query
+def chk_step_count(spark, d):
+    return chunking.sentence_parts(prose(spark, d)).groupBy("transcript_id").agg(F.max("n").alias("n")).select("transcript_id", chunking.step_count(F.col("n"), 3, 15).alias("steps"))
+
+
+# segments
+
+
+@query
+def segments(spark, d):
+    return segmentation.segment_records(rows_of(spark, d)).withColumn("speaker_counts", F.to_json("speaker_counts")).select(
+        "transcript_id", "segment_id", "n_sentences", "start_ts", "end_ts", "duration", "primary_speaker", "question_count", "has_transition_start", "has_qa_section", "fallback_split"
+    )
+
+
+@query
+def seg_scores(spark, d):
+    return r6(segmentation.boundary_scores(parsing.parsed(lines(spark, d))), "gap_score", "boundary_score", "dissimilarity").select(
+        "transcript_id", "sentence_index", "gap_score", "speaker_score", "transition_score", "dissimilarity", "boundary_score", "is_boundary"
+    )
+
+
+@query
+def seg_coherence(spark, d):
+    return r6(segmentation.coherence(rows_of(spark, d)), "coherence")
+
+
+@query
+def seg_texts(spark, d):
+    return segmentation.segment_texts(rows_of(spark, d))
+
+
+# questions and answers
+
+
+@query
+def qaf_sections(spark, d):
+    return r6(qa.sections(rows_of(spark, d)), "density").withColumn("speakers", F.array_join("speakers", ","))
+
+
+@query
+def qaf_kept(spark, d):
+    return qa.without_qa(rows_of(spark, d)).groupBy("transcript_id").agg(F.countDistinct("segment_id").alias("segments"), F.count(F.lit(1)).alias("sentences"))
+
+
+@query
+def qaf_instructor_led(spark, d):
+    return qa.instructor_led(rows_of(spark, d), QaFilter())
+
+
+@query
+def qaf_statistics(spark, d):
+    return r6(qa.statistics(rows_of(spark, d)), "density", "filter_rate")
+
+
+# ranking
+
+
+@query
+def rnk_scores(spark, d):
+    return r6(ranking.ranked(ranking.scores(rows_of(spark, d))), "procedural", "action_density", "coherence", "importance").select("transcript_id", "segment_id", "n_sentences", "verbs", "procedural", "action_density", "importance", "rank")
+
+
+@query
+def rnk_important(spark, d):
+    return ranking.important(ranking.scores(rows_of(spark, d)), threshold=0).select("transcript_id", "segment_id", F.round("importance", 6).alias("importance"))
+
+
+@query
+def rnk_report(spark, d):
+    return ranking.report(r6(ranking.scores(rows_of(spark, d)), "importance")).select("transcript_id", "segments", "high", "medium", "low", "max", "min")
+
+
+# structure
+
+
+@query
+def str_structure(spark, d):
+    s = structure.structure(segmentation.segment_texts(rows_of(spark, d)).groupBy("transcript_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("segment_id", "text"))), lambda x: x["text"]), " ").alias("text")))
+    return s.withColumns({c: F.array_join(c, ",") for c in ("actions", "roles", "decisions")})
+
+
+@query
+def str_sequence_counts(spark, d):
+    return structure.sequence_counts(lines(spark, d).select("transcript_id", F.col("line").alias("text"))).groupBy("transcript_id").agg(*[F.sum(f"family_{i}").alias(f"family_{i}") for i in range(4)])
+
+
+@query
+def str_sequence_hits(spark, d):
+    return structure.sequence_hits(lines(spark, d).select("transcript_id", F.col("line").alias("text")))
+
+
+@query
+def str_paragraphs(spark, d):
+    return structure.paragraphs(paragraphed(spark, d)).groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("paragraph")).alias("chars"))
+
+
+@query
+def str_ui_classes(spark, d):
+    return structure.screen_lines(parsing.parsed(lines(spark, d)).select("transcript_id", "sentence_index", "text")).select("transcript_id", "sentence_index", "type")
+
+
+# steps
+
+
+@query
+def stp_from_chunks(spark, d):
+    return S.complete(S.from_chunks(chunking.by_sentences(prose(spark, d)))).select("transcript_id", "step_index", "title", "summary")
+
+
+@query
+def stp_parsed(spark, d):
+    """Generated texts made from the events: a title, a summary and actions per transcript."""
+    text = F.concat(F.lit("STEP 1: Open it\nOVERVIEW: a\nb\nCONTENT: "), F.col("transcript_id"), F.lit("\nmore\nKEY ACTIONS:\n- one\n• two\nSTEP 2: Close\nSUMMARY: s\nDETAILS:\nx"))
+    return S.parsed_responses(lines(spark, d).select("transcript_id").distinct().select("transcript_id", text.alias("text"))).withColumn("actions", F.array_join("actions", "|"))
+
+
+@query
+def stp_tokens(spark, d):
+    e = table(spark, d, "lineitem")
+    return S.token_totals(e.select(F.col("l_orderkey").cast("string").alias("transcript_id"), F.col("l_partkey").alias("input_tokens"), F.col("l_suppkey").alias("output_tokens")))
+
+
+@query
+def stp_aligned(spark, d):
+    return S.aligned(step_rows(spark, d), parsing.parsed(lines(spark, d)))
+
+
+# grounding
+
+
+@query
+def mat_technical(spark, d):
+    return parsing.parsed(chat_lines(spark, d)).select("transcript_id", "sentence_index", F.round(T.technical_score(F.col("text")), 6).alias("score"))
+
+
+@query
+def mat_candidates(spark, d):
+    return r6(matching.candidates(step_rows(spark, d), parsing.parsed(lines(spark, d))), "word_overlap")
+
+
+@query
+def mat_sources(spark, d):
+    return r6(matching.transcript_sources(step_rows(spark, d), parsing.parsed(lines(spark, d))), "confidence").select("transcript_id", "step_index", "sentence_index", "confidence")
+
+
+@query
+def mat_reuse(spark, d):
+    return matching.transcript_sources(step_rows(spark, d), parsing.parsed(lines(spark, d)), reuse=True).groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("total"))
+
+
+@query
+def mat_cosine(spark, d):
+    e = table(spark, d, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("center"))
+    return e.join(first, "label").select("vec_id", F.round(matching.cosine(F.col("embedding"), F.col("center")), 5).alias("score"))
+
+
+@query
+def mat_patterns(spark, d):
+    return matching.action_patterns(step_rows(spark, d))
+
+
+@query
+def mat_screens(spark, d):
+    """One screen per transcript with fixed elements."""
+    screens = lines(spark, d).select("transcript_id").distinct().select("transcript_id", F.lit("main.png").alias("filename"), F.lit("Create the region").alias("content"), F.array(F.struct(F.lit("Create button").alias("text"), F.lit("button").alias("type"))).alias("ui_elements"))
+    return matching.screen_sources(step_rows(spark, d), screens).select("transcript_id", "step_index", "screenshot_ref", "confidence")
+
+
+@query
+def mat_knowledge(spark, d):
+    """Steps of documents against pages, and all kinds of sources in one table."""
+    own = S.from_chunks(chunking.by_sentences(prose(spark, d))).filter(F.length("details") > 0)
+    pages = knowledge.contents(table(spark, d, "pages").select("url", "html")).withColumn("error", F.lit(None).cast("string"))
+    return matching.all_sources(matching.knowledge_sources(own, pages)).select("transcript_id", "step_index", "type", "confidence")
+
+
+# confidence
+
+
+@query
+def cnf_confidence(spark, d):
+    c = confidence.grounding(confidence.step_confidence(matching.transcript_sources(step_rows(spark, d), parsing.parsed(lines(spark, d)))))
+    return r6(c, "confidence").select("transcript_id", "step_index", "n_sources", "confidence", "is_grounded", F.size("warnings").alias("n_warnings"))
+
+
+@query
+def cnf_bands(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 101 / 100).alias("confidence"))
+    made = confidence.bands(o).withColumn("blended", F.round(confidence.blended(F.col("confidence"), F.col("o_orderkey") % 7 / 6), 6))
+    return r6(made, "confidence")
+
+
+@query
+def cnf_summary(spark, d):
+    return confidence.source_summary(matching.transcript_sources(step_rows(spark, d), parsing.parsed(lines(spark, d))))
+
+
+@query
+def cnf_records(spark, d):
+    return confidence.step_records(matching.transcript_sources(step_rows(spark, d), parsing.parsed(lines(spark, d)))).select("transcript_id", "step_index", "n_sources", F.size("sources").alias("listed"), "has_transcript_support")
+
+
+# validation
+
+
+@query
+def val_checked(spark, d):
+    c = validation.checked(step_rows(spark, d))
+    return r6(c, "quality").select("transcript_id", "step_index", "is_valid", "n_errors", "has_duplicates", "quality", F.array_join(F.transform("issues", lambda x: x["type"]), ",").alias("issue_types"), F.size("suggested_fixes").alias("n_fixes"))
+
+
+@query
+def val_report(spark, d):
+    return r6(validation.validation_report(r6(validation.checked(step_rows(spark, d)), "quality")), "rate", "avg_quality", "min_quality", "max_quality", "avg_actions", "avg_confidence")
+
+
+@query
+def val_issues(spark, d):
+    return validation.issue_report(validation.checked(step_rows(spark, d)))
+
+
+@query
+def val_verbs(spark, d):
+    return validation.action_verbs(step_rows(spark, d)).groupBy("verb", "class", "suggestion").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def val_actions(spark, d):
+    return validation.action_check(step_rows(spark, d))
+
+
+@query
+def val_summary(spark, d):
+    steps = step_rows(spark, d)
+    return validation.batch_summary(validation.action_check(steps), validation.action_verbs(steps)).withColumn("weak_verbs", F.array_join("weak_verbs", ","))
+
+
+@query
+def val_accepted(spark, d):
+    steps = step_rows(spark, d)
+    conf = confidence.step_confidence(matching.transcript_sources(steps, parsing.parsed(lines(spark, d))))
+    return validation.accepted(validation.checked(steps, Validation(min_confidence=0.25)), validation.action_check(steps), conf).groupBy("accepted", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def val_corpus(spark, d):
+    return r6(validation.corpus_report(step_rows(spark, d)), "avg_actions", "avg_words")
+
+
+# knowledge
+
+
+@query
+def knw_titles(spark, d):
+    p = knowledge.with_validity(table(spark, d, "pages"))
+    return p.select("page_id", "is_valid", knowledge.html_title(F.col("html")).alias("title"), knowledge.url_title(F.col("url")).alias("url_title"))
+
+
+@query
+def knw_text(spark, d):
+    return knowledge.contents(table(spark, d, "pages")).select("url", "title", F.length("content").alias("chars"))
+
+
+@query
+def knw_to_fetch(spark, d):
+    c = crawl(spark, d)
+    return knowledge.still_to_fetch(c.select("url"), c.drop("title", "content"), NOW)
+
+
+@query
+def knw_types(spark, d):
+    return knowledge.typed(crawl(spark, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def knw_excerpts(spark, d):
+    pages = knowledge.contents(table(spark, d, "pages"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return knowledge.excerpts(pages, asked).select("query_id", "url", "window_index", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def knw_digest(spark, d):
+    return knowledge.digest(crawl(spark, d)).select("url", F.length("summary").alias("chars"))
+
+
+@query
+def knw_usage(spark, d):
+    cited = crawl(spark, d).select(F.lit("knowledge").alias("type"), F.col("content").alias("excerpt"))
+    return r6(knowledge.usage(crawl(spark, d), cited), "rate")
+
+
+# documents
+
+
+@query
+def doc_contents(spark, d):
+    return document.contents(step_rows(spark, d))
+
+
+@query
+def doc_references(spark, d):
+    return document.references(r6(matching.transcript_sources(step_rows(spark, d), parsing.parsed(lines(spark, d))), "confidence")).select("transcript_id", "step_index", "number", "label")
+
+
+@query
+def doc_statistics(spark, d):
+    steps = step_rows(spark, d)
+    found = matching.transcript_sources(steps, parsing.parsed(lines(spark, d)))
+    usage = lines(spark, d).groupBy("transcript_id").agg((F.count(F.lit(1)) * 7.5).alias("seconds"), F.sum(F.length("line")).alias("total_tokens")).withColumn("cost", F.round(F.col("total_tokens") / 1e6 * 0.15, 4))
+    return document.statistics(steps, found, usage)
+
+
+@query
+def doc_code_spans(spark, d):
+    marked = prose(spark, d).select("transcript_id", F.concat(F.lit("`"), F.left(F.replace("text", F.lit("`"), F.lit("")), F.lit(80)), F.lit("` and `short`")).alias("text"))
+    return document.code_spans(marked)
+
+
+@query
+def doc_sections(spark, d):
+    steps = step_rows(spark, d)
+    found = matching.transcript_sources(steps, parsing.parsed(lines(spark, d)))
+    usage = lines(spark, d).groupBy("transcript_id").agg(F.lit(1.0).alias("seconds"), F.count(F.lit(1)).alias("total_tokens"), F.lit(0.0).alias("cost"))
+    title = lines(spark, d).select("transcript_id").distinct().withColumn("title", F.col("transcript_id"))
+    return document.sections(title, steps, found, document.statistics(steps, found, usage)).select("transcript_id", "part", "position", F.length("text").alias("chars"))
+
+
+@query
+def run_metrics(spark, d):
+    """The whole run over all transcripts."""
+    return plan.process(lines(spark, d)).metrics
+
+
+# jobs
+
+
+@query
+def job_recent(spark, d):
+    j = job_rows(spark, d)
+    busiest = j.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").limit(1).select("user_id")
+    return jobs.recent_of_all(j.join(F.broadcast(busiest), "user_id"), 10).select("id", "user_id", "status", F.get_json_object("result", "$.metrics.total_steps").alias("total_steps"), "rank")
+
+
+@query
+def job_recent_of_all(spark, d):
+    return jobs.recent_of_all(job_rows(spark, d), 3).select("user_id", "id", "status", "rank")
+
+
+@query
+def job_history(spark, d):
+    return jobs.history(job_rows(spark, d)).groupBy("user_id", "status").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").cast("string").alias("latest"))
+
+
+@query
+def job_active(spark, d):
+    return jobs.active(job_rows(spark, d), F.to_timestamp(F.lit("1998-01-01 00:00:00")), 5).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def job_stages(spark, d):
+    stage = F.get(T.literals(jobs.STAGES), (F.col("event_id") % 13).cast("int"))
+    e = table(spark, d, "events").select("event_id", stage.alias("stage"))
+    return e.select("event_id", "stage", jobs.status_of(F.col("stage")).alias("status"), F.round(jobs.progress_of(F.col("stage")), 6).alias("progress"))
+
+
+@query
+def job_state(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("id"), "ts", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("stage"), F.when(F.col("event_id") % 3 == 0, F.col("event_id")).alias("step"))
+    return jobs.state(e, order=("ts", "event_id")).select("id", "stage", "step", F.col("event_id").alias("last_event"))
+
+
+@query
+def job_times(spark, d):
+    return jobs.with_times(job_rows(spark, d), NOW).select("id", "duration", "age")
+
+
+@query
+def job_results(spark, d):
+    return jobs.flat_results(job_rows(spark, d))
