@@ -182,10 +182,10 @@ def send(block: int, n_buckets: int, h: np.ndarray, g: np.ndarray | None = None,
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), SENT_ARROW, strict=True)] if rows else [pa.array([], f.type) for f in SENT_ARROW], schema=SENT_ARROW)
 
 
-def unpacked(sent: pa.Table) -> tuple[np.ndarray, ...]:
+def unpacked(sent: pa.Table, n_type: type = np.uint8) -> tuple[np.ndarray, ...]:
     """All hashes that a bucket got, with the block, check, first id and count of each."""
     packed = [b"".join(sent[x].to_pylist()) for x in ("h", "g", "first", "n")]
-    h, g, first, n = (np.frombuffer(x, t) for x, t in zip(packed, (np.uint64, np.uint32, np.int64, np.uint8), strict=True))
+    h, g, first, n = (np.frombuffer(x, t) for x, t in zip(packed, (np.uint64, np.uint32, np.int64, n_type), strict=True))
     block = np.repeat(sent["block"].to_numpy(), [len(x) // 8 for x in sent["h"].to_pylist()])
     return block, h, g, first, n
 

@@ -163,7 +163,7 @@ def joined(block: B.Block, shard: list[tuple[int, int]], length: int) -> tuple[n
 
 
 def named(text: np.ndarray, whole: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct full windows of a shard: hash, check hash, and how often each begins in the shard."""
+    """The distinct full windows of a shard: hash, 15 more bits above a free one, and how often each begins in the shard."""
     sa = suffix_array(text)
     lcp = common_prefixes(text, sa)
     own = whole[sa]
@@ -171,13 +171,14 @@ def named(text: np.ndarray, whole: np.ndarray, length: int) -> tuple[np.ndarray,
     first = np.flatnonzero(np.diff(group, prepend=-1))
     values = B.byte_values()[text]
     h, g = (B.windows(values, length, m)[place[first]] if len(place) else np.empty(0, np.uint64) for m in (B.BYTE_M, B.CHECK_M))
-    return h, (g >> np.uint64(32)).astype(np.uint32), np.diff(np.append(first, len(group)))
+    return h, (g >> np.uint64(48)).astype(np.uint16) & np.uint16(0xFFFE), np.diff(np.append(first, len(group)))
 
 
 def merged(sent: pa.Table) -> pa.Table:
     """A bucket's step: looks each shard's sorted names up in the sorted names of all by binary search; tells each block, by a bit
     for each of its names in order, which occur twice or more."""
-    block, h, g, _, n = B.unpacked(sent)
+    block, h, _, _, n = B.unpacked(sent, np.uint16)
+    g, several = n >> np.uint16(1), (n & np.uint16(1)) > 0
     order = np.lexsort((g, h))
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
@@ -186,7 +187,7 @@ def merged(sent: pa.Table) -> pa.Table:
     every = np.sort(name)
     times = np.searchsorted(every, name, "right") - np.searchsorted(every, name, "left")
     many = np.zeros(len(h) + 1, bool)
-    many[name[(times > 1) | (n > 1)]] = True
+    many[name[(times > 1) | several]] = True
     edges = np.cumsum([0, *(len(x) // 8 for x in sent["h"].to_pylist())]).tolist()
     bucket = sent["bucket"][0].as_py() if sent.num_rows else 0
     return B.replies([(b, B.BITS, np.packbits(many[name[i:j]]).tobytes(), bucket) for b, i, j in zip(sent["block"].to_pylist(), edges, edges[1:], strict=False)])
@@ -199,7 +200,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Matches lie within one text. Null text: empty. Two rows with equal texts of min_bytes or more lose everything, also
     when they share their id. Null ids are allowed. Shorter texts stay whole. A cut may fall inside a character, so
     the rest is given as bytes; the spans are the removed runs. An empty table gives no rows; other columns
-    are ignored but for those in `carry`, which come as the struct `carried`. Suffix arrays take some 50 times shard_bytes. Hashes of 96 bits name equal strings.
+    are ignored but for those in `carry`, which come as the struct `carried`. Suffix arrays take some 50 times shard_bytes. Hashes of 79 bits name equal strings.
     """
     if min_bytes < 2 or min_bytes % 2:
         raise ValueError("min_bytes must be even and 2 at least")
@@ -226,7 +227,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return B.send(block.number, n_buckets, np.empty(0, np.uint64))
         h, g, n = (np.concatenate(x) for x in zip(*made, strict=True))
         own, first, back = np.unique(h, return_index=True, return_inverse=True)
-        return B.send(block.number, n_buckets, own, g[first], None, np.minimum(np.bincount(back, weights=n), 2).astype(np.uint8))
+        return B.send(block.number, n_buckets, own, n=g[first] | (np.bincount(back, weights=n) > 1).astype(np.uint16))
 
     def remove(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
