@@ -26,7 +26,7 @@ class Result:
 
 def topic_chunks(sentences: DataFrame, config: Run) -> tuple[DataFrame, DataFrame]:
     """(kept segments, chunks): one chunk per segment that passes the gates; transcripts with too few get sentence chunks."""
-    rows = segmentation.segmented(sentences, config.segmentation)
+    rows = segmentation.segmented(sentences, config.segmentation).persist()
     kept = qa.without_qa(rows, config.qa) if config.filter_qa else rows
     if config.rank:
         kept = kept.join(ranking.important(ranking.scores(kept, config.ranking), config.ranking).select("transcript_id", "segment_id"), ["transcript_id", "segment_id"], "left_semi")
@@ -43,16 +43,19 @@ def topic_chunks(sentences: DataFrame, config: Run) -> tuple[DataFrame, DataFram
 def process(lines: DataFrame, config: Run = Run(), pages: DataFrame | None = None, responses: DataFrame | None = None) -> Result:
     """All stages. Flags come from the raw sentences, texts are cleaned after; generated steps may be given as responses, else each
     chunk gives its built-in step with its sentences as actions."""
-    sentences = parsing.parsed(lines).withColumn("text", T.cleaned(F.col("text")))
+    # what several stages read is kept, in memory or on disk; a lost part is worked out again from the lines
+    sentences = parsing.parsed(lines).withColumn("text", T.cleaned(F.col("text"))).persist()
     if config.segments:
         segments, chunks = topic_chunks(sentences, config)
     else:
         whole = segmentation.segment_texts(sentences.withColumn("segment_id", F.lit(0))).select("transcript_id", "text")
         segments, chunks = None, chunking.smart(whole, max(config.min_steps, min(config.max_steps, config.target_steps)))
     made = steps.complete(steps.parsed_responses(responses)) if responses is not None else steps.from_chunks(chunks, with_actions=True)
+    made = made.persist()
     found = matching.transcript_sources(made, sentences, config.matching, reuse=True)
     if pages is not None:
         found = matching.all_sources(found, matching.knowledge_sources(made, pages))
+    found = found.persist()
     conf = confidence.step_confidence(found)
     scored = made.join(conf.select("transcript_id", "step_index", F.col("confidence").alias("confidence_score")), ["transcript_id", "step_index"], "left").fillna(0.0, ["confidence_score"])
     checked = validation.checked(scored, config.validation)
