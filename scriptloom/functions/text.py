@@ -56,8 +56,10 @@ def without_stamps(text: Column) -> Column:
 
 
 def without_speakers(text: Column) -> Column:
-    for pattern in (rf"^(?:{NAME})\s*:\s*", rf"^\[(?:{NAME})\]\s*:\s*", rf"^>>\s*(?:{NAME})\s*:\s*", rf"^\*\*(?:{NAME})\*\*\s*:\s*"):
-        text = F.array_join(F.transform(F.split(text, "\n"), lambda x, p=pattern: F.regexp_replace(x, f"(?i){p}", "")), "\n")
+    """Labels at the start of each line; white space after one doesn't reach into the next line."""
+    blank = r"[ \t]*"
+    for pattern in (rf"^(?:{NAME}){blank}:{blank}", rf"^\[(?:{NAME})\]{blank}:{blank}", rf"^>>{blank}(?:{NAME}){blank}:{blank}", rf"^\*\*(?:{NAME})\*\*{blank}:{blank}"):
+        text = F.regexp_replace(text, f"(?im){pattern}", "")
     return text
 
 

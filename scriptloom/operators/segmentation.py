@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..config import Segmentation
 from ..functions import text as T
 
-ORDER = Window.partitionBy("transcript_id").orderBy("sentence_index")
+
+def in_order():
+    return Window.partitionBy("transcript_id").orderBy("sentence_index")
 
 
 def boundary_scores(sentences: DataFrame, config: Segmentation = Segmentation()) -> DataFrame:
     """Adds gap_score, speaker_score, transition_score, dissimilarity, boundary_score and is_boundary."""
-    rows = sentences.withColumns({"_ts": F.lag("timestamp").over(ORDER), "_role": F.lag("speaker_role").over(ORDER), "_before": F.lag(T.keywords(F.col("text"))).over(ORDER), "_own": T.keywords(F.col("text"))})
+    rows = sentences.withColumns({"_ts": F.lag("timestamp").over(in_order()), "_role": F.lag("speaker_role").over(in_order()), "_before": F.lag(T.keywords(F.col("text"))).over(in_order()), "_own": T.keywords(F.col("text"))})
     gap = F.when(F.col("timestamp").isNull() | F.col("_ts").isNull(), 0.0).when(F.col("follows_long_pause"), 1.0).otherwise(F.least((F.col("timestamp") - F.col("_ts")) / config.long_pause, F.lit(1.0)))
     into = (F.col("_role") == "participant") & (F.col("speaker_role") == "instructor")
     speaker = F.when(~F.col("speaker_changed"), 0.0).when(into, 1.0).when(F.col("is_transition"), 0.8).otherwise(0.3)
@@ -27,7 +29,7 @@ def boundary_scores(sentences: DataFrame, config: Segmentation = Segmentation())
 
 
 def numbered(rows: DataFrame, out: str = "segment_id") -> DataFrame:
-    return rows.withColumn(out, (F.sum(F.col("is_boundary").cast("int")).over(ORDER) - 1).cast("int"))
+    return rows.withColumn(out, (F.sum(F.col("is_boundary").cast("int")).over(in_order()) - 1).cast("int"))
 
 
 def merged_small(rows: DataFrame, least: int = 2) -> DataFrame:

@@ -15,7 +15,10 @@ from .plans import run as plan
 
 QUERIES: dict = {}
 FLAGSHIP = "segments"
-NOW = F.to_timestamp(F.lit("2026-01-01 00:00:00"))
+
+
+def now():
+    return F.to_timestamp(F.lit("2026-01-01 00:00:00"))
 
 
 def query(f):
@@ -106,7 +109,7 @@ def src_read_job(spark, d):
 def snk_upsert(spark, d):
     j = job_rows(spark, d).select("id", "user_id", "status", "created_at", "updated_at")
     new = j.filter("status = 'processing'").withColumn("status", F.lit("completed"))
-    return jobs.upserted(j, new, NOW).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("updated_at") == NOW).alias("touched"), F.min("created_at").cast("string").alias("oldest"))
+    return jobs.upserted(j, new, now()).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("updated_at") == now()).alias("touched"), F.min("created_at").cast("string").alias("oldest"))
 
 
 @query
@@ -471,7 +474,7 @@ def knw_text(spark, d):
 @query
 def knw_to_fetch(spark, d):
     c = crawl(spark, d)
-    return knowledge.still_to_fetch(c.select("url"), c.drop("title", "content"), NOW)
+    return knowledge.still_to_fetch(c.select("url"), c.drop("title", "content"), now())
 
 
 @query
@@ -579,7 +582,7 @@ def job_state(spark, d):
 
 @query
 def job_times(spark, d):
-    return jobs.with_times(job_rows(spark, d), NOW).select("id", "duration", "age")
+    return jobs.with_times(job_rows(spark, d), now()).select("id", "duration", "age")
 
 
 @query
