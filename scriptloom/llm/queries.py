@@ -11,6 +11,7 @@ from .chat import format_chats, read_chats
 from .common import read
 from .mixing import mix_sources
 from .ngram_join import ngram_components
+from .oracles import ORACLES
 from .permutation_index import nearest_neighbours
 from .quality_rules import quality_rules
 from .sharding import shard_documents
@@ -77,8 +78,9 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (op1_substring_dedup, op2_quality_rules, op3_chat, op4_suffix_dedup, op5_wrapper_induction, op6_sharding, op7_mixing, op8_bpe, op9_permutation_index, op10_ngram_join)
 }
-ORACLES: dict[str, str] = {}
