@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_of
+from .common import SPACE, parts, text_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
@@ -16,9 +16,14 @@ def words_in(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))
 
 
-def line_records(text: Column) -> Column:
-    """(h, chars) of each line: the hash of the trimmed line in lower case, and its characters that aren't white space."""
-    return F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(F.lower(F.btrim(x, F.lit(SPACES)))).alias("h"), F.length(F.translate(x, SPACES, "")).alias("chars")))
+def line_hashes(text: Column) -> Column:
+    """The hash of each trimmed line in lower case."""
+    return F.transform(F.split(text, "\n"), lambda x: F.xxhash64(F.lower(F.btrim(x, F.lit(SPACES)))))
+
+
+def line_chars(text: Column) -> Column:
+    """Characters of each line that aren't white space."""
+    return F.transform(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")))
 
 
 def repeat_words(docs: DataFrame, words: str, out: str) -> DataFrame:
@@ -48,7 +53,7 @@ def common_lines(texts: DataFrame, min_docs: int, share: float) -> DataFrame:
 
 
 def quality_rules(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, share: float = 0.1, max_removed_percent: int = 50
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, share: float = 0.1, max_removed_percent: int = 50, part_rows: int = 20_000
 ) -> DataFrame:
     """One row per input row: all columns given, then the struct _q with the fields n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_removed_chars, base_failed, kept, kept_text.
@@ -60,28 +65,33 @@ def quality_rules(
     removed lines. Null text counts as empty, a null host as one host. Equal rows get equal results; an empty table gives
     no rows; a column _q is replaced. A text is one row throughout, so memory follows the longest text.
     """
-    names = [c for c in docs.columns if c != "_q"]
+    names, n_parts = [c for c in docs.columns if c != "_q"], parts(docs.count(), part_rows)
     text, host = text_of(text_col), F.col(host_col).cast("string")
-    base = docs.select(*[F.col(f"`{c}`").alias(f"_in_{c}") for c in names], text.alias("_text"), host.alias("_host"), words_in(text).alias("_words"), line_records(text).alias("_lines"))
+    base = docs.select(*[F.col(f"`{c}`").alias(f"_in_{c}") for c in names], text.alias("_text"), host.alias("_host"), words_in(text).alias("_words"), line_hashes(text).alias("_h"), line_chars(text).alias("_c"))
     base = base.withColumn("_solid", F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
     base = repeat_words(base, "_words", "n_repeat_words").select(
-        *[f"`_in_{c}`" for c in names], "_text", "_host", "_lines", "n_repeat_words",
+        *[f"`_in_{c}`" for c in names], "_text", "_host", "_h", "_c", "n_repeat_words", F.pmod(F.xxhash64("_text"), F.lit(n_parts)).alias("_part"),
         # nothing is pushed through a projection that isn't deterministic: a filter on the verdict would else work these out anew
         (F.size("_words") + F.monotonically_increasing_id() * 0).cast("long").alias("n_words"),
-        F.aggregate("_lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("word_chars"),
+        F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x).alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_solid") - F.size(F.array_distinct("_solid"))).cast("long").alias("n_dup_lines"),
     )
-    texts = docs.select(host.alias("host"), F.unhex(F.md5(text)).alias("digest"), F.array_distinct(F.transform(F.filter(line_records(text), lambda x: x["chars"] > 0), lambda x: x["h"])).alias("hashes"))
+    solid_hashes = F.transform(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""), lambda x: F.xxhash64(F.lower(F.btrim(x, F.lit(SPACES)))))
+    texts = docs.select(host.alias("host"), F.unhex(F.md5(text)).alias("digest"), F.array_distinct(solid_hashes).alias("hashes"))
     common = common_lines(texts, min_docs, share)
-    joined = base.join(common, base["_host"].eqNullSafe(common["host"]), "left")
-    hit = F.filter("_lines", lambda x: (x["chars"] > 0) & F.array_contains("_common", x["h"]))
-    joined = joined.withColumn("_hit", F.when(F.col("_common").isNull(), F.array().cast("array<struct<h:bigint,chars:int>>")).otherwise(hit))
-    made = joined.withColumn("n_removed_chars", F.aggregate("_hit", F.lit(0).cast("long"), lambda a, x: a + x["chars"]))
-    pairs = F.arrays_zip(F.split("_text", "\n").alias("line"), F.col("_lines").alias("r"))
-    kept_text = F.when(F.size("_hit") == 0, F.col("_text")).otherwise(
-        F.array_join(F.transform(F.filter(pairs, lambda x: ~((x["r"]["chars"] > 0) & F.array_contains("_common", x["r"]["h"]))), lambda x: x["line"]), "\n")
-    )
+    # a host's rows go to as many parts as they fill, each with a copy of the host's common lines
+    part = F.pmod(F.xxhash64(text), F.lit(n_parts))
+    spread = docs.select(host.alias("host"), part.alias("part")).distinct().join(common.withColumnRenamed("host", "_host2"), F.col("host").eqNullSafe(F.col("_host2"))).drop("_host2")
+    joined = base.join(spread, base["_host"].eqNullSafe(spread["host"]) & (base["_part"] == spread["part"]), "left")
+
+    def goes(h: Column, c: Column) -> Column:
+        return (c > 0) & F.array_contains("_common", h)
+
+    gone = F.aggregate(F.zip_with("_h", "_c", lambda h, c: F.when(goes(h, c), c).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
+    made = joined.withColumn("n_removed_chars", F.when(F.col("_common").isNull(), F.lit(0).cast("long")).otherwise(gone))
+    left = F.filter(F.split("_text", "\n"), lambda x, i: ~goes(F.get("_h", i), F.get("_c", i)))
+    kept_text = F.when(F.col("n_removed_chars") == 0, F.col("_text")).otherwise(F.array_join(left, "\n"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_chars"]
     kept = ~failed & (100 * F.col("n_removed_chars") <= max_removed_percent * F.col("word_chars"))
