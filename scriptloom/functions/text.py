@@ -71,7 +71,7 @@ def without_tags(text: Column) -> Column:
 
 
 def without_fillers(text: Column, custom: Iterable[str] = ()) -> Column:
-    return F.regexp_replace(text, rf"(?i)\b(?:{quoted([*L.FILLERS, *(x.lower() for x in custom)])})\b", "")
+    return F.regexp_replace(text, rf"(?iU)\b(?:{quoted([*L.FILLERS, *(x.lower() for x in custom)])})\b", "")
 
 
 def without_templates(text: Column) -> Column:

@@ -187,8 +187,9 @@ _stamps = replaced("line || ' 00:01:02 - end <00:00:01>'", *[(p, "") for p in (r
 for _p in (rf"^(?:{N})\s*:\s*", rf"^\[(?:{N})\]\s*:\s*", rf"^>>\s*(?:{N})\s*:\s*", rf"^\*\*(?:{N})\*\*\s*:\s*"):
     _stamps = no_label(_p, _stamps)
 _fill = "(?i)\\b(?:" + "|".join(sorted(L.FILLERS, key=len, reverse=True)) + ")\\b"
+# word boundaries are ASCII in this dialect: letters beyond ASCII are framed by ASCII letters while words are removed
 _prose = replaced(
-    "'WEBVTT' || chr(10) || 'NOTE x' || chr(10) || 'Um, like I said, ' || text || '  you know !! Ok'", (r"(?i)WEBVTT\s*", ""), (r"(?i)NOTE\s+[^\n]*\n", ""), (r"(?i)STYLE\s+[^\n]*\n", ""), (r"<v\s+[^>]+>", ""), (r"</v>", ""), (_fill, ""),
+    "'WEBVTT' || chr(10) || 'NOTE x' || chr(10) || 'Um, like I said, ' || text || '  you know !! Ok'", (r"(?i)WEBVTT\s*", ""), (r"(?i)NOTE\s+[^\n]*\n", ""), (r"(?i)STYLE\s+[^\n]*\n", ""), (r"<v\s+[^>]+>", ""), (r"</v>", ""), (r"([^\x00-\x7F])", r"ZQ\1QZ"), (_fill, ""), ("ZQ|QZ", ""),
     *[("(?i)" + p, "") for p in L.TEMPLATES], (r"([.!?,;:])([A-Za-z])", r"\1 \2"), (r"\s+([.!?,;:])", r"\1"), (r"([.!?]){2,}", r"\1"), (" +", " "),
 )
 _prose = f"regexp_replace({_prose}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
@@ -200,7 +201,7 @@ ORACLES: dict[str, str] = {
     "snk_insert": f"WITH {JOBS} SELECT CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'inserted' ELSE 'rejected' END AS kind, status, count(*) AS n FROM jobs GROUP BY 1, 2",
     "snk_delete": f"WITH {JOBS} SELECT 'jobs' AS kind, count(*) AS n FROM jobs WHERE status <> 'failed' UNION ALL SELECT 'documents', count(*) FROM lineitem WHERE CAST(l_orderkey AS STRING) NOT IN (SELECT id FROM jobs WHERE status = 'failed')",
     "cln_stamps_speakers": f"WITH {LINES} SELECT transcript_id, line_no, {_stamps} AS text FROM lines",
-    "cln_fillers": f"SELECT doc_id, {_prose} AS text FROM documents WHERE lang = 'en'",
+    "cln_fillers": f"SELECT doc_id, {_prose} AS text FROM documents",
     "cln_exact_duplicates": f"""WITH {DOCS}, a AS (SELECT transcript_id, list_transform(string_split(text, '. '), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))) AS p FROM docs),
         b AS (SELECT transcript_id, unnest(p) AS s, generate_subscripts(p, 1) AS pos FROM a), c AS (SELECT transcript_id, arg_min(s, pos) AS s, min(pos) AS pos FROM b WHERE s <> '' GROUP BY transcript_id, lower(s)),
         d AS (SELECT transcript_id, string_agg(s, '. ' ORDER BY pos) AS t FROM c GROUP BY 1) SELECT docs.transcript_id, length(coalesce(t, '')) AS chars, md5(coalesce(t, '')) AS digest FROM docs LEFT JOIN d ON docs.transcript_id = d.transcript_id""",

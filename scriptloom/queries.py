@@ -138,7 +138,7 @@ def cln_stamps_speakers(spark, d):
 @query
 def cln_fillers(spark, d):
     t = F.concat(F.lit("WEBVTT\nNOTE x\nUm, like I said, "), "text", F.lit("  you know !! Ok"))
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", T.tidy_space(T.repaired_punctuation(T.without_templates(T.without_fillers(T.without_webvtt(t))))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", T.tidy_space(T.repaired_punctuation(T.without_templates(T.without_fillers(T.without_webvtt(t))))).alias("text"))
 
 
 @query
