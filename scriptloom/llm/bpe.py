@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,32 +182,30 @@ class Encoder:
         return [b"".join([np.int32(added[pieces[0]]).tobytes() if own else b"".join(map(get, pieces)) for own, pieces in parts]) for parts in cut]
 
 
-def groups(texts: list[str], most: int) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters."""
-    made, size = [], 0
-    for x in texts:
-        made.append(x)
-        size += len(x)
-        if size >= most:
-            yield made
-            made, size = [], 0
-    if made:
-        yield made
+def groups(column: pa.Array, most: int) -> Iterator[list[str]]:
+    """Runs of texts of about so many bytes, one text at least; only one run is unpacked at a time."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, done + most)))
+        yield column.slice(at, to - at).to_pylist()
+        at, done = to, int(ends[to - 1])
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out: str = "ids", group_chars: int = 4 << 20) -> DataFrame:
+def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out: str = "ids", group_bytes: int = 4 << 20, known_pieces: int = 400_000) -> DataFrame:
     """Adds the ids of each text (array<int>); a null text is empty and has none. Strings of added tokens in a text get their
     id, as the tokenizers library gives them. `tokenizer` is the path of its file on every executor. Rows, repeated
-    or not, and all other columns stay; a column of the name `out` is replaced. Memory follows group_chars or the longest text."""
+    or not, and all other columns stay; a column of the name `out` is replaced. Memory follows group_bytes or the longest text, and
+    known_pieces, the number of pieces kept with their ids."""
     kept = [c for c in docs.columns if c != out]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], text_of(text_col).alias("_text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, known_pieces)
         for batch in batches:
             at = 0
-            for texts in groups(batch.column(len(kept)).to_pylist(), group_chars):
+            for texts in groups(batch.column(len(kept)), group_bytes):
                 made = encoder.encode(texts)
                 offsets = np.zeros(len(made) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in made], out=offsets[1:])

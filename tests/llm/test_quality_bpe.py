@@ -19,7 +19,7 @@ def test_bpe_is_that_of_the_library(spark):
 
     t = Tokenizer.from_file(PATH)
     df = spark.createDataFrame([(i, x, [1]) for i, x in enumerate(ODD)] + [(None, "null id", [2])], "doc_id bigint, text string, ids array<int>")
-    rows = bpe_decode(bpe_encode(df, PATH, group_chars=20), PATH).collect()
+    rows = bpe_decode(bpe_encode(df, PATH, group_bytes=20), PATH).collect()
     assert len(rows) == len(ODD) + 1
     for r in rows:
         want = t.encode(r.text or "", add_special_tokens=False).ids
