@@ -43,6 +43,13 @@ def tokenizer(path: str):
     return made
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: ids unpacked to Python objects take ten times their space."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 FORMATTED = "conv_id bigint, ids array<int>, loss_starts array<int>, loss_ends array<int>, formatted string"
 READ = "conv_id bigint, roles array<string>, texts array<string>, loss_text string, formatted string"
 
@@ -59,7 +66,7 @@ def format_chats(rows: DataFrame, tokenizer_path: str, trained_role: str = "assi
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in small(batches):
             made = [[x.ids for x in t.encode_batch_fast([escape(x) for x in batch.column(i).to_pylist()], add_special_tokens=False)] for i in (2, 3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.int32())) for x in made)], names=["conv_id", "turn", "role", "text", "role_ids", "text_ids"])
 
@@ -69,7 +76,7 @@ def format_chats(rows: DataFrame, tokenizer_path: str, trained_role: str = "assi
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = tokenizer(tokenizer_path).get_vocab_size()
         turn, body, end = ([x] for x in range(n, n + 3))
-        for batch in batches:
+        for batch in small(batches):
             made = []
             for conv, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 segments = [s for t in own for s in (turn, t["role_ids"], body, t["text_ids"], end)]
@@ -92,7 +99,7 @@ def read_chats(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(tokenizer_path)
         n = t.get_vocab_size()
-        for batch in batches:
+        for batch in small(batches):
             made = []
             for conv, ids, at, to, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 found = np.asarray(ids, np.int64)
