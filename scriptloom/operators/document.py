@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .confidence import source_label
 
 KEYS = ["transcript_id", "step_index"]
+SPAN = re.compile(r"`([^`]+)`")
 
 
 def contents(steps: DataFrame) -> DataFrame:
@@ -36,8 +40,14 @@ def statistics(steps: DataFrame, sources: DataFrame, usage: DataFrame) -> DataFr
 
 
 def code_spans(docs: DataFrame) -> DataFrame:
-    """(transcript_id, number, code): inline spans of more than 50 characters between backticks."""
-    return docs.select("transcript_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"`([^`]{51,})`"), F.lit(1))).alias("number", "code"))
+    """(transcript_id, number, start, end, code): inline spans of more than 50 characters between backticks. Spans of any length pair
+    the backticks, so text between two short spans isn't one; offsets count characters and include the backticks."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,code:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "code": m[1]} for m in SPAN.finditer(t or "") if len(m[1]) > 50])
+
+    return docs.select("transcript_id", F.posexplode(found("text")).alias("number", "s")).select("transcript_id", "number", "s.start", "s.end", "s.code")
 
 
 def sections(title: DataFrame, steps: DataFrame, sources: DataFrame, stats: DataFrame) -> DataFrame:

@@ -277,6 +277,11 @@ ORACLES: dict[str, str] = {
         SELECT transcript_id, steps, coalesce(n, 0) AS "references", CASE WHEN s < 60 THEN printf('%.1f seconds', CAST(s AS DOUBLE)) ELSE CAST(CAST(floor(s / 60) AS BIGINT) AS STRING) || 'm ' || CAST(CAST(floor(s % 60) AS BIGINT) AS STRING) || 's' END AS time, total_tokens,
         round(CAST(total_tokens AS DOUBLE) / 1000000 * 0.15, 4) AS cost FROM a LEFT JOIN r USING (transcript_id) LEFT JOIN u USING (transcript_id)""",
     "doc_code_spans": "SELECT CAST(doc_id AS STRING) AS transcript_id, 0 AS number, left(replace(text, '`', ''), 80) AS code FROM documents WHERE length(left(replace(text, '`', ''), 80)) > 50",
+    "doc_code_spans_whole": """WITH d AS (SELECT CAST(doc_id AS STRING) AS transcript_id, replace(coalesce(text, ''), '`', '') AS t FROM documents),
+      l AS (SELECT transcript_id, length(t) AS n, unnest(string_split(t, chr(10))) AS code, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+      s AS (SELECT transcript_id, 0 AS i, 0 AS b, t AS code FROM d UNION ALL
+        SELECT transcript_id, i, n + 3 + coalesce(sum(CASE code WHEN '' THEN 1 ELSE length(code) + 3 END) OVER (PARTITION BY transcript_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, code FROM l)
+      SELECT transcript_id, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY i) - 1 AS INT) AS number, CAST(b AS INT) AS start, CAST(b + length(code) + 2 AS INT) AS "end", sha256(code) AS code_sha256 FROM s WHERE length(code) > 50""",
     "job_recent_of_all": f"WITH {JOBS} SELECT user_id, id, status, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS rank FROM jobs) WHERE rank <= 3",
     "job_recent": f"WITH {JOBS}, b AS (SELECT user_id FROM jobs GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1) SELECT id, user_id, status, CAST(total_steps AS STRING) AS total_steps, CAST(row_number() OVER (ORDER BY created_at DESC, id) AS INT) AS rank FROM jobs WHERE user_id IN (SELECT user_id FROM b) QUALIFY rank <= 10",
     "job_history": f"WITH {JOBS} SELECT user_id, status, count(*) AS n, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS latest FROM jobs WHERE status IN ('completed', 'failed') GROUP BY 1, 2",

@@ -317,9 +317,13 @@ def stp_from_chunks(spark, d):
 
 @query
 def stp_parsed(spark, d):
-    """Generated texts made from the events: a title, a summary and actions per transcript."""
-    text = F.concat(F.lit("STEP 1: Open it\nOVERVIEW: a\nb\nCONTENT: "), F.col("transcript_id"), F.lit("\nmore\nKEY ACTIONS:\n- one\n• two\nSTEP 2: Close\nSUMMARY: s\nDETAILS:\nx"))
-    return S.parsed_responses(lines(spark, d).select("transcript_id").distinct().select("transcript_id", text.alias("text"))).withColumn("actions", F.array_join("actions", "|"))
+    """Generated texts made from whole documents: each solid line is in turn a title, a summary, details (bare and after a second
+    heading) and actions (one per sentence), so that a text has as many steps as the document's length gives."""
+    solid = F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
+    actions = lambda x: F.array_join(F.transform(T.sentences(x), lambda y: F.concat(F.lit("- "), y)), "\n")
+    part = lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("STEP "), F.floor(i / 4).cast("string"), F.lit(": "), x)).when(i % 4 == 1, F.concat(F.lit("OVERVIEW: "), x)).when(i % 4 == 2, F.concat(F.lit("CONTENT:\n"), x, F.lit("\nDETAILS: "), x)).otherwise(F.concat(F.lit("KEY ACTIONS:\n"), actions(x)))
+    made = prose(spark, d).select("transcript_id", F.array_join(F.transform(solid, part), "\n").alias("text"))
+    return S.parsed_responses(made).withColumn("actions", F.array_join("actions", "|"))
 
 
 @query
@@ -370,9 +374,13 @@ def mat_patterns(spark, d):
 
 @query
 def mat_screens(spark, d):
-    """One screen per transcript with fixed elements."""
-    screens = lines(spark, d).select("transcript_id").distinct().select("transcript_id", F.lit("main.png").alias("filename"), F.lit("Create the region").alias("content"), F.array(F.struct(F.lit("Create button").alias("text"), F.lit("button").alias("type"))).alias("ui_elements"))
-    return matching.screen_sources(step_rows(spark, d), screens).select("transcript_id", "step_index", "screenshot_ref", "confidence")
+    """Steps made of whole conversations against a screen per assistant turn, whose elements are the turn's sentences."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("transcript_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    told = c.groupBy("transcript_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")).select("transcript_id", F.array_join(F.transform("turns", lambda x: x["text"]), "\n").alias("text"))
+    steps = S.from_chunks(chunking.by_sentences(told), with_actions=True)
+    elements = F.transform(T.sentences(F.col("text")), lambda x: F.struct(x.alias("text"), F.lit("text").alias("type")))
+    screens = c.filter("role = 'assistant'").select("transcript_id", F.concat(F.lit("turn-"), F.col("turn").cast("string"), F.lit(".png")).alias("filename"), F.col("text").alias("content"), elements.alias("ui_elements"))
+    return matching.screen_sources(steps, screens).select("transcript_id", "step_index", "screenshot_ref", "confidence")
 
 
 @query
@@ -524,7 +532,16 @@ def doc_statistics(spark, d):
 @query
 def doc_code_spans(spark, d):
     marked = prose(spark, d).select("transcript_id", F.concat(F.lit("`"), F.left(F.replace("text", F.lit("`"), F.lit("")), F.lit(80)), F.lit("` and `short`")).alias("text"))
-    return document.code_spans(marked)
+    return document.code_spans(marked).select("transcript_id", "number", "code")
+
+
+@query
+def doc_code_spans_whole(spark, d):
+    """Whole documents as one span each, then each of their solid lines as a span, with offsets."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("`"), F.lit(""))
+    inner = F.transform(F.split(text, "\n"), lambda x: F.when(x == "", x).otherwise(F.concat(F.lit("`"), x, F.lit("`"))))
+    marked = prose(spark, d).select("transcript_id", F.concat(F.lit("`"), text, F.lit("`\n"), F.array_join(inner, "\n")).alias("text"))
+    return document.code_spans(marked).select("transcript_id", "number", "start", "end", F.sha2("code", 256).alias("code_sha256"))
 
 
 @query
