@@ -32,27 +32,43 @@ def unique(good: DataFrame, delay: str = "1 hour") -> DataFrame:
     return good.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["job_id"])
 
 
+def versions(spark: SparkSession, table: str, before: int) -> list[int]:
+    """The versions below this number that were written to their end, in order, from the table's folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(v for f in found or [] if (v := int(f.getPath().getParent().getName()[2:])) < before)
+
+
 def consume(raw: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], dead_path: str) -> StreamingQuery:
-    """Runs `handle` on each batch of good messages and appends the others to the dead-letter table; goes through what has landed, then
-    ends. A batch that is repeated after a failure overwrites its own part of the dead letters."""
+    """Runs `handle` on each batch of good messages, each job once over all batches and restarts, and appends the others to the
+    dead-letter table; goes through what has landed, then ends. The ids handled so far are kept in the folder `handled` of the checkpoint, a part
+    per batch, written after `handle`; a batch that is repeated after a failure handles its own jobs again and overwrites its parts."""
+    handled = f"{checkpoint}/handled"
 
     def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         good, dead = routed(batch)
         dead.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(dead_path)
-        handle(good.dropDuplicates(["job_id"]), number)
+        fresh = good.dropDuplicates(["job_id"])
+        if done := versions(spark, handled, number):
+            old = spark.read.schema("job_id string").parquet(*[f"{handled}/v={v}" for v in done])
+            fresh = fresh.join(old, "job_id", "left_anti")
+        fresh = fresh.localCheckpoint()
+        handle(fresh, number)
+        fresh.select("job_id").write.mode("overwrite").parquet(f"{handled}/v={number}")
 
     return raw.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merge_state(spark: SparkSession, events: DataFrame, checkpoint: str, table: str) -> StreamingQuery:
     """Keeps the table of job states up to date: each batch of events is folded over the state and written as the next version, so that
-    the result is that of J.state over the whole log."""
+    the result is that of J.state over the whole log. The version before is found in the table's folder, so a new session goes on."""
 
     def step(batch: DataFrame, number: int) -> None:
-        versions = [int(v) for v in spark.conf.get(f"intake.{table}", "").split() if int(v) < number]
-        old = spark.read.parquet(f"{table}/v={versions[-1]}") if versions else None
+        known = versions(batch.sparkSession, table, number)
+        old = batch.sparkSession.read.parquet(f"{table}/v={known[-1]}") if known else None
         both = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
         J.state(both).write.mode("overwrite").parquet(f"{table}/v={number}")
-        spark.conf.set(f"intake.{table}", " ".join(map(str, [*versions, number])))
+        spark.conf.set(f"intake.{table}", " ".join(map(str, [*known, number])))
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
