@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that occur anywhere else; a character of which only a part is left goes too. All
     documents stay, also those left without text."""
+
+    @F.pandas_udf("string")
+    def pieces(kept: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        def joined(data: bytes, starts: list[int], ends: list[int]) -> str:
+            made, at, last = [], 0, 0
+            for start, end in zip(starts, ends, strict=True):
+                made.append(data[at : at + start - last])
+                at, last = at + start - last, end
+            return "".join(x.decode("utf-8", "ignore") for x in [*made, data[at:]])
+
+        return pd.Series([None if k is None else joined(k, s, e) for k, s, e in zip(kept, starts, ends, strict=True)], dtype=object)
+
     found = suffix_dedup(docs, carry=("lang", "source"))
-    whole = F.when(F.col("n_removed") == 0, F.col("kept_bytes").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept_bytes").cast("string")), F.lit("�"), F.lit("")))
+    whole = F.when(F.col("n_removed") == 0, F.col("kept_bytes").cast("string")).otherwise(pieces("kept_bytes", "span_starts", "span_ends"))
     return found.select("doc_id", whole.alias("text"), F.col("carried.lang").alias("lang"), F.col("carried.source").alias("source")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
