@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from scriptloom.llm.permutation_index import nearest_neighbours
+from scriptloom.llm.permutation_index import Pivots, nearest_neighbours, usable, visits
 from scriptloom.llm.wrapper_induction import extract_main_text, matching, parse, skeleton
 
 NAN, INF = float("nan"), float("inf")
@@ -43,6 +43,41 @@ def test_recall_with_unequal_lengths(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_clusters_and_copies_need_few_visits(spark):
+    """A third of the vectors are copies of one; the others lie in clusters. Files of more than index_rows vectors are dealt out."""
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(80, 24))
+    x = centers[rng.integers(80, size=3000)] + 0.15 * rng.normal(size=(3000, 24))
+    x[::3] = x[0]
+    x = x.astype(np.float32)
+    df = frame(spark, [(i, v) for i, v in enumerate(x.tolist())])
+    vectors = usable(df, "vec_id", "embedding")
+    y = x.astype(np.float64)
+    pivots = Pivots(y[:512], 128, np.sqrt((y * y).sum(1)).max() * (1 + 1e-12))
+    assert visits(vectors, vectors.filter("vec_id % 100 = 0").collect(), pivots, 2, 20, 0.97) < 30
+    found = {}
+    for r in nearest_neighbours(df, df.filter("vec_id % 50 = 0"), index_rows=300, query_rows=7).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = []
+    for q in range(0, 3000, 50):
+        score = (y * y[q]).sum(1)
+        best = sorted((i for i in range(3000) if i != q), key=lambda i: (-score[i], i))[:20]
+        got = sorted(found[q])
+        assert [g[0] for g in got] == list(range(1, 21)) and all(g[2] == score[g[1]] for g in got)
+        hits.append(len({g[1] for g in got} & set(best)) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_nothing_usable(spark):
+    df = frame(spark, [(1, None), (2, [0.0, 0.0]), (3, [NAN, 1.0]), (None, [1.0, 1.0])])
+    assert nearest_neighbours(df).columns == ["query_id", "rank", "vec_id", "score"]
+    assert nearest_neighbours(df).count() == 0
+    good = frame(spark, [(1, [1.0, 2.0]), (2, [2.0, 1.0])])
+    assert nearest_neighbours(good, df).count() == 0 and nearest_neighbours(df, good).count() == 0
+    assert [(r.query_id, r.vec_id) for r in nearest_neighbours(good).orderBy("query_id").collect()] == [(1, 2), (2, 1)]
+    assert nearest_neighbours(good.limit(1)).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><header>H</header><nav><ul><li><a href="/">Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div id="sidebar">side</div>{0}<section id="comments"><article class="comment">reader says</article></section><form><button>Go</button></form><footer>F</footer></body></html>"""
 
