@@ -103,8 +103,8 @@ def visits(vectors: DataFrame, sample: list, pivots: Pivots, posts: int, k: int,
 
 
 def nearest_neighbours(
-    rows: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, n_pivots: int = 128, posts: int = 2, recall: float = 0.97, compared: int = 256,
-    fit_queries: int = 128, seed: int = 5, index_rows: int = 8192, query_rows: int = 2048,
+    rows: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, n_pivots: int = 128, posts: int = 2, recall: float = 0.97, order: int = 64, compared: int = 256,
+    fit_queries: int = 128, seed: int = 5, index_rows: int = 2048, query_rows: int = 2048,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (rows with id_col and vec_col; by default all rows) the k vectors of largest
     inner product found, its own id left out, ties to the smaller id.
@@ -112,14 +112,15 @@ def nearest_neighbours(
     Fitted on bounded samples, chosen by a seeded hash of the id: the pivots (n_pivots of 256 at most, from four times as many
     vectors) and the number of files that a query visits (fit_queries queries, compared with every vector, so that `recall` of
     their neighbours are in the files visited). Every vector is indexed, in the files of its `posts` nearest pivots. Of each chunk of
-    index_rows vectors of a file, the `compared` of least footrule distance are compared exactly, in double precision. Vectors of
-    unequal length are compared as inner products ask for, by giving all the same length through one more component.
+    index_rows vectors of a file, the `compared` of least footrule distance over the query's first `order` pivots are compared
+    exactly, in double precision: an eighth of a full chunk, whatever the number of vectors. Vectors of unequal length are
+    compared as inner products ask for, by giving all the same length through one more component.
     Vectors that are null, zero, hold null or non-finite components, have a null id, or another number of components than
     most vectors of rows take no part. Rows that repeat count once; an id with several vectors has all of them, and its own are left
     out. Empty tables, and tables without any usable vector, give no rows. Other columns are ignored.
     """
-    if not 1 <= n_pivots <= 256 or not 1 <= posts <= n_pivots:
-        raise ValueError("n_pivots must be 256 at most, posts no more than that")
+    if not 1 <= n_pivots <= 256 or not 1 <= posts <= n_pivots or not 1 <= order <= 128:
+        raise ValueError("n_pivots must be 256 at most, posts no more than that, order 128 at most")
     good = usable(rows, id_col, vec_col)
     usual = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if usual is None:
@@ -143,8 +144,8 @@ def nearest_neighbours(
             for batch in batches:
                 if batch.num_rows:
                     v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                    order, places = pivots.orders(v, query)
-                    files = np.ascontiguousarray(order[:, : reach if query else posts])
+                    near, places = pivots.orders(v, query)
+                    files = np.ascontiguousarray(near[:, : reach if query else posts])
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * files.shape[1]), pa.array(files.ravel()))
                     yield pa.RecordBatch.from_arrays([batch.column(0), packed(v.astype(kind)), packed(places), lists], names=["vec_id", "v", "places", "files"])
 
@@ -176,14 +177,22 @@ def nearest_neighbours(
             turn = np.argsort(index["vec_id"].to_numpy(), kind="stable")
             ids = index["vec_id"].to_numpy()[turn]
             v = unpacked(index["v"], kind)[turn].astype(np.float64)
-            places = unpacked(index["places"], np.uint8)[turn].astype(np.int16)
-            for q, query, own in zip(asked["vec_id"].to_pylist(), unpacked(asked["v"], kind).astype(np.float64), unpacked(asked["places"], np.uint8).astype(np.int16), strict=True):
+            places = unpacked(index["places"], np.uint8)[turn]
+            # the files before this one in which a vector is posted too; none is a pivot that no query visits
+            before = np.argsort(places, axis=1)[:, : posts - 1]
+            before[np.arange(posts - 1) >= places[:, file : file + 1]] = pivots.n
+            by_pivot = np.ascontiguousarray(places.T).astype(np.int16)
+            wanted = unpacked(asked["places"], np.uint8)
+            visited = np.concatenate([wanted < reach, np.zeros((len(wanted), 1), bool)], axis=1)
+            front = np.argsort(wanted, axis=1)[:, :order]
+            step = np.arange(front.shape[1], dtype=np.int16)[:, None]
+            for i, (q, query) in enumerate(zip(asked["vec_id"].to_pylist(), unpacked(asked["v"], kind).astype(np.float64), strict=True)):
                 # a vector posted in several files that the query visits counts in the one where it stands first
-                earlier = (places < places[:, file : file + 1]) & (own < reach) & (places < posts)
-                some = np.flatnonzero(~earlier.any(1) & (ids != q))
+                some = np.flatnonzero(~visited[i][before].any(1) & (ids != q))
                 if len(some) > compared:
-                    footrule = np.abs(places[some] - own).sum(1, dtype=np.int64)
-                    some = np.sort(some[np.argpartition(footrule * len(some) + np.arange(len(some)), compared - 1)[:compared]])
+                    footrule = np.abs(by_pivot[front[i]] - step).sum(0, dtype=np.int16)[some].astype(np.int64)
+                    some = some[np.argpartition(footrule * len(some) + np.arange(len(some)), compared - 1)[:compared]]
+                    some.sort()
                 score = (v[some] * query).sum(1)
                 best = best_of(score, ids[some], k)
                 out.append((np.full(len(best), q, np.int64), ids[some[best]], score[best]))
