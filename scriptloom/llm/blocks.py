@@ -9,6 +9,7 @@ The exchange of texts by block occurs in each step with the same plan, so Spark
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ REPLY = "block int, kind int, data binary, n bigint"
 SENT = "bucket int, block int, h binary, g binary, first binary, n binary"
 SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("h", pa.binary()), ("g", pa.binary()), ("first", pa.binary()), ("n", pa.binary())])
 REPLY_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("n", pa.int64())])
-COPY, ANCHOR, OURS, THEIRS, LONGER, BITS = 0, 1, 2, 3, 4, 5
+COPY, ANCHOR, OURS, THEIRS, LONGER, BITS, LEVEL = 0, 1, 2, 3, 4, 5, 10  # from LEVEL on: the levels of a ladder
 
 
 def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
@@ -62,7 +63,8 @@ class Block:
         data = replies["data"].to_pylist() if replies.num_rows else []
         ns = replies["n"].to_pylist() if replies.num_rows else []
         self.number = docs["block"][0].as_py() if docs.num_rows else None
-        self.replies = {kind: np.sort(np.frombuffer(b"".join(x for x, at in zip(data, kinds, strict=True) if at == kind), np.uint64)) for kind in (ANCHOR, OURS, THEIRS, LONGER)}
+        hashes = {kind: np.sort(np.frombuffer(b"".join(x for x, at in zip(data, kinds, strict=True) if at == kind), np.uint64)) for kind in set(kinds.tolist()) - {COPY, BITS}}
+        self.replies = defaultdict(lambda: np.empty(0, np.uint64), hashes)
         self.bits = {n: np.unpackbits(np.frombuffer(x, np.uint8)).view(bool) for x, at, n in zip(data, kinds, ns, strict=True) if at == BITS}
         firsts = {(x[:16], int.from_bytes(x[16:], "big", signed=True)): n for x, at, n in zip(data, kinds, ns, strict=True) if at == COPY}
         k, digest = docs["k"].to_pylist(), docs["digest"].to_pylist()
@@ -149,7 +151,11 @@ def anchors(h: np.ndarray, width: int) -> np.ndarray:
     """Marks the places that hold the least hash of some window of so many hashes, ties included."""
     if len(h) < width:
         return np.zeros(len(h), bool)
-    low = running_min(h, width)
+    return anchors_of(h, running_min(h, width), width)
+
+
+def anchors_of(h: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+    """The same for the windows whose least hashes are given; those with 0 don't count."""
     pad = np.zeros(width - 1, np.uint64)
     return ~running_min(~np.concatenate([pad, low, pad]), width) == h
 
@@ -201,26 +207,21 @@ def replies(rows: list[tuple[int, int, bytes, int]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), REPLY_ARROW, strict=True)] if rows else [pa.array([], f.type) for f in REPLY_ARROW], schema=REPLY_ARROW)
 
 
-def repeated(sent: pa.Table) -> pa.Table:
-    """A bucket's step: tells each block which of its hashes occur twice or more, here or elsewhere."""
-    return _repeated(sent, ANCHOR)
-
-
-def repeated_longer(sent: pa.Table) -> pa.Table:
-    """The same for the next level."""
-    return _repeated(sent, LONGER)
+def repeated(kind: int) -> Callable[[pa.Table], pa.Table]:
+    """A bucket's step: tells each block, as replies of this kind, which of its hashes occur twice or more, here or elsewhere."""
 
+    def step(sent: pa.Table) -> pa.Table:
+        block, h, g, _, n = unpacked(sent)
+        order = np.lexsort((g, h)) if len(g) else np.argsort(h, kind="stable")
+        hs, gs = h[order], g[order] if len(g) else None
+        new = np.ones(len(hs), bool)
+        new[1:] = (hs[1:] != hs[:-1]) | ((gs[1:] != gs[:-1]) if gs is not None else False)
+        group = np.cumsum(new) - 1
+        many = np.bincount(group, weights=n[order]) >= 2 if len(hs) else np.empty(0, bool)
+        keep = order[many[group]] if len(hs) else order
+        return replies(answer(block[keep], h[keep], kind))
 
-def _repeated(sent: pa.Table, kind: int) -> pa.Table:
-    block, h, g, _, n = unpacked(sent)
-    order = np.lexsort((g, h)) if len(g) else np.argsort(h, kind="stable")
-    hs, gs = h[order], g[order] if len(g) else None
-    new = np.ones(len(hs), bool)
-    new[1:] = (hs[1:] != hs[:-1]) | ((gs[1:] != gs[:-1]) if gs is not None else False)
-    group = np.cumsum(new) - 1
-    many = np.bincount(group, weights=n[order]) >= 2 if len(hs) else np.empty(0, bool)
-    keep = order[many[group]] if len(hs) else order
-    return replies(answer(block[keep], h[keep], kind))
+    return step
 
 
 def pieces(n: int, overlap: int, each: int = PIECE) -> Iterator[tuple[int, int]]:

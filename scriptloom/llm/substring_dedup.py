@@ -1,10 +1,11 @@
 """Removal of word sequences that occur earlier in the corpus, by level-wise doubling.
 
-Level one looks at windows of half the length that counts. Of all such windows in a full window the one
-with the least hash stands for it, so equal full windows choose equal halves and only one half window in
-six is exchanged. Windows repeated at that level alone are extended to twice the length; those repeated
-again are judged by their first occurrence. The ladder ends there, as every longer repeat is covered by
-repeats of the full length, or before, when no candidates survive in a block.
+The ladder starts at a few words and doubles up to the length that counts. On each level the window with the least
+hash of all in a full window stands for it, so equal full windows choose equal ones, and only a part of the windows is
+exchanged. Full windows whose window on one level is repeated are alone looked at on the next, of twice the length; those that
+reach the full length and are repeated there are judged by their first occurrence. Each step is a loop over the levels
+that ends when a block has no candidates left. Every longer repeat is covered by repeats of the full length, so the ladder
+ends there.
 """
 
 from __future__ import annotations
@@ -52,28 +53,45 @@ class Words:
         return np.cumsum(delta)[:n] > 0
 
 
-def half_windows(words: Words, block: B.Block, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the half windows (the greatest value where there is none), and which of them stand for a full one."""
-    h = np.full(len(words.hashes), ~np.uint64(0))
-    made = B.windows(words.hashes, half, B.WORD_M)
-    h[: len(made)] = made
-    h[~words.inside(half, block.first)] = ~np.uint64(0)
-    return h, B.anchors(h, half + 1) & (h != ~np.uint64(0))
+def ladder(min_words: int, first: int = 5) -> list[int]:
+    """The lengths below min_words, shortest first: halves of it for as long as they are whole and not under `first` words; one at least."""
+    made = [min_words // 2]
+    while made[0] % 2 == 0 and made[0] // 2 >= first:
+        made.insert(0, made[0] // 2)
+    return made
 
 
-def candidates(words: Words, block: B.Block, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, hashes and check hashes of the full windows whose half window is repeated."""
-    h, chosen = half_windows(words, block, half)
-    known = np.zeros(len(h), bool)
-    at = np.flatnonzero(chosen)
-    known[at[B.within(h[at], block.replies[B.ANCHOR])]] = True
-    if not known.any():
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32)
-    near = np.convolve(known, np.ones(half + 1, np.int8))[half : half + len(known)] > 0  # one of the half windows from here on
-    start = np.flatnonzero(near & words.inside(2 * half, block.first))
-    made = B.windows(words.hashes, 2 * half, B.WORD_M)
-    check = B.windows(words.hashes, 2 * half, B.CHECK_M)
-    return start, made[start], (check[start] >> np.uint64(32)).astype(np.uint32)
+class Candidates:
+    """The full windows of a block that may be repeated, climbing the ladder with the answers that the block has got."""
+
+    def __init__(self, block: B.Block, levels: list[int], full: int, answered: int) -> None:
+        self.words, self.levels, self.full = Words(block), levels, full
+        self.alive = self.words.inside(full, block.first)
+        for level in range(answered):
+            if not self.alive.any():
+                break
+            self.alive[: len(low := self.least(level)[1])] &= B.within(low, block.replies[B.LEVEL + level])
+
+    def least(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all windows of a level, and for each place the least one in the full window from there on."""
+        h = B.windows(self.words.hashes, self.levels[level], B.WORD_M)
+        return h, B.running_min(h, self.full - self.levels[level] + 1)
+
+    def standing(self, level: int) -> np.ndarray:
+        """The hashes of the windows of a level that stand for a candidate, one for each place."""
+        if not self.alive.any():
+            return np.empty(0, np.uint64)
+        h, low = self.least(level)
+        low[~self.alive[: len(low)]] = 0
+        return h[B.anchors_of(h, low, self.full - self.levels[level] + 1)]
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, hashes and check hashes of the candidates."""
+        start = np.flatnonzero(self.alive)
+        if not len(start):
+            return start, np.empty(0, np.uint64), np.empty(0, np.uint32)
+        h, check = (B.windows(self.words.hashes, self.full, m)[start] for m in (B.WORD_M, B.CHECK_M))
+        return start, h, (check >> np.uint64(32)).astype(np.uint32)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, block_bytes: int = 4 << 20) -> DataFrame:
@@ -87,28 +105,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are ignored. A block of documents is worked on at a time; a text is never split, so memory follows
     block_bytes or the longest text. Hashes of 96 bits decide equality.
     """
-    half, blocks_n = min_words // 2, B.text_blocks(docs, id_col, text_col, block_bytes)
     if min_words < 2 or min_words % 2:
         raise ValueError("min_words must be even and 2 at least")
-    base, n_blocks = blocks_n
+    levels = ladder(min_words)
+    base, n_blocks = B.text_blocks(docs, id_col, text_col, block_bytes)
     n_buckets = max(1, n_blocks // 4)
 
-    def level_one(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return B.send(0, 1, np.empty(0, np.uint64))
-        block = B.Block(docs, replies)
-        h, chosen = half_windows(Words(block), block, half)
-        own, n = np.unique(h[chosen], return_counts=True)
-        return B.send(block.number, n_buckets, own, n=np.minimum(n, 2).astype(np.uint8))
+    def climb(level: int):
+        def step(docs: pa.Table, replies: pa.Table) -> pa.Table:
+            if not docs.num_rows:
+                return B.send(0, 1, np.empty(0, np.uint64))
+            block = B.Block(docs, replies)
+            own, n = np.unique(Candidates(block, levels, min_words, level).standing(level), return_counts=True)
+            return B.send(block.number, n_buckets, own, n=np.minimum(n, 2).astype(np.uint8))
+
+        return step
 
-    def level_two(docs: pa.Table, replies: pa.Table) -> pa.Table:
+    def top(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return B.send(0, 1, np.empty(0, np.uint64))
         block = B.Block(docs, replies)
-        words = Words(block)
-        start, h, g = candidates(words, block, half)
+        found = Candidates(block, levels, min_words, len(levels))
+        start, h, g = found.whole()
         own, at, n = np.unique(h, return_index=True, return_counts=True)
-        owner = block.k[np.searchsorted(words.at, start[at], "right") - 1] if len(at) else np.empty(0, np.int64)
+        owner = block.k[np.searchsorted(found.words.at, start[at], "right") - 1] if len(at) else np.empty(0, np.int64)
         return B.send(block.number, n_buckets, own, g[at], owner, np.minimum(n, 2).astype(np.uint8))
 
     def first_of(sent: pa.Table) -> pa.Table:
@@ -126,8 +146,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not docs.num_rows:
             return pa.table({"doc_id": ids, "n_words": ids, "n_removed": ids, "kept_text": pa.array([], pa.string())})
         block = B.Block(docs, replies)
-        words = Words(block)
-        start, h, _ = candidates(words, block, half)
+        found = Candidates(block, levels, min_words, len(levels))
+        words, (start, h, _) = found.words, found.whole()
         gone = B.within(h, block.replies[B.THEIRS])
         again = np.flatnonzero(B.within(h, block.replies[B.OURS]))
         _, first = np.unique(h[again], return_index=True)
@@ -150,8 +170,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         counts = np.array(counts, np.int64).reshape(-1, 2)[block.rows]
         return pa.table({"doc_id": ids, "n_words": counts[:, 0], "n_removed": counts[:, 1], "kept_text": pa.array(texts, pa.binary()).cast(pa.string()).take(pa.array(block.rows))})
 
-    copies = B.copies(base)
-    repeated = B.with_replies(base, copies, level_one, B.SENT).groupBy("bucket").applyInArrow(B.repeated, B.REPLY)
-    known = copies.unionByName(repeated)
-    judged = B.with_replies(base, known, level_two, B.SENT).groupBy("bucket").applyInArrow(first_of, B.REPLY)
+    known = B.copies(base)
+    for level in range(len(levels)):
+        known = known.unionByName(B.with_replies(base, known, climb(level), B.SENT).groupBy("bucket").applyInArrow(B.repeated(B.LEVEL + level), B.REPLY))
+    judged = B.with_replies(base, known, top, B.SENT).groupBy("bucket").applyInArrow(first_of, B.REPLY)
     return B.with_replies(base, known.unionByName(judged), remove, OUT)

@@ -267,8 +267,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.Table.from_arrays([docs["doc_id"].combine_chunks(), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes", "span_starts", "span_ends"]).append_column("carried", docs["carried"])
 
     copies = B.copies(base)
-    known = copies.unionByName(B.with_replies(base, copies, choosing(0), B.SENT).groupBy("bucket").applyInArrow(B.repeated, B.REPLY))
-    longer = B.with_replies(base, known, choosing(1), B.SENT).groupBy("bucket").applyInArrow(B.repeated_longer, B.REPLY)
+    known = copies.unionByName(B.with_replies(base, copies, choosing(0), B.SENT).groupBy("bucket").applyInArrow(B.repeated(B.ANCHOR), B.REPLY))
+    longer = B.with_replies(base, known, choosing(1), B.SENT).groupBy("bucket").applyInArrow(B.repeated(B.LONGER), B.REPLY)
     known = known.unionByName(longer)
     again = B.with_replies(base, known, name, B.SENT).groupBy("bucket").applyInArrow(merged, B.REPLY)
     kind = base.schema["carried"].dataType.simpleString()

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from scriptloom.llm.substring_dedup import substring_dedup
+from scriptloom.llm.substring_dedup import ladder, substring_dedup
 from scriptloom.llm.suffix_dedup import common_prefixes, suffix_array, suffix_dedup
 
 SCHEMA = "doc_id bigint, text string, k int, block string, digest string, carried int"
@@ -61,6 +61,22 @@ def test_words(spark, block_bytes):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found) == sorted((i, *want[i]) for i, *_ in rows)
 
 
+@pytest.mark.parametrize("min_words", [2, 8, 254, 260, 512])
+def test_words_of_any_length(spark, min_words):
+    """Long windows too, over texts of repeated words and passages of just about the length."""
+    rng = random.Random(min_words)
+    make = lambda n: " ".join(rng.choices([f"w{i}" for i in range(300)], k=n))
+    shared = make(min_words)
+    rows = [(1, "a " * 1200), (2, "a b " * 700), (3, make(90) + " " + shared + " " + make(700)), (4, shared), (5, make(9) + " " + shared + " x " + shared[: len(shared) // 2] + " " + make(min_words - 1)), (6, None), (7, "a " * (min_words - 1))]
+    found = substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), min_words=min_words, block_bytes=6000).collect()
+    want = brute_words(rows, min_words)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found) == sorted((i, *want[i]) for i, *_ in rows)
+
+
+def test_ladder():
+    assert [ladder(n) for n in (2, 4, 10, 20, 22, 512)] == [[1], [2], [5], [5, 10], [11], [8, 16, 32, 64, 128, 256]]
+
+
 @pytest.mark.parametrize("block_bytes,shard_bytes", [(900, 1500), (1 << 22, 1 << 20)])
 def test_bytes(spark, block_bytes, shard_bytes):
     rows = corpus()
