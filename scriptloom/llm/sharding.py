@@ -108,7 +108,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     Null and repeated ids are allowed: they get their own slots. Of equal rows it is not said which gets which slot.
     An empty table gives no rows; other columns are ignored. A task holds part_rows groups or bucket_rows rows."""
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.unhex(F.md5(text)).alias("key"))
+    # texts are read and hashed once; what follows needs some 50 bytes a row
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.unhex(F.md5(text)).alias("key")))
     placed = shard_groups(rows.groupBy("key").agg(F.sum("size").alias("weight")), shards, part_rows)
     own = cut(rows.join(placed, "key"))
     made = numbered(own, "shard", ["doc_id", "key"], F.xxhash64("doc_id", "key"), bucket_rows, "slot")
