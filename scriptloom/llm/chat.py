@@ -59,8 +59,9 @@ def format_chats(rows: DataFrame, tokenizer_path: str, trained_role: str = "assi
     mask, and the text form.
 
     rows: conv_id, turn, role, text. Turns are ordered by turn (null first), then role and text; rows that repeat are turns of
-    their own. Null role or text: empty. Rows with a null conv_id form one conversation. Other columns are ignored; an
-    empty table gives no rows. Encoding is row by row; only a conversation's own tokens meet in one row.
+    their own. Null role or text: empty. Each row with a null conv_id is a conversation of its own, as nothing says which belong
+    together. Other columns are ignored; an empty table gives no rows. Encoding is row by row; only a conversation's own tokens
+    meet in one row, so memory follows the longest conversation.
     """
     source = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text_of("role").alias("role"), text_of("text").alias("text"))
 
@@ -68,10 +69,11 @@ def format_chats(rows: DataFrame, tokenizer_path: str, trained_role: str = "assi
         t = tokenizer(tokenizer_path)
         for batch in small(batches):
             made = [[x.ids for x in t.encode_batch_fast([escape(x) for x in batch.column(i).to_pylist()], add_special_tokens=False)] for i in (2, 3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.int32())) for x in made)], names=["conv_id", "turn", "role", "text", "role_ids", "text_ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.int32())) for x in made)], names=["conv_id", "turn", "role", "text", "own", "role_ids", "text_ids"])
 
-    coded = source.mapInArrow(encode, "conv_id bigint, turn bigint, role string, text string, role_ids array<int>, text_ids array<int>")
-    turns = coded.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "role_ids", "text_ids"))).alias("turns"))
+    source = source.withColumn("own", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    coded = source.mapInArrow(encode, "conv_id bigint, turn bigint, role string, text string, own bigint, role_ids array<int>, text_ids array<int>")
+    turns = coded.groupBy("conv_id", "own").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "role_ids", "text_ids"))).alias("turns")).drop("own")
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = tokenizer(tokenizer_path).get_vocab_size()
