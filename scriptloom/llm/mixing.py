@@ -31,10 +31,16 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, table:
         if n > 0:
             take[i] += n
             rest -= int(n * lengths[i])
+    if rest > table:
+        # every length with documents left is above rest - table // 2, so of those that fit one alone fits: the longest
+        fits = np.flatnonzero((take < counts) & (lengths <= rest))
+        if len(fits):
+            take[fits[np.argmax(lengths[fits])]] += 1
+        return take
     if rest <= 0:
         return take
     # which sums up to the rest can be reached: bit s of `reach`; lengths in binary multiples, as each has a bounded count
-    bound = min(rest, 1 << 20)
+    bound = rest
     reach, full, steps = 1, (1 << (bound + 1)) - 1, []
     for i in np.argsort(lengths):
         left, size = min(int(counts[i] - take[i]), bound // int(lengths[i])), 1
@@ -72,16 +78,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, bucket_rows: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, bucket_rows: int = 1024, broadcast_rows: int = 300_000
 ) -> DataFrame:
     """One row per input row: its columns, then _m with the fields size (words), source_size, target and copies: how
     often the mix takes the document. Words taken of a source are as near below its target as the fit finds, which is the
     target rounded wherever the lengths allow it; a document is taken cap times at most (cap a whole number).
 
     Null text: no words, taken as often as the whole passes of its source. A null source is a source, the last. Rows that
-    repeat an id and its text are taken alike; null ids are allowed. An empty table gives no rows. Reruns give the same mix. A task holds
-    the distinct lengths of one source, or about bucket_rows documents of one length.
+    repeat an id and its text are taken alike; null ids are allowed. A column _m is replaced, other columns may have any name. An empty
+    table gives no rows. Reruns give the same mix. A task holds the distinct lengths of one source, or about bucket_rows documents
+    of one length. The rows meet the plan, one entry per source and length, by a broadcast if it has no more than broadcast_rows
+    entries (some 30 MB), else by a shuffle of the rows.
     """
+    docs = docs.drop("_m")
     text = text_of(text_col)
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     rows = docs.select(
@@ -104,18 +113,23 @@ def mix_sources(
 
     joined = lengths.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     plan = cut(joined.groupBy("source").applyInPandas(fitted, "source string, size bigint, n bigint, source_size bigint, target double, passes bigint, extra bigint"))
+    small = plan.count() <= broadcast_rows
+
+    def told(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
     # documents of one length fall into buckets by their draw; whole buckets are in or out, in one the draws are ranked
     key = plan.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "source_size", "target", "passes", "extra")
     same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
     bucket = F.pmod("draw", F.ceil(F.col("n") / bucket_rows))
-    some = rows.select("source", "size", "draw").join(key.filter("extra > 0 AND extra < n").select("_s", "_z", "n", "extra"), same).drop("_s", "_z").withColumn("bucket", bucket)
+    some = rows.select("source", "size", "draw").join(told(key.filter("extra > 0 AND extra < n").select("_s", "_z", "n", "extra")), same).drop("_s", "_z").withColumn("bucket", bucket)
     counts = some.groupBy("source", "size", "extra", "bucket").agg(F.count(F.lit(1)).alias("here"))
     before = F.coalesce(F.sum("here").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = counts.withColumn("before", before).filter("before < extra AND before + here >= extra").select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("bucket").alias("_b"), "before")
     ranked = some.join(edge, same & (F.col("bucket") == F.col("_b"))).withColumn("rank", F.row_number().over(Window.partitionBy("source", "size").orderBy("draw")))
     last = ranked.filter("before + rank = extra").select("_s", "_z", F.col("bucket").alias("last_bucket"), F.col("draw").alias("last_draw"))
     limits = key.join(last.withColumnsRenamed({"_s": "_s2", "_z": "_z2"}), F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_z") == F.col("_z2")), "left").drop("_s2", "_z2")
-    drawn = rows.join(limits, same)
+    drawn = rows.join(told(limits), same)
     within = F.when(F.col("extra") == F.col("n"), F.col("extra") > 0).otherwise(F.coalesce((bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & (F.col("draw") <= F.col("last_draw"))), F.lit(False)))
     both = drawn.withColumn("more", within.cast("long"))
     return both.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], F.struct("size", "source_size", "target", (F.col("passes") + F.col("more")).alias("copies")).alias("_m"))

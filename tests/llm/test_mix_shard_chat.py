@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -47,6 +48,24 @@ def test_fit_without_exact_sum():
     assert fit(np.array([10, 7]), np.array([1, 1]), 9, 0).tolist() == [0, 1]
 
 
+def test_fit_of_lengths_beyond_any_table():
+    """What is left is a longest document, found without a table of all sums."""
+    lengths, counts = np.array([3_000_000, 3_000_500, 5_000_000, 400_000_000]), np.array([2, 1, 1, 1])
+    take = fit(lengths, counts, 3_000_900, 0)
+    assert int((take * lengths).sum()) in (3_000_000, 3_000_500) and (take <= counts).all()
+    assert fit(lengths, counts, 399_999_999, 3).tolist() == [2, 1, 1, 0]
+    assert fit(np.array([1 << 21]), np.array([3]), (1 << 21) + 5, 0).tolist() == [1]
+
+
+def test_mix_with_clashing_columns_and_a_plan_too_large_to_broadcast(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("x" * rng.randrange(1, 30)), rng.choice(["a", "b", None]), i, "s", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _m bigint, draw string, extra bigint")
+    whole, shuffled = (mix_sources(df, bucket_rows=16, broadcast_rows=n) for n in (300_000, 0))
+    assert whole.columns == ["doc_id", "text", "source", "draw", "extra", "_m"]
+    assert sorted((r.doc_id, r["_m"].copies, r.extra) for r in whole.collect()) == sorted((r.doc_id, r["_m"].copies, r.extra) for r in shuffled.collect())
+
+
 def test_mix(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("x" * rng.randrange(1, 40)), rng.choice(["a", "b", None]), "t") for i in range(400)] + [(500, None, "a", "t"), (501, "", "c", "t"), (None, "w w w", "b", "t"), (7, "same", "b", "t"), (7, "same", "b", "t")]
@@ -80,6 +99,37 @@ def test_differencing_is_tight():
     assert again.tolist() == total.tolist()
 
 
+def brute_spread(weights, shards):
+    """The least spread over all ways to deal the weights."""
+    best = None
+    for deal in itertools.product(range(shards), repeat=len(weights)):
+        sums = [0] * shards
+        for w, to in zip(weights, deal, strict=True):
+            sums[to] += w
+        best = min(best, max(sums) - min(sums)) if best is not None else max(sums) - min(sums)
+    return best
+
+
+def by_definition(weights, shards):
+    """Differencing on lists: the two partial partitions of largest spread are added in opposite order until one is left."""
+    state = [(i, sorted([w] + [0] * (shards - 1), reverse=True)) for i, w in enumerate(weights)]
+    while len(state) > 1:
+        state.sort(key=lambda s: (s[1][-1] - s[1][0], s[0]))
+        (_, a), (_, b) = state.pop(0), state.pop(0)
+        state.append((len(weights) * 2 - len(state), sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True)))
+    return state[0][1]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_differencing_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    weights, shards = rng.integers(1, 60, 9), 2 + seed % 2
+    total, shard = leaf(shards, weights)
+    assert total.tolist() == by_definition(weights.tolist(), shards)
+    assert np.bincount(shard, weights=weights, minlength=shards).astype(int).tolist() == total.tolist()
+    assert brute_spread(weights.tolist(), shards) <= total[0] - total[-1] <= weights.max()
+
+
 def test_shards(spark):
     rng = random.Random(4)
     rows = [(i, "y" * rng.randrange(0, 300)) for i in range(700)] + [(None, "n"), (None, "n"), (3, None), (3, None)]
@@ -112,3 +162,10 @@ def test_chats_come_back(spark):
     assert found[2].texts == ["first", "no role"] and found[2].loss_text == "first"
     assert found[3].loss_text == "dupdup" and found[None].loss_text == "é\U0001f600"
     assert format_chats(df.limit(0), PATH).count() == 0
+
+
+def test_null_conversations_stay_apart_and_long_ones_stay_whole(spark):
+    rows = [(None, 0, "assistant", "same")] * 3 + [(9, i, ("user", "assistant")[i % 2], f"turn {i} ###") for i in range(3000)]
+    found = read_chats(format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), PATH), PATH).collect()
+    assert sorted((r.conv_id or 0, len(r.roles)) for r in found) == [(0, 1)] * 3 + [(9, 3000)]
+    assert next(r.loss_text for r in found if r.conv_id == 9) == "".join(f"turn {i} ###" for i in range(1, 3000, 2))
