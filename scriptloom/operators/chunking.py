@@ -15,14 +15,19 @@ def _grouped(rows: DataFrame, part_col: str, size: Column, joint: str) -> DataFr
     return made.select("transcript_id", "chunk_index", F.array_join(F.transform("parts", lambda x: x[part_col]), joint).alias("text"))
 
 
+def _parts(docs: DataFrame, cut: Column) -> DataFrame:
+    """(transcript_id, n, pos, part) for an array of parts per text. The array comes out of a generator of its own: a projection
+    would be worked out again for each part, as nothing keeps it below the one that explodes it."""
+    whole = docs.select("transcript_id", F.explode(F.array(cut)).alias("parts"))
+    return whole.select("transcript_id", F.size("parts").alias("n"), "parts").select("transcript_id", "n", F.posexplode("parts").alias("pos", "part"))
+
+
 def sentence_parts(docs: DataFrame) -> DataFrame:
-    s = T.sentences(F.col("text"))
-    return docs.select("transcript_id", F.size(s).alias("n"), F.posexplode(s).alias("pos", "part"))
+    return _parts(docs, T.sentences(F.col("text")))
 
 
 def paragraph_parts(docs: DataFrame) -> DataFrame:
-    p = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
-    return docs.select("transcript_id", F.size(p).alias("n"), F.posexplode(p).alias("pos", "part"))
+    return _parts(docs, F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != ""))
 
 
 def by_sentences(docs: DataFrame, target: int = 8, least: int = 2, most: int = 20) -> DataFrame:

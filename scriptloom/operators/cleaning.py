@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -18,6 +19,27 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def alike(a: Column, b: Column, least: float) -> Column:
+    """The similarity of two texts where it is `least` or more, else 0. Bounds come first: the lengths, then the characters in common."""
+
+    @F.pandas_udf(DoubleType())
+    def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
+        made = []
+        for x, y in zip(a, b, strict=True):
+            m = SequenceMatcher(None, x or "", y or "")
+            ratio = m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+            made.append(ratio if ratio >= least else 0.0)
+        return pd.Series(made, dtype=float)
+
+    return F.when(longest(a, b) >= least, bounded(a, b)).otherwise(0.0)
+
+
+def longest(a: Column, b: Column) -> Column:
+    """What the similarity of two texts of such lengths can be at most; 1 for two empty ones."""
+    n, m = F.length(a), F.length(b)
+    return F.when(n + m == 0, 1.0).otherwise(2 * F.least(n, m) / (n + m))
+
+
 def merged_duplicates(docs: DataFrame, key: str = "transcript_id", text_col: str = "text", threshold: float = 0.9) -> DataFrame:
     """(key, text): sentences (between `. `) too similar to an earlier kept one are dropped. Exact repeats go first; only pairs whose
     lengths allow the threshold are compared; the greedy choice then needs the few similar pairs of a text only."""
@@ -27,13 +49,15 @@ def merged_duplicates(docs: DataFrame, key: str = "transcript_id", text_col: str
     if threshold >= 1:  # equal texts only
         joined = first.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), ". ").alias("text"))
         return docs.select(key).join(joined, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
-    least = threshold / (2 - threshold)
-    a, b = first.select(key, F.col("pos").alias("i"), F.col("low").alias("x")), first.select(key, F.col("pos").alias("j"), F.col("low").alias("y"))
-    n, m = F.length("x"), F.length("y")
-    pairs = a.join(b, key).filter((F.col("j") < F.col("i")) & (n >= least * m) & (m >= least * n)).filter(similarity("x", "y") >= threshold)
-    alike = pairs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("pairs"))
+    # lengths that allow the threshold lie in the same band or in neighbours, so only those meet
+    band = F.floor(F.log(F.length("low").cast("double")) / math.log((2 - threshold) / threshold)).cast("int")
+    a = first.select(key, F.col("pos").alias("i"), F.col("low").alias("x"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    b = first.select(key, F.col("pos").alias("j"), F.col("low").alias("y"), band.alias("band"))
+    near = a.join(b, [key, "band"]).filter((F.col("j") < F.col("i")) & (longest(F.col("x"), F.col("y")) >= threshold))
+    pairs = near.filter(alike(F.col("x"), F.col("y"), threshold) >= threshold)
+    similar = pairs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("pairs"))
     dropped = F.aggregate("pairs", F.array().cast("array<int>"), lambda gone, p: F.when(F.array_contains(gone, p["j"]) | F.array_contains(gone, p["i"]), gone).otherwise(F.array_append(gone, p["i"])))
-    kept = first.join(alike.select(key, dropped.alias("gone")), key, "left").filter(F.col("gone").isNull() | ~F.array_contains("gone", F.col("pos")))
+    kept = first.join(similar.select(key, dropped.alias("gone")), key, "left").filter(F.col("gone").isNull() | ~F.array_contains("gone", F.col("pos")))
     joined = kept.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), ". ").alias("text"))
     return docs.select(key).join(joined, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 

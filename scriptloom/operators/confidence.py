@@ -30,9 +30,9 @@ def grounding(conf: DataFrame) -> DataFrame:
     """Adds is_grounded and warnings."""
     c, shown = F.col("confidence"), F.format_string("%.2f", F.col("confidence"))
     warnings = F.array(
-        F.when(c < 0.3, F.concat(F.lit("Very low confidence ("), shown, F.lit(") - may be hallucinated"))).when(c < 0.5, F.concat(F.lit("Low confidence ("), shown, F.lit(") - verify accuracy"))).when(c < 0.7, F.concat(F.lit("Medium confidence ("), shown, F.lit(") - generally reliable"))),
-        F.when(~F.col("has_transcript_support"), F.lit("No transcript support found - verify against source material")),
-        F.when(F.col("n_sources") == 0, F.lit("No source references found - content may be fabricated")).when(F.col("n_sources") == 1, F.lit("Only one source found - limited support")),
+        F.when(c < 0.3, F.concat(F.lit("confidence under 0.30: "), shown)).when(c < 0.5, F.concat(F.lit("confidence under 0.50: "), shown)).when(c < 0.7, F.concat(F.lit("confidence under 0.70: "), shown)),
+        F.when(~F.col("has_transcript_support"), F.lit("nothing in the transcript supports it")),
+        F.when(F.col("n_sources") == 0, F.lit("no source")).when(F.col("n_sources") == 1, F.lit("a single source")),
     )
     return conf.withColumns({"is_grounded": (c >= 0.4) & F.col("has_transcript_support") & (F.col("n_sources") >= 1), "warnings": F.filter(warnings, lambda w: w.isNotNull())})
 

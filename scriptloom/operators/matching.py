@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 from ..config import Matching
 from ..functions import text as T
-from .cleaning import similarity
+from .cleaning import alike, similarity
 
 KEYS = ["transcript_id", "step_index"]
 SOURCE = ["transcript_id", "step_index", "type", "excerpt", "sentence_index", "screenshot_ref", "ui_elements", "confidence"]
@@ -31,21 +31,24 @@ def candidates(steps: DataFrame, sentences: DataFrame, least: int = 3) -> DataFr
 
 
 def scored(steps: DataFrame, sentences: DataFrame, config: Matching = Matching()) -> DataFrame:
-    """Candidates with keyword_score, phrase_score, char_similarity and semantic_score (0 where no vectors are given), base_score (the weighted
-    sum and the bonus for a bare verb), and technical. Vectors: columns `embedding` on both sides."""
+    """Candidates with keyword_score, phrase_score, char_similarity and semantic_score (0 where their weight is 0, the last also where no
+    vectors are given), base_score (the weighted sum and the bonus for a bare verb), and technical. Vectors: columns `embedding`
+    on both sides. What depends on one side alone is worked out before the sides meet; texts meet only where a part needs them."""
     c = config.normalised()
     vectors = "embedding" in steps.columns and "embedding" in sentences.columns
-    s = steps.select(*KEYS, F.lower(search_text(steps)).alias("wanted"), "actions", T.match_words(search_text(steps), True).alias("words"), *([F.col("embedding").alias("sv")] if vectors else []))
-    t = sentences.select("transcript_id", "sentence_index", "text", *([F.col("embedding").alias("tv")] if vectors else []))
-    rows = candidates(steps, sentences, c.min_words).join(s, KEYS).join(t, ["transcript_id", "sentence_index"])
+    with_text = bool(c.keyword or c.phrase or c.char)
+    bare = F.filter(T.literals(L.BARE_VERBS), lambda v: F.array_contains(F.col("actions"), v))
+    wanted = [F.lower(search_text(steps)).alias("wanted"), T.match_words(search_text(steps), True).alias("words")] if with_text else []
+    s = steps.select(*KEYS, bare.alias("bare"), *wanted, *([F.col("embedding").alias("sv")] if vectors else []))
     low = F.lower("text")
+    t = sentences.select("transcript_id", "sentence_index", T.found(low, L.BARE_VERBS).alias("held"), T.technical_score(F.col("text")).alias("technical"), *([low.alias("low")] if with_text else []), *([F.col("embedding").alias("tv")] if vectors else []))
+    rows = candidates(steps, sentences, c.min_words).join(s, KEYS).join(t, ["transcript_id", "sentence_index"])
     key = F.filter("words", lambda w: F.length(w) > 4)
-    keyword = F.when(F.size(key) > 0, F.size(F.filter(key, lambda w: F.contains(low, w))) / F.size(key)).otherwise(0.0)
-    rows = rows.withColumn("keyword_score", keyword).withColumn("phrase_score", phrase_score(F.col("words"), low))
-    rows = rows.withColumn("char_similarity", similarity("wanted", F.lower("text")) if c.char else F.lit(0.0)).withColumn("semantic_score", cosine(F.col("sv"), F.col("tv")) if vectors else F.lit(0.0))
+    keyword = F.when(F.size(key) > 0, F.size(F.filter(key, lambda w: F.contains("low", w))) / F.size(key)).otherwise(0.0) if c.keyword else F.lit(0.0)
+    rows = rows.withColumn("keyword_score", keyword).withColumn("phrase_score", phrase_score(F.col("words"), F.col("low")) if c.phrase else F.lit(0.0))
+    rows = rows.withColumn("char_similarity", similarity("wanted", "low") if c.char else F.lit(0.0)).withColumn("semantic_score", cosine(F.col("sv"), F.col("tv")) if vectors else F.lit(0.0))
     base = F.col("word_overlap") * c.word + F.col("keyword_score") * c.keyword + F.col("phrase_score") * c.phrase + F.col("semantic_score") * c.semantic + F.col("char_similarity") * c.char
-    bare = F.exists(T.literals(L.BARE_VERBS), lambda v: F.array_contains(F.col("actions"), v) & F.contains(low, v))
-    return rows.withColumns({"base_score": base + F.when(bare, 0.1).otherwise(0.0), "technical": T.technical_score(F.col("text"))}).drop("wanted", "words", "actions", "sv", "tv")
+    return rows.withColumn("base_score", base + F.when(F.arrays_overlap("bare", "held"), 0.1).otherwise(0.0)).drop("wanted", "words", "low", "bare", "held", "sv", "tv")
 
 
 def phrase_score(words: Column, low: Column) -> Column:
@@ -71,9 +74,18 @@ def adjusted(base: Column, technical: Column, uses: Column) -> Column:
 def transcript_sources(steps: DataFrame, sentences: DataFrame, config: Matching = Matching(), reuse: bool = False) -> DataFrame:
     """Source rows, the best `top` sentences per step. With reuse, a sentence that an earlier step of the transcript chose counts less: the
     independent part of the score is worked out for all, pairs that can't reach the limit even unused are dropped, and
-    the fold over steps runs per transcript on the few rows left."""
+    the fold over steps runs per transcript on the few rows left. Without it, sentences of one text are scored once: of their
+    places the first `top` alone can be among the best."""
+    once = not reuse and "embedding" not in sentences.columns
+    if once:
+        same = Window.partitionBy("transcript_id", "text").orderBy("sentence_index")
+        told = sentences.select("transcript_id", "sentence_index", "text").withColumns({"_place": F.row_number().over(same), "_first": F.min("sentence_index").over(same)}).filter(F.col("_place") <= config.top)
+        places = told.select("transcript_id", F.col("_first"), F.col("sentence_index").alias("_own"))
+        sentences = told.filter("_place = 1").select("transcript_id", "sentence_index", "text")
     rows = scored(steps, sentences, config)
     fresh = rows.withColumn("confidence", adjusted(F.col("base_score"), F.col("technical"), F.lit(0))).filter(F.col("confidence") >= config.min_score)
+    if once:
+        fresh = fresh.withColumnRenamed("sentence_index", "_first").join(places, ["transcript_id", "_first"]).withColumnRenamed("_own", "sentence_index")
     if not reuse:
         best = fresh.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc(F.round("confidence", 9)), "sentence_index"))).filter(F.col("_r") <= config.top)
     else:
@@ -91,9 +103,11 @@ def transcript_sources(steps: DataFrame, sentences: DataFrame, config: Matching
                 kept.append(own)
             return pd.concat(kept) if kept else pdf.head(0)
 
-        names = ["transcript_id", "step_index", "sentence_index", "text", "base_score", "technical", "confidence"]
+        names = ["transcript_id", "step_index", "sentence_index", "base_score", "technical", "confidence"]
         best = fresh.select(*names).groupBy("transcript_id").applyInPandas(fold, fresh.select(*names).schema)
-    return as_sources(best.withColumnsRenamed({"text": "excerpt"}), "transcript")
+    text = sentences.select("transcript_id", F.col("sentence_index").alias("_first"), F.col("text").alias("excerpt"))
+    best = best if once else best.withColumn("_first", F.col("sentence_index"))
+    return as_sources(best.join(text, ["transcript_id", "_first"]), "transcript")
 
 
 def as_sources(rows: DataFrame, kind: str) -> DataFrame:
@@ -106,14 +120,15 @@ def as_sources(rows: DataFrame, kind: str) -> DataFrame:
 def knowledge_sources(steps: DataFrame, pages: DataFrame, top: int = 3, least: float = 0.2) -> DataFrame:
     """Pages (url, title, content, error) that share words with a step: 0.6 of the Jaccard similarity and 0.4 of that of the characters of
     the first 2000; the best three. Candidates come from a join on words, so pages without a common word never meet."""
-    own = steps.select(*KEYS, F.lower(search_text(steps)).alias("wanted"), T.match_words(search_text(steps), True).alias("w"))
-    good = pages.filter("error IS NULL AND content != ''").select("url", "title", "content", T.match_words(F.col("content"), False).alias("v"))
-    left, right = own.select(*KEYS, F.size("w").alias("n"), F.explode("w").alias("word")), good.select("url", F.size("v").alias("m"), F.explode("v").alias("word"))
-    pairs = left.join(right, "word").groupBy(*KEYS, "url", "n", "m").agg(F.count(F.lit(1)).alias("both"))
+    own = steps.select(*KEYS, F.lower(search_text(steps)).alias("wanted"), T.match_words(search_text(steps), True).alias("w")).withColumn("chars", F.length("wanted"))
+    good = pages.filter("error IS NULL AND content != ''").select("url", "title", "content", T.match_words(F.col("content"), False).alias("v"), F.least(F.length("content"), F.lit(2000)).alias("shown"))
+    left, right = own.select(*KEYS, "chars", F.size("w").alias("n"), F.explode("w").alias("word")), good.select("url", "shown", F.size("v").alias("m"), F.explode("v").alias("word"))
+    pairs = left.join(right, "word").groupBy(*KEYS, "url", "n", "m", "chars", "shown").agg(F.count(F.lit(1)).alias("both"))
     overlap = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-    # the characters add 0.4 at most, so pairs below that can't reach the limit
-    pairs = pairs.withColumn("overlap", overlap).filter(0.6 * F.col("overlap") + 0.4 >= least)
-    rows = pairs.join(own.drop("w"), KEYS).join(good.drop("v"), "url").withColumn("confidence", 0.6 * F.col("overlap") + 0.4 * similarity("wanted", F.lower(F.left("content", F.lit(2000))))).filter(F.col("confidence") >= least)
+    # two texts share twice the characters of the shorter one at most, over both lengths
+    at_most = 2 * F.least("chars", "shown") / (F.col("chars") + F.col("shown"))
+    pairs = pairs.withColumn("overlap", overlap).filter(0.6 * F.col("overlap") + 0.4 * at_most >= least - 1e-9)
+    rows = pairs.join(own.drop("w", "chars"), KEYS).join(good.drop("v", "shown"), "url").withColumn("confidence", 0.6 * F.col("overlap") + 0.4 * similarity("wanted", F.lower(F.left("content", F.lit(2000))))).filter(F.col("confidence") >= least)
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("confidence"), "url"))).filter(F.col("_r") <= top)
     return as_sources(rows.withColumn("excerpt", F.concat(F.lit("["), "title", F.lit("]("), "url", F.lit(")\n"), F.left("content", F.lit(300)))), "knowledge")
 
@@ -136,7 +151,7 @@ def screen_sources(steps: DataFrame, screens: DataFrame, top: int = 3) -> DataFr
     hit = action_patterns(steps).join(elements, "transcript_id").filter(F.contains("target", F.col("element")) | F.contains("element", F.col("target")))
     by_element = hit.groupBy(*KEYS, "filename").agg(F.sort_array(F.collect_set("element")).alias("ui_elements")).withColumn("confidence", F.lit(0.8))
     own = steps.select(*KEYS, F.lower(search_text(steps)).alias("wanted"))
-    whole = own.join(screens.select("transcript_id", "filename", F.lower("content").alias("shown")), "transcript_id").withColumn("confidence", similarity("wanted", "shown")).filter("confidence >= 0.4")
+    whole = own.join(screens.select("transcript_id", "filename", F.lower("content").alias("shown")), "transcript_id").withColumn("confidence", alike(F.col("wanted"), F.col("shown"), 0.4)).filter("confidence >= 0.4")
     both = by_element.unionByName(whole.select(*KEYS, "filename", F.array().cast("array<string>").alias("ui_elements"), "confidence"))
     best = both.groupBy(*KEYS, "filename").agg(F.max_by(F.struct("ui_elements", "confidence"), "confidence").alias("b")).select(*KEYS, "filename", "b.*")
     best = best.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("confidence"), "filename"))).filter(F.col("_r") <= top)

@@ -76,12 +76,21 @@ def segment_records(rows: DataFrame) -> DataFrame:
 
 def coherence(rows: DataFrame) -> DataFrame:
     """(transcript_id, segment_id, coherence): mean Jaccard similarity of the keyword sets of all pairs with words; 1 for a single
-    sentence, 0.5 without pairs."""
-    sets = rows.groupBy("transcript_id", "segment_id").agg(F.count(F.lit(1)).alias("n"), F.filter(F.collect_list(T.keywords(F.col("text"))), lambda k: F.size(k) > 0).alias("sets"))
-    pairs = F.flatten(F.transform("sets", lambda a, i: F.transform(F.slice(F.col("sets"), i + 2, F.size("sets")), lambda b: T.jaccard(a, b))))
-    sets = sets.withColumn("pairs", F.when(F.size("sets") > 1, pairs).otherwise(F.array().cast("array<double>")))
-    mean = F.aggregate("pairs", F.lit(0.0), lambda a, x: a + x) / F.size("pairs")
-    return sets.select("transcript_id", "segment_id", F.when(F.col("n") == 1, 1.0).when(F.size("pairs") == 0, 0.5).otherwise(mean).alias("coherence"))
+    sentence, 0.5 without pairs. Equal sets count together, and different ones meet only by a word in common, as rows of a
+    join, so no task holds all pairs of a long segment."""
+    keys = ["transcript_id", "segment_id"]
+    own = rows.select(*keys, F.sort_array(T.keywords(F.col("text"))).alias("kw")).withColumn("set", F.array_join("kw", " "))
+    sets = own.groupBy(*keys, "set").agg(F.count(F.lit(1)).alias("c"), F.first("kw").alias("kw"))
+    c, some = F.col("c"), F.col("set") != ""
+    counts = sets.groupBy(*keys).agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(some, c)), F.lit(0)).alias("m"), F.coalesce(F.sum(F.when(some, c * (c - 1) / 2)), F.lit(0.0)).alias("equal"))
+    words = sets.filter(some).select(*keys, "set", "c", F.size("kw").alias("size"), F.explode("kw").alias("word"))
+    left, right = words.withColumnsRenamed({"set": "a", "c": "ca", "size": "sa"}), words.withColumnsRenamed({"set": "b", "c": "cb", "size": "sb"})
+    both = left.join(right, [*keys, "word"]).filter(F.col("a") < F.col("b")).groupBy(*keys, "a", "b", "ca", "cb", "sa", "sb").agg(F.count(F.lit(1)).alias("both"))
+    apart = both.groupBy(*keys).agg(F.sum(F.col("both") / (F.col("sa") + F.col("sb") - F.col("both")) * F.col("ca") * F.col("cb")).alias("apart"))
+    made = counts.join(apart, keys, "left")
+    pairs = F.col("m") * (F.col("m") - 1) / 2
+    mean = (F.col("equal") + F.coalesce("apart", F.lit(0.0))) / pairs
+    return made.select(*keys, F.when(F.col("n") == 1, 1.0).when(pairs == 0, 0.5).otherwise(mean).alias("coherence"))
 
 
 def segment_texts(rows: DataFrame) -> DataFrame:

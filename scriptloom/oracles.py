@@ -261,7 +261,7 @@ ORACLES: dict[str, str] = {
     "val_issues": f"""{SEG}, {STEPS}, {CHECKED.replace("MINC", "0.2")}, e AS (SELECT unnest(issues) AS type FROM v2), f AS (SELECT type, CASE WHEN type IN ('insufficient_actions', 'very_low_confidence') THEN 'error' WHEN type = 'generic_title' THEN 'info' ELSE 'warning' END AS severity FROM e)
         SELECT severity, type, count(*) AS n FROM f GROUP BY ROLLUP (severity, type)""",
     "val_actions": f"{SEG}, {STEPS}, {VERBS} SELECT transcript_id, step_index, CAST(n_actions AS INT) AS n_actions, n_weak, n_strong, CAST(content_words AS INT) AS content_words, n_warnings, passed FROM checks",
-    "val_verbs": f"{SEG}, {STEPS}, {VERBS} SELECT verb, class, CASE WHEN class = 'weak' THEN 'Use a specific action verb instead of ''' || verb || '''' END AS suggestion, count(*) AS n FROM ax GROUP BY 1, 2, 3",
+    "val_verbs": f"{SEG}, {STEPS}, {VERBS} SELECT verb, class, CASE WHEN class = 'weak' THEN 'too vague: ' || verb END AS suggestion, count(*) AS n FROM ax GROUP BY 1, 2, 3",
     "val_summary": f"{SEG}, {STEPS}, {VERBS} SELECT count(*) AS steps, count_if(passed) AS passed, count_if(NOT passed) AS failed, CAST(sum(n_warnings) AS BIGINT) AS warnings, coalesce((SELECT string_agg(DISTINCT verb, ',' ORDER BY verb) FROM ax WHERE class = 'weak'), '') AS weak_verbs FROM checks",
     "val_accepted": f"""{SEG}, {STEPS}, {CHECKED.replace("MINC", "0.25")}, {VERBS}, {SOURCES}, j AS (SELECT v2.n_errors, passed, coalesce(confidence, 0) AS c, coalesce(n, 0) AS n FROM v2 JOIN checks USING (transcript_id, step_index) LEFT JOIN confidence USING (transcript_id, step_index)),
         k AS (SELECT CASE WHEN NOT passed THEN 'actions' WHEN NOT (c >= 0.25 OR (n >= 1 AND c >= 0.2)) THEN 'sources' WHEN n_errors > 0 THEN 'validation' END AS reason FROM j) SELECT reason IS NULL AS accepted, reason, count(*) AS n FROM k GROUP BY 1, 2""",

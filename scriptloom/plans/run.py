@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Run
 from ..functions import text as T
 from ..operators import chunking, confidence, document, matching, parsing, qa, ranking, segmentation, steps, validation
+from .keep import kept as table
 
 
 @dataclass
@@ -26,14 +27,12 @@ class Result:
 
 def topic_chunks(sentences: DataFrame, config: Run) -> tuple[DataFrame, DataFrame]:
     """(kept segments, chunks): one chunk per segment that passes the gates; transcripts with too few get sentence chunks."""
-    rows = segmentation.segmented(sentences, config.segmentation).persist()
+    rows = table(segmentation.segmented(sentences, config.segmentation))
     kept = qa.without_qa(rows, config.qa) if config.filter_qa else rows
     if config.rank:
         kept = kept.join(ranking.important(ranking.scores(kept, config.ranking), config.ranking).select("transcript_id", "segment_id"), ["transcript_id", "segment_id"], "left_semi")
     texts = segmentation.segment_texts(kept)
     few = texts.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < config.min_steps).select("transcript_id")
-    from pyspark.sql import Window
-
     direct = texts.join(few, "transcript_id", "left_anti").select("transcript_id", (F.row_number().over(Window.partitionBy("transcript_id").orderBy("segment_id")) - 1).cast("int").alias("chunk_index"), "text")
     whole = kept.join(few, "transcript_id", "left_semi").groupBy("transcript_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sentence_index", "text"))), lambda x: x["text"]), " ").alias("text"))
     target = max(config.min_steps, min(config.max_steps, config.target_steps))
@@ -43,19 +42,19 @@ def topic_chunks(sentences: DataFrame, config: Run) -> tuple[DataFrame, DataFram
 def process(lines: DataFrame, config: Run = Run(), pages: DataFrame | None = None, responses: DataFrame | None = None) -> Result:
     """All stages. Flags come from the raw sentences, texts are cleaned after; generated steps may be given as responses, else each
     chunk gives its built-in step with its sentences as actions."""
-    # what several stages read is kept, in memory or on disk; a lost part is worked out again from the lines
-    sentences = parsing.parsed(lines).withColumn("text", T.cleaned(F.col("text"))).persist()
+    # what several stages read is a table between them, so no stage's plan holds those before it
+    sentences = table(parsing.parsed(lines).withColumn("text", T.cleaned(F.col("text"))))
     if config.segments:
         segments, chunks = topic_chunks(sentences, config)
     else:
         whole = segmentation.segment_texts(sentences.withColumn("segment_id", F.lit(0))).select("transcript_id", "text")
         segments, chunks = None, chunking.smart(whole, max(config.min_steps, min(config.max_steps, config.target_steps)))
     made = steps.complete(steps.parsed_responses(responses)) if responses is not None else steps.from_chunks(chunks, with_actions=True)
-    made = made.persist()
+    made = table(made)
     found = matching.transcript_sources(made, sentences, config.matching, reuse=True)
     if pages is not None:
         found = matching.all_sources(found, matching.knowledge_sources(made, pages))
-    found = found.persist()
+    found = table(found)
     conf = confidence.step_confidence(found)
     scored = made.join(conf.select("transcript_id", "step_index", F.col("confidence").alias("confidence_score")), ["transcript_id", "step_index"], "left").fillna(0.0, ["confidence_score"])
     checked = validation.checked(scored, config.validation)

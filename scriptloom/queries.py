@@ -12,6 +12,7 @@ from .operators import chunking, cleaning, confidence, document, jobs, knowledge
 from .operators import steps as S
 from .oracles import ORACLES
 from .plans import run as plan
+from .plans.keep import kept
 
 QUERIES: dict = {}
 FLAGSHIP = "segments"
@@ -77,12 +78,22 @@ def rows_of(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.segmented(parsing.parsed(lines(spark, d)))
 
 
-def step_rows(spark: SparkSession, d: str) -> DataFrame:
+def steps_of(rows: DataFrame) -> DataFrame:
     """The built-in step of each segment, its sentences as actions."""
-    texts = segmentation.segment_texts(rows_of(spark, d)).select("transcript_id", F.col("segment_id").alias("chunk_index"), "text")
+    texts = segmentation.segment_texts(rows).select("transcript_id", F.col("segment_id").alias("chunk_index"), "text")
     return S.from_chunks(texts, with_actions=True).withColumn("confidence_score", F.size("actions") / 10)
 
 
+def step_rows(spark: SparkSession, d: str) -> DataFrame:
+    return steps_of(rows_of(spark, d))
+
+
+def told(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(steps, sentences), each a table, so that lines are parsed once however often both are read."""
+    sentences = kept(parsing.parsed(lines(spark, d)))
+    return kept(steps_of(segmentation.segmented(sentences))), sentences
+
+
 def crawl(spark: SparkSession, d: str) -> DataFrame:
     """Pages as crawled: an age from the id, an error for some."""
     p = table(spark, d, "pages")
@@ -334,7 +345,7 @@ def stp_tokens(spark, d):
 
 @query
 def stp_aligned(spark, d):
-    return S.aligned(step_rows(spark, d), parsing.parsed(lines(spark, d)))
+    return S.aligned(*told(spark, d))
 
 
 # grounding
@@ -347,17 +358,17 @@ def mat_technical(spark, d):
 
 @query
 def mat_candidates(spark, d):
-    return r6(matching.candidates(step_rows(spark, d), parsing.parsed(lines(spark, d))), "word_overlap")
+    return r6(matching.candidates(*told(spark, d)), "word_overlap")
 
 
 @query
 def mat_sources(spark, d):
-    return r6(matching.transcript_sources(step_rows(spark, d), parsing.parsed(lines(spark, d))), "confidence").select("transcript_id", "step_index", "sentence_index", "confidence")
+    return r6(matching.transcript_sources(*told(spark, d)), "confidence").select("transcript_id", "step_index", "sentence_index", "confidence")
 
 
 @query
 def mat_reuse(spark, d):
-    return matching.transcript_sources(step_rows(spark, d), parsing.parsed(lines(spark, d)), reuse=True).groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("total"))
+    return matching.transcript_sources(*told(spark, d), reuse=True).groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("total"))
 
 
 @query
@@ -397,7 +408,7 @@ def mat_knowledge(spark, d):
 
 @query
 def cnf_confidence(spark, d):
-    c = confidence.grounding(confidence.step_confidence(matching.transcript_sources(step_rows(spark, d), parsing.parsed(lines(spark, d)))))
+    c = confidence.grounding(confidence.step_confidence(matching.transcript_sources(*told(spark, d))))
     return r6(c, "confidence").select("transcript_id", "step_index", "n_sources", "confidence", "is_grounded", F.size("warnings").alias("n_warnings"))
 
 
@@ -410,12 +421,12 @@ def cnf_bands(spark, d):
 
 @query
 def cnf_summary(spark, d):
-    return confidence.source_summary(matching.transcript_sources(step_rows(spark, d), parsing.parsed(lines(spark, d))))
+    return confidence.source_summary(matching.transcript_sources(*told(spark, d)))
 
 
 @query
 def cnf_records(spark, d):
-    return confidence.step_records(matching.transcript_sources(step_rows(spark, d), parsing.parsed(lines(spark, d)))).select("transcript_id", "step_index", "n_sources", F.size("sources").alias("listed"), "has_transcript_support")
+    return confidence.step_records(matching.transcript_sources(*told(spark, d))).select("transcript_id", "step_index", "n_sources", F.size("sources").alias("listed"), "has_transcript_support")
 
 
 # validation
@@ -455,8 +466,8 @@ def val_summary(spark, d):
 
 @query
 def val_accepted(spark, d):
-    steps = step_rows(spark, d)
-    conf = confidence.step_confidence(matching.transcript_sources(steps, parsing.parsed(lines(spark, d))))
+    steps, sentences = told(spark, d)
+    conf = confidence.step_confidence(matching.transcript_sources(steps, sentences))
     return validation.accepted(validation.checked(steps, Validation(min_confidence=0.25)), validation.action_check(steps), conf).groupBy("accepted", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -518,13 +529,13 @@ def doc_contents(spark, d):
 
 @query
 def doc_references(spark, d):
-    return document.references(r6(matching.transcript_sources(step_rows(spark, d), parsing.parsed(lines(spark, d))), "confidence")).select("transcript_id", "step_index", "number", "label")
+    return document.references(r6(matching.transcript_sources(*told(spark, d)), "confidence")).select("transcript_id", "step_index", "number", "label")
 
 
 @query
 def doc_statistics(spark, d):
-    steps = step_rows(spark, d)
-    found = matching.transcript_sources(steps, parsing.parsed(lines(spark, d)))
+    steps, sentences = told(spark, d)
+    found = kept(matching.transcript_sources(steps, sentences))
     usage = lines(spark, d).groupBy("transcript_id").agg((F.count(F.lit(1)) * 7.5).alias("seconds"), F.sum(F.length("line")).alias("total_tokens")).withColumn("cost", F.round(F.col("total_tokens") / 1e6 * 0.15, 4))
     return document.statistics(steps, found, usage)
 
@@ -546,8 +557,8 @@ def doc_code_spans_whole(spark, d):
 
 @query
 def doc_sections(spark, d):
-    steps = step_rows(spark, d)
-    found = matching.transcript_sources(steps, parsing.parsed(lines(spark, d)))
+    steps, sentences = told(spark, d)
+    found = kept(matching.transcript_sources(steps, sentences))
     usage = lines(spark, d).groupBy("transcript_id").agg(F.lit(1.0).alias("seconds"), F.count(F.lit(1)).alias("total_tokens"), F.lit(0.0).alias("cost"))
     title = lines(spark, d).select("transcript_id").distinct().withColumn("title", F.col("transcript_id"))
     return document.sections(title, steps, found, document.statistics(steps, found, usage)).select("transcript_id", "part", "position", F.length("text").alias("chars"))
