@@ -18,24 +18,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without their common lines. Null texts fail the rules."""
+    """Documents that the rules keep, without their common lines. Null and empty texts fail the rules; a null source is one host. Null and
+    repeated ids and equal rows are judged row by row. Columns beyond those of documents go, whatever their names; an empty table stays one."""
     judged = quality_rules(docs.select(*COLUMNS)).filter(F.col("_q")["kept"])
     text = F.col("_q")["kept_text"]
     return judged.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word similarity 0.8 or more: the one with the smallest id. Documents without an id
-    stay; of rows that repeat an id one stays."""
+    """One document of each group of five-word similarity 0.8 or more: the one with the smallest id. Rows that share an id are one
+    document: of the one that stays all different texts stay, each once, with the smallest lang, source and n_chars. Rows without an
+    id are in no group and all stay, null texts too. Other columns go; an empty table stays one."""
+    rows = docs.select(*COLUMNS)
     groups = ngram_components(docs, size=5, percent=80)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL")).select(*COLUMNS)
+    kept = rows.join(first, "doc_id", "left_semi").groupBy("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.col("text").isNull().alias("none")).agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r"))
+    return kept.select("doc_id", "r.*").select(*COLUMNS).unionByName(rows.filter("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that occur anywhere else; a character of which only a part is left goes too. All
-    documents stay, also those left without text."""
+    rows stay, also those left without text; a null text becomes an empty one. Rows with equal texts of 200 bytes or more lose all of it, also
+    under one id; null ids are allowed. Other columns go; an empty table stays one."""
 
     @F.pandas_udf("string")
     def pieces(kept: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
@@ -54,13 +58,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each row as often as the mix takes it, never, once or twice. Null and empty texts have no words and come as often as the whole
+    passes of their source; a null source is a source. Rows that repeat an id and its text are taken alike; null ids are allowed.
+    Other columns go; an empty table stays one."""
     mixed = mix_sources(docs.select(*COLUMNS)).filter(F.col("_m")["copies"] > 0)
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")["copies"]))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids) of each row. Python workers still hold what earlier stages used, hence the small groups."""
+    """(doc_id, source, n_tokens, ids) of each row; no tokens for a null or empty text. Ids and sources may be null or repeat. Other columns go;
+    an empty table stays one. Python workers still hold what earlier stages used, hence the small groups."""
     coded = bpe_encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"), group_bytes=1 << 20, known_pieces=200_000).drop("text")
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
