@@ -33,3 +33,23 @@ def test_stages_take_effect(spark, tmp_path):
     for stage in stages.values():
         empty = stage(spark, empty, str(tmp_path))
     assert empty.count() == 0
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, equal rows and columns with clashing names."""
+    rng = random.Random(9)
+    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    one, two, other = own(80), own(80), own(90)
+    rows = [(1, one, "a"), (1, two, "b"), (1, one, "a"), (1, one, "0"), (2, two, "a"), (3, other, None), (None, other, "a"), (None, None, None), (4, None, "a"), (5, "", "a"), (6, other + " more", "a")]
+    df = spark.createDataFrame([(i, t, "en", s, 0, 1, "x", [2]) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, component_id int, _q string, digest array<int>")
+    stages = dict(corpus_pipeline.STAGES)
+    quality = stages["quality"](spark, df, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in quality.collect()) == sorted((i or 0, t) for i, t, _ in rows if t)
+    single = sorted(((r.doc_id or 0, r.text or "", r.source or "") for r in stages["near_duplicates"](spark, df, str(tmp_path)).collect()))
+    assert single == sorted([(1, one, "0"), (1, two, "b"), (3, other, ""), (0, other, "a"), (0, "", ""), (4, "", "a"), (5, "", "a")])
+    cut = stages["repeated_passages"](spark, df, str(tmp_path)).collect()
+    assert len(cut) == len(rows) and all(not r.text for r in cut if r.doc_id in (1, 2))
+    mixed = stages["source_mix"](spark, df, str(tmp_path))
+    assert mixed.columns == corpus_pipeline.COLUMNS
+    coded = stages["tokens"](spark, df, str(tmp_path)).collect()
+    assert len(coded) == len(rows) and all(r.n_tokens == 0 for r in coded if r.doc_id in (4, 5))
