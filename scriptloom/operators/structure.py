@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +20,19 @@ def sequence_counts(docs: DataFrame) -> DataFrame:
 
 
 def sequence_hits(docs: DataFrame) -> DataFrame:
-    """(transcript_id, family, indicator, position), family by family."""
-    patterns = [re.compile(p) for p in L.SEQUENCE_PATTERNS]
+    """(transcript_id, family, indicator, position), family by family. A hit stands after the pieces and hits before it, so its position
+    is the sum of their lengths, folded over the hits in order."""
+    low = F.lower("text")
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("to"))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, i, m[0], m.start()) for k, t in zip(batch["transcript_id"], batch["low"], strict=True) if t for i, p in enumerate(patterns) for m in p.finditer(t)]
-            yield pd.DataFrame(rows, columns=["transcript_id", "family", "indicator", "position"])
+    def places(hits: Column, pieces: Column) -> Column:
+        lengths = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(F.length(p).alias("p"), F.length(h).alias("h")))
+        return F.aggregate(lengths, start, lambda a, x: F.struct(F.array_append(a["at"], a["to"] + x["p"]).alias("at"), (a["to"] + x["p"] + x["h"]).alias("to")), lambda a: a["at"])
 
-    return docs.select("transcript_id", F.lower("text").alias("low")).mapInPandas(run, "transcript_id string, family int, indicator string, position int")
+    families = [F.struct(F.lit(i).alias("family"), F.regexp_extract_all(low, F.lit(p), F.lit(0)).alias("hits"), F.split(low, p, -1).alias("pieces")) for i, p in enumerate(L.SEQUENCE_PATTERNS)]
+    rows = docs.filter(F.col("text").isNotNull()).select("transcript_id", F.inline(F.array(*families))).filter(F.size("hits") > 0)
+    found = F.arrays_zip(F.col("hits").alias("indicator"), places(F.col("hits"), F.col("pieces")).alias("position"))
+    return rows.select("transcript_id", "family", F.inline(found).alias("indicator", "position"))
 
 
 def structure(docs: DataFrame) -> DataFrame:

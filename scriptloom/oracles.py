@@ -205,7 +205,7 @@ ORACLES: dict[str, str] = {
     "cln_exact_duplicates": f"""WITH {DOCS}, a AS (SELECT transcript_id, list_transform(string_split(text, '. '), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))) AS p FROM docs),
         b AS (SELECT transcript_id, unnest(p) AS s, generate_subscripts(p, 1) AS pos FROM a), c AS (SELECT transcript_id, arg_min(s, pos) AS s, min(pos) AS pos FROM b WHERE s <> '' GROUP BY transcript_id, lower(s)),
         d AS (SELECT transcript_id, string_agg(s, '. ' ORDER BY pos) AS t FROM c GROUP BY 1) SELECT docs.transcript_id, length(coalesce(t, '')) AS chars, md5(coalesce(t, '')) AS digest FROM docs LEFT JOIN d ON docs.transcript_id = d.transcript_id""",
-    "prs_sentences": f"{BASE} SELECT * FROM sentences",
+    "prs_sentences": f"{BASE} SELECT *, text AS raw_text FROM sentences",
     "prs_chats": f"WITH {CHAT}, {SENTENCES} SELECT speaker, speaker_role, count(*) AS n, count_if(speaker_changed) AS changes, count_if(is_question) AS questions FROM sentences GROUP BY 1, 2",
     "prs_metadata": f"""{BASE}, n AS (SELECT transcript_id, speaker, count(*) AS n, min(sentence_index) AS f FROM sentences WHERE speaker IS NOT NULL GROUP BY ALL),
         w AS (SELECT transcript_id, string_agg(speaker, ',' ORDER BY f) AS speaker_names, first(speaker ORDER BY n DESC, f) AS primary_speaker, max(n) AS n, count(*) AS k FROM n GROUP BY 1)
@@ -217,9 +217,10 @@ ORACLES: dict[str, str] = {
     "chk_paragraphs": f"WITH {PARAS} SELECT transcript_id, chunk_index, length(text) AS chars FROM pf",
     "chk_step_count": f"WITH {CHUNKS} SELECT transcript_id, CAST(greatest(3, least(15, max(n))) AS INT) AS steps FROM c2 GROUP BY 1",
     "str_paragraphs": f"WITH {PARAS} SELECT transcript_id, count(*) AS n, sum(length(part)) AS chars FROM pe GROUP BY 1",
-    "segments": f"""{SEG} SELECT r.transcript_id, r.segment_id, count(*) AS n_sentences, min(timestamp) AS start_ts, max(timestamp) AS end_ts, max(timestamp) - min(timestamp) AS duration, any_value(primary_speaker) AS primary_speaker,
+    "segments": f"""{SEG} , sc AS (SELECT transcript_id, segment_id, '{{' || string_agg('"' || speaker || '":' || CAST(n AS STRING), ',' ORDER BY speaker) || '}}' AS speaker_counts FROM (SELECT transcript_id, segment_id, speaker, count(*) AS n FROM rowz WHERE speaker IS NOT NULL GROUP BY ALL) GROUP BY ALL)
+        SELECT r.transcript_id, r.segment_id, any_value(speaker_counts) AS speaker_counts, min(sentence_index) AS first_index, max(sentence_index) AS last_index, count(*) AS n_sentences, min(timestamp) AS start_ts, max(timestamp) AS end_ts, max(timestamp) - min(timestamp) AS duration, any_value(primary_speaker) AS primary_speaker,
         count_if(is_question) AS question_count, arg_min(is_transition, sentence_index) AS has_transition_start, bool_or(is_question AND speaker_role = 'participant') AS has_qa_section, bool_or(fallback_split) AS fallback_split
-        FROM rowz r LEFT JOIN who w ON r.transcript_id = w.transcript_id AND r.segment_id = w.segment_id GROUP BY 1, 2""",
+        FROM rowz r LEFT JOIN who w ON r.transcript_id = w.transcript_id AND r.segment_id = w.segment_id LEFT JOIN sc ON r.transcript_id = sc.transcript_id AND r.segment_id = sc.segment_id GROUP BY 1, 2""",
     "seg_scores": f"{BASE}, {SCORES} SELECT transcript_id, sentence_index, round(CAST(gap_score AS DOUBLE), 6) AS gap_score, CAST(speaker_score AS DOUBLE) AS speaker_score, CAST(transition_score AS DOUBLE) AS transition_score, round(CAST(dissimilarity AS DOUBLE), 6) AS dissimilarity, round(boundary_score, 6) AS boundary_score, is_boundary FROM scored",
     "seg_coherence": f"{SEG}, {COH} SELECT transcript_id, segment_id, round(CAST(coherence AS DOUBLE), 6) AS coherence FROM coh",
     "seg_texts": f"{SEG} SELECT transcript_id, segment_id, text FROM texts",
@@ -230,9 +231,9 @@ ORACLES: dict[str, str] = {
     "qaf_statistics": f"""{SEG}, d AS (SELECT transcript_id, segment_id, count(*) AS n, count_if(is_question) AS k FROM rowz GROUP BY ALL) SELECT transcript_id, count(*) AS segments, count_if(k >= 0.3 * n AND k >= 2) AS qa_segments, CAST(sum(k) AS BIGINT) AS questions,
         CAST(sum(n) AS BIGINT) AS sentences, count(*) - count_if(k >= 0.3 * n AND k >= 2) AS kept, round(CAST(sum(k) AS DOUBLE) / sum(n), 6) AS density, round(CAST(count_if(k >= 0.3 * n AND k >= 2) AS DOUBLE) / count(*), 6) AS filter_rate FROM d GROUP BY 1""",
     "rnk_scores": f"""{SEG}, {RANK} SELECT transcript_id, segment_id, n_sentences, CAST(verbs AS INT) AS verbs, round(procedural, 6) AS procedural, round(action_density, 6) AS action_density, round(importance, 6) AS importance,
-        CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY round(importance, 9) DESC, segment_id) AS INT) AS rank FROM ranked""",
+        round(CAST(coherence AS DOUBLE), 6) AS coherence, round(procedural * 0.4, 6) AS part_procedural, round(action_density * 0.3, 6) AS part_density, round(CAST(coherence AS DOUBLE) * 0.3, 6) AS part_coherence, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY round(importance, 9) DESC, segment_id) AS INT) AS rank FROM ranked""",
     "rnk_important": f"{SEG}, {RANK} SELECT transcript_id, segment_id, round(importance, 6) AS importance FROM ranked WHERE round(importance, 9) >= 0.3",
-    "rnk_report": f"{SEG}, {RANK}, x AS (SELECT transcript_id, round(importance, 6) AS i FROM ranked) SELECT transcript_id, count(*) AS segments, count_if(i >= 0.7) AS high, count_if(i >= 0.3 AND i < 0.7) AS medium, count_if(i < 0.3) AS low, round(max(i), 3) AS max, round(min(i), 3) AS min FROM x GROUP BY 1",
+    "rnk_report": f"{SEG}, {RANK}, x AS (SELECT transcript_id, round(importance, 6) AS i FROM ranked) SELECT transcript_id, count(*) AS segments, count_if(i >= 0.7) AS high, count_if(i >= 0.3 AND i < 0.7) AS medium, count_if(i < 0.3) AS low, round(max(i), 3) AS max, round(min(i), 3) AS min, round(avg(i), 3) AS avg, round(stddev_pop(i), 3) AS std FROM x GROUP BY 1",
     "str_structure": f"""{SEG}, t AS (SELECT transcript_id, string_agg(text, ' ' ORDER BY segment_id) AS text FROM texts GROUP BY 1), u AS (SELECT transcript_id, CAST(len(regexp_split_to_array(trim(text), '\\s+')) AS INT) AS words,
         list_filter([{q(L.STRUCTURE_VERBS)}], lambda w: contains(lower(text), w)) AS a, list_filter([{q(L.ROLES)}], lambda w: contains(lower(text), w)) AS r, list_filter([{q(L.DECISIONS)}], lambda w: contains(lower(text), w)) AS d FROM t)
         SELECT transcript_id, words, array_to_string(a, ',') AS actions, array_to_string(r, ',') AS roles, array_to_string(d, ',') AS decisions,
@@ -283,10 +284,85 @@ ORACLES: dict[str, str] = {
         SELECT transcript_id, i, n + 3 + coalesce(sum(CASE code WHEN '' THEN 1 ELSE length(code) + 3 END) OVER (PARTITION BY transcript_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, code FROM l)
       SELECT transcript_id, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY i) - 1 AS INT) AS number, CAST(b AS INT) AS start, CAST(b + length(code) + 2 AS INT) AS "end", sha256(code) AS code_sha256 FROM s WHERE length(code) > 50""",
     "job_recent_of_all": f"WITH {JOBS} SELECT user_id, id, status, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS rank FROM jobs) WHERE rank <= 3",
-    "job_recent": f"WITH {JOBS}, b AS (SELECT user_id FROM jobs GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1) SELECT id, user_id, status, CAST(total_steps AS STRING) AS total_steps, CAST(row_number() OVER (ORDER BY created_at DESC, id) AS INT) AS rank FROM jobs WHERE user_id IN (SELECT user_id FROM b) QUALIFY rank <= 10",
+    "job_recent": f"WITH {JOBS}, b AS (SELECT user_id FROM jobs GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1) SELECT id, user_id, status, CAST(total_steps AS STRING) AS total_steps FROM jobs WHERE user_id IN (SELECT user_id FROM b) AND status = 'completed' ORDER BY created_at DESC, id LIMIT 50",
     "job_history": f"WITH {JOBS} SELECT user_id, status, count(*) AS n, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS latest FROM jobs WHERE status IN ('completed', 'failed') GROUP BY 1, 2",
     "job_active": f"WITH {JOBS} SELECT status, count(*) AS n FROM jobs WHERE status IN ('queued', 'processing') OR (status = 'completed' AND epoch(TIMESTAMP '1998-01-01 00:00:00') - epoch(updated_at) <= 5) GROUP BY 1",
     "job_state": """WITH e AS (SELECT user_id AS id, ts, event_id, CASE WHEN event_type <> 'view' THEN event_type END AS stage, CASE WHEN event_id % 3 = 0 THEN event_id END AS step FROM events)
         SELECT id, last(stage ORDER BY ts, event_id) FILTER (stage IS NOT NULL) AS stage, last(step ORDER BY ts, event_id) FILTER (step IS NOT NULL) AS step, last(event_id ORDER BY ts, event_id) AS last_event FROM e GROUP BY 1""",
     "job_results": f"WITH {JOBS} SELECT id, total_steps, CAST(0 AS DOUBLE) AS average_confidence, 0 AS high_confidence_steps, CAST(0 AS BIGINT) AS input_tokens, CAST(0 AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS total_tokens FROM jobs",
 }
+
+
+_low = "lower(line)"
+_title = "array_to_string(list_transform(string_split(replace(replace({x}, '_', ' '), '-', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+_path = "regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')"
+_host = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)"
+_name = f"regexp_replace(string_split({_path}, '/')[-1], '\\.[^.]*$', '')"
+
+
+def _spent(s: str) -> str:
+    """Seconds as text, an hour and more in whole minutes and hours."""
+    m, h, d = f"CAST(floor({s} / 60) AS BIGINT)", f"CAST(floor({s} / 3600) AS BIGINT)", f"CAST(floor({s} / 86400) AS BIGINT)"
+    rest = lambda x, unit: f"CASE WHEN {x} > 0 THEN ' ' || CAST({x} AS STRING) || ' {unit}' ELSE '' END"
+    return f"""CASE WHEN {s} < 1 THEN 'just now' WHEN {s} < 60 THEN CAST({s} AS STRING) || ' secs' WHEN {m} < 60 THEN CAST({m} AS STRING) || ' min' || {rest(f'({s} % 60)', 'sec')}
+        WHEN {h} < 24 THEN CAST({h} AS STRING) || ' hr' || {rest(f'({m} % 60)', 'min')} ELSE CAST({d} AS STRING) || CASE WHEN {d} = 1 THEN ' day' ELSE ' days' END || {rest(f'({h} % 24)', 'hr')} END"""
+
+
+def _ago(s: str) -> str:
+    part = lambda n, unit: f"CAST(CAST(floor({s} / {n}) AS BIGINT) AS STRING) || CASE WHEN floor({s} / {n}) = 1 THEN ' {unit} ago' ELSE ' {unit}s ago' END"
+    return f"CASE WHEN {s} < 5 THEN 'just now' WHEN {s} < 60 THEN CAST({s} AS STRING) || ' secs ago' WHEN {s} < 3600 THEN {part(60, 'min')} WHEN {s} < 86400 THEN {part(3600, 'hr')} ELSE {part(86400, 'day')} END"
+
+
+_age, _took = "CAST(epoch(TIMESTAMP '2026-01-01 00:00:00') - epoch(created_at) AS BIGINT)", "CAST(epoch(updated_at) - epoch(created_at) AS BIGINT)"
+_stages = "pending load_transcript clean_transcript fetch_knowledge azure_di_analysis determine_steps generate_steps build_sources validate_steps create_document upload_document complete error".split()
+_seq = " UNION ALL ".join(
+    f"SELECT transcript_id, {i} AS family, regexp_extract_all({_low}, {rx(p)}) AS hits, regexp_split_to_array({_low}, {rx(p)}) AS pieces FROM lines" for i, p in enumerate(L.SEQUENCE_PATTERNS)
+)
+_tags = f"list_filter(regexp_extract_all(z, '\\[[\\w\\s]+\\]'), lambda x: NOT regexp_matches(x, '(?i)^\\[({'|'.join(L.VISUAL)})'))"
+_plain = "line || ' [inaudible] (laughs) [slide 2] [some words]'"
+for _t in L.TAGS:
+    _plain = f"replace({_plain}, '{_t}', '')"
+_words = "list_distinct(list_filter(regexp_split_to_array(trim(lower(title || ' ' || summary || ' ' || details)), '\\s+'), lambda w: length(w) > 3))"
+# distinct words in text order, which list_distinct does not keep
+_told = match_words("title || ' ' || summary || ' ' || details || ' ' || array_to_string(actions, ' ')", STOP).removeprefix("list_distinct")
+_keys = "list_filter(w, lambda x: length(x) > 4)"
+_pairs = "list_filter(range(1, len(w)), lambda i: length(w[i]) > 3 AND length(w[i + 1]) > 3 AND contains(lower(text), w[i] || ' ' || w[i + 1]))"
+_bare = f"CASE WHEN len(list_filter([{q(L.BARE_VERBS)}], lambda v: list_contains(actions, v) AND contains(lower(text), v))) > 0 THEN 0.1 ELSE 0 END"
+_three = """s1 AS (SELECT transcript_id, step_index, max(confidence) AS c FROM sources GROUP BY ALL),
+    s2 AS (SELECT transcript_id, step_index, 'transcript' AS type, confidence FROM sources UNION ALL SELECT transcript_id, step_index, 'knowledge', c / 2 FROM s1 WHERE step_index % 2 = 0 UNION ALL SELECT transcript_id, step_index, 'visual', 0.8 FROM s1 WHERE step_index % 3 = 0),
+    s3 AS (SELECT *, row_number() OVER (PARTITION BY transcript_id, step_index, type = 'visual' ORDER BY confidence DESC) AS rn FROM s2),
+    s4 AS (SELECT transcript_id, step_index, count(*) AS n_sources, count_if(type <> 'visual') AS n, count_if(type = 'transcript') AS nt, count_if(type = 'knowledge') AS nk, bool_or(type = 'visual') AS has_visual_support,
+      coalesce(max(confidence) FILTER (type <> 'visual' AND rn = 1), 0) AS c1, coalesce(max(confidence) FILTER (type <> 'visual' AND rn = 2), 0) AS c2, coalesce(max(confidence) FILTER (type <> 'visual' AND rn = 3), 0) AS c3 FROM s3 GROUP BY ALL)"""
+
+ORACLES |= {
+    "cln_tags": f"WITH {LINES}, a AS (SELECT transcript_id, line_no, {_plain} AS z FROM lines), b AS (SELECT transcript_id, line_no, z, {_tags} AS tags FROM a) SELECT transcript_id, line_no, regexp_replace(list_reduce(list_concat([z], tags), lambda a, x: replace(a, x, '')), '\\([\\w\\s]+\\)', '', 'g') AS text FROM b",
+    "chk_smart": f"""WITH {PARAS}, d2 AS (SELECT CAST(doc_id AS STRING) AS transcript_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents), e1 AS (SELECT transcript_id, {sentence_list("text")} AS parts FROM d2),
+        e2 AS (SELECT transcript_id, len(parts) AS n, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS pos FROM e1), e3 AS (SELECT transcript_id, part, pos, CASE WHEN n <= 8 THEN 1 ELSE greatest(2, least(20, ceil(n / 8.0))) END AS size FROM e2),
+        e4 AS (SELECT transcript_id, CAST(floor(pos / size) AS INT) AS chunk_index, string_agg(part, ' ' ORDER BY pos) AS text FROM e3 GROUP BY ALL), p AS (SELECT transcript_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM pf GROUP BY 1 HAVING abs(count(*) - 8) <= 1)
+        SELECT * FROM p UNION ALL SELECT transcript_id, count(*), CAST(sum(length(text)) AS BIGINT) FROM e4 WHERE transcript_id NOT IN (SELECT transcript_id FROM p) GROUP BY 1""",
+    "qaf_instructor_led": f"""{SEG}, o AS (SELECT r.transcript_id, r.segment_id, arg_min(coalesce(speaker_role, 'none'), sentence_index) AS role FROM rowz r LEFT JOIN who w ON r.transcript_id = w.transcript_id AND r.segment_id = w.segment_id
+        WHERE speaker IS NOT DISTINCT FROM primary_speaker AND (speaker_role IS NULL OR speaker_role = 'instructor') GROUP BY 1, 2), n AS (SELECT transcript_id, segment_id, avg(CAST(is_question AS INT)) AS density FROM rowz GROUP BY 1, 2)
+        SELECT n.transcript_id, n.segment_id, coalesce(role = 'instructor' OR (role = 'none' AND density < 0.2), false) AS instructor_led FROM n LEFT JOIN o ON n.transcript_id = o.transcript_id AND n.segment_id = o.segment_id""",
+    "str_sequence_hits": f"""WITH {LINES}, a AS ({_seq}), b AS (SELECT transcript_id, family, hits, pieces, unnest(range(1, len(hits) + 1)) AS i FROM a)
+        SELECT transcript_id, family, hits[i] AS indicator, CAST(length(array_to_string(pieces[1:i], '')) + length(array_to_string(hits[1:i - 1], '')) AS INT) AS position FROM b""",
+    "stp_aligned": f"""{SEG}, {STEPS}, a AS (SELECT transcript_id, step_index, unnest({_words}) AS word FROM st), b AS (SELECT transcript_id, sentence_index, list_distinct(regexp_split_to_array(trim(lower(text)), '\\s+')) AS tokens FROM sentences),
+        c AS (SELECT a.transcript_id, step_index, sentence_index, count(*) AS matches FROM a JOIN b ON a.transcript_id = b.transcript_id AND len(list_filter(tokens, lambda t: contains(t, word))) > 0 GROUP BY ALL HAVING count(*) >= 2)
+        SELECT transcript_id, step_index, sentence_index, matches, CAST(row_number() OVER (PARTITION BY transcript_id, step_index ORDER BY matches DESC, sentence_index) AS INT) AS rank FROM c QUALIFY rank <= 3""",
+    "mat_keywords": f"""{SEG}, {STEPS}, {MATCH}, wl AS (SELECT transcript_id, step_index, {_told} AS a FROM st), wo AS (SELECT transcript_id, step_index, list_filter(a, lambda x, i: list_position(a, x) = i) AS w FROM wl), k AS (SELECT c.*, w FROM cand c JOIN wo USING (transcript_id, step_index)), l AS (SELECT *, CASE WHEN len({_keys}) > 0 THEN CAST(len(list_filter({_keys}, lambda x: contains(lower(text), x))) AS DOUBLE) / len({_keys}) ELSE 0 END AS kw,
+        least(0.6, len({_pairs}) * 0.2) AS ph, {technical("text")} AS tech FROM k) SELECT transcript_id, step_index, sentence_index, round(CAST(kw AS DOUBLE), 6) AS keyword_score, round(CAST(ph AS DOUBLE), 6) AS phrase_score,
+        round(CAST(CAST(shared AS DOUBLE) / (n_step + n_sentence - shared) * 0.4 + kw * 0.4 + ph * 0.2 + {_bare} AS DOUBLE), 6) AS base_score, round(tech, 6) AS technical FROM l""",
+    "mat_hybrid": f"""{SEG}, {STEPS}, {MATCH}, v AS (SELECT c.*, greatest(0.0, least(1.0, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])))) AS near FROM cand c JOIN embeddings x ON x.vec_id = c.step_index * 7 % 100 JOIN embeddings y ON y.vec_id = c.sentence_index * 3 % 100),
+        u AS (SELECT *, (CAST(shared AS DOUBLE) / (n_step + n_sentence - shared) * 0.5 + near * 0.5 + {_bare}) * 0.85 AS x, {technical("text")} AS tech FROM v), t AS (SELECT *, least(1.0, CASE WHEN x >= 0.1 THEN x + tech * 0.2 ELSE x END) AS confidence FROM u)
+        SELECT transcript_id, step_index, sentence_index, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM t WHERE confidence >= 0.15 QUALIFY row_number() OVER (PARTITION BY transcript_id, step_index ORDER BY round(confidence, 9) DESC, sentence_index) <= 5""",
+    "mat_all_sources": f"""{SEG}, {STEPS}, {SOURCES}, {_three} SELECT transcript_id, step_index, n_sources, nt > 0 AS has_transcript_support, nk > 0 AS has_knowledge_support, has_visual_support, 'transcript (' || CAST(nt AS STRING) || ')' || CASE WHEN nk > 0 THEN ', knowledge (' || CAST(nk AS STRING) || ')' ELSE '' END AS summary,
+        round(CAST(least(1.0, CASE WHEN n = 1 THEN c1 WHEN n = 2 THEN c1 * 0.6 + c2 * 0.4 ELSE c1 * 0.5 + c2 * 0.3 + c3 * 0.2 END * CASE WHEN n >= 4 THEN 1.25 WHEN n = 3 THEN 1.15 WHEN n = 2 THEN 1.08 ELSE 1.0 END * CASE WHEN nk > 0 THEN 1.12 ELSE 1.0 END * CASE WHEN c1 > 0.5 THEN 1.1 ELSE 1.0 END) AS DOUBLE), 6) AS confidence FROM s4""",
+    "knw_titles": f"SELECT page_id, coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]+'), false) AS is_valid, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, CASE WHEN {_name} = '' THEN {_host} ELSE {_title.format(x=_name)} END AS url_title FROM pages",
+    "doc_sections": f"""{SEG}, {STEPS}, {SOURCES}, r AS (SELECT transcript_id, step_index, sentence_index, text, row_number() OVER (PARTITION BY transcript_id, step_index ORDER BY confidence DESC, sentence_index, text) AS number FROM sources), t AS (SELECT DISTINCT transcript_id FROM lines), n AS (SELECT transcript_id, count(*) AS n FROM st GROUP BY 1), m AS (SELECT transcript_id, count(*) AS m FROM r GROUP BY 1)
+        SELECT transcript_id, 0 AS part, 0 AS position, length(transcript_id) AS chars FROM t UNION ALL SELECT transcript_id, 1, 100 + step_index, length('Step ' || CAST(step_index + 1 AS STRING) || ': ' || title) FROM st
+        UNION ALL SELECT transcript_id, 1, p, length(e) FROM n, (VALUES (0, 'Introduction'), (1000000, 'Source References'), (1000001, 'Document Statistics')) AS v(p, e) UNION ALL SELECT transcript_id, 2, 0, length('This document has ' || CAST(n AS STRING) || ' steps.') FROM n
+        UNION ALL SELECT transcript_id, 3, step_index, length(title) + length(summary) + length(details) + 3 + coalesce(length(array_to_string(list_transform(actions, lambda a: '- ' || a), chr(10))), 0) FROM st
+        UNION ALL SELECT transcript_id, 4, step_index * 1000 + number, length('Transcript (Sentence ' || CAST(sentence_index + 1 AS STRING) || ') ' || text) FROM r
+        UNION ALL SELECT transcript_id, 5, 0, length('Steps: ' || CAST(n AS STRING) || ', references: ' || CAST(coalesce(m, 0) AS STRING)) FROM n LEFT JOIN m USING (transcript_id)""",
+    "job_stages": f"""WITH s AS (SELECT event_id, [{q(_stages)}][event_id % 13 + 1] AS stage, event_id % 13 AS i FROM events) SELECT event_id, stage, CASE stage WHEN 'complete' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status, CASE WHEN i < 12 THEN round(CAST(i AS DOUBLE) / 11, 6) END AS progress FROM s""",
+    "job_times": f"WITH {JOBS} SELECT id, {_spent(_took)} AS duration, {_ago(_age)} AS age FROM jobs",
+}

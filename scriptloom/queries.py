@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .config import QaFilter, Validation
+from .config import Matching, QaFilter, Validation
 from .functions import text as T
 from .operators import chunking, cleaning, confidence, document, jobs, knowledge, matching, parsing, qa, ranking, segmentation, structure, validation
 from .operators import steps as S
@@ -111,9 +111,8 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 @query
 def src_read_job(spark, d):
     j = job_rows(spark, d)
-    one = j.orderBy("created_at", "id").limit(1).select(F.col("id").alias("_i"))
-    made = j.join(F.broadcast(one), j.id == F.col("_i")).drop("_i")
-    return made.select("id", "user_id", "status", F.from_json("result", jobs.RESULT)["metrics"]["total_steps"].alias("total_steps"))
+    one = j.orderBy("created_at", "id").select("id", "user_id").first()
+    return jobs.read_job(j, one["id"], one["user_id"]).select("id", "user_id", "status", F.col("result")["metrics"]["total_steps"].alias("total_steps"))
 
 
 @query
@@ -174,7 +173,7 @@ def cln_normalized(spark, d):
 
 @query
 def prs_sentences(spark, d):
-    return parsing.parsed(lines(spark, d)).drop("raw_text")
+    return parsing.parsed(lines(spark, d))
 
 
 @query
@@ -227,7 +226,7 @@ def chk_step_count(spark, d):
 @query
 def segments(spark, d):
     return segmentation.segment_records(rows_of(spark, d)).withColumn("speaker_counts", F.to_json("speaker_counts")).select(
-        "transcript_id", "segment_id", "n_sentences", "start_ts", "end_ts", "duration", "primary_speaker", "question_count", "has_transition_start", "has_qa_section", "fallback_split"
+        "transcript_id", "segment_id", "n_sentences", "first_index", "last_index", "start_ts", "end_ts", "duration", "primary_speaker", "speaker_counts", "question_count", "has_transition_start", "has_qa_section", "fallback_split"
     )
 
 
@@ -276,7 +275,7 @@ def qaf_statistics(spark, d):
 
 @query
 def rnk_scores(spark, d):
-    return r6(ranking.ranked(ranking.scores(rows_of(spark, d))), "procedural", "action_density", "coherence", "importance").select("transcript_id", "segment_id", "n_sentences", "verbs", "procedural", "action_density", "importance", "rank")
+    return r6(ranking.ranked(ranking.scores(rows_of(spark, d))), "procedural", "action_density", "coherence", "part_procedural", "part_density", "part_coherence", "importance")
 
 
 @query
@@ -286,7 +285,7 @@ def rnk_important(spark, d):
 
 @query
 def rnk_report(spark, d):
-    return ranking.report(r6(ranking.scores(rows_of(spark, d)), "importance")).select("transcript_id", "segments", "high", "medium", "low", "max", "min")
+    return ranking.report(r6(ranking.scores(rows_of(spark, d)), "importance"))
 
 
 # structure
@@ -371,6 +370,42 @@ def mat_reuse(spark, d):
     return matching.transcript_sources(*told(spark, d), reuse=True).groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("total"))
 
 
+@query
+def mat_keywords(spark, d):
+    """All candidates with the scores of keywords and phrases."""
+    steps, sentences = told(spark, d)
+    rows = matching.scored(steps, sentences, Matching(word=0.4, semantic=0.0, keyword=0.4, phrase=0.2))
+    return r6(rows, "word_overlap", "keyword_score", "base_score", "technical").select("transcript_id", "step_index", "sentence_index", "keyword_score", F.round("phrase_score", 6).alias("phrase_score"), "base_score", "technical")
+
+
+def with_vectors(rows: DataFrame, e: DataFrame, number: Column) -> DataFrame:
+    """Rows with one of the first hundred vectors, by a number."""
+    return rows.withColumn("_v", number % 100).join(e.filter("vec_id < 100").select(F.col("vec_id").alias("_v"), "embedding"), "_v").drop("_v")
+
+
+@query
+def mat_hybrid(spark, d):
+    """Word overlap and vectors, half each; a step and a sentence get the vectors of their numbers."""
+    steps, sentences = told(spark, d)
+    e = table(spark, d, "embeddings")
+    found = matching.transcript_sources(with_vectors(steps, e, F.col("step_index") * 7), with_vectors(sentences, e, F.col("sentence_index") * 3), Matching())
+    return found.select("transcript_id", "step_index", "sentence_index", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def mat_all_sources(spark, d):
+    """Sources of three kinds per step: sentences, pages (one per part of the table, told by its title) and screens (one per
+    step of the transcript, told by its title), and the confidence of steps that have all of them."""
+    steps, sentences = told(spark, d)
+    heard = matching.transcript_sources(steps, sentences)
+    first = heard.groupBy("transcript_id", "step_index").agg(F.max("confidence").alias("confidence"))
+    pages = matching.as_sources(first.filter("step_index % 2 = 0").withColumns({"excerpt": F.concat(F.lit("page "), F.col("step_index").cast("string")), "confidence": F.col("confidence") / 2}), "knowledge")
+    screens = matching.as_sources(first.filter("step_index % 3 = 0").withColumns({"screenshot_ref": F.concat(F.lit("screen-"), F.col("step_index").cast("string")), "confidence": F.lit(0.8)}), "visual")
+    every = matching.all_sources(heard, pages, screens)
+    made = confidence.step_confidence(every).join(confidence.source_summary(every), ["transcript_id", "step_index"])
+    return r6(made, "confidence")
+
+
 @query
 def mat_cosine(spark, d):
     e = table(spark, d, "embeddings")
@@ -576,8 +611,8 @@ def run_metrics(spark, d):
 @query
 def job_recent(spark, d):
     j = job_rows(spark, d)
-    busiest = j.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").limit(1).select("user_id")
-    return jobs.recent_of_all(j.join(F.broadcast(busiest), "user_id"), 10).select("id", "user_id", "status", F.get_json_object("result", "$.metrics.total_steps").alias("total_steps"), "rank")
+    busiest = j.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first()
+    return jobs.recent(j, busiest["user_id"], 60, "completed").select("id", "user_id", "status", F.get_json_object("result_metrics", "$.total_steps").alias("total_steps"))
 
 
 @query
