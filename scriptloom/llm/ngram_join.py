@@ -6,7 +6,7 @@ n-gram is counted over all of them by exchanging packed hashes (see blocks). The
 cutting the order of hashes into fragments: each fragment of a pair gives a partial overlap, and the sums per
 pair decide. Pairs come in two rounds. In the first each n-gram links its documents of one size band to one of
 them, so a group of copies gives as many pairs as documents. In the second all remaining candidates in different
-components follow, so no link between components is missed.
+components follow, so no link between components is missed; long lists are dealt into blocks there.
 """
 
 from __future__ import annotations
@@ -160,8 +160,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame, fragments: int, percent: int) ->
     return total.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct()
 
 
-def linked(sets: DataFrame, fragments: int, percent: int) -> DataFrame:
-    """Links between texts, enough for the components: (a, b) by key."""
+def linked(sets: DataFrame, fragments: int, percent: int, list_rows: int = 1000) -> DataFrame:
+    """Links between texts, enough for the components: (a, b) by key. list_rows: documents of one n-gram that meet in a task."""
     posted = sets.select("k", "n", "digest", F.explode("prefix").alias("p")).select("k", "n", "digest", F.col("p.h").alias("h"), F.col("p.at").alias("at"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     hubs = posted.withColumn("band", band)
@@ -170,23 +170,30 @@ def linked(sets: DataFrame, fragments: int, percent: int) -> DataFrame:
     first = cut(overlaps(stars, sets, fragments, percent))
     label = components(first)
     labelled = posted.join(label, posted.k == label.node, "left").select("k", "n", "digest", "h", "at", F.coalesce("component", "k").alias("component"))
-    mixed = labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("h")
+    # a long list is dealt into blocks that meet pair by pair, each pair of blocks in a task of its own
+    mixed = labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many")).filter("low < high").select("h", F.ceil(F.col("many") / list_rows).cast("int").alias("blocks"))
     mine = sets.select("k", "digest", F.transform("prefix", lambda x: x["h"]).alias("mine"))
-    open_lists = labelled.join(mixed, "h").join(mine, ["k", "digest"])
-    x = open_lists.select(*[F.col(c).alias(f"{c}_a") for c in open_lists.columns])
-    y = open_lists.select(*[F.col(c).alias(f"{c}_b") for c in open_lists.columns])
+    own = F.pmod(F.xxhash64("k", "digest"), F.col("blocks")).cast("int")
+    open_lists = labelled.withColumn("band", band).join(mixed, "h").withColumn("own", own).join(mine, ["k", "digest"])
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # sizes that can link lie in the same band or in neighbours
+    left = open_lists.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).withColumns({"first": F.col("own"), "second": F.explode(every)})
+    right = open_lists.withColumns({"second": F.col("own"), "first": F.explode(every)})
+    names = ["k", "n", "at", "component", "mine"]
+    x = left.select("h", "band", "first", "second", *[F.col(c).alias(f"{c}_a") for c in names])
+    y = right.select("h", "band", "first", "second", *[F.col(c).alias(f"{c}_b") for c in names])
     need = least_overlap(F.col("n_a"), F.col("n_b"), percent)
     fits = (
-        (F.col("h_a") == F.col("h_b")) & (F.col("k_a") < F.col("k_b")) & (F.col("component_a") != F.col("component_b"))
+        (F.col("k_a") < F.col("k_b")) & (F.col("component_a") != F.col("component_b"))
         & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
         & (F.col("at_a") <= F.col("n_a") - need) & (F.col("at_b") <= F.col("n_b") - need)
-        & (F.get(F.array_intersect("mine_a", "mine_b"), F.lit(0)) == F.col("h_a"))
+        & (F.get(F.array_intersect("mine_a", "mine_b"), F.lit(0)) == F.col("h"))
     )
-    rest = x.join(y, fits).select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
+    rest = x.join(y, ["h", "band", "first", "second"]).filter(fits).select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
     return first.union(overlaps(rest, sets, fragments, percent))
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, fragments: int = 8, block_bytes: int = 4 << 20) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, fragments: int = 8, block_bytes: int = 4 << 20, list_rows: int = 1000) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row: texts link when their sets of word n-grams (A-Z in lower case; a
     text with fewer words is one n-gram of all) have a Jaccard similarity of percent or more; component_id is the
     smallest id reachable by links.
@@ -194,12 +201,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null text and text without words: n_shingles 0 and a component of its own. Rows with a null id take no part in links
     and have no component. Rows that repeat an id are one document, all texts under it included. Equal texts are
     compared once and joined to their class. An empty table gives no rows; other columns are ignored. Sets are
-    cut into fragments, so a task holds a block of documents or fragments of a batch of pairs.
+    cut into fragments, so a task holds a block of documents, fragments of a batch of pairs, or list_rows documents of one n-gram twice.
     """
     base, n_blocks = B.text_blocks(docs, id_col, text_col, block_bytes)
 
     sets = rare_sets(base, n_blocks, size, percent)
-    links = linked(sets.filter("grams IS NOT NULL").select("k", "digest", "n", "prefix", "grams"), fragments, percent)
+    links = linked(sets.filter("grams IS NOT NULL").select("k", "digest", "n", "prefix", "grams"), fragments, percent, list_rows)
     some = sets.filter("n > 0 AND doc_id IS NOT NULL").select("k", "digest")
     copies = some.groupBy("digest").agg(F.min("k").alias("a"), F.max("k").alias("top")).filter("a < top").drop("top")
     same = some.join(copies, "digest").filter("k != a").select("a", F.col("k").alias("b")).distinct()
