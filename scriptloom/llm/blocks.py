@@ -59,6 +59,12 @@ def released() -> None:
         trim(0)
 
 
+def forgotten() -> None:
+    """The same, with what a worker keeps for blocks: for a task of another kind."""
+    POWERS.clear()
+    released()
+
+
 def with_replies(blocks: DataFrame, replies: DataFrame, step: Callable, schema: str) -> DataFrame:
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         made = step(docs, replies)

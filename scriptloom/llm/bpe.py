@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import forgotten
 from .common import text_of
 
 # The public pre-tokenisation pattern of this kind of vocabulary.
@@ -202,6 +203,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out: str
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forgotten()
         encoder = Encoder(tokenizer, known_pieces)
         for batch in batches:
             at = 0
