@@ -60,6 +60,8 @@ MATCH_STOPS = [
 BARE_VERBS = ["click", "open", "navigate", "select", "choose", "enter", "type", "create", "delete", "update", "configure", "set", "go"]
 PATTERN_VERBS = ["click", "open", "navigate", "select", "choose", "enter", "type", "create", "delete", "update", "configure", "set"]
 PUNCTUATION = ".,!?;:()[]{}\"'"
+# fixed value: closes short details that agree with the transcript
+ALIGNED = " This aligns with the process described in the transcript."
 GENERIC_TITLES = [r"^step \d+$", r"^untitled", r"^new step", r"^todo", r"^instructions?$"]
 WEAK_VERBS = [
     "learn", "understand", "know", "remember", "recall", "recognize", "comprehend", "grasp", "appreciate", "realize", "familiarize", "review", "read", "study", "examine", "consider", "explore",

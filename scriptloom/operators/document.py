@@ -50,15 +50,30 @@ def code_spans(docs: DataFrame) -> DataFrame:
     return docs.select("transcript_id", F.posexplode(found("text")).alias("number", "s")).select("transcript_id", "number", "s.start", "s.end", "s.code")
 
 
-def sections(title: DataFrame, steps: DataFrame, sources: DataFrame, stats: DataFrame) -> DataFrame:
-    """(transcript_id, part, position, text): the whole document in order: title, contents, introduction, steps, references, statistics."""
+def knowledge_section(pages: DataFrame) -> DataFrame:
+    """(transcript_id, position, text): a heading and the pages without error (transcript_id, url, title, content, type, error), numbered by
+    url, each with the first 500 characters of its content; none for a transcript without such pages."""
+    good = pages.filter("error IS NULL")
+    number = F.row_number().over(Window.partitionBy("transcript_id").orderBy("url", "title", "content"))
+    shown = F.when(F.length("content") > 500, F.concat(F.left("content", F.lit(500)), F.lit("..."))).when(F.length("content") > 0, F.col("content"))
+    about = F.concat_ws("\n", F.concat(F.lit("Source "), number.cast("string"), F.lit(": "), F.coalesce("title", F.lit("Untitled"))), F.concat(F.lit("URL: "), F.coalesce("url", F.lit(""))), F.concat(F.lit("Type: "), F.initcap("type")), shown)
+    heading = good.select("transcript_id").distinct().select("transcript_id", F.lit(0).alias("position"), F.lit("Knowledge Sources").alias("text"))
+    return heading.unionByName(good.select("transcript_id", number.alias("position"), about.alias("text")))
+
+
+def sections(title: DataFrame, steps: DataFrame, sources: DataFrame, stats: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(transcript_id, part, position, text): the whole document in order: title, contents, introduction, steps, references, knowledge
+    (where pages are given), statistics."""
     made = title.select("transcript_id", F.lit(0).alias("part"), F.lit(0).alias("position"), F.col("title").alias("text"))
     toc = contents(steps).select("transcript_id", F.lit(1).alias("part"), "position", F.col("entry").alias("text"))
     intro = steps.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n")).select("transcript_id", F.lit(2).alias("part"), F.lit(0).alias("position"), F.concat(F.lit("This document has "), F.col("n").cast("string"), F.lit(" steps.")).alias("text"))
     body = steps.select("transcript_id", F.lit(3).alias("part"), F.col("step_index").alias("position"), F.concat_ws("\n", "title", "summary", "details", F.array_join(F.transform("actions", lambda a: F.concat(F.lit("- "), a)), "\n")).alias("text"))
     refs = references(sources).select("transcript_id", F.lit(4).alias("part"), (F.col("step_index") * 1000 + F.col("number")).alias("position"), F.concat_ws(" ", "label", "excerpt").alias("text"))
-    end = stats.select("transcript_id", F.lit(5).alias("part"), F.lit(0).alias("position"), F.concat(F.lit("Steps: "), F.col("steps").cast("string"), F.lit(", references: "), F.col("references").cast("string")).alias("text"))
-    return made.unionByName(toc).unionByName(intro).unionByName(body).unionByName(refs).unionByName(end)
+    end = stats.select("transcript_id", F.lit(6).alias("part"), F.lit(0).alias("position"), F.concat(F.lit("Steps: "), F.col("steps").cast("string"), F.lit(", references: "), F.col("references").cast("string")).alias("text"))
+    known = [] if pages is None else [knowledge_section(pages).withColumn("part", F.lit(5))]
+    for other in (toc, intro, body, refs, *known, end):
+        made = made.unionByName(other)
+    return made
 
 
 def write_sections(made: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .chunking import word_windows
+from .matching import cosine
 
 
 def with_validity(pages: DataFrame) -> DataFrame:
@@ -115,9 +116,24 @@ def excerpts(sources: DataFrame, queries: DataFrame, size: int = 500, per_source
     own = queries.select("query_id", F.array_distinct(T.words(F.lower("text"))).alias("w"))
     need = own.select("query_id", F.size("w").alias("n"), F.explode("w").alias("word"))
     hits = need.join(have, "word").groupBy("query_id", "n", "url", "window_index").agg(F.count(F.lit(1)).alias("k")).withColumn("score", F.col("k") / F.col("n"))
-    first = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "url").orderBy(F.desc("score"), "window_index"))).filter((F.col("_r") <= per_source) & (F.col("score") > least))
-    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "url", "window_index"))).filter(F.col("rank") <= top)
-    return best.join(windows, ["url", "window_index"]).select("query_id", "url", "window_index", "window", "score", "rank")
+    return best_excerpts(hits, per_source, top, least).join(windows, ["url", "window_index"]).select("query_id", "url", "window_index", "window", "score", "rank")
+
+
+def best_excerpts(hits: DataFrame, per_source: int, top: int, least: float) -> DataFrame:
+    """Of (query_id, url, window_index, score) the best few of each source above the limit, then of all, ranked; ties by url and place."""
+    score = F.desc(F.round("score", 9))
+    first = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "url").orderBy(score, "window_index"))).filter((F.col("_r") <= per_source) & (F.col("score") > least))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(score, "url", "window_index"))).filter(F.col("rank") <= top)
+
+
+def near_excerpts(windows: DataFrame, queries: DataFrame, given: DataFrame, per_source: int = 3, top: int = 5, least: float = 0.1) -> DataFrame:
+    """(query_id, url, window_index, window, score, rank): as excerpts, with the cosine of vectors in place of shared words. windows: url,
+    window_index, window, embedding; queries: query_id, embedding; given: query_id, url, the sources that a query was given. A query
+    meets the windows of its own sources only; a missing or zero vector scores 0. Texts join after the ranks are known."""
+    asked = given.select("query_id", "url").distinct().join(queries.select("query_id", F.col("embedding").alias("qv")), "query_id")
+    hits = asked.join(windows.select("url", "window_index", F.col("embedding").alias("wv")), "url").withColumn("score", cosine(F.col("qv"), F.col("wv"))).drop("qv", "wv")
+    best = best_excerpts(hits, per_source, top, least)
+    return best.join(windows.select("url", "window_index", "window"), ["url", "window_index"]).select("query_id", "url", "window_index", "window", "score", "rank")
 
 
 def digest(pages: DataFrame, most: int = 2000) -> DataFrame:

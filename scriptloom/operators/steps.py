@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import lexicon as L
 from ..functions import text as T
 
 KEYS = ["transcript_id", "step_index"]
@@ -57,13 +58,34 @@ def token_totals(usage: DataFrame) -> DataFrame:
     return made.withColumns({"total_tokens": F.col("input_tokens") + F.col("output_tokens"), "cost": F.round(F.col("input_tokens") / 1e6 * 0.15 + F.col("output_tokens") / 1e6 * 0.60, 4)})
 
 
+def step_words() -> Column:
+    """The distinct lower-case words of a step's title, summary and details, without outer punctuation, of over three characters."""
+    own = F.transform(T.words(F.lower(F.concat_ws(" ", "title", "summary", "details"))), lambda w: F.btrim(w, F.lit(L.PUNCTUATION)))
+    return F.array_distinct(F.filter(own, lambda w: F.length(w) > 3))
+
+
 def aligned(steps: DataFrame, sentences: DataFrame, top: int = 3) -> DataFrame:
-    """(keys, sentence_index, matches, rank): sentences that hold two or more of a step's words (over three characters, anywhere), the
+    """(keys, sentence_index, matches, rank): sentences that hold two or more of a step's words (see step_words, anywhere), the
     best three. A word finds its sentences by the words that contain it, so no step meets a sentence without cause."""
-    words = F.array_distinct(F.filter(T.words(F.lower(F.concat_ws(" ", "title", "summary", "details"))), lambda w: F.length(w) > 3))
-    need = steps.select(*KEYS, F.explode(words).alias("word"))
+    need = steps.select(*KEYS, F.explode(step_words()).alias("word"))
     have = sentences.select("transcript_id", "sentence_index", F.lower("text").alias("low"), F.explode(F.array_distinct(T.words(F.lower("text")))).alias("token"))
     tokens = have.select("transcript_id", "token").distinct()
     inside = need.select("transcript_id", "word").distinct().join(tokens, "transcript_id").filter(F.contains("token", F.col("word")))
     hits = need.join(inside, ["transcript_id", "word"]).join(have.drop("low"), ["transcript_id", "token"]).groupBy(*KEYS, "sentence_index").agg(F.countDistinct("word").alias("matches")).filter("matches >= 2")
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("matches"), "sentence_index"))).filter(F.col("rank") <= top)
+
+
+def with_phrases(steps: DataFrame, sentences: DataFrame, best: int = 2) -> DataFrame:
+    """Steps with `phrases`: of the best aligned sentences, in their rank, the runs of four words (three at the end) that hold a word of
+    the step of over four characters. Details under 150 characters get the fixed closing sentence if the first phrase is under 50 and
+    not in them. A step without phrases has an empty list; blank details stay."""
+    long = F.filter(step_words(), lambda w: F.length(w) > 4)
+    told = sentences.select("transcript_id", "sentence_index", T.words(F.lower("text")).alias("told"))
+    near = aligned(steps, sentences, best).join(told, ["transcript_id", "sentence_index"]).join(steps.select(*KEYS, long.alias("long")), KEYS)
+    places = F.when(F.size("told") >= 3, F.sequence(F.lit(1), F.size("told") - 2)).otherwise(F.array().cast("array<int>"))
+    runs = F.filter(F.transform(places, lambda i: F.array_join(F.slice("told", i, F.lit(4)), " ")), lambda p: F.exists("long", lambda w: F.contains(p, w)))
+    found = near.withColumn("runs", runs).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("rank", "runs"))).alias("r")).select(*KEYS, F.flatten(F.transform("r", lambda x: x["runs"])).alias("phrases"))
+    made = steps.drop("phrases").join(found, KEYS, "left").withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
+    first = F.get("phrases", F.lit(0))
+    short = (F.length("details") > 0) & (F.length("details") < 150) & (F.length(first) < 50) & ~F.contains(F.lower("details"), first)
+    return made.withColumn("details", F.when(short, F.concat("details", F.lit(L.ALIGNED))).otherwise(F.col("details")))

@@ -270,6 +270,11 @@ ORACLES: dict[str, str] = {
         round(avg(content_words), 6) AS avg_words, bool_and(n_actions BETWEEN 3 AND 6) AS all_counts, bool_and(n_weak = 0) AS no_weak, bool_and(content_words >= 50) AS all_long FROM checks""",
     "knw_to_fetch": f"WITH {CRAWL}, f AS (SELECT url, max(fetched_at) AS t, arg_max(coalesce(error, ''), fetched_at) AS e FROM crawl GROUP BY 1) SELECT md5(url) AS key, url FROM f WHERE NOT (e = '' AND TIMESTAMP '2026-01-01 00:00:00' - t < INTERVAL 24 HOUR)",
     "knw_types": f"WITH {CRAWL}, p AS (SELECT error, lower(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[?#].*', '')) AS path FROM crawl) SELECT CASE WHEN error IS NOT NULL THEN 'error' WHEN path LIKE '%.pdf' THEN 'pdf' WHEN path LIKE '%.txt' OR path LIKE '%.md' THEN 'text' ELSE 'web' END AS type, count(*) AS n FROM p GROUP BY 1",
+    "knw_near_excerpts": """WITH p AS (SELECT page_id, url, count(*) OVER () AS n FROM pages), w AS (SELECT url, vec_id // n AS window_index, 'label ' || CAST(label AS STRING) AS win, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN p ON page_id = vec_id % n),
+        g AS (SELECT DISTINCT vec_id AS query_id, url, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN p ON page_id = (vec_id * 3 + 1) % n OR page_id = (vec_id * 5 + 2) % n),
+        h AS (SELECT query_id, g.url, window_index, win, greatest(0.0, least(1.0, list_cosine_similarity(g.v, w.v))) AS score FROM g JOIN w ON g.url = w.url),
+        f AS (SELECT * FROM h WHERE score > 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY round(score, 9) DESC, window_index) <= 3)
+        SELECT query_id, url, window_index, win AS "window", round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, url, window_index) AS INT) AS rank FROM f QUALIFY rank <= 5""",
     "knw_digest": f"WITH {CRAWL} SELECT url, length('Source: ' || coalesce(title, '') || chr(10) || 'URL: ' || url || chr(10) || chr(10)) + CASE WHEN length(html) > 2000 THEN 2003 ELSE length(html) END AS chars FROM crawl WHERE error IS NULL",
     "knw_usage": f"WITH {CRAWL} SELECT count_if(error IS NULL) AS fetched, count(DISTINCT left(html, 100)) AS cited, round(CAST(count(DISTINCT left(html, 100)) AS DOUBLE) / count_if(error IS NULL), 6) AS rate FROM crawl",
     "doc_contents": f"{SEG}, {STEPS} SELECT transcript_id, 100 + step_index AS position, 'Step ' || CAST(step_index + 1 AS STRING) || ': ' || title AS entry FROM st UNION ALL SELECT DISTINCT transcript_id, p, e FROM st, (VALUES (0, 'Introduction'), (1000000, 'Source References'), (1000001, 'Document Statistics')) AS v(p, e)",
@@ -277,7 +282,7 @@ ORACLES: dict[str, str] = {
     "doc_statistics": f"""{SEG}, {STEPS}, {SOURCES}, u AS (SELECT transcript_id, count(*) * 7.5 AS s, CAST(sum(length(line)) AS BIGINT) AS total_tokens FROM lines GROUP BY 1), a AS (SELECT transcript_id, count(*) AS steps FROM st GROUP BY 1), r AS (SELECT transcript_id, count(*) AS n FROM sources GROUP BY 1)
         SELECT transcript_id, steps, coalesce(n, 0) AS "references", CASE WHEN s < 60 THEN printf('%.1f seconds', CAST(s AS DOUBLE)) ELSE CAST(CAST(floor(s / 60) AS BIGINT) AS STRING) || 'm ' || CAST(CAST(floor(s % 60) AS BIGINT) AS STRING) || 's' END AS time, total_tokens,
         round(CAST(total_tokens AS DOUBLE) / 1000000 * 0.15, 4) AS cost FROM a LEFT JOIN r USING (transcript_id) LEFT JOIN u USING (transcript_id)""",
-    "doc_code_spans": "SELECT CAST(doc_id AS STRING) AS transcript_id, 0 AS number, left(replace(text, '`', ''), 80) AS code FROM documents WHERE length(left(replace(text, '`', ''), 80)) > 50",
+    "doc_code_spans": "SELECT CAST(doc_id AS STRING) AS transcript_id, 0 AS number, replace(text, '`', '') AS code FROM documents WHERE length(replace(text, '`', '')) > 50",
     "doc_code_spans_whole": """WITH d AS (SELECT CAST(doc_id AS STRING) AS transcript_id, replace(coalesce(text, ''), '`', '') AS t FROM documents),
       l AS (SELECT transcript_id, length(t) AS n, unnest(string_split(t, chr(10))) AS code, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
       s AS (SELECT transcript_id, 0 AS i, 0 AS b, t AS code FROM d UNION ALL
@@ -322,7 +327,11 @@ _tags = f"list_filter(regexp_extract_all(z, '\\[[\\w\\s]+\\]'), lambda x: NOT re
 _plain = "line || ' [inaudible] (laughs) [slide 2] [some words]'"
 for _t in L.TAGS:
     _plain = f"replace({_plain}, '{_t}', '')"
-_words = "list_distinct(list_filter(regexp_split_to_array(trim(lower(title || ' ' || summary || ' ' || details)), '\\s+'), lambda w: length(w) > 3))"
+_stripped = match_words("title || ' ' || summary || ' ' || details", "")
+_words = f"list_filter({_stripped}, lambda w: length(w) > 3)"
+_aligned = f"""a AS (SELECT transcript_id, step_index, unnest({_words}) AS word FROM @rows), b AS (SELECT transcript_id, sentence_index, list_distinct(regexp_split_to_array(trim(lower(text)), '\\s+')) AS tokens FROM sentences),
+        c AS (SELECT a.transcript_id, step_index, sentence_index, count(*) AS matches FROM a JOIN b ON a.transcript_id = b.transcript_id AND len(list_filter(tokens, lambda t: contains(t, word))) > 0 GROUP BY ALL HAVING count(*) >= 2)"""
+_first = "len(phrases) > 0 AND details <> '' AND length(details) < 150 AND length(phrases[1]) < 50 AND NOT contains(lower(details), phrases[1])"
 # distinct words in text order, which list_distinct does not keep
 _told = match_words("title || ' ' || summary || ' ' || details || ' ' || array_to_string(actions, ' ')", STOP).removeprefix("list_distinct")
 _keys = "list_filter(w, lambda x: length(x) > 4)"
@@ -345,24 +354,31 @@ ORACLES |= {
         SELECT n.transcript_id, n.segment_id, coalesce(role = 'instructor' OR (role = 'none' AND density < 0.2), false) AS instructor_led FROM n LEFT JOIN o ON n.transcript_id = o.transcript_id AND n.segment_id = o.segment_id""",
     "str_sequence_hits": f"""WITH {LINES}, a AS ({_seq}), b AS (SELECT transcript_id, family, hits, pieces, unnest(range(1, len(hits) + 1)) AS i FROM a)
         SELECT transcript_id, family, hits[i] AS indicator, CAST(length(array_to_string(pieces[1:i], '')) + length(array_to_string(hits[1:i - 1], '')) AS INT) AS position FROM b""",
-    "stp_aligned": f"""{SEG}, {STEPS}, a AS (SELECT transcript_id, step_index, unnest({_words}) AS word FROM st), b AS (SELECT transcript_id, sentence_index, list_distinct(regexp_split_to_array(trim(lower(text)), '\\s+')) AS tokens FROM sentences),
-        c AS (SELECT a.transcript_id, step_index, sentence_index, count(*) AS matches FROM a JOIN b ON a.transcript_id = b.transcript_id AND len(list_filter(tokens, lambda t: contains(t, word))) > 0 GROUP BY ALL HAVING count(*) >= 2)
+    "stp_aligned": f"""{SEG}, {STEPS}, {_aligned.replace("@rows", "st")}
         SELECT transcript_id, step_index, sentence_index, matches, CAST(row_number() OVER (PARTITION BY transcript_id, step_index ORDER BY matches DESC, sentence_index) AS INT) AS rank FROM c QUALIFY rank <= 3""",
+    "stp_phrases": f"""{SEG}, {STEPS}, s1 AS (SELECT transcript_id, step_index, title, summary, coalesce(actions[1], '') AS details FROM st), {_aligned.replace("@rows", "s1")},
+        r AS (SELECT *, row_number() OVER (PARTITION BY transcript_id, step_index ORDER BY matches DESC, sentence_index) AS rank FROM c QUALIFY rank <= 2),
+        t AS (SELECT r.transcript_id, r.step_index, rank, regexp_split_to_array(trim(lower(text)), '\\s+') AS tk, {_words} AS w FROM r JOIN sentences USING (transcript_id, sentence_index) JOIN s1 USING (transcript_id, step_index)),
+        g AS (SELECT *, array_to_string(tk[i:i + 3], ' ') AS phrase FROM (SELECT *, unnest(range(1, greatest(1, CAST(len(tk) AS BIGINT) - 1))) AS i FROM t)),
+        k AS (SELECT transcript_id, step_index, list(phrase ORDER BY rank, i) AS phrases FROM g WHERE len(list_filter(w, lambda x: length(x) > 4 AND contains(phrase, x))) > 0 GROUP BY 1, 2)
+        SELECT transcript_id, step_index, coalesce(array_to_string(phrases, '|'), '') AS phrases, details || CASE WHEN {_first} THEN '{L.ALIGNED}' ELSE '' END AS details FROM s1 LEFT JOIN k USING (transcript_id, step_index)""",
     "mat_keywords": f"""{SEG}, {STEPS}, {MATCH}, wl AS (SELECT transcript_id, step_index, {_told} AS a FROM st), wo AS (SELECT transcript_id, step_index, list_filter(a, lambda x, i: list_position(a, x) = i) AS w FROM wl), k AS (SELECT c.*, w FROM cand c JOIN wo USING (transcript_id, step_index)), l AS (SELECT *, CASE WHEN len({_keys}) > 0 THEN CAST(len(list_filter({_keys}, lambda x: contains(lower(text), x))) AS DOUBLE) / len({_keys}) ELSE 0 END AS kw,
         least(0.6, len({_pairs}) * 0.2) AS ph, {technical("text")} AS tech FROM k) SELECT transcript_id, step_index, sentence_index, round(CAST(kw AS DOUBLE), 6) AS keyword_score, round(CAST(ph AS DOUBLE), 6) AS phrase_score,
         round(CAST(CAST(shared AS DOUBLE) / (n_step + n_sentence - shared) * 0.4 + kw * 0.4 + ph * 0.2 + {_bare} AS DOUBLE), 6) AS base_score, round(tech, 6) AS technical FROM l""",
-    "mat_hybrid": f"""{SEG}, {STEPS}, {MATCH}, v AS (SELECT c.*, greatest(0.0, least(1.0, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])))) AS near FROM cand c JOIN embeddings x ON x.vec_id = c.step_index * 7 % 100 JOIN embeddings y ON y.vec_id = c.sentence_index * 3 % 100),
+    "mat_hybrid": f"""{SEG}, {STEPS}, {MATCH}, v AS (SELECT c.*, greatest(0.0, least(1.0, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])))) AS near FROM cand c JOIN embeddings x ON x.vec_id = (CAST(replace(c.transcript_id, '-', '') AS BIGINT) * 31 + c.step_index * 7) % (SELECT count(*) FROM embeddings) JOIN embeddings y ON y.vec_id = (CAST(replace(c.transcript_id, '-', '') AS BIGINT) * 31 + c.sentence_index * 3) % (SELECT count(*) FROM embeddings)),
         u AS (SELECT *, (CAST(shared AS DOUBLE) / (n_step + n_sentence - shared) * 0.5 + near * 0.5 + {_bare}) * 0.85 AS x, {technical("text")} AS tech FROM v), t AS (SELECT *, least(1.0, CASE WHEN x >= 0.1 THEN x + tech * 0.2 ELSE x END) AS confidence FROM u)
         SELECT transcript_id, step_index, sentence_index, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM t WHERE confidence >= 0.15 QUALIFY row_number() OVER (PARTITION BY transcript_id, step_index ORDER BY round(confidence, 9) DESC, sentence_index) <= 5""",
     "mat_all_sources": f"""{SEG}, {STEPS}, {SOURCES}, {_three} SELECT transcript_id, step_index, n_sources, nt > 0 AS has_transcript_support, nk > 0 AS has_knowledge_support, has_visual_support, 'transcript (' || CAST(nt AS STRING) || ')' || CASE WHEN nk > 0 THEN ', knowledge (' || CAST(nk AS STRING) || ')' ELSE '' END AS summary,
         round(CAST(least(1.0, CASE WHEN n = 1 THEN c1 WHEN n = 2 THEN c1 * 0.6 + c2 * 0.4 ELSE c1 * 0.5 + c2 * 0.3 + c3 * 0.2 END * CASE WHEN n >= 4 THEN 1.25 WHEN n = 3 THEN 1.15 WHEN n = 2 THEN 1.08 ELSE 1.0 END * CASE WHEN nk > 0 THEN 1.12 ELSE 1.0 END * CASE WHEN c1 > 0.5 THEN 1.1 ELSE 1.0 END) AS DOUBLE), 6) AS confidence FROM s4""",
     "knw_titles": f"SELECT page_id, coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]+'), false) AS is_valid, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, CASE WHEN {_name} = '' THEN {_host} ELSE {_title.format(x=_name)} END AS url_title FROM pages",
-    "doc_sections": f"""{SEG}, {STEPS}, {SOURCES}, r AS (SELECT transcript_id, step_index, sentence_index, text, row_number() OVER (PARTITION BY transcript_id, step_index ORDER BY confidence DESC, sentence_index, text) AS number FROM sources), t AS (SELECT DISTINCT transcript_id FROM lines), n AS (SELECT transcript_id, count(*) AS n FROM st GROUP BY 1), m AS (SELECT transcript_id, count(*) AS m FROM r GROUP BY 1)
+    "doc_sections": f"""{SEG}, {STEPS}, {SOURCES}, {CRAWL}, kp AS (SELECT strftime(ts, '%Y-%m-%d-%H') AS transcript_id, url, title, html, CASE WHEN path LIKE '%.pdf' THEN 'Pdf' WHEN path LIKE '%.txt' OR path LIKE '%.md' THEN 'Text' ELSE 'Web' END AS type,
+        CAST(row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d-%H') ORDER BY url, title, html) AS INT) AS number FROM (SELECT *, lower(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[?#].*', '')) AS path FROM crawl) JOIN events ON event_id = page_id WHERE error IS NULL AND trim(url) <> ''), r AS (SELECT transcript_id, step_index, sentence_index, text, row_number() OVER (PARTITION BY transcript_id, step_index ORDER BY confidence DESC, sentence_index, text) AS number FROM sources), t AS (SELECT DISTINCT transcript_id FROM lines), n AS (SELECT transcript_id, count(*) AS n FROM st GROUP BY 1), m AS (SELECT transcript_id, count(*) AS m FROM r GROUP BY 1)
         SELECT transcript_id, 0 AS part, 0 AS position, length(transcript_id) AS chars FROM t UNION ALL SELECT transcript_id, 1, 100 + step_index, length('Step ' || CAST(step_index + 1 AS STRING) || ': ' || title) FROM st
         UNION ALL SELECT transcript_id, 1, p, length(e) FROM n, (VALUES (0, 'Introduction'), (1000000, 'Source References'), (1000001, 'Document Statistics')) AS v(p, e) UNION ALL SELECT transcript_id, 2, 0, length('This document has ' || CAST(n AS STRING) || ' steps.') FROM n
         UNION ALL SELECT transcript_id, 3, step_index, length(title) + length(summary) + length(details) + 3 + coalesce(length(array_to_string(list_transform(actions, lambda a: '- ' || a), chr(10))), 0) FROM st
         UNION ALL SELECT transcript_id, 4, step_index * 1000 + number, length('Transcript (Sentence ' || CAST(sentence_index + 1 AS STRING) || ') ' || text) FROM r
-        UNION ALL SELECT transcript_id, 5, 0, length('Steps: ' || CAST(n AS STRING) || ', references: ' || CAST(coalesce(m, 0) AS STRING)) FROM n LEFT JOIN m USING (transcript_id)""",
+        UNION ALL SELECT DISTINCT transcript_id, 5, 0, length('Knowledge Sources') FROM kp UNION ALL SELECT transcript_id, 5, number, length('Source ' || CAST(number AS STRING) || ': ' || title || 'URL: ' || url || 'Type: ' || type) + 2 + CASE WHEN length(html) > 500 THEN 504 WHEN length(html) > 0 THEN length(html) + 1 ELSE 0 END FROM kp
+        UNION ALL SELECT transcript_id, 6, 0, length('Steps: ' || CAST(n AS STRING) || ', references: ' || CAST(coalesce(m, 0) AS STRING)) FROM n LEFT JOIN m USING (transcript_id)""",
     "job_stages": f"""WITH s AS (SELECT event_id, [{q(_stages)}][event_id % 13 + 1] AS stage, event_id % 13 AS i FROM events) SELECT event_id, stage, CASE stage WHEN 'complete' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status, CASE WHEN i < 12 THEN round(CAST(i AS DOUBLE) / 11, 6) END AS progress FROM s""",
     "job_times": f"WITH {JOBS} SELECT id, {_spent(_took)} AS duration, {_ago(_age)} AS age FROM jobs",
 }

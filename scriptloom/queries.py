@@ -98,7 +98,7 @@ def crawl(spark: SparkSession, d: str) -> DataFrame:
     """Pages as crawled: an age from the id, an error for some."""
     p = table(spark, d, "pages")
     at = F.expr("timestamp'2026-01-01 00:00:00' - make_interval(0,0,0,0,0,0,(page_id % 40) * 3600)")
-    return p.select("url", at.alias("fetched_at"), F.when(F.col("page_id") % 7 == 0, "timeout").alias("error"), knowledge.html_title(F.col("html")).alias("title"), F.col("html").alias("content"))
+    return p.select("page_id", "url", at.alias("fetched_at"), F.when(F.col("page_id") % 7 == 0, "timeout").alias("error"), knowledge.html_title(F.col("html")).alias("title"), F.col("html").alias("content"))
 
 
 def r6(df: DataFrame, *names: str) -> DataFrame:
@@ -347,6 +347,14 @@ def stp_aligned(spark, d):
     return S.aligned(*told(spark, d))
 
 
+@query
+def stp_phrases(spark, d):
+    """Phrases of the steps, whose details are their first sentence here, so that some are short."""
+    steps, sentences = told(spark, d)
+    steps = steps.withColumn("details", F.coalesce(F.get("actions", F.lit(0)), F.lit("")))
+    return S.with_phrases(steps, sentences).select("transcript_id", "step_index", F.array_join("phrases", "|").alias("phrases"), "details")
+
+
 # grounding
 
 
@@ -379,13 +387,14 @@ def mat_keywords(spark, d):
 
 
 def with_vectors(rows: DataFrame, e: DataFrame, number: Column) -> DataFrame:
-    """Rows with one of the first hundred vectors, by a number."""
-    return rows.withColumn("_v", number % 100).join(e.filter("vec_id < 100").select(F.col("vec_id").alias("_v"), "embedding"), "_v").drop("_v")
+    """Rows with one vector of the table, by the transcript's hour and a number."""
+    hour = F.replace("transcript_id", F.lit("-"), F.lit("")).cast("long")
+    return rows.withColumn("_v", (hour * 31 + number) % e.count()).join(e.select(F.col("vec_id").alias("_v"), "embedding"), "_v").drop("_v")
 
 
 @query
 def mat_hybrid(spark, d):
-    """Word overlap and vectors, half each; a step and a sentence get the vectors of their numbers."""
+    """Word overlap and vectors, half each; steps and sentences get vectors by their hour and number."""
     steps, sentences = told(spark, d)
     e = table(spark, d, "embeddings")
     found = matching.transcript_sources(with_vectors(steps, e, F.col("step_index") * 7), with_vectors(sentences, e, F.col("sentence_index") * 3), Matching())
@@ -543,6 +552,16 @@ def knw_excerpts(spark, d):
     return knowledge.excerpts(pages, asked).select("query_id", "url", "window_index", F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def knw_near_excerpts(spark, d):
+    """All vectors as windows of the pages in turn, and as queries that were given two pages each."""
+    e, p = table(spark, d, "embeddings"), table(spark, d, "pages").select("page_id", "url")
+    n = max(p.count(), 1)
+    windows = e.withColumn("page_id", F.col("vec_id") % n).join(p, "page_id").select("url", F.floor(F.col("vec_id") / n).alias("window_index"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("window"), "embedding")
+    given = e.select(F.col("vec_id").alias("query_id"), F.explode(F.array((F.col("vec_id") * 3 + 1) % n, (F.col("vec_id") * 5 + 2) % n)).alias("page_id")).join(p, "page_id")
+    return r6(knowledge.near_excerpts(windows, e.select(F.col("vec_id").alias("query_id"), "embedding"), given), "score")
+
+
 @query
 def knw_digest(spark, d):
     return knowledge.digest(crawl(spark, d)).select("url", F.length("summary").alias("chars"))
@@ -577,7 +596,7 @@ def doc_statistics(spark, d):
 
 @query
 def doc_code_spans(spark, d):
-    marked = prose(spark, d).select("transcript_id", F.concat(F.lit("`"), F.left(F.replace("text", F.lit("`"), F.lit("")), F.lit(80)), F.lit("` and `short`")).alias("text"))
+    marked = prose(spark, d).select("transcript_id", F.concat(F.lit("`"), F.replace("text", F.lit("`"), F.lit("")), F.lit("` and `short`")).alias("text"))
     return document.code_spans(marked).select("transcript_id", "number", "code")
 
 
@@ -596,7 +615,10 @@ def doc_sections(spark, d):
     found = kept(matching.transcript_sources(steps, sentences))
     usage = lines(spark, d).groupBy("transcript_id").agg(F.lit(1.0).alias("seconds"), F.count(F.lit(1)).alias("total_tokens"), F.lit(0.0).alias("cost"))
     title = lines(spark, d).select("transcript_id").distinct().withColumn("title", F.col("transcript_id"))
-    return document.sections(title, steps, found, document.statistics(steps, found, usage)).select("transcript_id", "part", "position", F.length("text").alias("chars"))
+    # a page belongs to the transcript of the event that has its number
+    events = table(spark, d, "events").select(F.col("event_id").alias("page_id"), F.date_format("ts", "yyyy-MM-dd-HH").alias("transcript_id"))
+    pages = knowledge.typed(crawl(spark, d)).join(events, "page_id")
+    return document.sections(title, steps, found, document.statistics(steps, found, usage), pages).select("transcript_id", "part", "position", F.length("text").alias("chars"))
 
 
 @query
