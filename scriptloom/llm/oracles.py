@@ -20,9 +20,9 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {W} AS w, string_s
 l AS (SELECT doc_id, source, text, unnest(ls) AS raw FROM d),
 n AS (SELECT doc_id, source, text, raw, regexp_replace(raw, '[\x20\x09-\x0D]', '', 'g') AS solid, lower(regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS norm FROM l),
 u AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM n WHERE solid <> '' GROUP BY 1),
-h AS (SELECT source, count(DISTINCT text) AS texts FROM documents GROUP BY 1),
-c AS (SELECT n.source, norm FROM n JOIN h ON n.source = h.source WHERE solid <> '' GROUP BY n.source, norm, texts HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.1 * texts),
-g AS (SELECT doc_id, sum(length(solid)) AS n_removed_chars FROM n JOIN c ON n.source = c.source AND n.norm = c.norm WHERE solid <> '' GROUP BY 1),
+h AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY 1),
+c AS (SELECT n.source, norm FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source WHERE solid <> '' GROUP BY n.source, norm, texts HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.1 * texts),
+g AS (SELECT doc_id, sum(length(solid)) AS n_removed_chars FROM n JOIN c ON n.source IS NOT DISTINCT FROM c.source AND n.norm = c.norm WHERE solid <> '' GROUP BY 1),
 t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, CAST(len(w) AS BIGINT) - 1))) AS i FROM d)),
 r AS (SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, s) >= 2),
 k AS (SELECT doc_id, count(DISTINCT pos) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 3)) AS pos FROM r) GROUP BY 1),
