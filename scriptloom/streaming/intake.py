@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import jobs as J
+from ..plans.keep import kept
 
 MESSAGE = "job_id string, user_id string, transcript_url string, config string"
 
@@ -53,7 +54,7 @@ def consume(raw: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int],
         if done := versions(spark, handled, number):
             old = spark.read.schema("job_id string").parquet(*[f"{handled}/v={v}" for v in done])
             fresh = fresh.join(old, "job_id", "left_anti")
-        fresh = fresh.localCheckpoint()
+        fresh = kept(fresh)
         handle(fresh, number)
         fresh.select("job_id").write.mode("overwrite").parquet(f"{handled}/v={number}")
 
@@ -69,6 +70,5 @@ def merge_state(spark: SparkSession, events: DataFrame, checkpoint: str, table:
         old = batch.sparkSession.read.parquet(f"{table}/v={known[-1]}") if known else None
         both = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
         J.state(both).write.mode("overwrite").parquet(f"{table}/v={number}")
-        spark.conf.set(f"intake.{table}", " ".join(map(str, [*known, number])))
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
