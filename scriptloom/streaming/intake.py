@@ -70,5 +70,6 @@ def merge_state(spark: SparkSession, events: DataFrame, checkpoint: str, table:
         old = batch.sparkSession.read.parquet(f"{table}/v={known[-1]}") if known else None
         both = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
         J.state(both).write.mode("overwrite").parquet(f"{table}/v={number}")
+        spark.conf.set(f"intake.{table}", " ".join(map(str, [*known, number])))  # for readers in this session only
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
