@@ -40,9 +40,11 @@ def important(scored: DataFrame, config: Ranking = Ranking(), threshold: float |
 
 
 def report(scored: DataFrame, config: Ranking = Ranking()) -> DataFrame:
-    """One row per transcript: mean, extremes and spread of the importance, and how many are high, medium and low."""
+    """One row per transcript: mean, extremes and spread of the importance, and how many are high, medium and low. The mean is taken
+    over decimals, so that it doesn't depend on the order of rows."""
     x = F.col("importance")
+    mean = F.round(F.avg(x.cast("decimal(18,9)")), 3).cast("double")
     return scored.groupBy("transcript_id").agg(
-        F.count(F.lit(1)).alias("segments"), F.round(F.avg(x), 3).alias("avg"), F.round(F.max(x), 3).alias("max"), F.round(F.min(x), 3).alias("min"), F.round(F.stddev_pop(x), 3).alias("std"),
+        F.count(F.lit(1)).alias("segments"), mean.alias("avg"), F.round(F.max(x), 3).alias("max"), F.round(F.min(x), 3).alias("min"), F.round(F.stddev_pop(x), 3).alias("std"),
         F.count_if(x >= config.high).alias("high"), F.count_if((x >= config.min_importance) & (x < config.high)).alias("medium"), F.count_if(x < config.min_importance).alias("low"),
     )

@@ -215,6 +215,14 @@ ORACLES: dict[str, str] = {
     "chk_sentences": f"WITH {CHUNKS} SELECT transcript_id, chunk_index, md5(text) AS digest FROM chunks",
     "chk_statistics": f"WITH {CHUNKS} SELECT transcript_id, chunk_index, length(text) AS chars, len(regexp_split_to_array(trim(text), '\\s+')) AS words, len({sentence_list('text')}) AS sentences, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS preview FROM chunks",
     "chk_paragraphs": f"WITH {PARAS} SELECT transcript_id, chunk_index, length(text) AS chars FROM pf",
+    # each window ends where the size is full, its first new word whatever its length; the next begins with its last fifth
+    "chk_word_windows": f"""WITH RECURSIVE {DOCS}, w0 AS (SELECT transcript_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '') AS p FROM docs),
+        w1 AS (SELECT transcript_id, length(unnest(p)) + 1 AS k, generate_subscripts(p, 1) AS i FROM w0), w2 AS (SELECT transcript_id, i, CAST(sum(k) OVER (PARTITION BY transcript_id ORDER BY i) AS BIGINT) AS c FROM w1),
+        w3 AS (SELECT transcript_id, list(c ORDER BY i) AS ends FROM w2 GROUP BY 1),
+        win AS (SELECT transcript_id, CAST(1 AS BIGINT) AS s, CAST(greatest(1, len(list_filter(ends, lambda x: x <= 500))) AS BIGINT) AS e FROM w3
+          UNION ALL SELECT transcript_id, s, CAST(greatest(first, len(list_filter(ends, lambda x: x <= before + 500))) AS BIGINT) FROM
+            (SELECT v.transcript_id, s, first, ends, CASE WHEN s > 1 THEN ends[s - 1] ELSE 0 END AS before FROM (SELECT transcript_id, e - greatest(1, (e - s + 1) // 5) + 1 AS s, e + 1 AS first FROM win) v JOIN w3 ON v.transcript_id = w3.transcript_id WHERE first <= len(ends)))
+        SELECT win.transcript_id, count(*) AS windows, CAST(max(ends[e] - CASE WHEN s > 1 THEN ends[s - 1] ELSE 0 END - 1) AS INT) AS longest FROM win JOIN w3 ON win.transcript_id = w3.transcript_id GROUP BY 1""",
     "chk_step_count": f"WITH {CHUNKS} SELECT transcript_id, CAST(greatest(3, least(15, max(n))) AS INT) AS steps FROM c2 GROUP BY 1",
     "str_paragraphs": f"WITH {PARAS} SELECT transcript_id, count(*) AS n, sum(length(part)) AS chars FROM pe GROUP BY 1",
     "segments": f"""{SEG} , sc AS (SELECT transcript_id, segment_id, '{{' || string_agg('"' || speaker || '":' || CAST(n AS STRING), ',' ORDER BY speaker) || '}}' AS speaker_counts FROM (SELECT transcript_id, segment_id, speaker, count(*) AS n FROM rowz WHERE speaker IS NOT NULL GROUP BY ALL) GROUP BY ALL)
@@ -233,7 +241,7 @@ ORACLES: dict[str, str] = {
     "rnk_scores": f"""{SEG}, {RANK} SELECT transcript_id, segment_id, n_sentences, CAST(verbs AS INT) AS verbs, round(procedural, 6) AS procedural, round(action_density, 6) AS action_density, round(importance, 6) AS importance,
         round(CAST(coherence AS DOUBLE), 6) AS coherence, round(procedural * 0.4, 6) AS part_procedural, round(action_density * 0.3, 6) AS part_density, round(CAST(coherence AS DOUBLE) * 0.3, 6) AS part_coherence, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY round(importance, 9) DESC, segment_id) AS INT) AS rank FROM ranked""",
     "rnk_important": f"{SEG}, {RANK} SELECT transcript_id, segment_id, round(importance, 6) AS importance FROM ranked WHERE round(importance, 9) >= 0.3",
-    "rnk_report": f"{SEG}, {RANK}, x AS (SELECT transcript_id, round(importance, 6) AS i FROM ranked) SELECT transcript_id, count(*) AS segments, count_if(i >= 0.7) AS high, count_if(i >= 0.3 AND i < 0.7) AS medium, count_if(i < 0.3) AS low, round(max(i), 3) AS max, round(min(i), 3) AS min, round(avg(i), 3) AS avg, round(stddev_pop(i), 3) AS std FROM x GROUP BY 1",
+    "rnk_report": f"{SEG}, {RANK}, x AS (SELECT transcript_id, round(importance, 6) AS i FROM ranked) SELECT transcript_id, count(*) AS segments, count_if(i >= 0.7) AS high, count_if(i >= 0.3 AND i < 0.7) AS medium, count_if(i < 0.3) AS low, round(max(i), 3) AS max, round(min(i), 3) AS min, ((2 * sum(CAST(round(i * 1000000) AS BIGINT)) + 1000 * count(*)) // (2000 * count(*))) / 1000.0 AS avg, round(stddev_pop(i), 3) AS std FROM x GROUP BY 1",
     "str_structure": f"""{SEG}, t AS (SELECT transcript_id, string_agg(text, ' ' ORDER BY segment_id) AS text FROM texts GROUP BY 1), u AS (SELECT transcript_id, CAST(len(regexp_split_to_array(trim(text), '\\s+')) AS INT) AS words,
         list_filter([{q(L.STRUCTURE_VERBS)}], lambda w: contains(lower(text), w)) AS a, list_filter([{q(L.ROLES)}], lambda w: contains(lower(text), w)) AS r, list_filter([{q(L.DECISIONS)}], lambda w: contains(lower(text), w)) AS d FROM t)
         SELECT transcript_id, words, array_to_string(a, ',') AS actions, array_to_string(r, ',') AS roles, array_to_string(d, ',') AS decisions,

@@ -29,7 +29,7 @@ def db():
     return made
 
 
-@pytest.mark.parametrize("name", ["segments", "prs_metadata", "qaf_statistics", "chk_sentences", "cln_fillers", "job_state", "val_checked"])
+@pytest.mark.parametrize("name", ["segments", "prs_metadata", "qaf_statistics", "chk_sentences", "cln_fillers", "job_state", "val_checked", "chk_word_windows", "rnk_report"])
 def test_query_equals_its_sql(spark, db, name):
     found = entry.queries()[name](spark, DATA)
     sql = db.execute(entry.oracle_sql()[name])
