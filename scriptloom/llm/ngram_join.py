@@ -193,6 +193,17 @@ def linked(sets: DataFrame, fragments: int, percent: int, list_rows: int = 1000)
     return first.union(overlaps(rest, sets, fragments, percent))
 
 
+def same_text(texts: DataFrame, salts: int = 64) -> DataFrame:
+    """Links (a, b) that hold the keys of each text (k, digest) together: a key with the least of its salt, and those with the least of
+    all. However many copies a text has, no task gets more than its share of a salt."""
+    dealt = texts.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int"))
+    low = dealt.groupBy("digest", "salt").agg(F.min("k").alias("a"), F.max("k").alias("top"))
+    near = dealt.join(low.filter("a < top").drop("top"), ["digest", "salt"]).filter("k != a").select("a", F.col("k").alias("b"))
+    least = low.groupBy("digest").agg(F.min("a").alias("least"), F.max("a").alias("most")).filter("least < most").drop("most")
+    far = low.join(least, "digest").filter("a != least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    return near.union(far).distinct()
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, fragments: int = 8, block_bytes: int = 4 << 20, list_rows: int = 1000) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row: texts link when their sets of word n-grams (A-Z in lower case; a
     text with fewer words is one n-gram of all) have a Jaccard similarity of percent or more; component_id is the
@@ -208,8 +219,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = rare_sets(base, n_blocks, size, percent)
     links = linked(sets.filter("grams IS NOT NULL").select("k", "digest", "n", "prefix", "grams"), fragments, percent, list_rows)
     some = sets.filter("n > 0 AND doc_id IS NOT NULL").select("k", "digest")
-    copies = some.groupBy("digest").agg(F.min("k").alias("a"), F.max("k").alias("top")).filter("a < top").drop("top")
-    same = some.join(copies, "digest").filter("k != a").select("a", F.col("k").alias("b")).distinct()
-    label = components(links.union(same))
+    label = components(links.union(same_text(some)))
     found = sets.select("doc_id", "n").join(label, sets.doc_id == label.node, "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
