@@ -14,6 +14,7 @@ from .ngram_join import ngram_components
 from .oracles import ORACLES
 from .permutation_index import nearest_neighbours
 from .quality_rules import quality_rules
+from .rank_bpe import rank_decode, rank_encode
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -78,9 +79,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    using = {"rank_file": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    coded = rank_decode(rank_encode(read(spark, sf_dir, "documents").select("doc_id", "text"), packed=True, **using).drop("text"), **using)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_quality_rules, op3_chat, op4_suffix_dedup, op5_wrapper_induction, op6_sharding, op7_mixing, op8_bpe, op9_permutation_index, op10_ngram_join)
+    for f in (op1_substring_dedup, op2_quality_rules, op3_chat, op4_suffix_dedup, op5_wrapper_induction, op6_sharding, op7_mixing, op8_bpe, op9_permutation_index, op10_ngram_join, op11_rank_bpe)
 }
