@@ -18,17 +18,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a reliable checkpoint in the folder that the session names in spark.checkpoint.dir. Only a session without
-    executors of its own (master local) may leave it unset; it gets a temporary one."""
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from spark.checkpoint.dir. Only a session without executors of its own (master local)
+    may leave that unset; it gets a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.split("[")[0] == "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage with a reliable checkpoint in the session's checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

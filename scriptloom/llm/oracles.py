@@ -50,4 +50,18 @@ r AS (SELECT a AS node, b AS other FROM l UNION SELECT r.node, l.b FROM r JOIN l
 m AS (SELECT node, min(other) AS low FROM r GROUP BY 1)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN m ON w.doc_id = m.node"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_quality_rules": OP2, "op3_chat": OP3, "op10_ngram_join": OP10}
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+ROUND = """
+a{n} AS MATERIALIZED (SELECT p.vec_id, p.pos, p.x, min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS m FROM p JOIN c{n} c ON p.pos = c.pos GROUP BY 1, 2, 3),
+s{n} AS (SELECT pos, e, list(CAST(floor(s / n) AS DOUBLE) ORDER BY i) AS c FROM (SELECT pos, m % 256 AS e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT pos, m, x, unnest(generate_series(1, len(x))) AS i FROM a{n}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{next} AS MATERIALIZED (SELECT c.pos, c.e, coalesce(s.c, c.c) AS c FROM c{n} c LEFT JOIN s{n} s ON c.pos = s.pos AND c.e = s.e),"""
+OP12 = f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {FINITE}),
+p AS MATERIALIZED (SELECT vec_id, pos, v[pos * (len(v) // 4) + 1:(pos + 1) * (len(v) // 4)] AS x FROM (SELECT vec_id, v, unnest(range(4)) AS pos FROM k)),
+c0 AS MATERIALIZED (SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < 256),{"".join(ROUND.format(n=n, next=n + 1) for n in range(4))}
+f AS MATERIALIZED (SELECT p.vec_id, p.pos, min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS m FROM p JOIN c4 c ON p.pos = c.pos GROUP BY 1, 2),
+g AS (SELECT vec_id, string_agg(printf('%02x', m % 256), '' ORDER BY pos) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM f GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY pos, e)) AS codebooks_sha256 FROM c4)
+SELECT g.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM g JOIN k ON g.vec_id = k.vec_id CROSS JOIN h"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_quality_rules": OP2, "op3_chat": OP3, "op10_ngram_join": OP10, "op12_vector_codes": OP12}

@@ -18,6 +18,7 @@ from .rank_bpe import rank_decode, rank_encode
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .vector_codes import compress_vectors, label_errors
 from .wrapper_induction import extract_main_text
 
 
@@ -85,9 +86,15 @@ def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compress_vectors(read(spark, sf_dir, "embeddings"), carry=("label",))
+    code = F.array_join(F.transform("codes", lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), "")
+    return label_errors(found.codes.select("vec_id", "label", code.alias("code"), "error")).select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_quality_rules, op3_chat, op4_suffix_dedup, op5_wrapper_induction, op6_sharding, op7_mixing, op8_bpe, op9_permutation_index, op10_ngram_join, op11_rank_bpe)
+    for f in (op1_substring_dedup, op2_quality_rules, op3_chat, op4_suffix_dedup, op5_wrapper_induction, op6_sharding, op7_mixing, op8_bpe, op9_permutation_index, op10_ngram_join, op11_rank_bpe, op12_vector_codes)
 }
