@@ -64,4 +64,12 @@ g AS (SELECT vec_id, string_agg(printf('%02x', m % 256), '' ORDER BY pos) AS cod
 h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY pos, e)) AS codebooks_sha256 FROM c4)
 SELECT g.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM g JOIN k ON g.vec_id = k.vec_id CROSS JOIN h"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_quality_rules": OP2, "op3_chat": OP3, "op10_ngram_join": OP10, "op12_vector_codes": OP12}
+OP13 = f"""
+WITH k AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE label IS NOT NULL AND {FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM k a JOIN k b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM n WHERE rank <= 10"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_quality_rules": OP2, "op3_chat": OP3, "op10_ngram_join": OP10, "op12_vector_codes": OP12, "op13_hard_negatives": OP13}

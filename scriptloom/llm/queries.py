@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .chat import format_chats, read_chats
 from .common import read
+from .hard_negatives import mine_hard_negatives
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .oracles import ORACLES
@@ -92,9 +93,15 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_errors(found.codes.select("vec_id", "label", code.alias("code"), "error")).select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", label)
+    return mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_quality_rules, op3_chat, op4_suffix_dedup, op5_wrapper_induction, op6_sharding, op7_mixing, op8_bpe, op9_permutation_index, op10_ngram_join, op11_rank_bpe, op12_vector_codes)
+    for f in (op1_substring_dedup, op2_quality_rules, op3_chat, op4_suffix_dedup, op5_wrapper_induction, op6_sharding, op7_mixing, op8_bpe, op9_permutation_index, op10_ngram_join, op11_rank_bpe, op12_vector_codes, op13_hard_negatives)
 }
