@@ -21,16 +21,40 @@ def read_job(jobs: DataFrame, job_id: str, user_id: str) -> DataFrame:
     return made.withColumns({c: F.from_json(F.col(c), k, {"mode": "PERMISSIVE"}) for c, k in kinds.items() if c in jobs.columns})
 
 
-def upserted(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Old rows with the new ones over them by id: updated_at is now, created_at is kept, else given, else now."""
-    kept = old.select("id", F.col("created_at").alias("_made"))
-    rows = new.join(kept, "id", "left").withColumn("created_at", F.coalesce("_made", "created_at", now)).withColumn("updated_at", now).drop("_made")
-    return old.join(new.select("id"), "id", "left_anti").unionByName(rows, allowMissingColumns=True)
+def written_order(new: DataFrame, order: tuple[str, ...]) -> Column:
+    """What the rows of a batch are ordered by: the columns named, then all others, so that reruns agree."""
+    return F.struct(*[F.col(c) for c in order if c in new.columns], *[F.col(c).cast("string").alias(f"_{c}") for c in new.columns])
+
 
+def last_written(new: DataFrame, order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
+    """One row per id, the last one of the batch, with the created_at of its first: what writing them one after the other leaves. Rows
+    without an id are left out. Combined before it is shuffled, so an id may repeat in any share of the rows."""
+    at = written_order(new, order)
+    made = new.filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*[c for c in new.columns if c != "id"]), at).alias("_row"), F.min_by("created_at", at).alias("_first"))
+    return made.select(*[F.col("id") if c == "id" else F.col("_first").alias(c) if c == "created_at" else F.col("_row").getField(c).alias(c) for c in new.columns])
 
-def inserted(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to insert, rows rejected because their id exists)."""
-    return new.join(old.select("id"), "id", "left_anti"), new.join(old.select("id"), "id", "left_semi")
+
+def upserted(old: DataFrame, new: DataFrame, now: Column, order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
+    """Old rows with the new ones over them by id: updated_at is now, created_at is kept, else given, else now. Of new rows of one id the
+    last by `order` wins; each id comes out once if it was once in old."""
+    last = last_written(new, order)
+    kept = old.select("id", F.col("created_at").alias("_made"))
+    rows = last.join(kept, "id", "left").withColumn("created_at", F.coalesce("_made", "created_at", now)).withColumn("updated_at", now).drop("_made")
+    return old.join(last.select("id"), "id", "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
+def inserted(old: DataFrame, new: DataFrame, order: tuple[str, ...] = ("created_at",)) -> tuple[DataFrame, DataFrame]:
+    """(rows to insert, rows rejected). Of new rows of one id the first by `order` goes in, unless old has the id; all others are rejected,
+    each as often as it comes, and so are rows without an id."""
+    names = new.columns
+    alike = new.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    first = new.filter("id IS NOT NULL").groupBy("id").agg(F.min_by(F.struct(*names), written_order(new, order)).alias("_row")).select("_row.*")
+    good = first.join(old.select("id"), "id", "left_anti").select(*names)
+    own = good.select(*[F.col(c).alias(f"_{c}") for c in names], F.lit(1).alias("_in"))
+    # equal in all columns, so rows of one id meet by all they hold, not in one task
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    left = alike.join(own, same, "left").withColumn("_n", F.col("_n") - F.coalesce("_in", F.lit(0))).filter("_n > 0")
+    return good, left.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy")).drop("_copy")
 
 
 def deleted(tables: dict[str, tuple[DataFrame, str]], keys: DataFrame) -> dict[str, DataFrame]:

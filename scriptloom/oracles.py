@@ -197,8 +197,10 @@ _prose = f"trim(array_to_string(list_transform(string_split({_prose}, chr(10)),
 
 ORACLES: dict[str, str] = {
     "src_read_job": f"WITH {JOBS} SELECT id, user_id, status, total_steps FROM jobs ORDER BY created_at, id LIMIT 1",
-    "snk_upsert": f"WITH {JOBS} SELECT CASE WHEN status = 'processing' THEN 'completed' ELSE status END AS status, count(*) AS n, count_if(status = 'processing' OR updated_at = TIMESTAMP '2026-01-01 00:00:00') AS touched, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS oldest FROM jobs GROUP BY 1",
-    "snk_insert": f"WITH {JOBS} SELECT CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'inserted' ELSE 'rejected' END AS kind, status, count(*) AS n FROM jobs GROUP BY 1, 2",
+    "snk_upsert": f"""WITH {JOBS}, b AS (SELECT CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'n' || id ELSE id END AS id, user_id, created_at FROM jobs WHERE status = 'processing'), w AS (SELECT id, user_id, 'completed' AS status, created_at, TIMESTAMP '2026-01-01 00:00:00' AS updated_at FROM b),
+        u AS (SELECT id, user_id, status, created_at, updated_at FROM jobs WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT * FROM w) SELECT id, user_id, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM u""",
+    "snk_insert": f"""WITH {JOBS}, n AS (SELECT CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'n' || id ELSE id END AS id, status FROM jobs), w AS (SELECT id, status, 1 AS turn FROM n UNION ALL SELECT id, 'queued', 2 FROM n)
+        SELECT CASE WHEN turn = 1 AND starts_with(id, 'n') THEN 'inserted' ELSE 'rejected' END AS kind, id, status FROM w""",
     "snk_delete": f"WITH {JOBS} SELECT 'jobs' AS kind, count(*) AS n FROM jobs WHERE status <> 'failed' UNION ALL SELECT 'documents', count(*) FROM lineitem WHERE CAST(l_orderkey AS STRING) NOT IN (SELECT id FROM jobs WHERE status = 'failed')",
     "cln_stamps_speakers": f"WITH {LINES} SELECT transcript_id, line_no, {_stamps} AS text FROM lines",
     "cln_fillers": f"SELECT doc_id, {_prose} AS text FROM documents",
@@ -375,7 +377,7 @@ ORACLES |= {
         round(CAST(CAST(shared AS DOUBLE) / (n_step + n_sentence - shared) * 0.4 + kw * 0.4 + ph * 0.2 + {_bare} AS DOUBLE), 6) AS base_score, round(tech, 6) AS technical FROM l""",
     "mat_hybrid": f"""{SEG}, {STEPS}, {MATCH}, v AS (SELECT c.*, greatest(0.0, least(1.0, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])))) AS near FROM cand c JOIN embeddings x ON x.vec_id = (CAST(replace(c.transcript_id, '-', '') AS BIGINT) * 31 + c.step_index * 7) % (SELECT count(*) FROM embeddings) JOIN embeddings y ON y.vec_id = (CAST(replace(c.transcript_id, '-', '') AS BIGINT) * 31 + c.sentence_index * 3) % (SELECT count(*) FROM embeddings)),
         u AS (SELECT *, (CAST(shared AS DOUBLE) / (n_step + n_sentence - shared) * 0.5 + near * 0.5 + {_bare}) * 0.85 AS x, {technical("text")} AS tech FROM v), t AS (SELECT *, least(1.0, CASE WHEN x >= 0.1 THEN x + tech * 0.2 ELSE x END) AS confidence FROM u)
-        SELECT transcript_id, step_index, sentence_index, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM t WHERE confidence >= 0.15 QUALIFY row_number() OVER (PARTITION BY transcript_id, step_index ORDER BY round(confidence, 9) DESC, sentence_index) <= 5""",
+        SELECT transcript_id, step_index, sentence_index, CAST(round(CAST(confidence AS DECIMAL(18, 12)), 6) AS DOUBLE) AS confidence FROM t WHERE confidence >= 0.15 QUALIFY row_number() OVER (PARTITION BY transcript_id, step_index ORDER BY round(confidence, 9) DESC, sentence_index) <= 5""",
     "mat_all_sources": f"""{SEG}, {STEPS}, {SOURCES}, {_three} SELECT transcript_id, step_index, n_sources, nt > 0 AS has_transcript_support, nk > 0 AS has_knowledge_support, has_visual_support, 'transcript (' || CAST(nt AS STRING) || ')' || CASE WHEN nk > 0 THEN ', knowledge (' || CAST(nk AS STRING) || ')' ELSE '' END AS summary,
         round(CAST(least(1.0, CASE WHEN n = 1 THEN c1 WHEN n = 2 THEN c1 * 0.6 + c2 * 0.4 ELSE c1 * 0.5 + c2 * 0.3 + c3 * 0.2 END * CASE WHEN n >= 4 THEN 1.25 WHEN n = 3 THEN 1.15 WHEN n = 2 THEN 1.08 ELSE 1.0 END * CASE WHEN nk > 0 THEN 1.12 ELSE 1.0 END * CASE WHEN c1 > 0.5 THEN 1.1 ELSE 1.0 END) AS DOUBLE), 6) AS confidence FROM s4""",
     "knw_titles": f"SELECT page_id, coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]+'), false) AS is_valid, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, CASE WHEN {_name} = '' THEN {_host} ELSE {_title.format(x=_name)} END AS url_title FROM pages",

@@ -105,6 +105,11 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def d6(name: str) -> Column:
+    """Rounded over decimals, so that values which end in an exact five are rounded alike everywhere."""
+    return F.round(F.col(name).cast("decimal(18,12)"), 6).cast("double")
+
+
 # sources and sinks
 
 
@@ -117,17 +122,23 @@ def src_read_job(spark, d):
 
 @query
 def snk_upsert(spark, d):
+    """Jobs in progress are written twice in one batch, first as failed, then as completed; every fifth comes again under a new id."""
     j = job_rows(spark, d).select("id", "user_id", "status", "created_at", "updated_at")
-    new = j.filter("status = 'processing'").withColumn("status", F.lit("completed"))
-    return jobs.upserted(j, new, now()).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("updated_at") == now()).alias("touched"), F.min("created_at").cast("string").alias("oldest"))
+    busy = j.filter("status = 'processing'")
+    later = busy.withColumns({"status": F.lit("completed"), "updated_at": F.col("updated_at") + F.expr("interval 1 hour"), "created_at": F.col("created_at") + F.expr("interval 1 day")})
+    again = F.when(F.col("id").cast("bigint") % 5 == 0, F.concat(F.lit("n"), "id")).otherwise(F.col("id"))
+    new = busy.withColumn("status", F.lit("failed")).unionByName(later).withColumn("id", again)
+    return jobs.upserted(j, new, now()).select("id", "user_id", "status", F.col("created_at").cast("string").alias("created_at"), F.col("updated_at").cast("string").alias("updated_at"))
 
 
 @query
 def snk_insert(spark, d):
-    j = job_rows(spark, d).select("id", "status")
-    new = j.select(F.when(F.col("id").cast("bigint") % 3 == 0, F.concat(F.lit("n"), "id")).otherwise(F.col("id")).alias("id"), "status")
+    """Each row twice, with two statuses; every third id is new."""
+    j = job_rows(spark, d).select("id", "status", "created_at")
+    new = j.select(F.when(F.col("id").cast("bigint") % 3 == 0, F.concat(F.lit("n"), "id")).otherwise(F.col("id")).alias("id"), "status", "created_at")
+    new = new.unionByName(new.withColumns({"status": F.lit("queued"), "created_at": F.col("created_at") + F.expr("interval 1 hour")}))
     good, bad = jobs.inserted(j, new)
-    return good.select(F.lit("inserted").alias("kind"), "status").unionByName(bad.select(F.lit("rejected").alias("kind"), "status")).groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
+    return good.select(F.lit("inserted").alias("kind"), "id", "status").unionByName(bad.select(F.lit("rejected").alias("kind"), "id", "status"))
 
 
 @query
@@ -398,7 +409,7 @@ def mat_hybrid(spark, d):
     steps, sentences = told(spark, d)
     e = table(spark, d, "embeddings")
     found = matching.transcript_sources(with_vectors(steps, e, F.col("step_index") * 7), with_vectors(sentences, e, F.col("sentence_index") * 3), Matching())
-    return found.select("transcript_id", "step_index", "sentence_index", F.round("confidence", 6).alias("confidence"))
+    return found.select("transcript_id", "step_index", "sentence_index", d6("confidence").alias("confidence"))
 
 
 @query
