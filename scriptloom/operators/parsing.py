@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -29,12 +29,10 @@ def sentence_rows(lines: DataFrame) -> DataFrame:
     return rows.withColumn("sentence_index", F.row_number().over(order) - 1).drop("line_no", "pos")
 
 
-def parsed(lines: DataFrame, long_pause: float = 90.0) -> DataFrame:
-    """The sentence table with all flags and roles. One exchange by transcript serves every window."""
-    rows, order = sentence_rows(lines), Window.partitionBy("transcript_id").orderBy("sentence_index")
-    before_ts, before_speaker = F.lag("timestamp").over(order), F.lag("speaker").over(order)
+def flagged(rows: DataFrame, before_ts: Column, before_speaker: Column, long_pause: float) -> DataFrame:
+    """Adds the flags of a sentence, given the time and the speaker of the one before."""
     both = (F.col("timestamp") != 0) & (before_ts != 0)
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "raw_text": F.col("text"),
             "is_question": T.is_question(F.col("text")),
@@ -44,6 +42,12 @@ def parsed(lines: DataFrame, long_pause: float = 90.0) -> DataFrame:
             "speaker_changed": F.coalesce(F.col("speaker") != before_speaker, F.lit(False)),
         }
     )
+
+
+def parsed(lines: DataFrame, long_pause: float = 90.0) -> DataFrame:
+    """The sentence table with all flags and roles. One exchange by transcript serves every window."""
+    rows, order = sentence_rows(lines), Window.partitionBy("transcript_id").orderBy("sentence_index")
+    rows = flagged(rows, F.lag("timestamp").over(order), F.lag("speaker").over(order), long_pause)
     per_speaker = Window.partitionBy("transcript_id", "speaker")
     rows = rows.withColumns({"_n": F.when(F.col("speaker").isNotNull(), F.count(F.lit(1)).over(per_speaker)), "_first": F.min("sentence_index").over(per_speaker)})
     primary = F.max_by("speaker", F.when(F.col("speaker").isNotNull(), F.struct("_n", -F.col("_first")))).over(Window.partitionBy("transcript_id"))

@@ -15,7 +15,11 @@ def in_order():
 
 def boundary_scores(sentences: DataFrame, config: Segmentation = Segmentation()) -> DataFrame:
     """Adds gap_score, speaker_score, transition_score, dissimilarity, boundary_score and is_boundary."""
-    rows = sentences.withColumns({"_ts": F.lag("timestamp").over(in_order()), "_role": F.lag("speaker_role").over(in_order()), "_before": F.lag(T.keywords(F.col("text"))).over(in_order()), "_own": T.keywords(F.col("text"))})
+    return scored(sentences.withColumns({"_ts": F.lag("timestamp").over(in_order()), "_role": F.lag("speaker_role").over(in_order()), "_before": F.lag(T.keywords(F.col("text"))).over(in_order()), "_own": T.keywords(F.col("text"))}), config)
+
+
+def scored(rows: DataFrame, config: Segmentation) -> DataFrame:
+    """The scores of rows that know the time, role and keywords of the sentence before as _ts, _role and _before, and their own keywords as _own."""
     gap = F.when(F.col("timestamp").isNull() | F.col("_ts").isNull(), 0.0).when(F.col("follows_long_pause"), 1.0).otherwise(F.least((F.col("timestamp") - F.col("_ts")) / config.long_pause, F.lit(1.0)))
     into = (F.col("_role") == "participant") & (F.col("speaker_role") == "instructor")
     speaker = F.when(~F.col("speaker_changed"), 0.0).when(into, 1.0).when(F.col("is_transition"), 0.8).otherwise(0.3)

@@ -392,3 +392,8 @@ ORACLES |= {
     "job_stages": f"""WITH s AS (SELECT event_id, [{q(_stages)}][event_id % 13 + 1] AS stage, event_id % 13 AS i FROM events) SELECT event_id, stage, CASE stage WHEN 'complete' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status, CASE WHEN i < 12 THEN round(CAST(i AS DOUBLE) / 11, 6) END AS progress FROM s""",
     "job_times": f"WITH {JOBS} SELECT id, {_spent(_took)} AS duration, {_ago(_age)} AS age FROM jobs",
 }
+
+# the same statements over lines of which every third is in one transcript
+_hour = "CAST(CAST(ts AS DATE) AS STRING) || '-' || lpad(CAST(hour(ts) AS STRING), 2, '0')"
+_uneven = LINES.replace(f"{_hour} AS transcript_id", f"CASE WHEN event_id % 3 = 0 THEN 'meeting' ELSE {_hour} END AS transcript_id").replace("row_number() OVER (PARTITION BY CAST(ts AS DATE), hour(ts) ORDER BY ts, event_id) - 1 AS line_no", "event_id AS line_no")
+ORACLES |= {f"{made}_long": ORACLES[name].replace(LINES, _uneven) for made, name in (("segments", "segments"), ("prs", "prs_sentences"))}

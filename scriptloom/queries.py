@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lexicon as L
 from .config import Matching, QaFilter, Validation
 from .functions import text as T
-from .operators import chunking, cleaning, confidence, document, jobs, knowledge, matching, parsing, qa, ranking, segmentation, structure, validation
+from .operators import chunking, cleaning, confidence, document, jobs, knowledge, long, matching, parsing, qa, ranking, segmentation, structure, validation
 from .operators import steps as S
 from .oracles import ORACLES
 from .plans import run as plan
@@ -31,9 +31,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Stamped two-speaker lines, one transcript per hour of events."""
-    e = table(spark, d, "events")
+def two(x: Column) -> Column:
+    return F.lpad(x.cast("int").cast("string"), 2, "0")
+
+
+def hour_of(ts: str) -> Column:
+    return F.concat(F.to_date(ts).cast("string"), F.lit("-"), two(F.hour(ts)))
+
+
+def said_lines(e: DataFrame, transcript: Column, number: Column) -> DataFrame:
+    """Stamped two-speaker lines, one per event."""
     sec = F.floor((F.minute("ts") * 60 + F.floor(F.second("ts"))) / 6).cast("int")
     odd = F.col("event_id") % 2 == 0
     said = (
@@ -42,13 +49,20 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("event_type") == "signup", "Enter your name and save the form. The form keeps the name.")
         .when((F.col("event_type") == "error") & odd, "Now let's look at the ERROR page. Reset the password again.").when(F.col("event_type") == "error", "The ERROR page is empty.").otherwise("That was really helpful. Thanks!")
     )
-    from pyspark.sql import Window
-
-    day = F.to_date("ts")
-    number = F.row_number().over(Window.partitionBy(day, F.hour("ts")).orderBy("ts", "event_id")) - 1
-    two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
     stamp = F.concat(F.lit("[00:"), two(F.floor(sec / 60)), F.lit(":"), two(sec % 60), F.lit("] Speaker "), F.when(F.col("user_id") % 5 == 0, "2").otherwise("1"), F.lit(": "))
-    return e.select(F.concat(day.cast("string"), F.lit("-"), two(F.hour("ts"))).alias("transcript_id"), number.alias("line_no"), F.concat(stamp, said).alias("line"))
+    return e.select(transcript.alias("transcript_id"), number.alias("line_no"), F.concat(stamp, said).alias("line"))
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """One transcript per hour of events."""
+    number = F.row_number().over(Window.partitionBy(F.to_date("ts"), F.hour("ts")).orderBy("ts", "event_id")) - 1
+    return said_lines(table(spark, d, "events"), hour_of("ts"), number)
+
+
+def uneven_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The stamped lines, every third of them in one transcript, numbered by event."""
+    one = table(spark, d, "events")
+    return said_lines(one, F.when(F.col("event_id") % 3 == 0, "meeting").otherwise(hour_of("ts")), F.col("event_id"))
 
 
 def chat_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -234,13 +248,29 @@ def chk_step_count(spark, d):
 # segments
 
 
-@query
-def segments(spark, d):
-    return segmentation.segment_records(rows_of(spark, d)).withColumn("speaker_counts", F.to_json("speaker_counts")).select(
+def shown_segments(rows: DataFrame) -> DataFrame:
+    return segmentation.segment_records(rows).withColumn("speaker_counts", F.to_json("speaker_counts")).select(
         "transcript_id", "segment_id", "n_sentences", "first_index", "last_index", "start_ts", "end_ts", "duration", "primary_speaker", "speaker_counts", "question_count", "has_transition_start", "has_qa_section", "fallback_split"
     )
 
 
+@query
+def segments(spark, d):
+    return shown_segments(rows_of(spark, d))
+
+
+@query
+def segments_long(spark, d):
+    """Every third line belongs to one transcript; lines are numbered by their event."""
+    return shown_segments(long.segmented(kept(long.parsed(uneven_lines(spark, d), block_lines=1024))))
+
+
+@query
+def prs_long(spark, d):
+    """The sentences of the same transcripts."""
+    return long.parsed(uneven_lines(spark, d), block_lines=1024).drop("_block")
+
+
 @query
 def seg_scores(spark, d):
     return r6(segmentation.boundary_scores(parsing.parsed(lines(spark, d))), "gap_score", "boundary_score", "dissimilarity").select(
