@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..config import Matching
 from ..functions import text as T
+from ..plans.keep import kept
 from .cleaning import alike, similarity
 
 KEYS = ["transcript_id", "step_index"]
@@ -71,10 +71,39 @@ def adjusted(base: Column, technical: Column, uses: Column) -> Column:
     return F.least(F.lit(1.0), F.when(x >= 0.10, x + technical * 0.2).otherwise(x))
 
 
+def reused(rows: DataFrame, config: Matching, most: int = 200_000) -> DataFrame:
+    """The best sentences of each step where earlier choices count: (keys, sentence_index, base_score, technical, confidence) for candidates
+    without the last. All steps choose at once, uses by earlier steps are counted, and all choose again until nothing changes. Up to the first
+    step of a transcript that chose otherwise than before, steps have seen final choices only, so they are final too: their uses
+    are kept as a number and the rows leave the rounds. Windows run over the steps of one sentence and the sentences of one step."""
+    active = kept(rows.withColumns({"_held": F.lit(0).cast("long"), "_was": F.lit(False)}))
+    done = []
+    while True:
+        of_sentence, of_step = Window.partitionBy("transcript_id", "sentence_index"), Window.partitionBy(*KEYS)
+        uses = F.coalesce(F.sum(F.col("_was").cast("long")).over(of_sentence.orderBy("step_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_held")
+        made = active.withColumn("confidence", adjusted(F.col("base_score"), F.col("technical"), uses))
+        rank = F.row_number().over(of_step.orderBy(F.desc(F.round("confidence", 9)), "sentence_index"))
+        made = kept(made.withColumn("_now", (F.col("confidence") >= config.min_score) & (rank <= config.top)))
+        first = kept(made.filter("_now != _was").groupBy("transcript_id").agg(F.min("step_index").alias("_first_change")))
+        n = first.count()
+        if not n:
+            done.append(made)
+            break
+        # one row per transcript that still changes; beyond `most` a shuffle, of which a frequent transcript is split at run time
+        told = made.join(F.broadcast(first) if n <= most else first, "transcript_id", "left").withColumn("_final", F.coalesce(F.col("step_index") <= F.col("_first_change"), F.lit(True)))
+        done.append(told.filter("_final").select(*made.columns))
+        held = F.col("_held") + F.sum((F.col("_now") & F.col("_final")).cast("long")).over(of_sentence)
+        active = kept(told.withColumn("_held", held).filter("NOT _final").select(*rows.columns, "_held", F.col("_now").alias("_was")))
+    every = done[0]
+    for other in done[1:]:
+        every = every.unionByName(other)
+    return every.filter("_now").select(*rows.columns, "confidence")
+
+
 def transcript_sources(steps: DataFrame, sentences: DataFrame, config: Matching = Matching(), reuse: bool = False) -> DataFrame:
     """Source rows, the best `top` sentences per step. With reuse, a sentence that an earlier step of the transcript chose counts less: the
     independent part of the score is worked out for all, pairs that can't reach the limit even unused are dropped, and
-    the fold over steps runs per transcript on the few rows left. Without it, sentences of one text are scored once: of their
+    `reused` settles the few rows left. Without it, sentences of one text are scored once: of their
     places the first `top` alone can be among the best."""
     once = not reuse and "embedding" not in sentences.columns
     if once:
@@ -89,22 +118,7 @@ def transcript_sources(steps: DataFrame, sentences: DataFrame, config: Matching
     if not reuse:
         best = fresh.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc(F.round("confidence", 9)), "sentence_index"))).filter(F.col("_r") <= config.top)
     else:
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            uses: dict[int, int] = {}
-            kept = []
-            for _, own in pdf.sort_values(["step_index", "sentence_index"]).groupby("step_index", sort=True):
-                n = own["sentence_index"].map(lambda i: uses.get(i, 0))
-                x = own["base_score"] * (1 - ((n + 1) * 0.15).clip(upper=0.6))
-                own = own.assign(confidence=(x + (x >= 0.10) * own["technical"] * 0.2).clip(upper=1.0))
-                own = own[own["confidence"] >= config.min_score].sort_values("confidence", ascending=False, kind="stable").head(config.top)
-                for i in own["sentence_index"]:
-                    uses[i] = uses.get(i, 0) + 1
-                kept.append(own)
-            return pd.concat(kept) if kept else pdf.head(0)
-
-        names = ["transcript_id", "step_index", "sentence_index", "base_score", "technical", "confidence"]
-        best = fresh.select(*names).groupBy("transcript_id").applyInPandas(fold, fresh.select(*names).schema)
+        best = reused(fresh.select("transcript_id", "step_index", "sentence_index", "base_score", "technical"), config)
     text = sentences.select("transcript_id", F.col("sentence_index").alias("_first"), F.col("text").alias("excerpt"))
     best = best if once else best.withColumn("_first", F.col("sentence_index"))
     return as_sources(best.join(text, ["transcript_id", "_first"]), "transcript")

@@ -393,6 +393,16 @@ ORACLES |= {
     "job_times": f"WITH {JOBS} SELECT id, {_spent(_took)} AS duration, {_ago(_age)} AS age FROM jobs",
 }
 
+# step by step: what earlier steps have chosen is a list that the next one reads
+_used = "base * (1 - least(0.6, (len(list_filter(r.used, lambda u: u = x.s)) + 1) * 0.15))"
+ORACLES["mat_reuse"] = f"""WITH RECURSIVE {f"{SEG}, {STEPS}, {SOURCES}".removeprefix("WITH ")}, ca AS MATERIALIZED (SELECT transcript_id, step_index, list(struct_pack(s := sentence_index, b := CAST(base AS DOUBLE), t := CAST(tech AS DOUBLE))) AS cs FROM so1 GROUP BY 1, 2),
+r AS (SELECT transcript_id, CAST(-1 AS BIGINT) AS k, CAST(max(step_index) AS BIGINT) AS last, CAST([] AS INT[]) AS used, CAST([] AS STRUCT(o DOUBLE, s INT, c DOUBLE)[]) AS picks FROM ca GROUP BY 1
+  UNION ALL SELECT transcript_id, k + 1, last, list_concat(used, list_transform(p, lambda x: x.s)), p FROM (
+    SELECT r.transcript_id, r.k, r.last, r.used, coalesce(list_sort(list_filter(list_transform(list_transform(cs, lambda x: struct_pack(s := x.s, t := x.t, v := {_used.replace("base", "x.b")})),
+      lambda y: struct_pack(o := -round(least(1.0, CASE WHEN y.v >= 0.1 THEN y.v + y.t * 0.2 ELSE y.v END), 9), s := CAST(y.s AS INT), c := least(1.0, CASE WHEN y.v >= 0.1 THEN y.v + y.t * 0.2 ELSE y.v END))), lambda z: z.c >= 0.15))[1:5], []) AS p
+    FROM r LEFT JOIN ca ON ca.transcript_id = r.transcript_id AND ca.step_index = r.k + 1 WHERE r.k < r.last))
+SELECT transcript_id, CAST(k AS INT) AS step_index, p.s AS sentence_index, round(p.c, 6) AS confidence FROM (SELECT transcript_id, k, unnest(picks) AS p FROM r)"""
+
 # the same statements over lines of which every third is in one transcript
 _hour = "CAST(CAST(ts AS DATE) AS STRING) || '-' || lpad(CAST(hour(ts) AS STRING), 2, '0')"
 _uneven = LINES.replace(f"{_hour} AS transcript_id", f"CASE WHEN event_id % 3 = 0 THEN 'meeting' ELSE {_hour} END AS transcript_id").replace("row_number() OVER (PARTITION BY CAST(ts AS DATE), hour(ts) ORDER BY ts, event_id) - 1 AS line_no", "event_id AS line_no")

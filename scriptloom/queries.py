@@ -416,7 +416,7 @@ def mat_sources(spark, d):
 
 @query
 def mat_reuse(spark, d):
-    return matching.transcript_sources(*told(spark, d), reuse=True).groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("total"))
+    return r6(matching.transcript_sources(*told(spark, d), reuse=True), "confidence").select("transcript_id", "step_index", "sentence_index", "confidence")
 
 
 @query
