@@ -12,10 +12,11 @@ def test_state_after_a_restart(spark, tmp_path):
     for i, name in enumerate(("first", "second")):
         own = spark.newSession()
         own.createDataFrame(log[2 * i : 2 * i + 2], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/log")
-        intake.merge_state(own, own.readStream.schema(schema).json(f"{tmp_path}/log"), f"{tmp_path}/c", f"{tmp_path}/t").awaitTermination()
+        intake.track_state(own.readStream.schema(schema).json(f"{tmp_path}/log"), f"{tmp_path}/c", f"{tmp_path}/t").awaitTermination()
     names = ["id", "updated_at", "stage", "step"]
-    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t/v=1").select(*names).collect()))
+    got = sorted(map(tuple, intake.stored_state(spark, f"{tmp_path}/c").select(*names).collect()))
     assert got == sorted(map(tuple, jobs.state(spark.createDataFrame(log, schema)).select(*names).collect())) and len(got) == 3
+    assert got == sorted(map(tuple, intake.current_state(spark.read.parquet(f"{tmp_path}/t")).select(*names).collect()))
 
 
 def test_jobs_are_handled_once_over_batches(spark, tmp_path):

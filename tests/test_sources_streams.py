@@ -1,4 +1,7 @@
 import json
+import random
+
+import pytest
 
 
 from scriptloom.operators import jobs
@@ -38,14 +41,55 @@ def test_unique(spark, tmp_path):
     assert sorted(r.job_id for r in spark.table("unique_jobs").collect()) == ["a", "b"]
 
 
-def test_streamed_state_is_that_of_the_log(spark, tmp_path):
-    schema = "id string, updated_at int, stage string, step int"
-    log = [("1", 1, "a", None), ("2", 2, "x", 1), ("1", 3, None, 7), ("1", 4, "b", None), ("2", 5, None, 2)]
-    for i in range(0, 5, 2):
-        spark.createDataFrame(log[i : i + 2], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/log")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/log")
-    intake.merge_state(spark, stream, f"{tmp_path}/c", f"{tmp_path}/t").awaitTermination()
-    last = spark.conf.get(f"intake.{tmp_path}/t").split()[-1]
-    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t/v={last}").select("id", "updated_at", "stage", "step").collect()))
-    want = sorted(map(tuple, jobs.state(spark.createDataFrame(log, schema)).select("id", "updated_at", "stage", "step").collect()))
-    assert got == want
+SCHEMA = "id string, updated_at int, stage string, step int"
+NAMES = ["id", "updated_at", "stage", "step"]
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select(*NAMES).collect()), key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_streamed_state_is_that_of_the_log(spark, tmp_path, seed):
+    """Events in any order and any batches leave what one aggregate over the log leaves; a batch writes the jobs that it touches."""
+    rng = random.Random(seed)
+    log = [(f"j{rng.randrange(40)}", at, rng.choice([None, "a", "b", "complete"]), rng.choice([None, at])) for at in range(400)]
+    log += [("hot", 1000 + at, None, at) for at in range(200)]
+    rng.shuffle(log)
+    batches, at = [], 0
+    while at < len(log):
+        n = rng.choice([1, 40, 200])
+        batches.append(log[at : at + n])
+        at += n
+    for i, own in enumerate(batches):
+        spark.createDataFrame(own + [(None, 1, "a", 1), ("j1", None, "x", 1)], SCHEMA).coalesce(1).write.json(f"{tmp_path}/log/f{i:02}")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/log/*")
+    intake.track_state(stream, f"{tmp_path}/c", f"{tmp_path}/t").awaitTermination()
+    want = rows_of(jobs.state(spark.createDataFrame(log, SCHEMA)))
+    changes = spark.read.parquet(f"{tmp_path}/t")
+    assert rows_of(intake.current_state(changes)) == want
+    assert rows_of(intake.stored_state(spark, f"{tmp_path}/c")) == want
+    assert rows_of(intake.current_state(intake.compacted(spark, f"{tmp_path}/t", f"{tmp_path}/small"))) == want
+    written = {r.batch: r["count"] for r in changes.groupBy("batch").count().collect()}
+    assert sorted(written.values()) == sorted(len({r[0] for r in own}) for own in batches)
+
+
+def test_finished_jobs_leave_the_store_and_may_come_back(spark, tmp_path):
+    log = [[("a", 1, "complete", 7), ("b", 1, "run", 1)], [("b", 2, "run", 2)], [("b", 3, None, 3)], [("a", 4, "again", None)]]
+    held = []
+    for i, own in enumerate(log):
+        spark.createDataFrame(own, SCHEMA).coalesce(1).write.json(f"{tmp_path}/log/f{i}")
+        stream = spark.readStream.schema(SCHEMA).json(f"{tmp_path}/log/*")
+        intake.track_state(stream, f"{tmp_path}/c", f"{tmp_path}/t", keep_ms=1).awaitTermination()
+        held.append({r.id for r in intake.stored_state(spark, f"{tmp_path}/c").collect()})
+    assert held[0] >= {"b"} and held[2] == {"b"} and held[3] == {"a", "b"}
+    assert rows_of(intake.current_state(spark.read.parquet(f"{tmp_path}/t"))) == [("a", 4, "again", 7), ("b", 3, "run", 3)]
+
+
+def test_jobs_are_forgotten_after_a_while(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    seen = []
+    for name, ids in (("a", "xx"), ("b", "y"), ("c", "z"), ("d", "x")):
+        (tmp_path / f"in/{name}.json").write_text("\n".join(json.dumps({"job_id": j, "user_id": "u"}) for j in ids))
+        intake.consume(intake.messages(spark, f"{tmp_path}/in"), f"{tmp_path}/c", lambda df, n: seen.extend(r.job_id for r in df.collect()), f"{tmp_path}/dead", keep_ms=1).awaitTermination()
+    assert seen == ["x", "y", "z", "x"]
