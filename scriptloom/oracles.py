@@ -393,6 +393,10 @@ ORACLES |= {
     "job_times": f"WITH {JOBS} SELECT id, {_spent(_took)} AS duration, {_ago(_age)} AS age FROM jobs",
 }
 
+ORACLES["stm_state"] = ORACLES["job_state"]
+ORACLES["stm_messages"] = """SELECT DISTINCT 'handled' AS kind, CAST(user_id AS STRING) || '-' || event_type AS message FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0
+UNION ALL SELECT 'invalid JSON', 'broken ' || CAST(event_id AS STRING) FROM events WHERE event_id % 7 = 0 UNION ALL SELECT 'missing job_id', '{"user_id":"' || CAST(event_id AS STRING) || '"}' FROM events WHERE event_id % 7 <> 0 AND event_id % 11 = 0"""
+
 # step by step: what earlier steps have chosen is a list that the next one reads
 _used = "base * (1 - least(0.6, (len(list_filter(r.used, lambda u: u = x.s)) + 1) * 0.15))"
 ORACLES["mat_reuse"] = f"""WITH RECURSIVE {f"{SEG}, {STEPS}, {SOURCES}".removeprefix("WITH ")}, ca AS MATERIALIZED (SELECT transcript_id, step_index, list(struct_pack(s := sentence_index, b := CAST(base AS DOUBLE), t := CAST(tech AS DOUBLE))) AS cs FROM so1 GROUP BY 1, 2),

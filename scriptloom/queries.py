@@ -12,7 +12,8 @@ from .operators import chunking, cleaning, confidence, document, jobs, knowledge
 from .operators import steps as S
 from .oracles import ORACLES
 from .plans import run as plan
-from .plans.keep import kept
+from .plans.keep import kept, new_folder
+from .streaming import intake
 
 QUERIES: dict = {}
 FLAGSHIP = "segments"
@@ -706,6 +707,33 @@ def job_state(spark, d):
     return jobs.state(e, order=("ts", "event_id")).select("id", "stage", "step", F.col("event_id").alias("last_event"))
 
 
+def landed(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of their files; a pattern, as the table may be one file or a folder."""
+    return spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")
+
+
+@query
+def stm_state(spark, d):
+    """The log of job_state as a stream; the table that its changes stand for."""
+    e = landed(spark, d).select(F.col("user_id").alias("id"), "ts", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("stage"), F.when(F.col("event_id") % 3 == 0, F.col("event_id")).alias("step"))
+    at = new_folder(spark, "states")
+    intake.track_state(e, f"{at}/checkpoint", f"{at}/changes", order=("ts", "event_id")).awaitTermination()
+    return intake.current_state(spark.read.parquet(f"{at}/changes"), order=("ts", "event_id")).select("id", "stage", "step", F.col("event_id").alias("last_event"))
+
+
+@query
+def stm_messages(spark, d):
+    """Messages made of the events, some broken and many repeated: each job that was handled, and the dead letters."""
+    job = F.concat(F.col("user_id").cast("string"), F.lit("-"), "event_type")
+    whole = F.to_json(F.struct(job.alias("job_id"), F.col("user_id").cast("string").alias("user_id")))
+    value = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("broken "), F.col("event_id").cast("string"))).when(F.col("event_id") % 11 == 0, F.concat(F.lit('{"user_id":"'), F.col("event_id").cast("string"), F.lit('"}'))).otherwise(whole)
+    at = new_folder(spark, "messages")
+    raw = landed(spark, d).select(value.alias("value"), F.current_timestamp().alias("arrived"))
+    intake.consume(raw, f"{at}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{at}/handled/batch={n}"), f"{at}/dead").awaitTermination()
+    good, dead = spark.read.parquet(f"{at}/handled"), spark.read.parquet(f"{at}/dead")
+    return good.select(F.lit("handled").alias("kind"), F.col("job_id").alias("message")).unionByName(dead.select(F.col("reason").alias("kind"), F.col("value").alias("message")))
+
+
 @query
 def job_times(spark, d):
     return jobs.with_times(job_rows(spark, d), now()).select("id", "duration", "age")
