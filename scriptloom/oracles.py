@@ -393,6 +393,7 @@ ORACLES |= {
     "job_times": f"WITH {JOBS} SELECT id, {_spent(_took)} AS duration, {_ago(_age)} AS age FROM jobs",
 }
 
+ORACLES |= {made: ORACLES[name] for made, name in (("sto_read_job", "src_read_job"), ("sto_upsert", "snk_upsert"), ("sto_recent", "job_recent"))}
 ORACLES["stm_state"] = ORACLES["job_state"]
 ORACLES["stm_messages"] = """SELECT DISTINCT 'handled' AS kind, CAST(user_id AS STRING) || '-' || event_type AS message FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0
 UNION ALL SELECT 'invalid JSON', 'broken ' || CAST(event_id AS STRING) FROM events WHERE event_id % 7 = 0 UNION ALL SELECT 'missing job_id', '{"user_id":"' || CAST(event_id AS STRING) || '"}' FROM events WHERE event_id % 7 <> 0 AND event_id % 11 = 0"""

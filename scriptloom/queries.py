@@ -13,6 +13,7 @@ from .operators import steps as S
 from .oracles import ORACLES
 from .plans import run as plan
 from .plans.keep import kept, new_folder
+from .sources.job_store import JobStore
 from .streaming import intake
 
 QUERIES: dict = {}
@@ -135,14 +136,18 @@ def src_read_job(spark, d):
     return jobs.read_job(j, one["id"], one["user_id"]).select("id", "user_id", "status", F.col("result")["metrics"]["total_steps"].alias("total_steps"))
 
 
-@query
-def snk_upsert(spark, d):
-    """Jobs in progress are written twice in one batch, first as failed, then as completed; every fifth comes again under a new id."""
+def upsert_batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(jobs, batch): jobs in progress are written twice in one batch, first as failed, then as completed; every fifth comes again under a new id."""
     j = job_rows(spark, d).select("id", "user_id", "status", "created_at", "updated_at")
     busy = j.filter("status = 'processing'")
     later = busy.withColumns({"status": F.lit("completed"), "updated_at": F.col("updated_at") + F.expr("interval 1 hour"), "created_at": F.col("created_at") + F.expr("interval 1 day")})
     again = F.when(F.col("id").cast("bigint") % 5 == 0, F.concat(F.lit("n"), "id")).otherwise(F.col("id"))
-    new = busy.withColumn("status", F.lit("failed")).unionByName(later).withColumn("id", again)
+    return j, busy.withColumn("status", F.lit("failed")).unionByName(later).withColumn("id", again)
+
+
+@query
+def snk_upsert(spark, d):
+    j, new = upsert_batch(spark, d)
     return jobs.upserted(j, new, now()).select("id", "user_id", "status", F.col("created_at").cast("string").alias("created_at"), F.col("updated_at").cast("string").alias("updated_at"))
 
 
@@ -156,6 +161,36 @@ def snk_insert(spark, d):
     return good.select(F.lit("inserted").alias("kind"), "id", "status").unionByName(bad.select(F.lit("rejected").alias("kind"), "id", "status"))
 
 
+def job_store(jobs: DataFrame) -> JobStore:
+    at = new_folder(jobs.sparkSession, "jobs")
+    return JobStore.create(jobs, at.rpartition("/")[2].replace("-", "_"), at)
+
+
+@query
+def sto_read_job(spark, d):
+    """The job of src_read_job from the bucketed store: one bucket is read."""
+    j = job_rows(spark, d).drop("o_totalprice")
+    one = j.orderBy("created_at", "id").select("id", "user_id").first()
+    return job_store(j).read(one["id"], one["user_id"]).select("id", "user_id", "status", F.col("result")["metrics"]["total_steps"].alias("total_steps"))
+
+
+@query
+def sto_upsert(spark, d):
+    """The batch of snk_upsert into the bucketed store."""
+    j, new = upsert_batch(spark, d)
+    store = job_store(j)
+    store.upsert(new, now())
+    return store.jobs().select("id", "user_id", "status", F.col("created_at").cast("string").alias("created_at"), F.col("updated_at").cast("string").alias("updated_at"))
+
+
+@query
+def sto_recent(spark, d):
+    """The list of job_recent from the bucketed store: the user's buckets are read."""
+    j = job_rows(spark, d).drop("o_totalprice")
+    busiest = j.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first()
+    return job_store(j).recent(busiest["user_id"], 60, "completed").select("id", "user_id", "status", F.get_json_object("result_metrics", "$.total_steps").alias("total_steps"))
+
+
 @query
 def snk_delete(spark, d):
     gone = job_rows(spark, d).filter("status = 'failed'").select("id")
