@@ -84,8 +84,8 @@ def mix_sources(
     often the mix takes the document. Words taken of a source are as near below its target as the fit finds, which is the
     target rounded wherever the lengths allow it; a document is taken cap times at most (cap a whole number).
 
-    Null text: no words, taken as often as the whole passes of its source. A null source is a source, the last. Rows that
-    repeat an id and its text are taken alike; null ids are allowed. A column _m is replaced, other columns may have any name. An empty
+    Null text: no words, taken as often as the whole passes of its source. A null source is a source, the last. Of rows that
+    repeat an id and its text as many are taken as the plan has room for, whichever; null ids are allowed. A column _m is replaced, other columns may have any name. An empty
     table gives no rows. Reruns give the same mix. A task holds the distinct lengths of one source, or about bucket_rows documents
     of one length. The rows meet the plan, one entry per source and length, by a broadcast if it has no more than broadcast_rows
     entries (some 30 MB), else by a shuffle of the rows.
@@ -118,7 +118,7 @@ def mix_sources(
     def told(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    # documents of one length fall into buckets by their draw; whole buckets are in or out, in one the draws are ranked
+    # documents of one length fall into buckets by their draw; whole buckets are in or out, in one the draws are counted in order
     key = plan.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "source_size", "target", "passes", "extra")
     same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
     bucket = F.pmod("draw", F.ceil(F.col("n") / bucket_rows))
@@ -126,10 +126,31 @@ def mix_sources(
     counts = some.groupBy("source", "size", "extra", "bucket").agg(F.count(F.lit(1)).alias("here"))
     before = F.coalesce(F.sum("here").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = counts.withColumn("before", before).filter("before < extra AND before + here >= extra").select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("bucket").alias("_b"), "before")
-    ranked = some.join(edge, same & (F.col("bucket") == F.col("_b"))).withColumn("rank", F.row_number().over(Window.partitionBy("source", "size").orderBy("draw")))
-    last = ranked.filter("before + rank = extra").select("_s", "_z", F.col("bucket").alias("last_bucket"), F.col("draw").alias("last_draw"))
+    # rows that repeat an id and its text share a draw: of those at the limit only as many are in as are left
+    draws = some.join(edge, same & (F.col("bucket") == F.col("_b"))).groupBy("_s", "_z", "extra", "before", "bucket", "draw").agg(F.count(F.lit(1)).alias("tied"))
+    less = F.col("before") + F.coalesce(F.sum("tied").over(Window.partitionBy("_s", "_z").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = draws.withColumn("left", F.col("extra") - less).filter("left > 0 AND left <= tied")
+    last = cut(at.select("_s", "_z", F.col("bucket").alias("last_bucket"), F.col("draw").alias("last_draw"), "left", (F.col("tied") > F.col("left")).alias("ties")))
     limits = key.join(last.withColumnsRenamed({"_s": "_s2", "_z": "_z2"}), F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_z") == F.col("_z2")), "left").drop("_s2", "_z2")
     drawn = rows.join(told(limits), same)
-    within = F.when(F.col("extra") == F.col("n"), F.col("extra") > 0).otherwise(F.coalesce((bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & (F.col("draw") <= F.col("last_draw"))), F.lit(False)))
+    before_last = (bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & (F.col("draw") < F.col("last_draw")))
+    at_last = F.coalesce(F.col("ties") & (F.col("extra") < F.col("n")) & (bucket == F.col("last_bucket")) & (F.col("draw") == F.col("last_draw")), F.lit(False))
+    within = F.when(F.col("extra") == F.col("n"), F.col("extra") > 0).otherwise(F.coalesce(before_last | (F.col("draw") == F.col("last_draw")), F.lit(False)))
+    shown = lambda df: df.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], F.struct("size", "source_size", "target", (F.col("passes") + F.col("more")).alias("copies")).alias("_m"))
     both = drawn.withColumn("more", within.cast("long"))
-    return both.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], F.struct("size", "source_size", "target", (F.col("passes") + F.col("more")).alias("copies")).alias("_m"))
+    if last.filter("ties").isEmpty():
+        return shown(both)
+    return shown(both.filter(~at_last)).unionByName(shown(numbered(cut(drawn.filter(at_last))).withColumn("more", (F.col("number") <= F.col("left")).cast("long"))))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds the number of each row among those of its source and size, from 1. `rows` is a table that was cut, so its partitions stay as they are: rows
+    are numbered in their partition, and partitions follow each other, so no task gathers a frequent row."""
+    own = ["_s", "_z"]
+    rows = rows.withColumn("part", F.spark_partition_id())
+    counts = rows.groupBy(*own, "part").agg(F.count(F.lit(1)).alias("here"))
+    before = F.coalesce(F.sum("here").over(Window.partitionBy(*own).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("_s").alias("_s4"), F.col("_z").alias("_z4"), F.col("part").alias("_part"), before.alias("before"))
+    placed = rows.withColumn("own", F.row_number().over(Window.partitionBy(*own, "part").orderBy("draw")))
+    met = placed.join(starts, F.col("_s").eqNullSafe(F.col("_s4")) & (F.col("_z") == F.col("_z4")) & (F.col("part") == F.col("_part")))
+    return met.withColumn("number", F.col("before") + F.col("own"))

@@ -169,3 +169,22 @@ def test_null_conversations_stay_apart_and_long_ones_stay_whole(spark):
     found = read_chats(format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), PATH), PATH).collect()
     assert sorted((r.conv_id or 0, len(r.roles)) for r in found) == [(0, 1)] * 3 + [(9, 3000)]
     assert next(r.loss_text for r in found if r.conv_id == 9) == "".join(f"turn {i} ###" for i in range(1, 3000, 2))
+
+
+@pytest.mark.parametrize("broadcast_rows", [300_000, 0])
+def test_many_repeated_rows_stay_near_the_target(spark, broadcast_rows):
+    """Half of a source is one row over and over, of a length of its own or not: as many of them are taken as there is room for."""
+    rng = random.Random(9)
+    rows = [(7, "w " * 33, "a", "x")] * 300 + [(100 + i, "w " * rng.randrange(1, 60), "a", "y") for i in range(300)] + [(5, "v " * 20, None, "z")] * 80 + [(1000 + i, "v " * 20, None, "z") for i in range(80)]
+    rows += [(2000 + i, "u " * rng.randrange(1, 30), "b", "q") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra string").repartition(5)
+    mixed = [mix_sources(df, weights=(2, 1, 3), bucket_rows=16, broadcast_rows=broadcast_rows).collect() for _ in range(2)]
+    shown = [sorted((r.doc_id, r.source or "", r["_m"].copies, r.extra) for r in found) for found in mixed]
+    assert shown[0] == shown[1] and len(mixed[0]) == len(rows)
+    taken, target = {}, {}
+    for r in mixed[0]:
+        taken[r.source] = taken.get(r.source, 0) + r["_m"].copies * r["_m"].size
+        target[r.source] = r["_m"].target
+        assert 0 <= r["_m"].copies <= 2
+    for source in target:
+        assert abs(taken[source] - target[source]) <= (20 if source is None else 1)
