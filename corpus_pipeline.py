@@ -59,7 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, never, once or twice. Null and empty texts have no words and come as often as the whole
-    passes of their source; a null source is a source. Rows that repeat an id and its text are taken alike; null ids are allowed.
+    passes of their source; a null source is a source. Of rows that repeat an id and its text as many are taken as the mix has room for; null ids are allowed.
     Other columns go; an empty table stays one."""
     mixed = mix_sources(docs.select(*COLUMNS)).filter(F.col("_m")["copies"] > 0)
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")["copies"]))).select(*COLUMNS)
@@ -74,7 +74,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("source_mix", source_mix), ("tokens", tokens)]
 
-#: SQL can't express the byte-pair encoding nor the fit of the mix; the tests hold the stages against brute force.
+#: SQL can't express the byte-pair encoding nor the fit of the mix; the tests hold the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
