@@ -105,6 +105,8 @@ class Run:
     segment: bool = True
     filter_qa: bool = True
     rank: bool = True
+    assemble: bool = True
+    include_statistics: bool = True
     min_steps: int = 3
     target_steps: int = 8
     max_steps: int = 15

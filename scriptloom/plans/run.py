@@ -23,6 +23,33 @@ class Result:
     accepted: DataFrame
     metrics: DataFrame
     status: DataFrame
+    document: DataFrame | None = None
+
+
+def cited(pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """(transcript_id, url, title, content, type, error): the pages of each transcript; where pages don't say whose they are, those that its
+    sources cite."""
+    named = pages if "type" in pages.columns else pages.withColumn("type", F.lit("web"))
+    if "transcript_id" in pages.columns:
+        return named.select("transcript_id", "url", "title", "content", "type", "error")
+    url = F.regexp_extract("excerpt", r"\]\(([^\n]*)\)\n", 1)
+    said = sources.filter("type = 'knowledge'").select("transcript_id", url.alias("url")).distinct()
+    return said.join(named, "url").select("transcript_id", "url", "title", "content", "type", "error")
+
+
+def assembled(judged: DataFrame, sources: DataFrame, config: Run, titles: DataFrame | None = None, usage: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """(transcript_id, part, position, text): the documents of all transcripts, made of their accepted steps, numbered anew, and of what these
+    cite. A transcript without an accepted step has none. titles: (transcript_id, title), else the id; usage: as for `document.statistics`."""
+    order = Window.partitionBy("transcript_id").orderBy("step_index")
+    number = judged.filter("accepted").select("transcript_id", "step_index", (F.row_number().over(order) - 1).cast("int").alias("_number"))
+    keys = ["transcript_id", "step_index"]
+    renumbered = lambda df: df.join(number, keys).withColumn("step_index", F.col("_number")).drop("_number")
+    made, found = table(renumbered(judged)), table(renumbered(sources))
+    own = made.select("transcript_id").distinct()
+    title = own.withColumn("title", F.col("transcript_id")) if titles is None else own.join(titles, "transcript_id", "left").select("transcript_id", F.coalesce("title", "transcript_id").alias("title"))
+    spent = usage if usage is not None else own.select("transcript_id", *[F.lit(None).cast(t).alias(c) for c, t in (("seconds", "double"), ("total_tokens", "bigint"), ("cost", "double"))])
+    whole = document.sections(title, made, found, document.statistics(made, found, spent), None if pages is None else cited(pages, found).join(own, "transcript_id", "left_semi"))
+    return whole if config.include_statistics else whole.filter("part != 6 AND NOT (part = 1 AND position = 1000001)")
 
 
 def topic_chunks(sentences: DataFrame, config: Run) -> tuple[DataFrame, DataFrame]:
@@ -39,8 +66,8 @@ def topic_chunks(sentences: DataFrame, config: Run) -> tuple[DataFrame, DataFram
     return kept, direct.unionByName(chunking.smart(whole, target))
 
 
-def process(lines: DataFrame, config: Run = Run(), pages: DataFrame | None = None, responses: DataFrame | None = None) -> Result:
-    """All stages. Flags come from the raw sentences, texts are cleaned after; generated steps may be given as responses, else each
+def process(lines: DataFrame, config: Run = Run(), pages: DataFrame | None = None, responses: DataFrame | None = None, titles: DataFrame | None = None, usage: DataFrame | None = None) -> Result:
+    """All stages, up to the documents. Flags come from the raw sentences, texts are cleaned after; generated steps may be given as responses, else each
     chunk gives its built-in step with its sentences as actions."""
     # what several stages read is a table between them, so no stage's plan holds those before it
     sentences = table(parsing.parsed(lines).withColumn("text", T.cleaned(F.col("text"))))
@@ -58,7 +85,8 @@ def process(lines: DataFrame, config: Run = Run(), pages: DataFrame | None = Non
     conf = confidence.step_confidence(found)
     scored = made.join(conf.select("transcript_id", "step_index", F.col("confidence").alias("confidence_score")), ["transcript_id", "step_index"], "left").fillna(0.0, ["confidence_score"])
     checked = validation.checked(scored, config.validation)
-    judged = validation.accepted(checked, validation.action_check(made), conf, config.min_confidence)
+    judged = table(validation.accepted(checked, validation.action_check(made), conf, config.min_confidence))
     metrics = document.run_metrics(judged, conf, sentences, found)
     status = metrics.select("transcript_id", F.when(F.col("accepted") > 0, "completed").otherwise("failed").alias("run_status"), F.when(F.col("accepted") == 0, "no step was accepted").alias("reason"))
-    return Result(sentences, segments, chunks, made, found, judged, metrics, status)
+    whole = assembled(judged, found, config, titles, usage, pages) if config.assemble else None
+    return Result(sentences, segments, chunks, made, found, judged, metrics, status, whole)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .config import Matching, QaFilter, Validation
+from .config import Matching, QaFilter, Run, Validation
 from .functions import text as T
 from .operators import chunking, cleaning, confidence, document, jobs, knowledge, long, matching, parsing, qa, ranking, segmentation, structure, validation
 from .operators import steps as S
@@ -701,7 +701,13 @@ def doc_sections(spark, d):
 @query
 def run_metrics(spark, d):
     """The whole run over all transcripts."""
-    return plan.process(lines(spark, d)).metrics
+    return plan.process(lines(spark, d), Run(assemble=False)).metrics
+
+
+@query
+def run_document(spark, d):
+    """The documents of the whole run over all transcripts."""
+    return plan.process(lines(spark, d)).document
 
 
 # jobs

@@ -3,7 +3,9 @@
 import math
 
 from scriptloom import lexicon as L
-from scriptloom.operators import document, knowledge, steps
+from scriptloom.config import Run
+from scriptloom.operators import document, knowledge, parsing, steps
+from scriptloom.plans import run
 
 STEP = "transcript_id string, step_index int, title string, summary string, details string, actions array<string>"
 
@@ -76,3 +78,37 @@ def test_sections_are_written_in_order(spark, tmp_path):
     document.write_sections(made, str(tmp_path / "out"))
     texts = [r.text for r in spark.read.parquet(str(tmp_path / "out")).orderBy("part", "position").collect()]
     assert texts[0] == "Title" and texts[-3:-1] == ["Knowledge Sources", "Source 1: Page\nURL: u\nType: Web\ntext"] and texts[-1] == "Steps: 1, references: 1"
+
+
+def test_a_run_ends_with_its_documents(spark):
+    """The document has the accepted steps only, numbered anew, and what they cite; a transcript without any has none."""
+    judged = spark.createDataFrame(
+        [("t", 0, "Zero", "s0", "d0", ["a"], False), ("t", 1, "One", "s1", "d1", ["b", "c"], True), ("t", 3, "Three", "s3", "d3", [], True), ("none", 0, "No", "s", "d", [], False)],
+        "transcript_id string, step_index int, title string, summary string, details string, actions array<string>, accepted boolean",
+    )
+    kinds = "transcript_id string, step_index int, type string, excerpt string, sentence_index int, screenshot_ref string, ui_elements array<string>, confidence double"
+    sources = spark.createDataFrame([("t", 0, "transcript", "lost", 0, None, None, 0.9), ("t", 3, "transcript", "said", 4, None, None, 0.5), ("t", 3, "knowledge", "[Page (1)](http://x.org/a_(b))\ntext", None, None, None, 0.4), ("none", 0, "knowledge", "[No](http://x.org/no)\n", None, None, None, 0.4)], kinds)
+    pages = spark.createDataFrame([("http://x.org/a_(b)", "Page (1)", "text", None), ("http://x.org/no", "No", "text", None)], "url string, title string, content string, error string")
+    titles = spark.createDataFrame([("t", "The title")], "transcript_id string, title string")
+    made = run.assembled(judged, sources, Run(), titles, None, pages).orderBy("part", "position").collect()
+    assert {r.transcript_id for r in made} == {"t"}
+    parts = {}
+    for r in made:
+        parts.setdefault(r.part, []).append((r.position, r.text))
+    assert parts[0] == [(0, "The title")]
+    assert [x for _, x in parts[1]] == ["Introduction", "Step 1: One", "Step 2: Three", "Source References", "Document Statistics"]
+    assert parts[2] == [(0, "This document has 2 steps.")] and [x for _, x in parts[3]] == ["One\ns1\nd1\n- b\n- c", "Three\ns3\nd3\n"]
+    assert [p for p, _ in parts[4]] == [1001, 1002] and [x for _, x in parts[5]] == ["Knowledge Sources", "Source 1: Page (1)\nURL: http://x.org/a_(b)\nType: Web\ntext"]
+    assert parts[6] == [(0, "Steps: 2, references: 2")]
+    short = run.assembled(judged, sources, Run(include_statistics=False)).collect()
+    assert {r.part for r in short} == {0, 1, 2, 3, 4} and "Document Statistics" not in {r.text for r in short}
+    assert run.assembled(judged.filter("NOT accepted"), sources, Run(), titles, None, pages).count() == 0
+
+
+def test_a_whole_run_gives_the_document_of_its_parts(spark):
+    text = "\n".join(f"[00:0{i}:00] Speaker 1: Now, click the Create button number {i}. Select the region {i} from the list of regions. Save the form {i} and check the settings page." for i in range(8))
+    made = run.process(parsing.lines_of(spark.createDataFrame([("x", text)], "transcript_id string, text string")), Run(min_confidence=0.0))
+    accepted = made.accepted.filter("accepted").orderBy("step_index").collect()
+    found = made.document.filter("part = 3").orderBy("position").collect()
+    assert [r.text.split("\n")[0] for r in found] == [r.title for r in accepted]
+    assert run.process(parsing.lines_of(spark.createDataFrame([("x", text)], "transcript_id string, text string")), Run(assemble=False)).document is None
