@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..plans.keep import kept
 
 
 @F.pandas_udf(DoubleType())
@@ -41,27 +45,142 @@ def longest(a: Column, b: Column) -> Column:
 
 
 def merged_duplicates(docs: DataFrame, key: str = "transcript_id", text_col: str = "text", threshold: float = 0.9) -> DataFrame:
-    """(key, text): sentences (between `. `) too similar to an earlier kept one are dropped. Exact repeats go first; only pairs whose
-    lengths allow the threshold are compared; the greedy choice then needs the few similar pairs of a text only."""
+    """(key, text): sentences (between `. `) too similar to an earlier kept one are dropped. Exact repeats go first; only pairs
+    that share a rare gram are compared, and the choice is made in rounds over the similar pairs."""
     part = F.posexplode(F.transform(F.split(text_col, r"\. "), lambda x: F.btrim(x, F.lit(" \t\r\n"))))
     rows = docs.select(key, part.alias("pos", "sentence")).filter("sentence != ''").withColumn("low", F.lower("sentence"))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy(key, "low").orderBy("pos"))).filter("n = 1").drop("n")
     if threshold >= 1:  # equal texts only
         joined = first.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), ". ").alias("text"))
         return docs.select(key).join(joined, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
-    # lengths that allow the threshold lie in the same band or in neighbours, so only those meet
-    band = F.floor(F.log(F.length("low").cast("double")) / math.log((2 - threshold) / threshold)).cast("int")
-    a = first.select(key, F.col("pos").alias("i"), F.col("low").alias("x"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    b = first.select(key, F.col("pos").alias("j"), F.col("low").alias("y"), band.alias("band"))
-    near = a.join(b, [key, "band"]).filter((F.col("j") < F.col("i")) & (longest(F.col("x"), F.col("y")) >= threshold))
-    pairs = near.filter(alike(F.col("x"), F.col("y"), threshold) >= threshold)
-    similar = pairs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("pairs"))
-    dropped = F.aggregate("pairs", F.array().cast("array<int>"), lambda gone, p: F.when(F.array_contains(gone, p["j"]) | F.array_contains(gone, p["i"]), gone).otherwise(F.array_append(gone, p["i"])))
-    kept = first.join(similar.select(key, dropped.alias("gone")), key, "left").filter(F.col("gone").isNull() | ~F.array_contains("gone", F.col("pos")))
-    joined = kept.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), ". ").alias("text"))
+    gone = first_kept(near_pairs(first, key, threshold), key)
+    left = first.join(gone, [key, "pos"], "left_anti")
+    joined = left.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), ". ").alias("text"))
     return docs.select(key).join(joined, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
 
+class Grams:
+    """Pairs of neighbouring characters, or single ones, of a text with a number for each repeat, as whole numbers; and how many of them two texts must share.
+
+    Two texts of n and m characters with a similarity of t have M >= t (n + m) / 2 characters in common, in order. Each of the other n + m - 2 M
+    characters breaks two pairs of its own text at most, or one of the other's, so that 3 M - (n + m) - 1 pairs are in both. Where that is
+    below one, single characters (M of them) are counted instead. Of k grams of which c must be shared, two texts share e of their first
+    k - c + e in any common order; here the rarest come first.
+    """
+
+    def __init__(self, threshold: float, buckets: int = 1 << 16, met: int = 6) -> None:
+        self.t, self.buckets, self.met = threshold, buckets, met
+        slope = 1.5 * threshold - 1
+        #: from this length on pairs are counted
+        self.least = 2 / (slope * 2 / (2 - threshold)) if slope > 0 else math.inf
+
+    def of(self, text: str, q: int) -> list[int]:
+        seen: dict[str, int] = {}
+        made = []
+        for i in range(len(text) - q + 1):
+            gram = text[i : i + q]
+            seen[gram] = n = seen.get(gram, 0) + 1
+            made.append(ord(gram[0]) << 42 | (ord(gram[1]) << 21 if q == 2 else 0) | min(n, (1 << 21) - 1))
+        return made
+
+    def bucket(self, gram: int) -> int:
+        return (gram * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40 & self.buckets - 1
+
+    def shared(self, n: float, m: float, q: int) -> int:
+        common = self.t * (n + m) / 2
+        return math.ceil((common if q == 1 else 3 * common - (n + m) - 1) - 1e-9)
+
+    def kinds(self, n: int) -> list[int]:
+        """Which grams a text of this length gives: pairs for those it can meet by pairs, single characters for shorter ones."""
+        return [q for q, given in ((2, n >= self.least), (1, n * self.t / (2 - self.t) < self.least)) if given]
+
+    def prefix(self, text: str, rarity: np.ndarray) -> dict[int, list[int]]:
+        n, made = len(text), {}
+        for q in self.kinds(n):
+            own = sorted(self.of(text, q), key=lambda g: (rarity[self.bucket(g)], g))
+            least = self.least_shared(n, q)
+            made[q] = own[: len(own) - least + min(self.met, least)]
+        return made
+
+    def least_shared(self, n: int, q: int) -> int:
+        """With the shortest text that this one can meet by these grams."""
+        return self.shared(n, max(n * self.t / (2 - self.t), self.least if q == 2 else 0), q)
+
+
+def gram_counts(rows: DataFrame, grams: Grams) -> np.ndarray:
+    """In how many places grams of each bucket occur; as many numbers as there are buckets reach the driver."""
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(grams.buckets, np.int64)
+        for batch in batches:
+            found = [grams.bucket(g) for x in batch.column(0).to_pylist() for q in grams.kinds(len(x)) for g in grams.of(x, q)]
+            total += np.bincount(np.array(found, np.int64), minlength=grams.buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+    made = np.zeros(grams.buckets, np.int64)
+    for bucket, n in rows.select("low").mapInArrow(partial, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n")).collect():
+        made[bucket] = n
+    return made
+
+
+def candidate_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, i, j), j before i: the pairs that share enough of their rarest grams and whose lengths allow the threshold."""
+    grams = Grams(threshold)
+    rarity = gram_counts(first, grams)
+
+    @F.pandas_udf("array<struct<gram:bigint,q:int,least:int>>")
+    def rarest(texts: pd.Series) -> pd.Series:
+        made = []
+        for x in texts:
+            own = grams.prefix(x, rarity)
+            made.append([{"gram": g, "q": q, "least": min(grams.met, grams.least_shared(len(x), q))} for q, some in own.items() for g in some])
+        return pd.Series(made, dtype=object)
+
+    tokens = first.select(key, "pos", F.length("low").alias("n"), F.inline(rarest("low")))
+    later, sooner = tokens.withColumnsRenamed({"pos": "i", "n": "n_i", "least": "l_i"}), tokens.withColumnsRenamed({"pos": "j", "n": "n_j", "least": "l_j"})
+    fits = 2 * F.least("n_i", "n_j") >= threshold * (F.col("n_i") + F.col("n_j")) - 1e-9
+    met = later.join(sooner, [key, "gram", "q"]).filter((F.col("j") < F.col("i")) & fits).groupBy(key, "i", "j", "q").agg(F.count(F.lit(1)).alias("met"), F.first(F.least("l_i", "l_j")).alias("least"))
+    return met.filter("met >= least").select(key, "i", "j").distinct()
+
+
+def compared_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, i, j, x, y): candidates that also share enough grams in all, of both kinds: those whose similarity has to be worked out."""
+    grams = Grams(threshold)
+
+    @F.pandas_udf("struct<pairs:array<bigint>,letters:array<bigint>>")
+    def all_grams(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"pairs": [grams.of(x, 2) for x in texts], "letters": [grams.of(x, 1) for x in texts]})
+
+    texts = kept(first.select(key, "pos", "low", all_grams("low").alias("g")))
+    met = candidate_pairs(first, key, threshold).join(texts.withColumnsRenamed({"pos": "i", "low": "x", "g": "gx"}), [key, "i"]).join(texts.withColumnsRenamed({"pos": "j", "low": "y", "g": "gy"}), [key, "j"])
+    both = F.length("x") + F.length("y")
+    letters, pairs = (F.size(F.array_intersect(f"gx.{c}", f"gy.{c}")) for c in ("letters", "pairs"))
+    enough = (letters >= threshold / 2 * both - 1e-9) & (pairs >= (1.5 * threshold - 1) * both - 1 - 1e-9)
+    return met.filter(enough).select(key, "i", "j", "x", "y")
+
+
+def near_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, i, j), j before i: the pairs of the threshold's similarity or more."""
+    return compared_pairs(first, key, threshold).filter(alike(F.col("x"), F.col("y"), threshold) >= threshold).select(key, "i", "j")
+
+
+def first_kept(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, pos): sentences to drop, so that of similar ones the first stays; a sentence that was dropped drops none. In
+    rounds: those with no earlier one left stay, what is like them goes, and so do the pairs of what went."""
+    left, gone = kept(pairs), []
+    while not left.isEmpty():
+        later = left.select(key, F.col("i").alias("j")).distinct()
+        out = kept(left.join(later, [key, "j"], "left_anti").select(key, F.col("i").alias("pos")).distinct())
+        gone.append(out)
+        left = left.join(out.withColumnRenamed("pos", "i"), [key, "i"], "left_anti").join(out.withColumnRenamed("pos", "j"), [key, "j"], "left_anti")
+        left = kept(left)
+    made = pairs.select(key, F.col("i").alias("pos")).limit(0)
+    for out in gone:
+        made = made.unionByName(out)
+    return made
+
+
 def normalized(docs: DataFrame, key: str = "transcript_id", text_col: str = "text", remove_duplicates: bool = True, custom_fillers: tuple[str, ...] = ()) -> DataFrame:
     """(key, text): the whole cleaning chain in its fixed order."""
     c = T.without_templates(T.without_fillers(T.without_tags(T.without_speakers(T.without_stamps(T.without_webvtt(F.col(text_col))))), custom_fillers))
