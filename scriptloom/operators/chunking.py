@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from ..functions import text as T
 
+SPACE = re.compile(r"[ \t\n\r\f\x0b]+")
+
 
 def _grouped(rows: DataFrame, part_col: str, size: Column, joint: str) -> DataFrame:
     """rows: transcript_id, pos, part_col, n (parts of the transcript)."""
@@ -54,22 +62,39 @@ def statistics(chunks: DataFrame) -> DataFrame:
     return chunks.select("transcript_id", "chunk_index", F.length(text).alias("chars"), T.word_count(text).alias("words"), F.size(T.sentences(text)).alias("sentences"), preview.alias("preview"))
 
 
+def windows_of(text: str, size: int) -> Iterator[str]:
+    """Windows of one text. Where they end is looked up in the running sum of word lengths, so each takes the time of its own words."""
+    words = [w for w in SPACE.split(text) if w]
+    ends = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]) if words else np.zeros(1, np.int64)
+    start, first = 0, 0  # of the window, and of its words that no window has yet
+    while first < len(words):
+        end = max(first + 1, int(np.searchsorted(ends, ends[start] + size, "right")) - 1)
+        yield " ".join(words[start:end])
+        start, first = end - max(1, (end - start) // 5), end
+
+
 def word_windows(rows: DataFrame, key: str, text_col: str = "text", size: int = 500) -> DataFrame:
     """(key, window_index, window): words are added until the size in characters (each word and one) is full; the next window
-    begins with the last fifth of the words, one at least. A fold over the words, so nothing leaves the JVM."""
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("own"), F.lit(0).alias("n"))
-
-    def step(a: Column, w: Column) -> Column:
-        length = F.length(w) + 1
-        kept = F.slice(a["own"], -F.greatest(F.lit(1), F.floor(F.size(a["own"]) / 5).cast("int")), F.greatest(F.lit(1), F.floor(F.size(a["own"]) / 5).cast("int")))
-        full = (a["n"] + length > size) & (F.size(a["own"]) > 0)
-        kept_length = F.aggregate(kept, F.lit(0), lambda n, x: n + F.length(x) + 1)
-        return F.when(full, F.struct(F.array_append(a["done"], a["own"]).alias("done"), F.array_append(kept, w).alias("own"), (kept_length + length).alias("n"))).otherwise(
-            F.struct(a["done"].alias("done"), F.array_append(a["own"], w).alias("own"), (a["n"] + length).alias("n"))
-        )
-
-    parts = F.aggregate(T.words(F.col(text_col)), start, step, lambda a: F.when(F.size(a["own"]) > 0, F.array_append(a["done"], a["own"])).otherwise(a["done"]))
-    return rows.select(key, F.posexplode(F.transform(parts, lambda w: F.array_join(w, " "))).alias("window_index", "window"))
+    begins with the last fifth of the words, one at least. A null or blank text has none. Texts come and windows go in Arrow batches, a text of any length in
+    time that grows with it alone."""
+    source = rows.select(F.col(key), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    schema = K.StructType([source.schema[0], K.StructField("window_index", K.IntegerType(), False), K.StructField("window", K.StringType(), False)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, index, made, held = [], [], [], 0
+            for i, text in enumerate(batch.column(1)):
+                for n, window in enumerate(windows_of(text.as_py(), size)):
+                    at.append(i)
+                    index.append(n)
+                    made.append(window)
+                    held += len(window)
+                    if held >= 4 << 20:
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(index, pa.int32()), pa.array(made, pa.string())], names=schema.names)
+                        at, index, made, held = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(index, pa.int32()), pa.array(made, pa.string())], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 def step_count(wanted: Column, least: int, most: int) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.keep import kept
 from .chunking import word_windows
 from .matching import cosine
 
@@ -108,15 +109,36 @@ def typed(pages: DataFrame) -> DataFrame:
     return pages.filter("url IS NOT NULL AND trim(url) != ''").withColumn("type", kind)
 
 
+def split_words(queries: DataFrame, common: DataFrame, least: float) -> DataFrame:
+    """(query_id, n, word, rare) of the words that any window has (common: word, windows). Windows that score above `least` hold at least
+    c of a query's n words, so one of its all but c - 1 rarest at least: these find windows, the others are looked up."""
+    own = queries.select("query_id", F.array_distinct(T.words(F.lower("text"))).alias("w"))
+    need = own.select("query_id", F.size("w").alias("n"), F.explode("w").alias("word")).join(common, "word")
+    of_query = Window.partitionBy("query_id")
+    place, here = F.row_number().over(of_query.orderBy("windows", "word")), F.count(F.lit(1)).over(of_query)
+    return need.withColumn("rare", place <= here - F.floor(F.col("n") * least + 1e-9)).select("query_id", "n", "word", "rare")
+
+
+def found_windows(words: DataFrame, have: DataFrame) -> DataFrame:
+    """(query_id, n, url, window_index, k): the windows that hold k of a query's rare words, one at least."""
+    return words.filter("rare").join(have, "word").groupBy("query_id", "n", "url", "window_index").agg(F.count(F.lit(1)).alias("k"))
+
+
 def excerpts(sources: DataFrame, queries: DataFrame, size: int = 500, per_source: int = 3, top: int = 5, least: float = 0.1) -> DataFrame:
     """(query_id, url, window_index, window, score, rank): windows of the sources that share words with a query (query_id, text): the share of
-    its words found; the best few of each source, then of all."""
-    windows = word_windows(sources, "url", "content", size)
-    have = windows.select("url", "window_index", F.explode(F.array_distinct(T.words(F.lower("window")))).alias("word"))
-    own = queries.select("query_id", F.array_distinct(T.words(F.lower("text"))).alias("w"))
-    need = own.select("query_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    hits = need.join(have, "word").groupBy("query_id", "n", "url", "window_index").agg(F.count(F.lit(1)).alias("k")).withColumn("score", F.col("k") / F.col("n"))
-    return best_excerpts(hits, per_source, top, least).join(windows, ["url", "window_index"]).select("query_id", "url", "window_index", "window", "score", "rank")
+    its words found, above `least`; the best few of each source, then of all. Frequent words join nothing: rare ones find the windows,
+    and what these would score with all frequent ones tells which can be among the best; only there are the frequent words looked up."""
+    windows = kept(word_windows(sources, "url", "content", size).withColumn("ws", F.array_distinct(T.words(F.lower("window")))))
+    have = windows.select("url", "window_index", F.explode("ws").alias("word"))
+    words = kept(split_words(queries, have.groupBy("word").agg(F.count(F.lit(1)).alias("windows")), least))
+    hits = kept(found_windows(words, have))
+    often = words.filter("NOT rare").groupBy("query_id").agg(F.collect_list("word").alias("often"))
+    # what is sure from the rare words alone is a floor, if there are as many as are wanted
+    sure = best_excerpts(hits.withColumn("score", F.col("k") / F.col("n")), per_source, top, least).groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("floor")).filter(F.col("c") == top).drop("c")
+    able = hits.join(often, "query_id", "left").join(sure, "query_id", "left").withColumn("often", F.coalesce("often", F.array().cast("array<string>")))
+    able = able.filter((F.col("k") + F.size("often")) / F.col("n") >= F.coalesce("floor", F.lit(0.0)) - 1e-9)
+    whole = able.join(windows.select("url", "window_index", "ws"), ["url", "window_index"]).withColumn("score", (F.col("k") + F.size(F.array_intersect("ws", "often"))) / F.col("n"))
+    return best_excerpts(whole.select("query_id", "url", "window_index", "score"), per_source, top, least).join(windows.select("url", "window_index", "window"), ["url", "window_index"]).select("query_id", "url", "window_index", "window", "score", "rank")
 
 
 def best_excerpts(hits: DataFrame, per_source: int, top: int, least: float) -> DataFrame:

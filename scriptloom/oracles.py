@@ -394,6 +394,16 @@ ORACLES |= {
 }
 
 ORACLES |= {made: ORACLES[name] for made, name in (("sto_read_job", "src_read_job"), ("sto_upsert", "snk_upsert"), ("sto_recent", "job_recent"))}
+_win = ORACLES["chk_word_windows"]
+ORACLES["knw_text_excerpts"] = f"""{_win[:_win.rindex("WHERE first <= len(ends)))") + len("WHERE first <= len(ends)))")]},
+wx AS MATERIALIZED (SELECT win.transcript_id AS url, CAST(row_number() OVER (PARTITION BY win.transcript_id ORDER BY s) - 1 AS INT) AS window_index, array_to_string(p[s:e], ' ') AS whole, p[s:e] AS ws FROM win JOIN w0 ON win.transcript_id = w0.transcript_id),
+wy AS (SELECT DISTINCT url, window_index, unnest(list_transform(ws, lambda w: lower(w))) AS word FROM wx),
+q1 AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda w: w <> '')) AS w FROM benchmark),
+q2 AS (SELECT query_id, len(w) AS n, unnest(w) AS word FROM q1),
+h AS (SELECT query_id, url, window_index, CAST(count(*) AS DOUBLE) / n AS score FROM q2 JOIN wy ON q2.word = wy.word GROUP BY query_id, url, window_index, n HAVING CAST(count(*) AS DOUBLE) / n > 0.1),
+i AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY round(score, 9) DESC, window_index) <= 3),
+j AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, url, window_index) AS INT) AS rank FROM i)
+SELECT query_id, j.url, j.window_index, md5(whole) AS digest, round(score, 6) AS score, rank FROM j JOIN wx ON j.url = wx.url AND j.window_index = wx.window_index WHERE rank <= 5"""
 ORACLES["stm_state"] = ORACLES["job_state"]
 ORACLES["stm_messages"] = """SELECT DISTINCT 'handled' AS kind, CAST(user_id AS STRING) || '-' || event_type AS message FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0
 UNION ALL SELECT 'invalid JSON', 'broken ' || CAST(event_id AS STRING) FROM events WHERE event_id % 7 = 0 UNION ALL SELECT 'missing job_id', '{"user_id":"' || CAST(event_id AS STRING) || '"}' FROM events WHERE event_id % 7 <> 0 AND event_id % 11 = 0"""

@@ -629,6 +629,14 @@ def knw_excerpts(spark, d):
     return knowledge.excerpts(pages, asked).select("query_id", "url", "window_index", F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def knw_text_excerpts(spark, d):
+    """The benchmark items against the windows of all documents."""
+    sources = prose(spark, d).select(F.col("transcript_id").alias("url"), F.col("text").alias("content"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return knowledge.excerpts(sources, asked).select("query_id", "url", "window_index", F.md5("window").alias("digest"), F.round("score", 6).alias("score"), "rank")
+
+
 @query
 def knw_near_excerpts(spark, d):
     """All vectors as windows of the pages in turn, and as queries that were given two pages each."""
