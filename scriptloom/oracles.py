@@ -347,8 +347,11 @@ _told = match_words("title || ' ' || summary || ' ' || details || ' ' || array_t
 _keys = "list_filter(w, lambda x: length(x) > 4)"
 _pairs = "list_filter(range(1, len(w)), lambda i: length(w[i]) > 3 AND length(w[i + 1]) > 3 AND contains(lower(text), w[i] || ' ' || w[i + 1]))"
 _bare = f"CASE WHEN len(list_filter([{q(L.BARE_VERBS)}], lambda v: list_contains(actions, v) AND contains(lower(text), v))) > 0 THEN 0.1 ELSE 0 END"
-_three = """s1 AS (SELECT transcript_id, step_index, max(confidence) AS c FROM sources GROUP BY ALL),
-    s2 AS (SELECT transcript_id, step_index, 'transcript' AS type, confidence FROM sources UNION ALL SELECT transcript_id, step_index, 'knowledge', c / 2 FROM s1 WHERE step_index % 2 = 0 UNION ALL SELECT transcript_id, step_index, 'visual', 0.8 FROM s1 WHERE step_index % 3 = 0),
+_three = f"""{CRAWL}, ev AS (SELECT event_id AS number, strftime(ts, '%Y-%m-%d-%H') AS transcript_id FROM events),
+    kp AS (SELECT transcript_id, {match_words("html", "")} AS v FROM crawl JOIN ev ON number = page_id WHERE error IS NULL),
+    kn AS (SELECT ms.transcript_id, step_index, 0.6 * CAST(len(list_intersect(w, v)) AS DOUBLE) / (len(w) + len(v) - len(list_intersect(w, v))) AS confidence FROM ms JOIN kp ON ms.transcript_id = kp.transcript_id),
+    vs AS (SELECT ev.transcript_id, st.step_index FROM conversations c JOIN ev ON number = conv_id JOIN st ON st.transcript_id = ev.transcript_id AND st.step_index = c.turn // 2 WHERE role = 'assistant'),
+    s2 AS (SELECT transcript_id, step_index, 'transcript' AS type, confidence FROM sources UNION ALL SELECT transcript_id, step_index, 'knowledge', confidence FROM kn WHERE confidence > 0 UNION ALL SELECT transcript_id, step_index, 'visual', 0.8 FROM vs),
     s3 AS (SELECT *, row_number() OVER (PARTITION BY transcript_id, step_index, type = 'visual' ORDER BY confidence DESC) AS rn FROM s2),
     s4 AS (SELECT transcript_id, step_index, count(*) AS n_sources, count_if(type <> 'visual') AS n, count_if(type = 'transcript') AS nt, count_if(type = 'knowledge') AS nk, bool_or(type = 'visual') AS has_visual_support,
       coalesce(max(confidence) FILTER (type <> 'visual' AND rn = 1), 0) AS c1, coalesce(max(confidence) FILTER (type <> 'visual' AND rn = 2), 0) AS c2, coalesce(max(confidence) FILTER (type <> 'visual' AND rn = 3), 0) AS c3 FROM s3 GROUP BY ALL)"""
@@ -378,8 +381,9 @@ ORACLES |= {
     "mat_hybrid": f"""{SEG}, {STEPS}, {MATCH}, v AS (SELECT c.*, greatest(0.0, least(1.0, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])))) AS near FROM cand c JOIN embeddings x ON x.vec_id = (CAST(replace(c.transcript_id, '-', '') AS BIGINT) * 31 + c.step_index * 7) % (SELECT count(*) FROM embeddings) JOIN embeddings y ON y.vec_id = (CAST(replace(c.transcript_id, '-', '') AS BIGINT) * 31 + c.sentence_index * 3) % (SELECT count(*) FROM embeddings)),
         u AS (SELECT *, (CAST(shared AS DOUBLE) / (n_step + n_sentence - shared) * 0.5 + near * 0.5 + {_bare}) * 0.85 AS x, {technical("text")} AS tech FROM v), t AS (SELECT *, least(1.0, CASE WHEN x >= 0.1 THEN x + tech * 0.2 ELSE x END) AS confidence FROM u)
         SELECT transcript_id, step_index, sentence_index, CAST(round(CAST(confidence AS DECIMAL(18, 12)), 6) AS DOUBLE) AS confidence FROM t WHERE confidence >= 0.15 QUALIFY row_number() OVER (PARTITION BY transcript_id, step_index ORDER BY round(confidence, 9) DESC, sentence_index) <= 5""",
-    "mat_all_sources": f"""{SEG}, {STEPS}, {SOURCES}, {_three} SELECT transcript_id, step_index, n_sources, nt > 0 AS has_transcript_support, nk > 0 AS has_knowledge_support, has_visual_support, 'transcript (' || CAST(nt AS STRING) || ')' || CASE WHEN nk > 0 THEN ', knowledge (' || CAST(nk AS STRING) || ')' ELSE '' END AS summary,
-        round(CAST(least(1.0, CASE WHEN n = 1 THEN c1 WHEN n = 2 THEN c1 * 0.6 + c2 * 0.4 ELSE c1 * 0.5 + c2 * 0.3 + c3 * 0.2 END * CASE WHEN n >= 4 THEN 1.25 WHEN n = 3 THEN 1.15 WHEN n = 2 THEN 1.08 ELSE 1.0 END * CASE WHEN nk > 0 THEN 1.12 ELSE 1.0 END * CASE WHEN c1 > 0.5 THEN 1.1 ELSE 1.0 END) AS DOUBLE), 6) AS confidence FROM s4""",
+    "mat_all_sources": f"""{SEG}, {STEPS}, {SOURCES}, {_three} SELECT transcript_id, step_index, n_sources, nt > 0 AS has_transcript_support, nk > 0 AS has_knowledge_support, has_visual_support,
+        CASE WHEN nt + nk = 0 THEN 'none' ELSE concat_ws(', ', CASE WHEN nt > 0 THEN 'transcript (' || CAST(nt AS STRING) || ')' END, CASE WHEN nk > 0 THEN 'knowledge (' || CAST(nk AS STRING) || ')' END) END AS summary,
+        CAST(round(CAST(CASE WHEN n = 0 THEN 0 ELSE least(1.0, CASE WHEN n = 1 THEN c1 WHEN n = 2 THEN c1 * 0.6 + c2 * 0.4 ELSE c1 * 0.5 + c2 * 0.3 + c3 * 0.2 END * CASE WHEN n >= 4 THEN 1.25 WHEN n = 3 THEN 1.15 WHEN n = 2 THEN 1.08 ELSE 1.0 END * CASE WHEN nt > 0 AND nk > 0 THEN 1.12 ELSE 1.0 END * CASE WHEN c1 > 0.5 THEN 1.1 ELSE 1.0 END) END AS DECIMAL(18, 12)), 6) AS DOUBLE) AS confidence FROM s4""",
     "knw_titles": f"SELECT page_id, coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]+'), false) AS is_valid, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, CASE WHEN {_name} = '' THEN {_host} ELSE {_title.format(x=_name)} END AS url_title FROM pages",
     "doc_sections": f"""{SEG}, {STEPS}, {SOURCES}, {CRAWL}, kp AS (SELECT strftime(ts, '%Y-%m-%d-%H') AS transcript_id, url, title, html, CASE WHEN path LIKE '%.pdf' THEN 'Pdf' WHEN path LIKE '%.txt' OR path LIKE '%.md' THEN 'Text' ELSE 'Web' END AS type,
         CAST(row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d-%H') ORDER BY url, title, html) AS INT) AS number FROM (SELECT *, lower(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[?#].*', '')) AS path FROM crawl) JOIN events ON event_id = page_id WHERE error IS NULL AND trim(url) <> ''), r AS (SELECT transcript_id, step_index, sentence_index, text, row_number() OVER (PARTITION BY transcript_id, step_index ORDER BY confidence DESC, sentence_index, text) AS number FROM sources), t AS (SELECT DISTINCT transcript_id FROM lines), n AS (SELECT transcript_id, count(*) AS n FROM st GROUP BY 1), m AS (SELECT transcript_id, count(*) AS m FROM r GROUP BY 1)

@@ -480,16 +480,21 @@ def mat_hybrid(spark, d):
 
 @query
 def mat_all_sources(spark, d):
-    """Sources of three kinds per step: sentences, pages (one per part of the table, told by its title) and screens (one per
-    step of the transcript, told by its title), and the confidence of steps that have all of them."""
+    """Sources of three kinds per step, and the confidence of steps that have any: sentences; pages, each in the transcript of the event that
+    has its number, by the words that it shares with a step; screens, one per assistant turn of the conversation that has the number of an
+    event of the transcript, in the order of the steps."""
     steps, sentences = told(spark, d)
-    heard = matching.transcript_sources(steps, sentences)
-    first = heard.groupBy("transcript_id", "step_index").agg(F.max("confidence").alias("confidence"))
-    pages = matching.as_sources(first.filter("step_index % 2 = 0").withColumns({"excerpt": F.concat(F.lit("page "), F.col("step_index").cast("string")), "confidence": F.col("confidence") / 2}), "knowledge")
-    screens = matching.as_sources(first.filter("step_index % 3 = 0").withColumns({"screenshot_ref": F.concat(F.lit("screen-"), F.col("step_index").cast("string")), "confidence": F.lit(0.8)}), "visual")
-    every = matching.all_sources(heard, pages, screens)
+    at = table(spark, d, "events").select(F.col("event_id").alias("number"), hour_of("ts").alias("transcript_id"))
+    pages = crawl(spark, d).filter("error IS NULL").withColumnRenamed("page_id", "number").join(at, "number").select("transcript_id", "url", "title", "content", T.match_words(F.col("content"), False).alias("v"))
+    wanted = steps.select("transcript_id", "step_index", T.match_words(matching.search_text(steps), True).alias("w"))
+    both = F.size(F.array_intersect("w", "v"))
+    read = wanted.join(pages, "transcript_id").withColumn("confidence", 0.6 * both / (F.size("w") + F.size("v") - both)).filter("confidence > 0")
+    known = matching.as_sources(read.withColumn("excerpt", F.concat(F.lit("["), "title", F.lit("]("), "url", F.lit(")\n"), F.left("content", F.lit(300)))), "knowledge")
+    turns = table(spark, d, "conversations").filter("role = 'assistant'").join(at, F.col("conv_id") == F.col("number")).select("transcript_id", F.floor(F.col("turn") / 2).cast("int").alias("step_index"), F.concat(F.lit("turn-"), F.col("turn").cast("string"), F.lit(".png")).alias("screenshot_ref"))
+    seen = matching.as_sources(turns.join(steps.select("transcript_id", "step_index"), ["transcript_id", "step_index"]).withColumn("confidence", F.lit(0.8)), "visual")
+    every = matching.all_sources(matching.transcript_sources(steps, sentences), known, seen)
     made = confidence.step_confidence(every).join(confidence.source_summary(every), ["transcript_id", "step_index"])
-    return r6(made, "confidence")
+    return made.withColumn("confidence", d6("confidence"))
 
 
 @query
