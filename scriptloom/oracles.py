@@ -408,6 +408,8 @@ h AS (SELECT query_id, url, window_index, CAST(count(*) AS DOUBLE) / n AS score
 i AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY round(score, 9) DESC, window_index) <= 3),
 j AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, url, window_index) AS INT) AS rank FROM i)
 SELECT query_id, j.url, j.window_index, md5(whole) AS digest, round(score, 6) AS score, rank FROM j JOIN wx ON j.url = wx.url AND j.window_index = wx.window_index WHERE rank <= 5"""
+ORACLES["mat_most_similar"] = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, greatest(0.0, least(1.0, list_cosine_similarity(a.e, b.e))) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank, vec_id, round(score, 5) AS score FROM s QUALIFY rank <= 10"""
 ORACLES["stm_state"] = ORACLES["job_state"]
 ORACLES["stm_messages"] = """SELECT DISTINCT 'handled' AS kind, CAST(user_id AS STRING) || '-' || event_type AS message FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0
 UNION ALL SELECT 'invalid JSON', 'broken ' || CAST(event_id AS STRING) FROM events WHERE event_id % 7 = 0 UNION ALL SELECT 'missing job_id', '{"user_id":"' || CAST(event_id AS STRING) || '"}' FROM events WHERE event_id % 7 <> 0 AND event_id % 11 = 0"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import lexicon as L
 from .config import Matching, QaFilter, Run, Validation
 from .functions import text as T
-from .operators import chunking, cleaning, confidence, document, jobs, knowledge, long, matching, parsing, qa, ranking, segmentation, structure, validation
+from .operators import chunking, cleaning, confidence, document, jobs, knowledge, long, matching, parsing, qa, ranking, segmentation, structure, validation, vectors
 from .operators import steps as S
 from .oracles import ORACLES
 from .plans import run as plan
@@ -504,6 +504,20 @@ def mat_cosine(spark, d):
     return e.join(first, "label").select("vec_id", F.round(matching.cosine(F.col("embedding"), F.col("center")), 5).alias("score"))
 
 
+@query
+def mat_most_similar(spark, d):
+    """The ten most similar vectors of every twentieth, all lists visited."""
+    found = vectors.most_similar(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, "vec_id", probe_all=True)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
+
+
+@query
+def mat_most_similar_by_lists(spark, d):
+    """The same by as many lists as sample queries need."""
+    found = vectors.most_similar(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, "vec_id")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
+
+
 @query
 def mat_patterns(spark, d):
     return matching.action_patterns(step_rows(spark, d))
