@@ -410,6 +410,9 @@ j AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 SELECT query_id, j.url, j.window_index, md5(whole) AS digest, round(score, 6) AS score, rank FROM j JOIN wx ON j.url = wx.url AND j.window_index = wx.window_index WHERE rank <= 5"""
 ORACLES["mat_most_similar"] = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, greatest(0.0, least(1.0, list_cosine_similarity(a.e, b.e))) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank, vec_id, round(score, 5) AS score FROM s QUALIFY rank <= 10"""
+ORACLES["knw_upkeep"] = f"""WITH {CRAWL}, l AS (SELECT page_id, url, error, fetched_at - to_hours(CAST(n * 5 AS INT)) AS fetched_at, 'landing ' || CAST(n AS STRING) || ': ' || html AS content FROM crawl, (VALUES (0), (1), (2)) AS v(n) WHERE page_id % 3 <> n),
+m AS (SELECT *, TIMESTAMP '2026-01-01 00:00:00' - fetched_at >= INTERVAL 1 DAY OR error IS NOT NULL AS gone FROM l QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, error IS NULL DESC, content DESC) = 1)
+SELECT page_id, url, md5(url) AS key, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, gone, CASE WHEN NOT gone THEN md5(content) END AS digest FROM m"""
 ORACLES["stm_state"] = ORACLES["job_state"]
 ORACLES["stm_messages"] = """SELECT DISTINCT 'handled' AS kind, CAST(user_id AS STRING) || '-' || event_type AS message FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0
 UNION ALL SELECT 'invalid JSON', 'broken ' || CAST(event_id AS STRING) FROM events WHERE event_id % 7 = 0 UNION ALL SELECT 'missing job_id', '{"user_id":"' || CAST(event_id AS STRING) || '"}' FROM events WHERE event_id % 7 <> 0 AND event_id % 11 = 0"""

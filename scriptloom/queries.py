@@ -13,6 +13,7 @@ from .operators import steps as S
 from .oracles import ORACLES
 from .plans import run as plan
 from .plans.keep import kept, new_folder
+from .sources import crawl_table
 from .sources.job_store import JobStore
 from .streaming import intake
 
@@ -636,6 +637,16 @@ def knw_to_fetch(spark, d):
     return knowledge.still_to_fetch(c.select("url"), c.drop("title", "content"), now())
 
 
+@query
+def knw_upkeep(spark, d):
+    """Three landings, each of two thirds of the pages as they were fetched at its time, the last one first; what the table then holds."""
+    p, at = crawl(spark, d), new_folder(spark, "crawl")
+    for n in (2, 0, 1):
+        own = p.filter(F.col("page_id") % 3 != n).withColumn("fetched_at", F.col("fetched_at") - F.expr(f"interval {n * 5} hours")).withColumn("content", F.concat(F.lit(f"landing {n}: "), "content"))
+        crawl_table.land(spark, at, own, now(), shards=8)
+    return spark.read.parquet(at).select("page_id", "url", "key", F.col("fetched_at").cast("string").alias("fetched_at"), "gone", F.md5("content").alias("digest"))
+
+
 @query
 def knw_types(spark, d):
     return knowledge.typed(crawl(spark, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
