@@ -52,7 +52,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
         return pd.Series([None if k is None else joined(k, s, e) for k, s, e in zip(kept, starts, ends, strict=True)], dtype=object)
 
-    found = suffix_dedup(docs, carry=("lang", "source"))
+    # smaller blocks than op4's: workers that have run the stages before share the executor's memory with this one
+    found = suffix_dedup(docs, carry=("lang", "source"), block_bytes=2 << 20, shard_bytes=1 << 19)
     whole = F.when(F.col("n_removed") == 0, F.col("kept_bytes").cast("string")).otherwise(pieces("kept_bytes", "span_starts", "span_ends"))
     return found.select("doc_id", whole.alias("text"), F.col("carried.lang").alias("lang"), F.col("carried.source").alias("source")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
