@@ -66,12 +66,19 @@ def step_words() -> Column:
 
 def aligned(steps: DataFrame, sentences: DataFrame, top: int = 3) -> DataFrame:
     """(keys, sentence_index, matches, rank): sentences that hold two or more of a step's words (see step_words, anywhere), the
-    best three. A word finds its sentences by the words that contain it, so no step meets a sentence without cause."""
+    best three. A word finds its sentences by the words that contain it, so no step meets a sentence without cause. A step meets
+    sentences of one text once; of their places the first `top` alone can be among the best."""
+    same = Window.partitionBy("transcript_id", "text").orderBy("sentence_index")
+    told = sentences.select("transcript_id", "sentence_index", "text").withColumns({"_place": F.row_number().over(same), "_first": F.min("sentence_index").over(same)}).filter(F.col("_place") <= top)
+    places = told.select("transcript_id", "_first", "sentence_index")
     need = steps.select(*KEYS, F.explode(step_words()).alias("word"))
-    have = sentences.select("transcript_id", "sentence_index", F.lower("text").alias("low"), F.explode(F.array_distinct(T.words(F.lower("text")))).alias("token"))
+    have = told.filter("_place = 1").select("transcript_id", "_first", F.explode(F.array_distinct(T.words(F.lower("text")))).alias("token"))
     tokens = have.select("transcript_id", "token").distinct()
     inside = need.select("transcript_id", "word").distinct().join(tokens, "transcript_id").filter(F.contains("token", F.col("word")))
-    hits = need.join(inside, ["transcript_id", "word"]).join(have.drop("low"), ["transcript_id", "token"]).groupBy(*KEYS, "sentence_index").agg(F.countDistinct("word").alias("matches")).filter("matches >= 2")
+    # a word once per text, however many of the text's words hold it
+    held = inside.join(have, ["transcript_id", "token"]).select("transcript_id", "word", "_first").distinct()
+    hits = need.join(held, ["transcript_id", "word"]).groupBy(*KEYS, "_first").agg(F.count(F.lit(1)).alias("matches")).filter("matches >= 2")
+    hits = hits.join(places, ["transcript_id", "_first"]).select(*KEYS, "sentence_index", "matches")
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("matches"), "sentence_index"))).filter(F.col("rank") <= top)
 
 
