@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import operator
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
@@ -53,6 +55,7 @@ def merged_duplicates(docs: DataFrame, key: str = "transcript_id", text_col: str
     if threshold >= 1:  # equal texts only
         joined = first.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), ". ").alias("text"))
         return docs.select(key).join(joined, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    first = kept(first)  # what comes before, patterns over whole texts, is worked out once
     gone = first_kept(near_pairs(first, key, threshold), key)
     left = first.join(gone, [key, "pos"], "left_anti")
     joined = left.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), ". ").alias("text"))
@@ -124,10 +127,24 @@ def gram_counts(rows: DataFrame, grams: Grams) -> np.ndarray:
     return made
 
 
+def tokens_of(n: Column, grams: Grams) -> Column:
+    """About how many grams a text of n characters sends to the join: those that two similar texts may differ in."""
+    return F.ceil(n * (3 - 3 * grams.t)) + grams.met
+
+
 def candidate_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(key, i, j), j before i: the pairs that share enough of their rarest grams and whose lengths allow the threshold."""
+    """(key, i, j), j before i: the pairs whose lengths allow the threshold and, in keys of many short texts, that share enough of their rarest
+    grams. Where pairing the rows of a key gives fewer rows than their grams would be, the pairs are made without grams."""
     grams = Grams(threshold)
-    rarity = gram_counts(first, grams)
+    cost = first.groupBy(key).agg(F.count(F.lit(1)).alias("c"), F.sum(tokens_of(F.length("low"), grams)).alias("tokens"))
+    few = kept(cost.filter("c * c / 2 <= tokens").select(key))
+    fits = 2 * F.least("n_i", "n_j") >= threshold * (F.col("n_i") + F.col("n_j")) - 1e-9
+    short = first.join(few, key, "left_semi").select(key, "pos", F.length("low").alias("n"))
+    direct = short.withColumnsRenamed({"pos": "i", "n": "n_i"}).join(short.withColumnsRenamed({"pos": "j", "n": "n_j"}), key).filter((F.col("j") < F.col("i")) & fits).select(key, "i", "j")
+    rest = first.join(few, key, "left_anti")
+    if rest.isEmpty():
+        return direct
+    rarity = gram_counts(rest, grams)
 
     @F.pandas_udf("array<struct<gram:bigint,q:int,least:int>>")
     def rarest(texts: pd.Series) -> pd.Series:
@@ -137,32 +154,59 @@ def candidate_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
             made.append([{"gram": g, "q": q, "least": min(grams.met, grams.least_shared(len(x), q))} for q, some in own.items() for g in some])
         return pd.Series(made, dtype=object)
 
-    tokens = first.select(key, "pos", F.length("low").alias("n"), F.inline(rarest("low")))
+    tokens = rest.select(key, "pos", F.length("low").alias("n"), F.inline(rarest("low")))
     later, sooner = tokens.withColumnsRenamed({"pos": "i", "n": "n_i", "least": "l_i"}), tokens.withColumnsRenamed({"pos": "j", "n": "n_j", "least": "l_j"})
-    fits = 2 * F.least("n_i", "n_j") >= threshold * (F.col("n_i") + F.col("n_j")) - 1e-9
     met = later.join(sooner, [key, "gram", "q"]).filter((F.col("j") < F.col("i")) & fits).groupBy(key, "i", "j", "q").agg(F.count(F.lit(1)).alias("met"), F.first(F.least("l_i", "l_j")).alias("least"))
-    return met.filter("met >= least").select(key, "i", "j").distinct()
+    return direct.unionByName(met.filter("met >= least").select(key, "i", "j").distinct())
 
 
-def compared_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(key, i, j, x, y): candidates that also share enough grams in all, of both kinds: those whose similarity has to be worked out."""
-    grams = Grams(threshold)
+def gram_counts_of(texts: Column) -> Column:
+    """How often each pair of neighbouring characters and each single one is in a text, as maps."""
+
+    @F.pandas_udf("struct<pairs:map<string,int>,letters:map<string,int>>")
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"pairs": [dict(Counter(map(operator.add, x, x[1:]))) for x in texts], "letters": [dict(Counter(x)) for x in texts]})
+
+    return counted(texts)
 
-    @F.pandas_udf("struct<pairs:array<bigint>,letters:array<bigint>>")
-    def all_grams(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"pairs": [grams.of(x, 2) for x in texts], "letters": [grams.of(x, 1) for x in texts]})
 
-    texts = kept(first.select(key, "pos", "low", all_grams("low").alias("g")))
-    met = candidate_pairs(first, key, threshold).join(texts.withColumnsRenamed({"pos": "i", "low": "x", "g": "gx"}), [key, "i"]).join(texts.withColumnsRenamed({"pos": "j", "low": "y", "g": "gy"}), [key, "j"])
-    both = F.length("x") + F.length("y")
-    letters, pairs = (F.size(F.array_intersect(f"gx.{c}", f"gy.{c}")) for c in ("letters", "pairs"))
-    enough = (letters >= threshold / 2 * both - 1e-9) & (pairs >= (1.5 * threshold - 1) * both - 1 - 1e-9)
-    return met.filter(enough).select(key, "i", "j", "x", "y")
+def named_texts(first: DataFrame, key: str) -> DataFrame:
+    """(key, pos, digest, low): rows with the digest that stands for their text."""
+    return first.select(key, "pos", F.sha2("low", 256).alias("digest"), "low")
+
+
+def text_pairs(named: DataFrame, key: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, met): (x_digest, y_digest, x, y), each pair of different texts once however many keys hold it, whose similarity has to be worked
+    out: it shares enough grams in all, of both kinds; and (key, i, j, x_digest, y_digest), the candidates that stand behind them."""
+    texts = kept(named.groupBy("digest").agg(F.first("low").alias("low")).withColumn("g", gram_counts_of(F.col("low"))))
+    at = named.select(key, "pos", "digest")
+    met = kept(candidate_pairs(named, key, threshold).join(at.withColumnsRenamed({"pos": "i", "digest": "x_digest"}), [key, "i"]).join(at.withColumnsRenamed({"pos": "j", "digest": "y_digest"}), [key, "j"]))
+    counts = lambda d, c: texts.select(F.col("digest").alias(d), F.length("low").alias(f"n_{c}"), F.col("g").alias(f"g{c}"))
+    rows = met.select("x_digest", "y_digest").distinct().join(counts("x_digest", "x"), "x_digest").join(counts("y_digest", "y"), "y_digest")
+    both = F.col("n_x") + F.col("n_y")
+
+    def common(part: str) -> Column:
+        return F.aggregate(F.map_values(F.map_zip_with(f"gx.{part}", f"gy.{part}", lambda k, a, b: F.coalesce(F.least(a, b), F.lit(0)) * F.when(a.isNotNull() & b.isNotNull(), 1).otherwise(0))), F.lit(0), lambda s, z: s + z)
+
+    enough = (common("letters") >= threshold / 2 * both - 1e-9) & (common("pairs") >= (1.5 * threshold - 1) * both - 1 - 1e-9)
+    left = rows.filter(enough).select("x_digest", "y_digest")
+    low = lambda d, c: texts.select(F.col("digest").alias(d), F.col("low").alias(c))
+    return left.join(low("x_digest", "x"), "x_digest").join(low("y_digest", "y"), "y_digest"), met
+
+
+def compared_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, i, j, x, y): candidates that also share enough grams in all: those whose similarity has to be known."""
+    pairs, met = text_pairs(named_texts(first, key), key, threshold)
+    return met.join(pairs, ["x_digest", "y_digest"]).select(key, "i", "j", "x", "y")
 
 
 def near_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(key, i, j), j before i: the pairs of the threshold's similarity or more."""
-    return compared_pairs(first, key, threshold).filter(alike(F.col("x"), F.col("y"), threshold) >= threshold).select(key, "i", "j")
+    """(key, i, j), j before i: the pairs of the threshold's similarity or more. Two texts are compared once, whatever number of keys has both."""
+    pairs, met = text_pairs(named_texts(first, key), key, threshold)
+    # few rows with much work each: dealt out by number, as their size would put them in a task or two
+    pairs = pairs.repartition(max(int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64))
+    near = pairs.filter(alike(F.col("x"), F.col("y"), threshold) >= threshold).select("x_digest", "y_digest")
+    return met.join(near, ["x_digest", "y_digest"]).select(key, "i", "j")
 
 
 def first_kept(pairs: DataFrame, key: str) -> DataFrame:
