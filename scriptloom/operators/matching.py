@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,12 +104,85 @@ def reused(rows: DataFrame, config: Matching, most: int = 200_000) -> DataFrame:
     return every.filter("_now").select(*rows.columns, "confidence")
 
 
+def chosen_in_order(rows: DataFrame, places: DataFrame, config: Matching) -> DataFrame:
+    """As `reused`, for sentences that are scored by their text: rows (keys, text_id, base_score, technical) and places (transcript_id, text_id,
+    sentence_index). Places of a text with as many uses differ for a step by their order alone, so a step looks at the first few of each number of
+    uses. Rows pass in the order of their steps; a task keeps the uses of one transcript, nothing else. Of a text's places as many can be
+    taken as all steps together take."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["transcript_id", "step_index", "sentence_index", "base_score", "technical", "confidence"]
+        kinds = pa.schema([("transcript_id", pa.string()), ("step_index", pa.int64()), ("sentence_index", pa.int64()), ("base_score", pa.float64()), ("technical", pa.float64()), ("confidence", pa.float64())])
+        scores: dict[tuple[float, float, int], tuple[float, float]] = {}
+
+        def score(base: float, technical: float, uses: int) -> tuple[float, float]:
+            """(minus the rounded score, the score)"""
+            if (base, technical, uses) not in scores:
+                value = base * (1.0 - min(0.6, (uses + 1) * 0.15))
+                value = min(1.0, value + technical * 0.2 if value >= 0.10 else value)
+                if len(scores) > 100_000:
+                    scores.clear()
+                scores[base, technical, uses] = -float(Decimal(repr(value)).quantize(Decimal("1e-9"), ROUND_HALF_UP)), value
+            return scores[base, technical, uses]
+
+        def settled(step: list[tuple], free: dict[str, list[list[int]]]) -> list[tuple]:
+            able = []
+            for text, base, technical in step:
+                for uses, held in enumerate(free[text]):
+                    order, value = score(base, technical, uses)
+                    if held and value >= config.min_score:
+                        able += [(order, s, text, uses, base, technical, value) for s in heapq.nsmallest(config.top, held)]
+            best = sorted(able)[: config.top]
+            for _, s, text, uses, *_ in best:
+                held = free[text][uses]
+                if held[0] == s:
+                    heapq.heappop(held)
+                else:
+                    held.remove(s)
+                    heapq.heapify(held)
+                # from the fourth use on nothing changes
+                heapq.heappush(free[text][min(uses + 1, 3)], s)
+            return [(s, base, technical, value) for _, s, _, _, base, technical, value in best]
+
+        now, at, step, free, out = None, None, [], {}, []
+        for batch in batches:
+            for t, i, text, base, technical, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (t, i) != (now, at):
+                    if step:
+                        out += [(now, at, *x) for x in settled(step, free)]
+                    if t != now:
+                        free = {}
+                    now, at, step = t, i, []
+                if places is not None:
+                    free[text] = [places, [], [], []]
+                else:
+                    step.append((text, base, technical))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                out = []
+        if step:
+            out = [(now, at, *x) for x in settled(step, free)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    most = rows.groupBy("transcript_id").agg((F.countDistinct("step_index") * config.top).alias("_most"))
+    order = F.row_number().over(Window.partitionBy("transcript_id", "text_id").orderBy("sentence_index"))
+    able = places.withColumn("_n", order).join(most, "transcript_id").filter("_n <= _most").groupBy("transcript_id", "text_id").agg(F.sort_array(F.collect_list(F.col("sentence_index").cast("long"))).alias("places"))
+    own = rows.select("transcript_id", F.col("step_index").cast("long").alias("step_index"), "text_id", F.col("base_score").cast("double").alias("base_score"), F.col("technical").cast("double").alias("technical"), F.lit(None).cast("array<bigint>").alias("places"))
+    heads = able.select("transcript_id", F.lit(-1).cast("long").alias("step_index"), "text_id", F.lit(0.0).alias("base_score"), F.lit(0.0).alias("technical"), "places")
+    made = own.unionByName(heads).repartition("transcript_id").sortWithinPartitions("transcript_id", "step_index", "text_id")
+    made = made.mapInArrow(run, "transcript_id string, step_index bigint, sentence_index bigint, base_score double, technical double, confidence double")
+    return made.withColumns({c: F.col(c).cast(dict(rows.dtypes)[c] if c in rows.columns else dict(places.dtypes)[c]) for c in ("step_index", "sentence_index")})
+
+
 def transcript_sources(steps: DataFrame, sentences: DataFrame, config: Matching = Matching(), reuse: bool = False) -> DataFrame:
     """Source rows, the best `top` sentences per step. With reuse, a sentence that an earlier step of the transcript chose counts less: the
     independent part of the score is worked out for all, pairs that can't reach the limit even unused are dropped, and
     `reused` settles the few rows left. Without it, sentences of one text are scored once: of their
     places the first `top` alone can be among the best."""
     once = not reuse and "embedding" not in sentences.columns
+    if reuse and "embedding" not in sentences.columns:
+        return reused_sources(steps, sentences, config)
     if once:
         same = Window.partitionBy("transcript_id", "text").orderBy("sentence_index")
         told = sentences.select("transcript_id", "sentence_index", "text").withColumns({"_place": F.row_number().over(same), "_first": F.min("sentence_index").over(same)}).filter(F.col("_place") <= config.top)
@@ -124,6 +201,18 @@ def transcript_sources(steps: DataFrame, sentences: DataFrame, config: Matching
     return as_sources(best.join(text, ["transcript_id", "_first"]), "transcript")
 
 
+def reused_sources(steps: DataFrame, sentences: DataFrame, config: Matching) -> DataFrame:
+    """Sources with reuse where no vectors tell sentences of one text apart: a step is scored against each text once."""
+    own = sentences.select("transcript_id", "sentence_index", "text", F.min("sentence_index").over(Window.partitionBy("transcript_id", "text")).alias("text_id"))
+    own = kept(own.withColumn("text", F.when(F.col("text_id") == F.col("sentence_index"), F.col("text"))))
+    texts = own.filter("text IS NOT NULL").select("transcript_id", "sentence_index", "text")
+    rows = scored(steps, texts, config).filter(adjusted(F.col("base_score"), F.col("technical"), F.lit(0)) >= config.min_score)
+    rows = kept(rows.select("transcript_id", "step_index", F.col("sentence_index").alias("text_id"), "base_score", "technical"))
+    places = own.select("transcript_id", "text_id", "sentence_index")
+    best = chosen_in_order(rows, places, config).join(places, ["transcript_id", "sentence_index"])
+    return as_sources(best.join(texts.select("transcript_id", F.col("sentence_index").alias("text_id"), F.col("text").alias("excerpt")), ["transcript_id", "text_id"]), "transcript")
+
+
 def as_sources(rows: DataFrame, kind: str) -> DataFrame:
     """Source rows of one type; values that the type lacks are null."""
     kinds = {"type": "string", "excerpt": "string", "sentence_index": "int", "screenshot_ref": "string", "ui_elements": "array<string>", "confidence": "double"}

@@ -2,7 +2,8 @@
 
 import random
 
-from scriptloom.operators import steps
+from scriptloom.config import Matching
+from scriptloom.operators import cleaning, matching, steps
 
 STEP = "transcript_id string, step_index int, title string, summary string, details string, actions array<string>"
 TOLD = ["Open the settings page now.", "Save the form.", "The form keeps the settings.", "Nothing here.", "open the settings page now."]
@@ -53,3 +54,30 @@ def test_aligned_meets_a_text_once(spark):
         children = one.children()
         todo += [children.apply(i) for i in range(children.size())]
     assert 0 < most < 30 * 2 * len(TOLD) * 12
+
+
+def test_a_pair_of_texts_is_compared_once(spark):
+    """Thirty transcripts hold the same near duplicates."""
+    rows = [(f"t{k}", i, s, s) for k in range(30) for i, s in enumerate(["open the overview page and save the form", "open the overview page and save the forms", "nothing like the others"])]
+    first = spark.createDataFrame(rows, "transcript_id string, pos int, sentence string, low string")
+    pairs, _ = cleaning.text_pairs(cleaning.named_texts(first, "transcript_id"), "transcript_id", 0.9)
+    assert [(r.x, r.y) for r in pairs.collect()] == [(rows[1][3], rows[0][3])]
+    assert cleaning.near_pairs(first, "transcript_id", 0.9).count() == 30
+
+
+def test_choices_by_texts_equal_choices_by_places(spark):
+    """Few places and many steps, so that places are used many times over; scores that reach one and ties between texts."""
+    rng = random.Random(3)
+    texts = {"a": 7, "b": 2, "c": 11, "d": 1}
+    places, at = [], list(range(sum(texts.values())))
+    rng.shuffle(at)
+    for text, n in texts.items():
+        places += [("t", text, at.pop()) for _ in range(n)]
+    rows = [("t", step, text, rng.choice([0.2, 0.5, 0.9, 1.1]), rng.choice([0.0, 0.3, 1.0])) for step in range(25) for text in texts if rng.random() < 0.8]
+    rows += [("u", step, "a", 0.5, 0.0) for step in range(4)]
+    places += [("u", "a", i) for i in range(9)]
+    by_text = spark.createDataFrame(rows, "transcript_id string, step_index int, text_id string, base_score double, technical double")
+    at = spark.createDataFrame(places, "transcript_id string, text_id string, sentence_index int")
+    every = by_text.join(at, ["transcript_id", "text_id"]).select("transcript_id", "step_index", "sentence_index", "base_score", "technical")
+    shown = lambda df: sorted((r.transcript_id, r.step_index, r.sentence_index, r.base_score, round(r.confidence, 9)) for r in df.collect())
+    assert shown(matching.chosen_in_order(by_text, at, Matching())) == shown(matching.reused(every, Matching()))
