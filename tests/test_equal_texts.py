@@ -2,6 +2,7 @@
 
 import random
 
+from scriptloom import queries
 from scriptloom.config import Matching
 from scriptloom.operators import cleaning, matching, steps
 
@@ -81,3 +82,16 @@ def test_choices_by_texts_equal_choices_by_places(spark):
     every = by_text.join(at, ["transcript_id", "text_id"]).select("transcript_id", "step_index", "sentence_index", "base_score", "technical")
     shown = lambda df: sorted((r.transcript_id, r.step_index, r.sentence_index, r.base_score, round(r.confidence, 9)) for r in df.collect())
     assert shown(matching.chosen_in_order(by_text, at, Matching())) == shown(matching.reused(every, Matching()))
+
+
+def test_pairs_of_texts_and_their_sentences_are_all_pairs(spark):
+    made, told, _, _ = rows_of(spark, 4, 5, 30)
+    texts, members = queries.by_text(told)
+    rows = queries.with_members(matching.candidates(made, texts), members)
+    pairs, member = rows.filter("kind = 'pair'").collect(), rows.filter("kind = 'member'").collect()
+    of = {}
+    for m in member:
+        of.setdefault((m.transcript_id, m.text_index), []).append(m.sentence_index)
+    every = sorted((p.transcript_id, p.step_index, i, p.shared) for p in pairs for i in of[p.transcript_id, p.text_index])
+    assert every == sorted((r.transcript_id, r.step_index, r.sentence_index, r.shared) for r in matching.candidates(made, told).collect())
+    assert 0 < len(pairs) < len(every) / 3
