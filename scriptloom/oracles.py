@@ -187,9 +187,11 @@ _stamps = replaced("line || ' 00:01:02 - end <00:00:01>'", *[(p, "") for p in (r
 for _p in (rf"^(?:{N})\s*:\s*", rf"^\[(?:{N})\]\s*:\s*", rf"^>>\s*(?:{N})\s*:\s*", rf"^\*\*(?:{N})\*\*\s*:\s*"):
     _stamps = no_label(_p, _stamps)
 _fill = "(?i)\\b(?:" + "|".join(sorted(L.FILLERS, key=len, reverse=True)) + ")\\b"
-# word boundaries are ASCII in this dialect: letters beyond ASCII are framed by ASCII letters while words are removed
+# word boundaries are ASCII in this dialect: word characters beyond ASCII are framed by ASCII letters while words are removed; code point 1 shows
+# what is a frame, its own occurrences are followed by 2
+_wide = "|".join(rf"[^\x00-\x7F\P{{{c}}}]" for c in ("L", "M", "Nd", "Nl", "Pc")) + r"|[\x{200C}\x{200D}\x{24B6}-\x{24E9}]"
 _prose = replaced(
-    "'WEBVTT' || chr(10) || 'NOTE x' || chr(10) || 'Um, like I said, ' || text || '  you know !! Ok'", (r"(?i)WEBVTT\s*", ""), (r"(?i)NOTE\s+[^\n]*\n", ""), (r"(?i)STYLE\s+[^\n]*\n", ""), (r"<v\s+[^>]+>", ""), (r"</v>", ""), (r"([^\x00-\x7F])", r"ZQ\1QZ"), (_fill, ""), ("ZQ|QZ", ""),
+    "'WEBVTT' || chr(10) || 'NOTE x' || chr(10) || 'Um, like I said, ' || text || '  you know !! Ok'", (r"(?i)WEBVTT\s*", ""), (r"(?i)NOTE\s+[^\n]*\n", ""), (r"(?i)STYLE\s+[^\n]*\n", ""), (r"<v\s+[^>]+>", ""), (r"</v>", ""), (r"\x01", "\x01\x02"), (f"({_wide})", "Q\x01\x03\\1\x01\x03Q"), (_fill, ""), (r"Q\x01\x03|\x01\x03Q", ""), (r"\x01\x02", "\x01"),
     *[("(?i)" + p, "") for p in L.TEMPLATES], (r"([.!?,;:])([A-Za-z])", r"\1 \2"), (r"\s+([.!?,;:])", r"\1"), (r"([.!?]){2,}", r"\1"), (" +", " "),
 )
 _prose = f"regexp_replace({_prose}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
