@@ -98,8 +98,9 @@ def still_to_fetch(urls: DataFrame, crawled: DataFrame, now: Column, ttl: int =
 
 
 def latest(crawled: DataFrame) -> DataFrame:
-    """The newest row per key."""
-    return crawled.withColumn("key", F.md5("url")).groupBy("key").agg(F.max_by(F.struct(*crawled.columns), "fetched_at").alias("r")).select("key", "r.*")
+    """The newest row per key; of rows of one time one without error, then the greatest."""
+    newest = F.max(F.struct("fetched_at", F.col("error").isNull().alias("good"), F.struct(*crawled.columns).alias("r")))
+    return crawled.withColumn("key", F.md5("url")).groupBy("key").agg(newest.alias("n")).select("key", "n.r.*")
 
 
 def typed(pages: DataFrame) -> DataFrame:
@@ -141,21 +142,23 @@ def excerpts(sources: DataFrame, queries: DataFrame, size: int = 500, per_source
     return best_excerpts(whole.select("query_id", "url", "window_index", "score"), per_source, top, least).join(windows.select("url", "window_index", "window"), ["url", "window_index"]).select("query_id", "url", "window_index", "window", "score", "rank")
 
 
-def best_excerpts(hits: DataFrame, per_source: int, top: int, least: float) -> DataFrame:
-    """Of (query_id, url, window_index, score) the best few of each source above the limit, then of all, ranked; ties by url and place."""
+def best_excerpts(hits: DataFrame, per_source: int, top: int, least: float, *then: str | Column) -> DataFrame:
+    """Of (query_id, url, window_index, score) the best few of each source above the limit, then of all, ranked; ties by url, place and what else is named."""
     score = F.desc(F.round("score", 9))
-    first = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "url").orderBy(score, "window_index"))).filter((F.col("_r") <= per_source) & (F.col("score") > least))
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(score, "url", "window_index"))).filter(F.col("rank") <= top)
+    first = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "url").orderBy(score, "window_index", *then))).filter((F.col("_r") <= per_source) & (F.col("score") > least))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(score, "url", "window_index", *then))).filter(F.col("rank") <= top)
 
 
 def near_excerpts(windows: DataFrame, queries: DataFrame, given: DataFrame, per_source: int = 3, top: int = 5, least: float = 0.1) -> DataFrame:
     """(query_id, url, window_index, window, score, rank): as excerpts, with the cosine of vectors in place of shared words. windows: url,
     window_index, window, embedding; queries: query_id, embedding; given: query_id, url, the sources that a query was given. A query
-    meets the windows of its own sources only; a missing or zero vector scores 0. Texts join after the ranks are known."""
+    meets the windows of its own sources only; a missing or zero vector scores 0. Sources may share a url, then windows are told apart by
+    what they say. Texts join after the ranks are known."""
+    windows = windows.withColumn("_said", F.coalesce(F.md5("window"), F.lit("")))
     asked = given.select("query_id", "url").distinct().join(queries.select("query_id", F.col("embedding").alias("qv")), "query_id")
-    hits = asked.join(windows.select("url", "window_index", F.col("embedding").alias("wv")), "url").withColumn("score", cosine(F.col("qv"), F.col("wv"))).drop("qv", "wv")
-    best = best_excerpts(hits, per_source, top, least)
-    return best.join(windows.select("url", "window_index", "window"), ["url", "window_index"]).select("query_id", "url", "window_index", "window", "score", "rank")
+    hits = asked.join(windows.select("url", "window_index", "_said", F.col("embedding").alias("wv")), "url").withColumn("score", cosine(F.col("qv"), F.col("wv"))).drop("qv", "wv")
+    best = best_excerpts(hits, per_source, top, least, "_said", F.desc("score"))
+    return best.join(windows.select("url", "window_index", "_said", "window").distinct(), ["url", "window_index", "_said"]).select("query_id", "url", "window_index", "window", "score", "rank")
 
 
 def digest(pages: DataFrame, most: int = 2000) -> DataFrame:

@@ -280,13 +280,13 @@ ORACLES: dict[str, str] = {
         k AS (SELECT CASE WHEN NOT passed THEN 'actions' WHEN NOT (c >= 0.25 OR (n >= 1 AND c >= 0.2)) THEN 'sources' WHEN n_errors > 0 THEN 'validation' END AS reason FROM j) SELECT reason IS NULL AS accepted, reason, count(*) AS n FROM k GROUP BY 1, 2""",
     "val_corpus": f"""{SEG}, {STEPS}, {VERBS} SELECT count(*) AS steps, CAST(sum(n_actions) AS BIGINT) AS actions, round(avg(n_actions), 6) AS avg_actions, CAST(sum(n_strong) AS BIGINT) AS strong, CAST(sum(n_weak) AS BIGINT) AS weak, CAST(sum(content_words) AS BIGINT) AS words,
         round(avg(content_words), 6) AS avg_words, bool_and(n_actions BETWEEN 3 AND 6) AS all_counts, bool_and(n_weak = 0) AS no_weak, bool_and(content_words >= 50) AS all_long FROM checks""",
-    "knw_to_fetch": f"WITH {CRAWL}, f AS (SELECT url, max(fetched_at) AS t, arg_max(coalesce(error, ''), fetched_at) AS e FROM crawl GROUP BY 1) SELECT md5(url) AS key, url FROM f WHERE NOT (e = '' AND TIMESTAMP '2026-01-01 00:00:00' - t < INTERVAL 24 HOUR)",
+    "knw_to_fetch": f"WITH {CRAWL}, f AS (SELECT url, fetched_at AS t, coalesce(error, '') AS e FROM crawl QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, error IS NULL DESC) = 1) SELECT md5(url) AS key, url FROM f WHERE NOT (e = '' AND TIMESTAMP '2026-01-01 00:00:00' - t < INTERVAL 24 HOUR)",
     "knw_types": f"WITH {CRAWL}, p AS (SELECT error, lower(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[?#].*', '')) AS path FROM crawl) SELECT CASE WHEN error IS NOT NULL THEN 'error' WHEN path LIKE '%.pdf' THEN 'pdf' WHEN path LIKE '%.txt' OR path LIKE '%.md' THEN 'text' ELSE 'web' END AS type, count(*) AS n FROM p GROUP BY 1",
     "knw_near_excerpts": """WITH p AS (SELECT page_id, url, count(*) OVER () AS n FROM pages), w AS (SELECT url, vec_id // n AS window_index, 'label ' || CAST(label AS STRING) AS win, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN p ON page_id = vec_id % n),
         g AS (SELECT DISTINCT vec_id AS query_id, url, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN p ON page_id = (vec_id * 3 + 1) % n OR page_id = (vec_id * 5 + 2) % n),
         h AS (SELECT query_id, g.url, window_index, win, greatest(0.0, least(1.0, list_cosine_similarity(g.v, w.v))) AS score FROM g JOIN w ON g.url = w.url),
-        f AS (SELECT * FROM h WHERE score > 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY round(score, 9) DESC, window_index) <= 3)
-        SELECT query_id, url, window_index, win AS "window", round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, url, window_index) AS INT) AS rank FROM f QUALIFY rank <= 5""",
+        f AS (SELECT * FROM h WHERE score > 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY round(score, 9) DESC, window_index, coalesce(md5(win), ''), score DESC) <= 3)
+        SELECT query_id, url, window_index, win AS "window", round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, url, window_index, coalesce(md5(win), ''), score DESC) AS INT) AS rank FROM f QUALIFY rank <= 5""",
     "knw_digest": f"WITH {CRAWL} SELECT url, length('Source: ' || coalesce(title, '') || chr(10) || 'URL: ' || url || chr(10) || chr(10)) + CASE WHEN length(html) > 2000 THEN 2003 ELSE length(html) END AS chars FROM crawl WHERE error IS NULL",
     "knw_usage": f"WITH {CRAWL} SELECT count_if(error IS NULL) AS fetched, count(DISTINCT left(html, 100)) AS cited, round(CAST(count(DISTINCT left(html, 100)) AS DOUBLE) / count_if(error IS NULL), 6) AS rate FROM crawl",
     "doc_contents": f"{SEG}, {STEPS} SELECT transcript_id, 100 + step_index AS position, 'Step ' || CAST(step_index + 1 AS STRING) || ': ' || title AS entry FROM st UNION ALL SELECT DISTINCT transcript_id, p, e FROM st, (VALUES (0, 'Introduction'), (1000000, 'Source References'), (1000001, 'Document Statistics')) AS v(p, e)",
