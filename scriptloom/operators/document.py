@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +42,31 @@ def statistics(steps: DataFrame, sources: DataFrame, usage: DataFrame) -> DataFr
 
 def code_spans(docs: DataFrame) -> DataFrame:
     """(transcript_id, number, start, end, code): inline spans of more than 50 characters between backticks. Spans of any length pair
-    the backticks, so text between two short spans isn't one; offsets count characters and include the backticks."""
-
-    @F.pandas_udf("array<struct<start:int,end:int,code:string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "code": m[1]} for m in SPAN.finditer(t or "") if len(m[1]) > 50])
-
-    return docs.select("transcript_id", F.posexplode(found("text")).alias("number", "s")).select("transcript_id", "number", "s.start", "s.end", "s.code")
+    the backticks, so text between two short spans isn't one; offsets count characters and include the backticks. A task holds one text and some
+    4 MB of spans beside the Arrow batch it reads."""
+
+    schema = "transcript_id string, number int, start int, end int, code string"
+    names = ["transcript_id", "number", "start", "end", "code"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                long = (m for m in SPAN.finditer(text.as_py() or "") if m.end() - m.start() > 52)
+                for number, m in enumerate(long):
+                    made.append((key.as_py(), number, m.start(), m.end(), m[1]))
+                    held += m.end() - m.start() + 100
+                    if held >= 4 << 20:
+                        yield batch_of(made)
+                        made, held = [], 0
+        if made:
+            yield batch_of(made)
+
+    return docs.select("transcript_id", "text").mapInArrow(run, schema)
 
 
 def knowledge_section(pages: DataFrame) -> DataFrame:
