@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 from ..config import Ranking
 from ..functions import text as T
+from ..plans.keep import kept
 from .segmentation import coherence, segment_texts
 
 KEYS = ["transcript_id", "segment_id"]
@@ -15,6 +16,7 @@ KEYS = ["transcript_id", "segment_id"]
 
 def scores(rows: DataFrame, config: Ranking = Ranking()) -> DataFrame:
     """(keys, n_sentences, verbs, procedural, action_density, coherence, three weighted parts, importance) per segment."""
+    rows = kept(rows.select(*KEYS, "sentence_index", "text"))
     first = F.slice(T.words(F.lower("text")), 1, 2)
     imperative = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if(F.arrays_overlap(first, T.literals(L.RANK_VERBS))).alias("imperative"))
     text = segment_texts(rows).select(*KEYS, T.n_found(F.lower("text"), L.RANK_VERBS).alias("verbs"), T.n_found(F.lower("text"), L.SEQUENCE_WORDS).alias("sequence"))
@@ -33,10 +35,10 @@ def ranked(scored: DataFrame) -> DataFrame:
 
 def important(scored: DataFrame, config: Ranking = Ranking(), threshold: float | None = None) -> DataFrame:
     """Segments at or above the threshold (0 means the default); with keep_top_n the best of them."""
-    kept = ranked(scored).filter(F.round("importance", 9) >= (threshold or config.min_importance))
+    best = ranked(scored).filter(F.round("importance", 9) >= (threshold or config.min_importance))
     if config.keep_top_n:
-        kept = ranked(kept.drop("rank")).filter(F.col("rank") <= config.keep_top_n)
-    return kept
+        best = ranked(best.drop("rank")).filter(F.col("rank") <= config.keep_top_n)
+    return best
 
 
 def report(scored: DataFrame, config: Ranking = Ranking()) -> DataFrame:

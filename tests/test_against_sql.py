@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -40,3 +41,22 @@ def test_rows_of_one_time_count_without_error(spark, tmp_path, order):
     query, sql = both(spark, tmp_path, "knw_to_fetch", pages=pages)
     assert query == sql
     assert "u" not in {r[1] for r in query}
+
+
+def test_repeated_actions_of_a_long_step_take_no_square(spark):
+    """A list of 20,000 actions; every one used to be looked up in a list that was made anew for it."""
+    from scriptloom.operators.validation import repeated_actions
+
+    told = [" A ", "b", None, "a", None, "B ", "c"]
+    long = [f"action {i % 19_990}" for i in range(20_000)]
+    df = spark.createDataFrame([(told,), (long,), (None,), ([],)], "x array<string>")
+    assert [r[0] for r in df.select(repeated_actions(F.col("x"))).collect()] == [[3, 5], list(range(19_990, 20_000)), None, []]
+
+
+def test_sentences_of_a_transcript_are_sorted_few_times(spark, tmp_path):
+    from scriptloom import queries
+
+    rows = [(i, f"2024-01-01 00:{i % 60:02d}:00", i % 7, ("click", "view", "error", "signup")[i % 4]) for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    plan = queries.rows_of(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Sort [") <= 6
