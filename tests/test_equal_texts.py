@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from scriptloom import queries
 from scriptloom.config import Matching
 from scriptloom.operators import cleaning, matching, steps
@@ -95,3 +98,20 @@ def test_pairs_of_texts_and_their_sentences_are_all_pairs(spark):
     every = sorted((p.transcript_id, p.step_index, i, p.shared) for p in pairs for i in of[p.transcript_id, p.text_index])
     assert every == sorted((r.transcript_id, r.step_index, r.sentence_index, r.shared) for r in matching.candidates(made, told).collect())
     assert 0 < len(pairs) < len(every) / 3
+
+
+def test_vectors_meet_in_blocks_and_equal_every_pair(spark):
+    made, told, _, _ = rows_of(spark, 5, 9, 400)
+    rng = random.Random(6)
+    odd = [None, [0.0] * 4, [1.0, None, 0.0, 0.0], [1.0, 2.0], [float("nan"), 1.0, 0.0, 0.0]]
+    vector = lambda: rng.choice(odd) if rng.random() < 0.1 else [float(rng.randint(-2, 2)) for _ in range(4)]
+    with_vector = lambda df, key: df.join(spark.createDataFrame([(t, i, vector()) for t in "ab" for i in range(400)], f"transcript_id string, {key} int, embedding array<double>"), ["transcript_id", key])
+    made, told = with_vector(made, "step_index").localCheckpoint(), with_vector(told, "sentence_index").localCheckpoint()
+    every = matching.scored(made, told).withColumn("c", matching.adjusted(F.col("base_score"), F.col("technical"), F.lit(0))).filter("c >= 0.15")
+    best = Window.partitionBy("transcript_id", "step_index").orderBy(F.desc(F.round("c", 9)), "sentence_index")
+    want = every.withColumn("r", F.row_number().over(best)).filter("r <= 5").select("transcript_id", "step_index", "sentence_index", "c")
+    found = matching.transcript_sources(made, told).select("transcript_id", "step_index", "sentence_index", "confidence")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    near = matching.near_rows(made, told, Matching(), block=64, side=4)
+    assert near.count() * 10 < every.count()
+    assert want.join(near, ["transcript_id", "step_index", "sentence_index"], "left_anti").count() == 0
