@@ -88,8 +88,10 @@ def consume(raw: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int],
     its own jobs only; with keep_ms a job is forgotten so long after its message. A batch that fails is repeated as it was: `handle` gets
     its jobs again, and its dead letters are overwritten. Of messages of one job in a batch the least by text counts."""
     with_store(raw.sparkSession)
-    both, mode = clocked(parsed_messages(raw).withColumn("key", F.coalesce(F.when(F.col("reason").isNull(), F.col("job_id")), F.md5("value"), F.lit(""))), "arrived", keep_ms)
-    fresh = both.groupBy("key").transformWithState(Once(keep_ms), MESSAGES, "Append", mode)
+    both, mode = clocked(parsed_messages(raw), "arrived", keep_ms)
+    # dead letters ask nothing of the state, so they pass beside it
+    good, dead = both.filter("reason IS NULL"), both.filter("reason IS NOT NULL").select(*ROUTED)
+    fresh = good.withColumn("key", F.col("job_id")).groupBy("key").transformWithState(Once(keep_ms), MESSAGES, "Append", mode).unionByName(dead)
 
     def step(batch: DataFrame, number: int) -> None:
         batch = kept(batch)
