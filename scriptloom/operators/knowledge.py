@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as T
 from ..plans.keep import kept
@@ -120,26 +125,82 @@ def split_words(queries: DataFrame, common: DataFrame, least: float) -> DataFram
     return need.withColumn("rare", place <= here - F.floor(F.col("n") * least + 1e-9)).select("query_id", "n", "word", "rare")
 
 
-def found_windows(words: DataFrame, have: DataFrame) -> DataFrame:
-    """(query_id, n, url, window_index, k): the windows that hold k of a query's rare words, one at least."""
-    return words.filter("rare").join(have, "word").groupBy("query_id", "n", "url", "window_index").agg(F.count(F.lit(1)).alias("k"))
+def posted(lists: list[list[str]]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """(number of each word, where its postings begin, postings): which of the lists hold a word."""
+    of: dict[str, list[int]] = {}
+    for i, own in enumerate(lists):
+        for word in own:
+            of.setdefault(word, []).append(i)
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in of.values()])]).astype(np.int64)
+    return {word: i for i, word in enumerate(of)}, starts, np.array([i for x in of.values() for i in x], np.int64)
+
+
+def shared_words(texts: list[Iterable[str]], index: tuple[dict[str, int], np.ndarray, np.ndarray], width: int) -> np.ndarray:
+    """How many words each of the texts (its distinct words) has in common with each of the posted lists."""
+    numbers, starts, flat = index
+    met = [[numbers[w] for w in own if w in numbers] for own in texts]
+    word, row = np.array([w for x in met for w in x], np.int64), np.repeat(np.arange(len(met)), [len(x) for x in met])
+    n = starts[word + 1] - starts[word]
+    at = np.repeat(starts[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.bincount(np.repeat(row, n) * width + flat[at], minlength=len(met) * width).reshape(len(met), width)
+
+
+def parts_of(chars: int, most: int = 32 << 20) -> int:
+    """How many parts texts of so many characters are dealt into: of `most` at most, and 64 where that leaves a million to each."""
+    return max(1, -(-chars // most), min(64, chars >> 20))
+
+
+def found_windows(windows: DataFrame, queries: DataFrame, parts: int, per_source: int, top: int, least: float, block: int = 512) -> DataFrame:
+    """(query_id, url, window_index, _said, score): of each part of the windows those that a query can have among its best. Blocks of queries meet
+    parts of windows inside tasks, over postings of the queries' words; what is best of all is best of its part too, so no pair of a query and
+    a window is a row before it is among the best few of its part."""
+    blocks = max(1, -(-queries.count() // block))
+    place = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = queries.select("query_id", F.array_distinct(T.words(F.lower("text"))).alias("w")).filter("size(w) > 0")
+    left = own.withColumn("_block", F.pmod(F.hash("query_id"), F.lit(blocks))).withColumn("_part", place(parts))
+    right = windows.select("url", "window_index", F.lower("window").alias("low"), F.md5("window").alias("_said")).withColumn("_of_part", F.pmod(F.hash("url", "window_index"), F.lit(parts))).withColumn("_of_block", place(blocks))
+    schema = K.StructType([own.schema["query_id"], windows.schema["url"], windows.schema["window_index"], K.StructField("_said", K.StringType()), K.StructField("score", K.DoubleType())])
+    kinds = to_arrow_schema(schema)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        lists, ids = a.column("w").to_pylist(), a.column("query_id").to_pylist()
+        index, best = posted(lists), [[] for _ in lists]
+        # so many words a window must hold: those of the last that is among the best so far
+        need = np.array([next(k for k in range(1, len(w) + 2) if k / len(w) > least) for w in lists], np.int64)
+        at, step = 0, 64
+        while lists and at < b.num_rows:
+            few = b.slice(at, step)
+            urls, places, lows, said = (few.column(c).to_pylist() for c in ("url", "window_index", "low", "_said"))
+            found = shared_words([set(x.split(" ")) for x in lows], index, len(lists))
+            hit = found >= need
+            for q in np.nonzero(hit.any(axis=0))[0]:
+                able = sorted(best[q] + [(-int(found[i, q]), urls[i], places[i], said[i]) for i in np.nonzero(hit[:, q])[0]])
+                taken, made = Counter(), []
+                for one in able:
+                    if taken[one[1]] < per_source:
+                        taken[one[1]] += 1
+                        made.append(one)
+                        if len(made) == top:
+                            need[q] = -one[0]
+                            break
+                best[q] = made
+            at, step = at + step, 1024
+        rows = [(ids[q], url, i, said, -k / len(lists[q])) for q, made in enumerate(best) for k, url, i, said in made]
+        return pa.table([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(kinds)], schema=kinds)
+
+    return left.groupBy("_part", "_block").cogroup(right.groupBy("_of_part", "_of_block")).applyInArrow(meet, schema)
 
 
 def excerpts(sources: DataFrame, queries: DataFrame, size: int = 500, per_source: int = 3, top: int = 5, least: float = 0.1) -> DataFrame:
     """(query_id, url, window_index, window, score, rank): windows of the sources that share words with a query (query_id, text): the share of
-    its words found, above `least`; the best few of each source, then of all. Frequent words join nothing: rare ones find the windows,
-    and what these would score with all frequent ones tells which can be among the best; only there are the frequent words looked up."""
-    windows = kept(word_windows(sources, "url", "content", size).withColumn("ws", F.array_distinct(T.words(F.lower("window")))))
-    have = windows.select("url", "window_index", F.explode("ws").alias("word"))
-    words = kept(split_words(queries, have.groupBy("word").agg(F.count(F.lit(1)).alias("windows")), least))
-    hits = kept(found_windows(words, have))
-    often = words.filter("NOT rare").groupBy("query_id").agg(F.collect_list("word").alias("often"))
-    # what is sure from the rare words alone is a floor, if there are as many as are wanted
-    sure = best_excerpts(hits.withColumn("score", F.col("k") / F.col("n")), per_source, top, least).groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("floor")).filter(F.col("c") == top).drop("c")
-    able = hits.join(often, "query_id", "left").join(sure, "query_id", "left").withColumn("often", F.coalesce("often", F.array().cast("array<string>")))
-    able = able.filter((F.col("k") + F.size("often")) / F.col("n") >= F.coalesce("floor", F.lit(0.0)) - 1e-9)
-    whole = able.join(windows.select("url", "window_index", "ws"), ["url", "window_index"]).withColumn("score", (F.col("k") + F.size(F.array_intersect("ws", "often"))) / F.col("n"))
-    return best_excerpts(whole.select("query_id", "url", "window_index", "score"), per_source, top, least).join(windows.select("url", "window_index", "window"), ["url", "window_index"]).select("query_id", "url", "window_index", "window", "score", "rank")
+    its words found, above `least`; the best few of each source, then of all. Sources may share a url, then windows are told apart by what they
+    say. Windows are made once for the search, and once more of the sources found, for their texts."""
+    sources = sources.filter("url IS NOT NULL").select("url", "content")
+    parts = parts_of(sources.agg(F.sum(F.length("content"))).first()[0] or 0)
+    best = kept(best_excerpts(found_windows(word_windows(sources, "url", "content", size), queries, parts, per_source, top, least), per_source, top, least, "_said"))
+    urls = best.select("url").distinct()
+    said = word_windows(sources.join(F.broadcast(urls) if urls.count() <= 100_000 else urls, "url", "left_semi"), "url", "content", size).withColumn("_said", F.md5("window")).distinct()
+    return best.join(said, ["url", "window_index", "_said"]).select("query_id", "url", "window_index", "window", "score", "rank")
 
 
 def best_excerpts(hits: DataFrame, per_source: int, top: int, least: float, *then: str | Column) -> DataFrame:

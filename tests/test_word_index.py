@@ -83,3 +83,15 @@ def test_frequent_words_join_nothing(spark):
     met, every = words.filter("rare").join(have, "word").count(), every_word(sources, asked)[0].count()
     print(met, every)
     assert met < 0.75 * every
+
+
+def test_parts_and_blocks_find_the_same(spark):
+    """No pair of a query and a window is a row unless it is among the best few of its part."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(n))
+    sources = spark.createDataFrame([(f"u{i}", text(200)) for i in range(40)], "url string, content string")
+    asked = spark.createDataFrame([(i, text(12)) for i in range(9)], "query_id long, text string")
+    windows = chunking.word_windows(sources, "url", "content", 120)
+    found = kept(knowledge.found_windows(windows, asked, 4, 2, 3, 0.1, block=2))
+    assert 0 < found.count() <= 4 * 3 * 9
+    assert shown(knowledge.best_excerpts(found, 2, 3, 0.1, "_said")) == shown(every_word(sources, asked, 120, 2, 3)[1])
