@@ -678,7 +678,7 @@ def knw_types(spark, d):
 
 @query
 def knw_excerpts(spark, d):
-    pages = knowledge.contents(table(spark, d, "pages"))
+    pages = kept(knowledge.contents(table(spark, d, "pages")))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return knowledge.excerpts(pages, asked).select("query_id", "url", "window_index", F.round("score", 6).alias("score"), "rank")
 

@@ -95,3 +95,9 @@ def test_parts_and_blocks_find_the_same(spark):
     found = kept(knowledge.found_windows(windows, asked, 4, 2, 3, 0.1, block=2))
     assert 0 < found.count() <= 4 * 3 * 9
     assert shown(knowledge.best_excerpts(found, 2, 3, 0.1, "_said")) == shown(every_word(sources, asked, 120, 2, 3)[1])
+
+
+def test_sources_of_one_url_stay_apart(spark):
+    sources = spark.createDataFrame([("u", "a b c d"), ("u", "e f g h"), ("v", None), (None, "a b e f")], "url string, content string")
+    rows = knowledge.excerpts(sources, spark.createDataFrame([(1, "a b e f")], "query_id long, text string")).collect()
+    assert sorted((r.url, r.window_index, r.window, r.score) for r in rows) == [("u", 0, "a b c d", 0.5), ("u", 0, "e f g h", 0.5)] and sorted(r["rank"] for r in rows) == [1, 2]
