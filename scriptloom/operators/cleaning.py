@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..plans.keep import kept
+from .postings import most_alike
 
 
 @F.pandas_udf(DoubleType())
@@ -26,14 +27,14 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def alike(a: Column, b: Column, least: float) -> Column:
-    """The similarity of two texts where it is `least` or more, else 0. Bounds come first: the lengths, then the characters in common."""
+    """The similarity of two texts where it is `least` or more, else 0. Bounds come first: the lengths, then the characters and grams in common."""
 
     @F.pandas_udf(DoubleType())
     def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
         made = []
         for x, y in zip(a, b, strict=True):
-            m = SequenceMatcher(None, x or "", y or "")
-            ratio = m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+            x, y = x or "", y or ""
+            ratio = SequenceMatcher(None, x, y).ratio() if most_alike(x, y) >= least - 1e-9 else 0.0
             made.append(ratio if ratio >= least else 0.0)
         return pd.Series(made, dtype=float)
 

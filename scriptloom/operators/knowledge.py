@@ -19,6 +19,7 @@ from ..functions import text as T
 from ..plans.keep import kept
 from .chunking import word_windows
 from .matching import cosine
+from .postings import parts_of, posted, shared_words
 
 
 def with_validity(pages: DataFrame) -> DataFrame:
@@ -125,31 +126,6 @@ def split_words(queries: DataFrame, common: DataFrame, least: float) -> DataFram
     return need.withColumn("rare", place <= here - F.floor(F.col("n") * least + 1e-9)).select("query_id", "n", "word", "rare")
 
 
-def posted(lists: list[list[str]]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """(number of each word, where its postings begin, postings): which of the lists hold a word."""
-    of: dict[str, list[int]] = {}
-    for i, own in enumerate(lists):
-        for word in own:
-            of.setdefault(word, []).append(i)
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in of.values()])]).astype(np.int64)
-    return {word: i for i, word in enumerate(of)}, starts, np.array([i for x in of.values() for i in x], np.int64)
-
-
-def shared_words(texts: list[Iterable[str]], index: tuple[dict[str, int], np.ndarray, np.ndarray], width: int) -> np.ndarray:
-    """How many words each of the texts (its distinct words) has in common with each of the posted lists."""
-    numbers, starts, flat = index
-    met = [[numbers[w] for w in own if w in numbers] for own in texts]
-    word, row = np.array([w for x in met for w in x], np.int64), np.repeat(np.arange(len(met)), [len(x) for x in met])
-    n = starts[word + 1] - starts[word]
-    at = np.repeat(starts[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return np.bincount(np.repeat(row, n) * width + flat[at], minlength=len(met) * width).reshape(len(met), width)
-
-
-def parts_of(chars: int, most: int = 32 << 20) -> int:
-    """How many parts texts of so many characters are dealt into: of `most` at most, and 64 where that leaves a million to each."""
-    return max(1, -(-chars // most), min(64, chars >> 20))
-
-
 def found_windows(windows: DataFrame, queries: DataFrame, parts: int, per_source: int, top: int, least: float, block: int = 512) -> DataFrame:
     """(query_id, url, window_index, _said, score): of each part of the windows those that a query can have among its best. Blocks of queries meet
     parts of windows inside tasks, over postings of the queries' words; what is best of all is best of its part too, so no pair of a query and

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import lexicon as L
 from ..config import Matching
 from ..functions import text as T
 from ..plans.keep import kept
 from .cleaning import alike, similarity
+from .postings import most_matched, numbered, parts_of, posted, rare_counts, shared_words
 
 KEYS = ["transcript_id", "step_index"]
 SOURCE = ["transcript_id", "step_index", "type", "excerpt", "sentence_index", "screenshot_ref", "ui_elements", "confidence"]
@@ -304,20 +309,59 @@ def as_sources(rows: DataFrame, kind: str) -> DataFrame:
     return made.select(*KEYS, *[(F.col(c) if c in made.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
 
 
-def knowledge_sources(steps: DataFrame, pages: DataFrame, top: int = 3, least: float = 0.2) -> DataFrame:
+def knowledge_sources(steps: DataFrame, pages: DataFrame, top: int = 3, least: float = 0.2, block: int = 512) -> DataFrame:
     """Pages (url, title, content, error) that share words with a step: 0.6 of the Jaccard similarity and 0.4 of that of the characters of
-    the first 2000; the best three. Candidates come from a join on words, so pages without a common word never meet."""
-    own = steps.select(*KEYS, F.lower(search_text(steps)).alias("wanted"), T.match_words(search_text(steps), True).alias("w")).withColumn("chars", F.length("wanted"))
-    good = pages.filter("error IS NULL AND content != ''").select("url", "title", "content", T.match_words(F.col("content"), False).alias("v"), F.least(F.length("content"), F.lit(2000)).alias("shown"))
-    left, right = own.select(*KEYS, "chars", F.size("w").alias("n"), F.explode("w").alias("word")), good.select("url", "shown", F.size("v").alias("m"), F.explode("v").alias("word"))
-    pairs = left.join(right, "word").groupBy(*KEYS, "url", "n", "m", "chars", "shown").agg(F.count(F.lit(1)).alias("both"))
-    overlap = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-    # two texts share twice the characters of the shorter one at most, over both lengths
-    at_most = 2 * F.least("chars", "shown") / (F.col("chars") + F.col("shown"))
-    pairs = pairs.withColumn("overlap", overlap).filter(0.6 * F.col("overlap") + 0.4 * at_most >= least - 1e-9)
-    rows = pairs.join(own.drop("w", "chars"), KEYS).join(good.drop("v", "shown"), "url").withColumn("confidence", 0.6 * F.col("overlap") + 0.4 * similarity("wanted", F.lower(F.left("content", F.lit(2000))))).filter(F.col("confidence") >= least)
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("confidence"), "url"))).filter(F.col("_r") <= top)
-    return as_sources(rows.withColumn("excerpt", F.concat(F.lit("["), "title", F.lit("]("), "url", F.lit(")\n"), F.left("content", F.lit(300)))), "knowledge")
+    the first 2000; the best three. Blocks of steps meet parts of pages inside tasks, over postings of the steps' words and grams; the characters are
+    compared only where a bound says that a page can be among the best of its part. Pages may share a url."""
+    pages = pages.filter("error IS NULL AND content != ''")
+    parts, blocks = parts_of(pages.agg(F.sum(F.length("content"))).first()[0] or 0), max(1, -(-steps.count() // block))
+    place = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = steps.select(*KEYS, F.lower(search_text(steps)).alias("wanted"), T.match_words(search_text(steps), True).alias("w")).filter("size(w) > 0")
+    left = own.withColumn("_block", F.pmod(F.hash(*KEYS), F.lit(blocks))).withColumn("_part", place(parts))
+    excerpt = F.concat(F.lit("["), "title", F.lit("]("), "url", F.lit(")\n"), F.left("content", F.lit(300)))
+    right = pages.select("url", excerpt.alias("excerpt"), F.lower(F.left("content", F.lit(2000))).alias("shown"), T.match_words(F.col("content"), False).alias("v"))
+    right = right.withColumn("_of_part", F.pmod(F.hash("url", "shown"), F.lit(parts))).withColumn("_of_block", place(blocks))
+    schema = K.StructType([*(own.schema[k] for k in KEYS), *(right.schema[c] for c in ("url", "excerpt")), K.StructField("confidence", K.DoubleType())])
+    kinds = to_arrow_schema(schema)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        wanted, words = a.column("wanted").to_pylist(), a.column("w").to_pylist()
+        by_word, by_gram, n, long = posted(words), posted([numbered(x) for x in wanted]), np.array([len(w) for w in words]), np.array([len(x) for x in wanted])
+        letters = {c: i for i, c in enumerate(sorted(set("".join(wanted))))}
+        counts = np.zeros((len(letters), len(wanted)), np.int32)
+        for i, x in enumerate(wanted):
+            for c, k in Counter(x).items():
+                counts[letters[c], i] = k
+        best, floor = [[] for _ in wanted], np.full(len(wanted), least)
+        for at in range(0, b.num_rows if wanted else 0, 256):
+            urls, excerpts, shown, vs = (b.slice(at, 256).column(c).to_pylist() for c in ("url", "excerpt", "shown", "v"))
+            both, grams = shared_words(vs, by_word, len(wanted)), shared_words([numbered(x) for x in shown], by_gram, len(wanted))
+            common, seeds = np.zeros(both.shape, np.int64), np.zeros(both.shape, np.int64)
+            for j, x in enumerate(shown):
+                have = Counter(x)
+                for into, of in ((common, have), (seeds, rare_counts(have, len(x)))):
+                    met = [(letters[c], k) for c, k in of.items() if c in letters]
+                    if met:
+                        into[j] = np.minimum(counts[[c for c, _ in met]], np.array([[k] for _, k in met])).sum(axis=0)
+            overlap = both / (n + np.array([[len(v)] for v in vs]) - both)
+            bound = 0.6 * overlap + 0.4 * (2.0 * most_matched(common, seeds, grams) / (long + np.array([[len(x)] for x in shown])))
+            for j in np.nonzero(((both > 0) & (bound >= floor - 1e-9)).any(axis=1))[0]:
+                exact = SequenceMatcher(None, "", shown[j])
+                for i in np.nonzero((both[j] > 0) & (bound[j] >= floor - 1e-9))[0]:
+                    exact.set_seq1(wanted[i])
+                    value = 0.6 * float(overlap[j, i]) + 0.4 * exact.ratio()
+                    if value >= least:
+                        best[i] = sorted([*best[i], (-value, urls[j] or "", excerpts[j] or "", j + at)])[:top]
+                        if len(best[i]) == top:
+                            floor[i] = -best[i][-1][0]
+        rows = [(i, j, -value) for i, made in enumerate(best) for value, *_, j in made]
+        of_step, of_page = (pa.array([r[c] for r in rows], pa.int64()) for c in (0, 1))
+        columns = [*(a.column(k).take(of_step) for k in KEYS), *(b.column(c).take(of_page) for c in ("url", "excerpt")), pa.array([r[2] for r in rows], pa.float64())]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    rows = left.groupBy("_part", "_block").cogroup(right.groupBy("_of_part", "_of_block")).applyInArrow(meet, schema)
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("confidence"), "url", "excerpt"))).filter(F.col("_r") <= top)
+    return as_sources(rows, "knowledge")
 
 
 def action_patterns(steps: DataFrame) -> DataFrame:

@@ -564,7 +564,7 @@ def mat_knowledge(spark, d):
     """Steps made of the benchmark items against all pages."""
     text = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("transcript_id"), F.lit(0).alias("chunk_index"), "text")
     own = S.from_chunks(text)
-    pages = knowledge.contents(table(spark, d, "pages").select("url", "html")).withColumn("error", F.lit(None).cast("string"))
+    pages = kept(knowledge.contents(table(spark, d, "pages").select("url", "html"))).withColumn("error", F.lit(None).cast("string"))
     return matching.all_sources(matching.knowledge_sources(own, pages)).select("transcript_id", "step_index", "type", "confidence")
 
 
