@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..plans.keep import kept
-from .postings import most_alike
+from .postings import ratio_from
 
 
 @F.pandas_udf(DoubleType())
@@ -31,12 +31,7 @@ def alike(a: Column, b: Column, least: float) -> Column:
 
     @F.pandas_udf(DoubleType())
     def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
-        made = []
-        for x, y in zip(a, b, strict=True):
-            x, y = x or "", y or ""
-            ratio = SequenceMatcher(None, x, y).ratio() if most_alike(x, y) >= least - 1e-9 else 0.0
-            made.append(ratio if ratio >= least else 0.0)
-        return pd.Series(made, dtype=float)
+        return pd.Series([ratio_from(x or "", y or "", least) for x, y in zip(a, b, strict=True)], dtype=float)
 
     return F.when(longest(a, b) >= least, bounded(a, b)).otherwise(0.0)
 

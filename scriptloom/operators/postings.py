@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Hashable, Iterable
+from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
@@ -63,8 +64,14 @@ def rare_counts(count: dict[str, int], length: int) -> dict[str, int]:
 
 @lru_cache(maxsize=512)
 def profile(text: str) -> tuple[Counter, dict[str, int], Counter]:
+    """Characters, those that SequenceMatcher doesn't take for frequent ones, grams."""
     count = Counter(text)
-    return count, rare_counts(count, len(text)), Counter(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))
+    return count, rare_counts(count, len(text)), Counter([text[i : i + GRAM] for i in range(len(text) - GRAM + 1)])
+
+
+@lru_cache(maxsize=64)
+def matcher(b: str) -> SequenceMatcher:
+    return SequenceMatcher(None, "", b)
 
 
 def most_alike(a: str, b: str) -> float:
@@ -72,5 +79,32 @@ def most_alike(a: str, b: str) -> float:
     if not a and not b:
         return 1.0
     (x, _, g), (y, rare, h) = profile(a), profile(b)
-    common = (sum(min(n, other[c]) for c, n in own.items()) for own, other in ((y, x), (rare, x), (h, g)))
-    return 2.0 * float(most_matched(*common)) / (len(a) + len(b))
+    common, seeds = (sum(min(n, x[c]) for c, n in own.items()) for own in (y, rare))
+    grams = sum(min(g[c], h[c]) for c in g.keys() & h.keys())
+    return 2.0 * float(most_matched(common, seeds, grams)) / (len(a) + len(b))
+
+
+def ratio_from(a: str, b: str, least: float) -> float:
+    """SequenceMatcher(None, a, b).ratio() where it is `least` or more, else 0. Its blocks are found as there; once those found and what is left
+    between them can't be enough, the rest isn't looked at."""
+    if not a and not b:
+        return 1.0 if least <= 1.0 else 0.0
+    if most_alike(a, b) < least - 1e-9:
+        return 0.0
+    m, both = matcher(b), len(a) + len(b)
+    m.set_seq1(a)
+    matched, possible, ranges = 0, min(len(a), len(b)), deque([(0, len(a), 0, len(b))])
+    while ranges:
+        if 2.0 * possible / both < least - 1e-9:
+            return 0.0
+        alo, ahi, blo, bhi = ranges.popleft()
+        i, j, k = m.find_longest_match(alo, ahi, blo, bhi)
+        possible -= min(ahi - alo, bhi - blo)
+        if k:
+            matched, possible = matched + k, possible + k
+            for part in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+                if (room := min(part[1] - part[0], part[3] - part[2])) > 0:
+                    possible += room
+                    ranges.append(part)
+    ratio = 2.0 * matched / both
+    return ratio if ratio >= least else 0.0

@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 
 from scriptloom import lexicon as L
 from scriptloom.operators import matching
-from scriptloom.operators.postings import most_alike
+from scriptloom.operators.postings import most_alike, ratio_from
 
 
 def texts(rng, n):
@@ -18,6 +18,7 @@ def test_no_text_is_more_alike_than_its_bound(spark):
     own = ["", "a", "ab" * 150, *texts(rng, 30)]
     pairs = [(x, y) for x in own for y in own] + [(x, x[: len(x) // 2] + y + x[len(x) // 3 :]) for x in own for y in own[:6]]
     assert all(SequenceMatcher(None, x, y).ratio() <= most_alike(x, y) + 1e-12 for x, y in pairs)
+    assert all(ratio_from(x, y, t) == (r if (r := SequenceMatcher(None, x, y).ratio()) >= t else 0.0) for x, y in pairs[::3] for t in (0.4, 0.9))
     # random words are told apart without being compared
     assert sum(most_alike(x, y) < 0.6 for x, y in pairs) > len(pairs) / 4
 
