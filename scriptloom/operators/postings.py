@@ -6,6 +6,7 @@ from collections import Counter, deque
 from collections.abc import Hashable, Iterable
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 
@@ -93,18 +94,27 @@ def ratio_from(a: str, b: str, least: float) -> float:
         return 0.0
     m, both = matcher(b), len(a) + len(b)
     m.set_seq1(a)
-    matched, possible, ranges = 0, min(len(a), len(b)), deque([(0, len(a), 0, len(b))])
+    # up to each place of b, the grams that a has and the seeds: a range can't match more than these allow, as in most_matched
+    (x, _, g), (_, rare, _) = profile(a), profile(b)
+    grams = [0, *accumulate(b[i : i + GRAM] in g for i in range(len(b)))]
+    seeds = [0, *accumulate(c in rare and c in x for c in b)]
+
+    def room(alo: int, ahi: int, blo: int, bhi: int) -> int:
+        return min(ahi - alo, bhi - blo, grams[max(blo, bhi - GRAM + 1)] - grams[blo] + (GRAM - 1) * (seeds[bhi] - seeds[blo] + 1))
+
+    first = (0, len(a), 0, len(b))
+    matched, possible, ranges = 0, room(*first), deque([first])
     while ranges:
         if 2.0 * possible / both < least - 1e-9:
             return 0.0
-        alo, ahi, blo, bhi = ranges.popleft()
-        i, j, k = m.find_longest_match(alo, ahi, blo, bhi)
-        possible -= min(ahi - alo, bhi - blo)
+        part = alo, ahi, blo, bhi = ranges.popleft()
+        i, j, k = m.find_longest_match(*part)
+        possible -= room(*part)
         if k:
             matched, possible = matched + k, possible + k
             for part in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
-                if (room := min(part[1] - part[0], part[3] - part[2])) > 0:
-                    possible += room
+                if part[0] < part[1] and part[2] < part[3]:
+                    possible += room(*part)
                     ranges.append(part)
     ratio = 2.0 * matched / both
     return ratio if ratio >= least else 0.0
