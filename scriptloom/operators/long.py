@@ -3,6 +3,7 @@
 A transcript is cut into blocks by line number, and windows run inside a block only, so its rows may be any share of all rows. What a block
 needs from those before it (the number of sentences, the last one, the number of open segments) is a carry: one row per block
 of the transcripts that have more than one, scanned along the transcript and joined back. Results are those of `parsing` and `segmentation`.
+Before windows, blocks are dealt into parts by the number of all rows (`parsing.parts_of`), so a task sorts as much whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -39,22 +40,23 @@ def several(spans: DataFrame) -> DataFrame:
     return spans.withColumn("_blocks", F.count(F.lit(1)).over(Window.partitionBy("transcript_id"))).filter("_blocks > 1").drop("_blocks")
 
 
-def with_before(rows: DataFrame, last: Column, order: list[str], before: Column) -> DataFrame:
+def with_before(rows: DataFrame, last: Column, order: list[str], before: Column, parts: int) -> DataFrame:
     """Adds _n_before, the number of rows in earlier blocks, and _before: the struct `last` of the row before, over the edges of blocks (there null
     for the first row). `before` is the same struct by lag inside the block."""
     spans = rows.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n"), F.max_by(last, F.struct(*order)).alias("last"))
     carry = several(spans).select(*BLOCK, F.coalesce(F.sum("n").over(earlier()), F.lit(0)).alias("_n_before"), F.lag("last").over(along()).alias("_last_before"))
     first = F.row_number().over(Window.partitionBy(*BLOCK).orderBy(*order)) == 1
-    return joined(rows, carry).withColumns({"_before": F.when(first, F.col("_last_before")).otherwise(before), "_n_before": F.coalesce("_n_before", F.lit(0))}).drop("_last_before")
+    return joined(rows.repartition(parts, *BLOCK), carry).withColumns({"_before": F.when(first, F.col("_last_before")).otherwise(before), "_n_before": F.coalesce("_n_before", F.lit(0))}).drop("_last_before")
 
 
 def parsed(lines: DataFrame, long_pause: float = 90.0, block_lines: int = 4096) -> DataFrame:
     """The sentence table of `parsing.parsed`, with the number of its block (_block). line_no is a whole number without repeats in a transcript."""
-    cut = parsing.stamped(lines).withColumn("_block", F.floor(F.col("line_no") / block_lines).cast("long"))
-    rows = kept(cut.select(*BLOCK, "line_no", "timestamp", "speaker", F.posexplode(T.sentences(F.col("rest"))).alias("pos", "text")))
+    parts = parsing.parts_of(lines)
+    cut = lines.select("transcript_id", "line_no", "line").withColumn("_block", F.floor(F.col("line_no") / block_lines).cast("long")).repartition(parts, *BLOCK)
+    rows = kept(parsing.stamped(cut).select(*BLOCK, "line_no", "timestamp", "speaker", F.posexplode(T.sentences(F.col("rest"))).alias("pos", "text")))
     own, order = Window.partitionBy(*BLOCK), Window.partitionBy(*BLOCK).orderBy("line_no", "pos")
     last = F.struct("timestamp", "speaker")
-    made = with_before(rows, last, ["line_no", "pos"], F.lag(last).over(order)).withColumn("sentence_index", (F.row_number().over(order) - 1 + F.col("_n_before")).cast("int"))
+    made = with_before(rows, last, ["line_no", "pos"], F.lag(last).over(order), parts).withColumn("sentence_index", (F.row_number().over(order) - 1 + F.col("_n_before")).cast("int"))
     made = parsing.flagged(made, F.col("_before.timestamp"), F.col("_before.speaker"), long_pause)
 
     # who speaks most: inside the block where it holds the transcript, else over the counts of all blocks
@@ -70,19 +72,19 @@ def parsed(lines: DataFrame, long_pause: float = 90.0, block_lines: int = 4096)
     return made.withColumn("speaker_role", role).drop("line_no", "pos", "_n", "_first", "_most", "_long", "_before", "_n_before")
 
 
-def boundary_scores(sentences: DataFrame, config: Segmentation = Segmentation()) -> DataFrame:
+def boundary_scores(sentences: DataFrame, config: Segmentation, parts: int) -> DataFrame:
     """Those of `segmentation.boundary_scores`, for sentences with their blocks."""
     last = F.struct(F.col("timestamp").alias("ts"), F.col("speaker_role").alias("role"), T.keywords(F.col("text")).alias("words"))
-    rows = with_before(sentences, last, ["sentence_index"], F.lag(last).over(Window.partitionBy(*BLOCK).orderBy("sentence_index")))
+    rows = with_before(sentences, last, ["sentence_index"], F.lag(last).over(Window.partitionBy(*BLOCK).orderBy("sentence_index")), parts)
     rows = rows.withColumnsRenamed({"_before": "_row"}).withColumns({"_ts": F.col("_row.ts"), "_role": F.col("_row.role"), "_before": F.col("_row.words"), "_own": T.keywords(F.col("text"))})
     return segmentation.scored(rows, config).drop("_row", "_n_before")
 
 
-def merged_segments(rows: DataFrame, least: int) -> DataFrame:
+def merged_segments(rows: DataFrame, least: int, parts: int) -> DataFrame:
     """Adds segment_id, small segments merged into the one before. A segment that ends in its block is judged there; of the last one of a
     block the carry knows where the next boundary is."""
     order = Window.partitionBy(*BLOCK).orderBy("sentence_index")
-    rows = rows.withColumn("_local", F.sum(F.col("is_boundary").cast("int")).over(order))
+    rows = rows.repartition(parts, *BLOCK).withColumn("_local", F.sum(F.col("is_boundary").cast("int")).over(order))
     rows = rows.withColumns({"_size": F.count(F.lit(1)).over(Window.partitionBy(*BLOCK, "_local")), "_top": F.max("_local").over(Window.partitionBy(*BLOCK))})
     at, ends = F.when(F.col("is_boundary"), F.col("sentence_index")), F.col("_local") < F.col("_top")
     stays = (F.col("sentence_index") == 0) | (F.col("_size") >= least)
@@ -97,14 +99,14 @@ def merged_segments(rows: DataFrame, least: int) -> DataFrame:
     return rows.withColumn("segment_id", number.cast("int")).drop("_local", "_size", "_top", "_last_size", "_segments_before")
 
 
-def split_largest(rows: DataFrame, least: int) -> DataFrame:
+def split_largest(rows: DataFrame, least: int, parts: int) -> DataFrame:
     """As `segmentation.split_largest`. The parts of the largest segment follow from where it begins and its size, so no rank over the transcript
     is needed."""
     sizes = rows.groupBy("transcript_id", "segment_id").agg(F.count(F.lit(1)).alias("size"), F.min("sentence_index").alias("first"))
     largest = F.max_by(F.struct("segment_id", "size", "first"), F.struct("size", -F.col("segment_id")))
     long = several(rows.select(*BLOCK).distinct())
     found = sizes.join(long, "transcript_id", "left_semi").groupBy("transcript_id").agg((F.max("segment_id") + 1).alias("n"), largest.alias("largest"))
-    rows = joined(rows, long.join(found, "transcript_id").select(*BLOCK, F.struct("n", "largest").alias("_over")))
+    rows = joined(rows.repartition(parts, *BLOCK), long.join(found, "transcript_id").select(*BLOCK, F.struct("n", "largest").alias("_over")))
     own, segment = Window.partitionBy(*BLOCK), Window.partitionBy(*BLOCK, "segment_id")
     rows = rows.withColumn("_s", F.struct("segment_id", F.count(F.lit(1)).over(segment).alias("size"), F.min("sentence_index").over(segment).alias("first")))
     here = F.struct((F.max("segment_id").over(own) + 1).alias("n"), F.max_by("_s", F.struct("_s.size", -F.col("segment_id"))).over(own).alias("largest"))
@@ -120,5 +122,6 @@ def split_largest(rows: DataFrame, least: int) -> DataFrame:
 
 def segmented(sentences: DataFrame, config: Segmentation = Segmentation()) -> DataFrame:
     """Sentences (of `parsed` here) with their segment_id and fallback_split. What several steps read is a table between them."""
-    scored = kept(boundary_scores(sentences, config))
-    return split_largest(kept(merged_segments(scored, config.min_sentences)), config.min_segments).drop("_block")
+    parts = parsing.parts_of(sentences)
+    scored = kept(boundary_scores(sentences, config, parts))
+    return split_largest(kept(merged_segments(scored, config.min_sentences, parts)), config.min_segments, parts).drop("_block")

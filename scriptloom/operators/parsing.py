@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+ROWS_PER_PART = 50_000
+
 
 def lines_of(transcripts: DataFrame) -> DataFrame:
     """(transcript_id, line_no, line): trimmed lines that aren't blank, numbered as they stand."""
@@ -27,10 +29,15 @@ def sentence_rows(lines: DataFrame) -> DataFrame:
     return in_order(lines).drop("line_no", "pos", "_ts", "_speaker")
 
 
-def in_order(lines: DataFrame, rows_per_part: int = 50_000) -> DataFrame:
-    """The sentences with their places (line_no, pos), numbers, and the time (_ts) and speaker (_speaker) of the one before. Transcripts are
-    dealt into parts by the number of lines, as their text shrinks too much in a shuffle for its size to tell how much a task has to sort."""
-    cut = lines.select("transcript_id", "line_no", "line").repartition(max(8, lines.count() // rows_per_part + 1), "transcript_id")
+def parts_of(rows: DataFrame) -> int:
+    """Into how many parts rows are dealt before windows over them, by their number, as text shrinks too much in a shuffle for its size to tell
+    how much a task has to sort."""
+    return max(8, rows.count() // ROWS_PER_PART + 1)
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """The sentences with their places (line_no, pos), numbers, and the time (_ts) and speaker (_speaker) of the one before."""
+    cut = lines.select("transcript_id", "line_no", "line").repartition(parts_of(lines), "transcript_id")
     rows = stamped(cut).select("transcript_id", "line_no", "timestamp", "speaker", F.posexplode(T.sentences(F.col("rest"))).alias("pos", "text"))
     order = Window.partitionBy("transcript_id").orderBy("line_no", "pos")
     return rows.withColumns({"sentence_index": F.row_number().over(order) - 1, "_ts": F.lag("timestamp").over(order), "_speaker": F.lag("speaker").over(order)})

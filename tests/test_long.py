@@ -54,3 +54,12 @@ def test_no_task_gathers_a_long_transcript(spark):
     counts = [r["count"] for r in rows.repartition(8, *long.BLOCK).groupBy(F.spark_partition_id()).count().collect()]
     assert len(counts) == 8 and max(counts) <= 2 * median(counts)
     assert rows.groupBy("transcript_id").count().agg(F.max("count")).first()[0] > 0.3 * rows.count()
+
+
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    """What a task sorts depends on its part alone: with ten times the rows there are more parts, not larger ones."""
+    monkeypatch.setattr(parsing, "ROWS_PER_PART", 100)
+    blocks = long.parsed(spark.createDataFrame(lines(2, n=1600), "transcript_id string, line_no long, line string"), block_lines=8)
+    for rows in (blocks, long.segmented(blocks)):
+        counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) > 2000 and len(counts) > 10 and max(counts) <= 500
