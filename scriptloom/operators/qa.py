@@ -35,14 +35,18 @@ def without_qa(rows: DataFrame, config: QaFilter = QaFilter()) -> DataFrame:
 
 
 def instructor_led(rows: DataFrame, config: QaFilter = QaFilter()) -> DataFrame:
-    """(keys, instructor_led): the primary speaker's first sentence with role instructor, or no role and few questions."""
-    who = rows.filter("speaker IS NOT NULL").groupBy(*KEYS, "speaker").agg(F.count(F.lit(1)).alias("n"), F.min("sentence_index").alias("first"))
-    primary = who.groupBy(*KEYS).agg(F.max_by("speaker", F.struct("n", -F.col("first"))).alias("primary"))
-    own = rows.join(primary, KEYS, "left").filter("speaker <=> primary")
-    role = own.filter("speaker_role IS NULL OR speaker_role = 'instructor'").groupBy(*KEYS).agg(F.min_by(F.coalesce("speaker_role", F.lit("none")), "sentence_index").alias("role"))
-    rate = densities(rows, config).select(*KEYS, "density")
-    few = (F.col("role") == "none") & (F.col("density") < config.max_instructor_questions)
-    return rate.join(role, KEYS, "left").select(*KEYS, F.coalesce((F.col("role") == "instructor") | few, F.lit(False)).alias("instructor_led"))
+    """(keys, instructor_led): the primary speaker's first sentence with role instructor, or no role and few questions. Counts per speaker hold
+    all that is needed, so sentences are read once; those without a speaker stand for a segment only where no one else speaks."""
+    first_of = lambda role: F.min(F.when(role, F.col("sentence_index")))
+    who = rows.groupBy(*KEYS, "speaker").agg(
+        F.count(F.lit(1)).alias("n"), F.min("sentence_index").alias("first"), F.sum(F.col("is_question").cast("int")).alias("questions"), F.count("is_question").alias("judged"),
+        first_of(F.col("speaker_role") == "instructor").alias("led"), first_of(F.col("speaker_role").isNull()).alias("open"),
+    )
+    primary = F.max_by(F.struct("led", "open"), F.struct(F.col("speaker").isNotNull(), "n", -F.col("first")))
+    made = who.groupBy(*KEYS).agg(primary.alias("p"), F.try_divide(F.sum("questions"), F.sum("judged")).alias("density"))
+    led, none = F.col("p.led"), F.col("p.open")
+    few = none.isNotNull() & (F.col("density") < config.max_instructor_questions)
+    return made.select(*KEYS, F.coalesce(F.when(led.isNotNull() & (none.isNull() | (led < none)), True).otherwise(few), F.lit(False)).alias("instructor_led"))
 
 
 def statistics(rows: DataFrame, config: QaFilter = QaFilter()) -> DataFrame:
