@@ -57,9 +57,11 @@ def said_lines(e: DataFrame, transcript: Column, number: Column) -> DataFrame:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """One transcript per hour of events."""
-    number = F.row_number().over(Window.partitionBy(F.to_date("ts"), F.hour("ts")).orderBy("ts", "event_id")) - 1
-    return said_lines(table(spark, d, "events"), hour_of("ts"), number)
+    """One transcript per hour of events. Hours are dealt into parts by the number of events before their lines are numbered."""
+    e = table(spark, d, "events")
+    e = e.withColumns({"_day": F.to_date("ts"), "_hour": F.hour("ts")}).repartition(parsing.parts_of(e), "_day", "_hour")
+    number = F.row_number().over(Window.partitionBy("_day", "_hour").orderBy("ts", "event_id")) - 1
+    return said_lines(e, hour_of("ts"), number)
 
 
 def uneven_lines(spark: SparkSession, d: str) -> DataFrame:

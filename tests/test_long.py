@@ -63,3 +63,12 @@ def test_parts_grow_with_the_rows(spark, monkeypatch):
     for rows in (blocks, long.segmented(blocks)):
         counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(counts) > 2000 and len(counts) > 10 and max(counts) <= 500
+
+
+def test_hours_are_dealt_by_their_number_of_lines(spark, monkeypatch):
+    whole = {tuple(r) for r in queries.lines(spark, "/root/testdata/sf0.01").collect()}
+    monkeypatch.setattr(parsing, "ROWS_PER_PART", 500)
+    rows = queries.lines(spark, "/root/testdata/sf0.01")
+    assert {tuple(r) for r in rows.collect()} == whole and len(whole) == 10_000
+    counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) > 15 and max(counts) <= 1500
