@@ -65,13 +65,13 @@ class _Text(HTMLParser):
                 self.found[kind].append(data)
 
 
-def page_text(html: str | None, most: int = 100_000) -> tuple[str, str]:
-    """(title, text): of main, else article, else the first content div, else the body; at most so many characters."""
+def page_text(html: str | None) -> tuple[str, str]:
+    """(title, text): of main, else article, else the first content div, else the body; the whole of it."""
     p = _Text()
     p.feed(html or "")
     p.close()
     best = next((p.found[k] for k in ("main", "article", "div", "body") if k in p.done or p.found[k]), [])
-    return " ".join("".join(p.title).split()), " ".join(" ".join(best).split())[:most]
+    return " ".join("".join(p.title).split()), " ".join(" ".join(best).split())
 
 
 def contents(pages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from scriptloom import oracles
-from scriptloom.operators import document
+from scriptloom.operators import document, knowledge
 from scriptloom.queries import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
@@ -49,3 +49,11 @@ def test_responses_hold_whole_documents(spark):
 def test_screens_differ(spark):
     rows = QUERIES["mat_screens"](spark, DATA).collect()
     assert len({r.screenshot_ref for r in rows}) > 1 and {r.confidence for r in rows} - {0.8}
+
+
+def test_excerpts_come_from_the_whole_page(spark):
+    html = f"<html><head><title>t</title></head><body><main><p>{'filler words here ' * 8000}</p><p>violet kangaroo sings</p></main></body></html>"
+    assert knowledge.page_text(html)[1].endswith("violet kangaroo sings")
+    pages = knowledge.contents(spark.createDataFrame([("u", html)], "url string, html string"))
+    found = knowledge.excerpts(pages, spark.createDataFrame([(1, "violet kangaroo sings")], "query_id int, text string")).collect()
+    assert {r.window for r in found if r.score == 1.0} and all("violet kangaroo sings" in r.window for r in found if r.score == 1.0)
