@@ -40,6 +40,13 @@ def candidates(steps: DataFrame, sentences: DataFrame, least: int = 3) -> DataFr
     return pairs.withColumn("word_overlap", F.col("shared") / (F.col("n_step") + F.col("n_sentence") - F.col("shared")))
 
 
+def every_candidate(steps: DataFrame, texts: DataFrame, members: DataFrame, least: int = 3) -> DataFrame:
+    """`candidates` of all sentences: a step meets each text (transcript_id, sentence_index, text) once, what they share holds for each of its members
+    (transcript_id, sentence_index, text_index). Pairs of steps and sentences are made by the last join and shuffled nowhere."""
+    met = candidates(steps, texts, least).withColumnRenamed("sentence_index", "text_index").join(members, ["transcript_id", "text_index"])
+    return met.select(*KEYS, "sentence_index", "shared", "n_step", "n_sentence", "word_overlap")
+
+
 def scored(steps: DataFrame, sentences: DataFrame, config: Matching = Matching()) -> DataFrame:
     """Candidates with keyword_score, phrase_score, char_similarity and semantic_score (0 where their weight is 0, the last also where no
     vectors are given), base_score (the weighted sum and the bonus for a bare verb), and technical. Vectors: columns `embedding`

@@ -436,7 +436,7 @@ ORACLES |= {f"{made}_long": ORACLES[name].replace(LINES, _uneven) for made, name
 
 # pairs of steps and texts, each text by its first sentence, and the sentences of each text
 _texts = "tf AS (SELECT transcript_id, sentence_index, CAST(min(sentence_index) OVER (PARTITION BY transcript_id, text) AS INT) AS text_index FROM sentences)"
-for _name, _none in (("mat_candidates", ("n_step", "n_sentence", "shared", "word_overlap")), ("mat_keywords", ("keyword_score", "phrase_score", "base_score", "technical"))):
+for _name, _none in (("mat_keywords", ("keyword_score", "phrase_score", "base_score", "technical")),):
     _head, _sep, _tail = ORACLES[_name].rpartition(" SELECT transcript_id, step_index, sentence_index, ")
     ORACLES[_name] = f"""{_head}, {_texts}, pairs AS (SELECT transcript_id, step_index, sentence_index, {_tail})
         SELECT 'pair' AS kind, p.transcript_id, step_index, p.sentence_index, text_index, {", ".join(_none)} FROM pairs p JOIN tf ON p.transcript_id = tf.transcript_id AND p.sentence_index = tf.sentence_index WHERE text_index = p.sentence_index

@@ -458,10 +458,9 @@ def with_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 @query
 def mat_candidates(spark, d):
-    """Pairs of steps and sentence texts with enough words in common, each text by its first sentence, and the sentences of each text."""
+    """All pairs of steps and sentences of a transcript with enough words in common."""
     steps, sentences = told(spark, d)
-    texts, members = by_text(sentences)
-    return with_members(r6(matching.candidates(steps, texts), "word_overlap"), members)
+    return r6(matching.every_candidate(steps, *by_text(sentences)), "word_overlap")
 
 
 @query
@@ -476,7 +475,8 @@ def mat_reuse(spark, d):
 
 @query
 def mat_keywords(spark, d):
-    """The pairs of mat_candidates with the scores of keywords and phrases, and the sentences of each text."""
+    """Pairs of steps and sentence texts with enough words in common, each text by its first sentence, with the scores of keywords and phrases, and the
+    sentences of each text."""
     steps, sentences = told(spark, d)
     texts, members = by_text(sentences)
     rows = matching.scored(steps, texts, Matching(word=0.4, semantic=0.0, keyword=0.4, phrase=0.2))

@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scriptloom import queries
+from scriptloom import oracles, queries
 from scriptloom.config import Matching
 from scriptloom.operators import cleaning, matching, steps
 
@@ -115,3 +116,21 @@ def test_vectors_meet_in_blocks_and_equal_every_pair(spark):
     near = matching.near_rows(made, told, Matching(), block=64, side=4)
     assert near.count() * 10 < every.count()
     assert want.join(near, ["transcript_id", "step_index", "sentence_index"], "left_anti").count() == 0
+
+
+def test_candidates_are_pairs_of_steps_and_sentences(spark, tmp_path):
+    """Each sentence of a text that is told many times over is a candidate of its own, in query and SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, f"2024-01-01 00:{i % 60:02d}:00", i % 7, ("click", "view", "error", "signup")[i // 2 % 4]) for i in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.to_timestamp("ts"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = queries.QUERIES["mat_candidates"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    sql = db.execute(oracles.ORACLES["mat_candidates"])
+    names = [c[0] for c in sql.description]
+    assert sorted(names) == sorted(found.columns) and "step_index" in names and "kind" not in names
+    got = sorted(tuple(r[n] for n in names) for r in found.collect())
+    assert got == sorted(sql.fetchall())
+    steps_, sentences = queries.told(spark, str(tmp_path))
+    assert len(got) == matching.candidates(steps_, sentences).count() > 3 * matching.candidates(steps_, queries.by_text(sentences)[0]).count() > 0
