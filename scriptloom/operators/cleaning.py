@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import operator
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
@@ -51,7 +49,7 @@ def merged_duplicates(docs: DataFrame, key: str = "transcript_id", text_col: str
     if threshold >= 1:  # equal texts only
         joined = first.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), ". ").alias("text"))
         return docs.select(key).join(joined, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
-    first = kept(first)  # what comes before, patterns over whole texts, is worked out once
+    first = kept(first.drop("low")).withColumn("low", F.lower("sentence"))  # what comes before, patterns over whole texts, is worked out once
     gone = first_kept(near_pairs(first, key, threshold), key)
     left = first.join(gone, [key, "pos"], "left_anti")
     joined = left.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), ". ").alias("text"))
@@ -156,38 +154,77 @@ def candidate_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
     return direct.unionByName(met.filter("met >= least").select(key, "i", "j").distinct())
 
 
-def gram_counts_of(texts: Column) -> Column:
-    """How often each pair of neighbouring characters and each single one is in a text, as maps."""
-
-    @F.pandas_udf("struct<pairs:map<string,int>,letters:map<string,int>>")
-    def counted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"pairs": [dict(Counter(map(operator.add, x, x[1:]))) for x in texts], "letters": [dict(Counter(x)) for x in texts]})
-
-    return counted(texts)
-
-
 def named_texts(first: DataFrame, key: str) -> DataFrame:
     """(key, pos, digest, low): rows with the digest that stands for their text."""
-    return first.select(key, "pos", F.sha2("low", 256).alias("digest"), "low")
+    return first.select(key, "pos", F.unhex(F.sha2("low", 256)).alias("digest"), "low")
+
 
+def counted(texts: list[str], q: int, buckets: int) -> np.ndarray:
+    """How many runs of q characters of each text fall into each bucket."""
+    made = np.zeros((len(texts), buckets), np.int32)
+    for i, x in enumerate(texts):
+        codes = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        for _ in range(q - 1):
+            codes = codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]
+        made[i] = np.bincount(((codes * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)).astype(np.int64) % buckets, minlength=buckets)
+    return made
 
-def text_pairs(named: DataFrame, key: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+
+def alike_texts(named: DataFrame, key: str, threshold: float, rows: int = 2048, chars: int = 8 << 20) -> DataFrame:
+    """(x_digest, y_digest), the later one first: the pairs of texts of a key whose lengths, characters and pairs of characters allow the threshold. The
+    texts of a key lie in blocks in the order of their lengths, of so many rows and characters at most; two blocks that can hold such a pair meet
+    inside a task, and what can't be similar is never a row."""
+    in_order = Window.partitionBy(key).orderBy("n", "pos")
+    own = named.withColumn("n", F.length("low"))
+    own = own.withColumn("_block", F.floor((F.row_number().over(in_order) - 1) / rows + F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)) / chars))
+    own = own.withColumn("_block", F.coalesce("_block", F.lit(0).cast("long")))
+    spans = own.groupBy(key, "_block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    fits = (F.col("_a") <= F.col("_b")) & (F.col("lo") * threshold <= F.col("hi") * (2 - threshold) + 1e-6)
+    met = spans.select(key, F.col("_block").alias("_a"), "hi").join(spans.select(key, F.col("_block").alias("_b"), "lo"), key).filter(fits).select(key, "_a", "_b")
+    sides = met.select(key, "_a", "_b", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_block"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "ascending"), ("pos", "ascending")])
+        texts, n, pos, block = table.column("low").to_pylist(), *(table.column(c).to_numpy() for c in ("n", "pos", "_block"))
+        a, b = table.column("_a")[0].as_py(), table.column("_b")[0].as_py()
+        letters, pairs = counted(texts, 1, 64), counted(texts, 2, 512)
+        right = np.flatnonzero(block == b)
+        found = []
+        for i in np.flatnonzero(block == a):
+            # texts that are longer, or as long and behind this one, up to the length that the threshold allows
+            js = right[np.searchsorted(right, i, "right") : np.searchsorted(n[right], n[i] * (2 - threshold) / threshold + 1e-6, "right")]
+            both = n[i] + n[js]
+            able = (2 * n[i] >= threshold * both - 1e-9) & (np.minimum(letters[js], letters[i]).sum(axis=1) >= threshold / 2 * both - 1e-9)
+            js, both = js[able], both[able]
+            js = js[np.minimum(pairs[js], pairs[i]).sum(axis=1) >= (1.5 * threshold - 1) * both - 1 - 1e-9]
+            found += [(j, i) if pos[j] > pos[i] else (i, j) for j in js.tolist()]
+        of = table.column("digest")
+        return pa.table({f"{c}_digest": of.take(pa.array([x[k] for x in found], pa.int64())) for k, c in enumerate("xy")})
+
+    return own.join(sides, [key, "_block"]).groupBy(key, "_a", "_b").applyInArrow(meet, "x_digest binary, y_digest binary")
+
+
+def at_places(pairs: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """(key, i, j, x_digest, y_digest), j before i: where a key holds both texts of a pair in their order."""
+    later, sooner = (named.select(key, F.col("pos").alias(p), F.col("digest").alias(d)) for p, d in (("i", "x_digest"), ("j", "y_digest")))
+    return pairs.select("x_digest", "y_digest").join(later, "x_digest").join(sooner, [key, "y_digest"]).filter("j < i").select(key, "i", "j", "x_digest", "y_digest")
+
+
+def text_pairs(named: DataFrame, key: str, threshold: float, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(pairs, met): (x_digest, y_digest, x, y), each pair of different texts once however many keys hold it, whose similarity has to be worked
-    out: it shares enough grams in all, of both kinds; and (key, i, j, x_digest, y_digest), the candidates that stand behind them."""
-    texts = kept(named.groupBy("digest").agg(F.first("low").alias("low")).withColumn("g", gram_counts_of(F.col("low"))))
-    at = named.select(key, "pos", "digest")
-    met = kept(candidate_pairs(named, key, threshold).join(at.withColumnsRenamed({"pos": "i", "digest": "x_digest"}), [key, "i"]).join(at.withColumnsRenamed({"pos": "j", "digest": "y_digest"}), [key, "j"]))
-    counts = lambda d, c: texts.select(F.col("digest").alias(d), F.length("low").alias(f"n_{c}"), F.col("g").alias(f"g{c}"))
-    rows = met.select("x_digest", "y_digest").distinct().join(counts("x_digest", "x"), "x_digest").join(counts("y_digest", "y"), "y_digest")
-    both = F.col("n_x") + F.col("n_y")
-
-    def common(part: str) -> Column:
-        return F.aggregate(F.map_values(F.map_zip_with(f"gx.{part}", f"gy.{part}", lambda k, a, b: F.coalesce(F.least(a, b), F.lit(0)) * F.when(a.isNotNull() & b.isNotNull(), 1).otherwise(0))), F.lit(0), lambda s, z: s + z)
-
-    enough = (common("letters") >= threshold / 2 * both - 1e-9) & (common("pairs") >= (1.5 * threshold - 1) * both - 1 - 1e-9)
-    left = rows.filter(enough).select("x_digest", "y_digest")
+    out; and (key, i, j, x_digest, y_digest), the places that stand behind them. Up to `most` texts of a key meet in blocks, those of larger
+    keys by their rarest grams."""
+    texts = named.groupBy("digest").agg(F.first("low").alias("low"))
+    large = kept(named.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most).select(key))
+    if large.isEmpty():
+        rows = alike_texts(named, key, threshold)
+    else:
+        rest, at = named.join(large, key, "left_semi"), named.select(key, "pos", "digest")
+        by_grams = candidate_pairs(rest, key, threshold).join(at.withColumnsRenamed({"pos": "i", "digest": "x_digest"}), [key, "i"]).join(at.withColumnsRenamed({"pos": "j", "digest": "y_digest"}), [key, "j"])
+        rows = alike_texts(named.join(large, key, "left_anti"), key, threshold).unionByName(by_grams.select("x_digest", "y_digest"))
+    left = kept(rows.distinct())
     low = lambda d, c: texts.select(F.col("digest").alias(d), F.col("low").alias(c))
-    return left.join(low("x_digest", "x"), "x_digest").join(low("y_digest", "y"), "y_digest"), met
+    return left.join(low("x_digest", "x"), "x_digest").join(low("y_digest", "y"), "y_digest"), at_places(left, named, key)
 
 
 def compared_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
@@ -198,11 +235,19 @@ def compared_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
 
 def near_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
     """(key, i, j), j before i: the pairs of the threshold's similarity or more. Two texts are compared once, whatever number of keys has both."""
-    pairs, met = text_pairs(named_texts(first, key), key, threshold)
-    # few rows with much work each: dealt out by number, as their size would put them in a task or two
+    named = named_texts(first, key)
+    pairs, _ = text_pairs(named, key, threshold)
+
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            near = pa.array([ratio_from(a, b, threshold) >= threshold for a, b in zip(x, y, strict=True)], pa.bool_())
+            yield batch.select(["x_digest", "y_digest"]).filter(near)
+
+    # few rows with much work each: dealt out by number, as their size would put them in a task or two; a filter would be worked out before that
     pairs = pairs.repartition(max(int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64))
-    near = pairs.filter(alike(F.col("x"), F.col("y"), threshold) >= threshold).select("x_digest", "y_digest")
-    return met.join(near, ["x_digest", "y_digest"]).select(key, "i", "j")
+    near = kept(pairs.select("x_digest", "y_digest", "x", "y").mapInArrow(compared, "x_digest binary, y_digest binary"))
+    return at_places(near, named, key).select(key, "i", "j")
 
 
 def first_kept(pairs: DataFrame, key: str) -> DataFrame:

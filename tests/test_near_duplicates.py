@@ -71,3 +71,35 @@ def test_few_pairs_are_compared(spark):
     print(met, band)
     assert band > 10_000 and met < band / 10
     rows.unpersist()
+
+
+def test_pairs_that_can_not_be_similar_are_never_rows(spark, monkeypatch):
+    """Sixty texts of nearly one length, of which three are like another: what the search stores is far less than their 1,770 pairs."""
+    rng, stored, keep = random.Random(8), [], cleaning.kept
+    texts = ["".join(rng.choice(rng.sample("abcdefghijklmnopqrst", 9)) for _ in range(150 + i % 5)) for i in range(57)]
+    texts += [texts[k][:75] + "x" + texts[k][76:] for k in (3, 9, 30)]
+    rows = spark.createDataFrame([("t", i, x, x) for i, x in enumerate(texts)], "transcript_id string, pos int, sentence string, low string")
+
+    def counted(df):
+        made = keep(df)
+        stored.append(made.count())
+        return made
+
+    monkeypatch.setattr(cleaning, "kept", counted)
+    assert sorted((r.i, r.j) for r in cleaning.near_pairs(rows, "transcript_id", 0.9).collect()) == [(57, 3), (58, 9), (59, 30)]
+    assert sum(stored) < 100
+
+
+def test_blocks_of_lengths_lose_no_pair(spark):
+    """Blocks of four texts or of few characters give what one block gives."""
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcd e") for _ in range(rng.randrange(1, 60))) for _ in range(30)]
+    texts = list(dict.fromkeys([*base, *(x[:k] + "z" + x[k + 1 :] for x in base for k in (len(x) // 2, len(x) - 1))]))
+    rng.shuffle(texts)
+    named = cleaning.named_texts(spark.createDataFrame([(f"t{i % 2}", i, x) for i, x in enumerate(texts)], "transcript_id string, pos int, low string"), "transcript_id")
+    found = [sorted(map(tuple, cleaning.alike_texts(named, "transcript_id", 0.8, rows, chars).collect())) for rows, chars in ((2048, 8 << 20), (4, 8 << 20), (2048, 90))]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20
+    digest = {bytes(r.digest): r.low for r in named.collect()}
+    pairs = {(digest[bytes(x)], digest[bytes(y)]) for x, y in found[0]}
+    for i, x in enumerate(texts):
+        assert all((x, y) in pairs for j, y in enumerate(texts[:i]) if j % 2 == i % 2 and SequenceMatcher(None, x, y).ratio() >= 0.8)
