@@ -68,3 +68,28 @@ def test_fetches_of_one_time_are_ordered_by_content(spark, tmp_path):
     query, sql = both(spark, tmp_path, "knw_upkeep", pages=spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert query == sql
     assert {r[4] for r in query} == {True, False}
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_vectors_are_found_by_id_and_stored_nowhere(spark, tmp_path, monkeypatch, wide):
+    """Some ids have no vector; tables of vectors of both sizes, and rows that equal those of vectors held inline."""
+    from scriptloom import queries
+    from scriptloom.config import Matching
+    from scriptloom.operators import matching
+
+    rows = [(i, f"2024-01-01 0{i % 2}:{i % 60:02d}:00", i % 7, ("click", "view", "error", "signup")[i // 2 % 4]) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.to_timestamp("ts"))
+    e = spark.createDataFrame([(i, [float((i * k) % 5 - 2) for k in range(1, 6)]) for i in range(40) if i % 9], "vec_id long, embedding array<float>")
+    keep, stored = matching.kept, []
+    monkeypatch.setattr(matching, "kept", lambda df: [stored.append(df.columns), keep(df)][1])
+    if wide:
+        near = matching.attached
+        monkeypatch.setattr(matching, "attached", lambda rows, vectors, _, **columns: near(rows, vectors, True, **columns))
+    query, sql = both(spark, tmp_path, "mat_hybrid", events=events, embeddings=e)
+    assert query == sql and len(query) > 20
+    assert len(stored) > 1 and not any("embedding" in x for x in stored)
+    steps, sentences = queries.told(spark, str(tmp_path))
+    vectors = e.withColumnRenamed("vec_id", "vector_id")
+    steps, sentences = queries.with_vector_id(steps, 35, F.col("step_index") * 7), queries.with_vector_id(sentences, 35, F.col("sentence_index") * 3)
+    shown = lambda df: sorted(map(tuple, df.select("transcript_id", "step_index", "sentence_index", "confidence").collect()))
+    assert shown(matching.transcript_sources(steps, sentences, Matching(), vectors=vectors)) == shown(matching.transcript_sources(steps.join(vectors, "vector_id"), sentences.join(vectors, "vector_id"), Matching()))
