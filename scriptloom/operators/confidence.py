@@ -10,14 +10,19 @@ from ..functions import text as T
 KEYS = ["transcript_id", "step_index"]
 
 
+def times(sources: DataFrame) -> Column:
+    """How many sources a row stands for."""
+    return F.col("times").cast("long") if "times" in sources.columns else F.lit(1).cast("long")
+
+
 def step_confidence(sources: DataFrame) -> DataFrame:
     """(keys, n_sources, flags, confidence): the weighted mean of the best three, raised for number, variety and a strong one. Screens give
-    support but no confidence."""
+    support but no confidence. A row may stand for more sources (times), the others no better than a third of its kind."""
     heard = F.col("type").isin("transcript", "knowledge")
     rank = F.row_number().over(Window.partitionBy(*KEYS, heard).orderBy(F.desc("confidence")))
     rows = sources.withColumn("rn", F.when(heard, rank))
     made = rows.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n_sources"), F.count_if(heard).alias("n"), *[F.coalesce(F.max(F.when(F.col("rn") == i, F.col("confidence"))), F.lit(0.0)).alias(f"c{i}") for i in (1, 2, 3)],
+        F.sum(times(sources)).alias("n_sources"), F.coalesce(F.sum(F.when(heard, times(sources))), F.lit(0)).alias("n"), *[F.coalesce(F.max(F.when(F.col("rn") == i, F.col("confidence"))), F.lit(0.0)).alias(f"c{i}") for i in (1, 2, 3)],
         *[F.coalesce(F.bool_or(F.col("type") == t), F.lit(False)).alias(f"has_{t}_support") for t in ("transcript", "knowledge", "visual")], F.coalesce(F.bool_or(heard & (F.col("confidence") > 0.5)), F.lit(False)).alias("strong"),
     )
     mean = F.when(F.col("n") == 1, F.col("c1")).when(F.col("n") == 2, F.col("c1") * 0.6 + F.col("c2") * 0.4).otherwise(F.col("c1") * 0.5 + F.col("c2") * 0.3 + F.col("c3") * 0.2)
@@ -63,7 +68,7 @@ def step_records(sources: DataFrame) -> DataFrame:
 
 def source_summary(sources: DataFrame) -> DataFrame:
     """`transcript (n), knowledge (m)` per step, or `none`."""
-    counts = sources.groupBy(*KEYS).agg(*[F.count_if(F.col("type") == t).alias(t) for t in ("transcript", "knowledge")])
+    counts = sources.groupBy(*KEYS).agg(*[F.coalesce(F.sum(F.when(F.col("type") == t, times(sources))), F.lit(0)).alias(t) for t in ("transcript", "knowledge")])
     parts = [F.when(F.col(t) > 0, F.concat(F.lit(f"{t} ("), F.col(t).cast("string"), F.lit(")"))) for t in ("transcript", "knowledge")]
     text = F.concat_ws(", ", *parts)
     return counts.select(*KEYS, F.when(text == "", "none").otherwise(text).alias("summary"))

@@ -406,6 +406,52 @@ def knowledge_sources(steps: DataFrame, pages: DataFrame, top: int = 3, least: f
     return as_sources(rows, "knowledge")
 
 
+def page_overlaps(wanted: DataFrame, pages: DataFrame, top: int = 3, block: int = 2048) -> DataFrame:
+    """(keys, confidence, times): the best few pages (transcript_id, v) of a step's transcript by 0.6 of the Jaccard similarity of their words and the
+    step's (keys, w); the last of them stands for all that are no better, `times` in all. Only words that both sides of a transcript have tell
+    steps and pages apart: steps that have the same of them, and as many in all, meet the pages once, in blocks, as matrices inside tasks, so pairs of
+    steps and pages are never rows."""
+    pages = kept(pages.select("transcript_id", "v")).withColumn("_page", F.monotonically_increasing_id())  # equal rows stay apart
+    used = wanted.select("transcript_id", F.explode("w").alias("word")).distinct()
+    words = pages.select("transcript_id", "_page", F.size("v").alias("m"), F.explode("v").alias("word")).join(used, ["transcript_id", "word"])
+    words = kept(words.groupBy("transcript_id", "_page", "m").agg(F.collect_list("word").alias("v")))
+    told = words.select("transcript_id", F.explode("v").alias("word")).distinct()
+    own = wanted.select(*KEYS, F.size("w").alias("n"), F.explode("w").alias("word")).join(told, ["transcript_id", "word"])
+    own = kept(own.groupBy(*KEYS, "n").agg(F.sort_array(F.collect_list("word")).alias("w")))
+    right = words.withColumn("_of_block", F.floor((F.row_number().over(Window.partitionBy("transcript_id").orderBy("_page")) - 1) / block)).select(F.col("transcript_id").alias("_of"), "_of_block", "m", "v")
+    blocks = words.groupBy("transcript_id").agg(F.floor((F.count(F.lit(1)) - 1) / block).alias("_last"))
+    left = own.select("transcript_id", "n", "w").distinct().join(blocks, "transcript_id").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).select("transcript_id", "_block", "n", "w")
+    schema = K.StructType([*(left.schema[c] for c in ("transcript_id", "n", "w")), K.StructField("met", K.LongType()), K.StructField("best", K.ArrayType(K.DoubleType()))])
+    kinds = to_arrow_schema(schema)
+
+    def held(lists: list[list[str]], number: dict[str, int]) -> np.ndarray:
+        made = np.zeros((len(lists), len(number)), np.float32)
+        for i, own in enumerate(lists):
+            made[i, [number[w] for w in own if w in number]] = 1
+        return made
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        met, best = [], []
+        if a.num_rows and b.num_rows:
+            pages = b.column("v").to_pylist()
+            number = {w: i for i, w in enumerate(dict.fromkeys(w for v in pages for w in v))}
+            of_page, m = held(pages, number), b.column("m").to_numpy().astype(np.int64)
+            for few in (a.slice(k, 512) for k in range(0, a.num_rows, 512)):
+                both = np.rint(held(few.column("w").to_pylist(), number) @ of_page.T).astype(np.int64)
+                value = 0.6 * both / (few.column("n").to_numpy().astype(np.int64)[:, None] + m - both)
+                value = -np.sort(np.partition(-value, top - 1, axis=1)[:, :top] if len(m) > top else -value, axis=1)
+                met += (both > 0).sum(axis=1).tolist()
+                best += [[x for x in row if x > 0] for row in value.tolist()]
+        else:
+            a = a.slice(0, 0)
+        return pa.table([*(a.column(c).cast(kinds.field(c).type) for c in ("transcript_id", "n", "w")), pa.array(met, pa.int64()), pa.array(best, pa.list_(pa.float64()))], schema=kinds)
+
+    found = left.groupBy("transcript_id", "_block").cogroup(right.groupBy("_of", "_of_block")).applyInArrow(meet, schema)
+    found = found.groupBy("transcript_id", "n", "w").agg(F.sum("met").alias("met"), F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, top).alias("best"))
+    rows = own.join(found, ["transcript_id", "n", "w"]).select(*KEYS, "met", F.posexplode("best").alias("_place", "confidence"))
+    return rows.select(*KEYS, "confidence", F.when(F.col("_place") == top - 1, F.col("met") - (top - 1)).otherwise(1).alias("times"))
+
+
 def action_patterns(steps: DataFrame) -> DataFrame:
     """(keys, verb, target): the first listed verb that an action holds, and what follows it without articles."""
     low = F.lower("action")

@@ -507,20 +507,12 @@ def mat_all_sources(spark, d):
     event of the transcript, in the order of the steps."""
     steps, sentences = told(spark, d)
     at = table(spark, d, "events").select(F.col("event_id").alias("number"), hour_of("ts").alias("transcript_id"))
-    excerpt = F.concat(F.lit("["), "title", F.lit("]("), "url", F.lit(")\n"), F.left("content", F.lit(300)))
-    pages = crawl(spark, d).filter("error IS NULL").withColumnRenamed("page_id", "number").join(at, "number").select("transcript_id", excerpt.alias("excerpt"), T.match_words(F.col("content"), False).alias("v"))
-    pages = kept(pages).withColumn("_page", F.monotonically_increasing_id())  # rows that repeat a number stay apart
+    pages = crawl(spark, d).filter("error IS NULL").withColumnRenamed("page_id", "number").join(at, "number").select("transcript_id", T.match_words(F.col("content"), False).alias("v"))
     wanted = kept(steps.select("transcript_id", "step_index", T.match_words(matching.search_text(steps), True).alias("w")))
-    # of a page only those words meet steps that a step of its transcript has
-    used = wanted.select("transcript_id", F.explode("w").alias("word")).distinct()
-    words = pages.select("transcript_id", "_page", "excerpt", F.size("v").alias("m"), F.explode("v").alias("word")).join(used, ["transcript_id", "word"])
-    words = words.groupBy("transcript_id", "_page").agg(F.first("excerpt").alias("excerpt"), F.first("m").alias("m"), F.collect_list("word").alias("v"))
-    both = F.size(F.array_intersect("w", "v"))
-    read = wanted.join(words, "transcript_id").withColumn("confidence", 0.6 * both / (F.size("w") + F.col("m") - both)).filter("confidence > 0")
-    known = matching.as_sources(read, "knowledge")
+    known = matching.page_overlaps(wanted, pages).withColumn("type", F.lit("knowledge"))
     turns = table(spark, d, "conversations").filter("role = 'assistant'").join(at, F.col("conv_id") == F.col("number")).select("transcript_id", F.floor(F.col("turn") / 2).cast("int").alias("step_index"), F.concat(F.lit("turn-"), F.col("turn").cast("string"), F.lit(".png")).alias("screenshot_ref"))
     seen = matching.as_sources(turns.join(steps.select("transcript_id", "step_index"), ["transcript_id", "step_index"]).withColumn("confidence", F.lit(0.8)), "visual")
-    every = kept(matching.all_sources(matching.transcript_sources(steps, sentences), known, seen).select("transcript_id", "step_index", "type", "confidence"))
+    every = kept(matching.all_sources(matching.transcript_sources(steps, sentences), known, seen).select("transcript_id", "step_index", "type", "confidence", F.coalesce("times", F.lit(1)).alias("times")))
     made = confidence.step_confidence(every).join(confidence.source_summary(every), ["transcript_id", "step_index"])
     return made.withColumn("confidence", d6("confidence"))
 

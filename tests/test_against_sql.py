@@ -93,3 +93,41 @@ def test_vectors_are_found_by_id_and_stored_nowhere(spark, tmp_path, monkeypatch
     steps, sentences = queries.with_vector_id(steps, 35, F.col("step_index") * 7), queries.with_vector_id(sentences, 35, F.col("sentence_index") * 3)
     shown = lambda df: sorted(map(tuple, df.select("transcript_id", "step_index", "sentence_index", "confidence").collect()))
     assert shown(matching.transcript_sources(steps, sentences, Matching(), vectors=vectors)) == shown(matching.transcript_sources(steps.join(vectors, "vector_id"), sentences.join(vectors, "vector_id"), Matching()))
+
+
+def test_pairs_of_steps_and_pages_are_never_rows(spark, tmp_path, monkeypatch):
+    """Two hundred pages, nearly all of them a source of every step: of these the best three are stored, counts and confidence equal SQL."""
+    from scriptloom import queries
+
+    rows = [(i, f"2024-01-01 0{i % 2}:{i // 6 % 60:02d}:{i % 60:02d}", i % 7, ("click", "view", "error", "signup")[i // 9 % 4]) for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.to_timestamp("ts"))
+    told = "open the overview page and check settings form name region list create button".split()
+    pages = [(i, f"http://x.org/{i}", f"<title>t{i}</title> " + " ".join(told[(i * k) % 13] for k in range(1, i % 8)) + " other words" * (i % 5) + f" w{i % 17}ord") for i in range(200)]
+    turns = [(i, turn, ("user", "assistant")[turn % 2], "x") for i in range(9) for turn in range(4)]
+    keep, stored = queries.kept, []
+
+    def counted(df):
+        made = keep(df)
+        if "confidence" in made.columns and "type" in made.columns:
+            stored.append((made.filter("type = 'knowledge'").count(), made.select("transcript_id", "step_index").distinct().count()))
+        return made
+
+    monkeypatch.setattr(queries, "kept", counted)
+    tables = {"pages": spark.createDataFrame(pages, "page_id long, url string, html string"), "conversations": spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")}
+    query, sql = both(spark, tmp_path, "mat_all_sources", events=events, **tables)
+    assert query == sql and max(r[2] for r in query) > 60
+    assert len(stored) == 1 and 0 < stored[0][0] <= 3 * stored[0][1]
+
+
+def test_blocks_of_pages_count_as_one(spark):
+    from scriptloom.operators import matching
+
+    wanted = spark.createDataFrame([("t", i, [f"w{k}" for k in range(i % 4 + 1)] + ["alone"] * (i % 3 == 0)) for i in range(12)] + [("u", 0, ["w0"]), ("v", 0, ["z"])], "transcript_id string, step_index int, w array<string>")
+    pages = spark.createDataFrame([("t", [f"w{k}" for k in range(i % 6)] + [f"p{k}" for k in range(i % 5)]) for i in range(40)] + [("u", ["w0"]), ("u", ["w0"]), ("v", ["y"])], "transcript_id string, v array<string>")
+    want = []
+    for t, i, w in wanted.collect():
+        value = sorted((0.6 * n / (len(w) + len(p.v) - n) for p in pages.collect() if p.transcript_id == t and (n := len(set(w) & set(p.v)))), reverse=True)
+        want += [(t, i, x, len(value) - 2 if k == 2 else 1) for k, x in enumerate(value[:3])]
+    for block in (2048, 7):
+        found = matching.page_overlaps(wanted, pages, block=block)
+        assert sorted(map(tuple, found.select("transcript_id", "step_index", "confidence", "times").collect())) == sorted(want)
