@@ -214,7 +214,7 @@ def text_pairs(named: DataFrame, key: str, threshold: float, most: int = 20_000)
     """(pairs, met): (x_digest, y_digest, x, y), each pair of different texts once however many keys hold it, whose similarity has to be worked
     out; and (key, i, j, x_digest, y_digest), the places that stand behind them. Up to `most` texts of a key meet in blocks, those of larger
     keys by their rarest grams."""
-    texts = named.groupBy("digest").agg(F.first("low").alias("low"))
+    texts = kept(named.groupBy("digest").agg(F.first("low").alias("low")))
     large = kept(named.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most).select(key))
     if large.isEmpty():
         rows = alike_texts(named, key, threshold)
@@ -223,8 +223,12 @@ def text_pairs(named: DataFrame, key: str, threshold: float, most: int = 20_000)
         by_grams = candidate_pairs(rest, key, threshold).join(at.withColumnsRenamed({"pos": "i", "digest": "x_digest"}), [key, "i"]).join(at.withColumnsRenamed({"pos": "j", "digest": "y_digest"}), [key, "j"])
         rows = alike_texts(named.join(large, key, "left_anti"), key, threshold).unionByName(by_grams.select("x_digest", "y_digest"))
     left = kept(rows.distinct())
-    low = lambda d, c: texts.select(F.col("digest").alias(d), F.col("low").alias(c))
-    return left.join(low("x_digest", "x"), "x_digest").join(low("y_digest", "y"), "y_digest"), at_places(left, named, key)
+    # rows with much work each: dealt out by number, as their size would put them in a task or two; up to 32 MB of texts go to the pairs
+    parts = max(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64, left.count() // 100_000)
+    small = (texts.agg(F.sum(F.length("low"))).first()[0] or 0) <= 32 << 20
+    low = lambda d, c: (F.broadcast if small else lambda x: x)(texts.select(F.col("digest").alias(d), F.col("low").alias(c)))
+    pairs = (left.repartition(parts) if small else left).join(low("x_digest", "x"), "x_digest").join(low("y_digest", "y"), "y_digest")
+    return pairs if small else pairs.repartition(parts), at_places(left, named, key)
 
 
 def compared_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
@@ -244,8 +248,7 @@ def near_pairs(first: DataFrame, key: str, threshold: float) -> DataFrame:
             near = pa.array([ratio_from(a, b, threshold) >= threshold for a, b in zip(x, y, strict=True)], pa.bool_())
             yield batch.select(["x_digest", "y_digest"]).filter(near)
 
-    # few rows with much work each: dealt out by number, as their size would put them in a task or two; a filter would be worked out before that
-    pairs = pairs.repartition(max(int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64))
+    # no filter: that would be worked out before pairs are dealt out
     near = kept(pairs.select("x_digest", "y_digest", "x", "y").mapInArrow(compared, "x_digest binary, y_digest binary"))
     return at_places(near, named, key).select(key, "i", "j")
 
