@@ -103,3 +103,15 @@ def test_blocks_of_lengths_lose_no_pair(spark):
     pairs = {(digest[bytes(x)], digest[bytes(y)]) for x, y in found[0]}
     for i, x in enumerate(texts):
         assert all((x, y) in pairs for j, y in enumerate(texts[:i]) if j % 2 == i % 2 and SequenceMatcher(None, x, y).ratio() >= 0.8)
+
+
+def test_large_transcripts_meet_by_grams(spark):
+    rng = random.Random(10)
+    texts = list(dict.fromkeys("".join(rng.choice("abcd e") for _ in range(rng.randrange(1, 40))) for _ in range(40)))
+    texts += list(dict.fromkeys(x + "z" for x in texts))
+    named = cleaning.named_texts(spark.createDataFrame([(f"t{i % 5 == 0}", i, x) for i, x in enumerate(texts)], "transcript_id string, pos int, low string"), "transcript_id")
+    found = []
+    for most in (20_000, 30, 3):
+        pairs, _ = cleaning.text_pairs(named, "transcript_id", 0.9, most)
+        found.append(sorted((r.x, r.y) for r in pairs.collect() if SequenceMatcher(None, r.x, r.y).ratio() >= 0.9))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 10
